@@ -74,6 +74,8 @@ def reduce_pairs(
     def blocks(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy(group).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
 
+    # New column ids, so that a side can be searched against itself.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     sizes = blocks(left, "n_lb").join(blocks(right, "n_rb"), group)
     keys = [group, "lb", "rb"]
     return (
@@ -207,7 +209,9 @@ def components(points: DataFrame, radius: float, block_rows: int = BLOCK_ROWS) -
             # Points without any neighbour are done.
             lonely = step.filter(~F.col("touched")).select("g", "id", "label")
             step = step.filter("touched")
-        jump = step.select("g", F.col("id").alias("least"), F.col("least").alias("beyond"))
+        jump = step.select(
+            F.col("g").alias("g"), F.col("id").alias("least"), F.col("least").alias("beyond")
+        )
         after = step.join(jump, ["g", "least"]).select(
             "g", "id", "vec", F.col("label").alias("before"),
             F.least("least", "beyond").alias("label"),
