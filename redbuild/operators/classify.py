@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import category_rules as C
 from ..functions import text as X
 from . import neighbours as N
+from .fence import fence
 
 Catalogue = dict[str, list[str]]
 Fallback = Callable[[DataFrame], DataFrame]
@@ -71,9 +72,10 @@ def category_scores(signals: DataFrame, patterns: Catalogue | None = None) -> Da
             F.lit(settings["priority"]).alias("priority"),
             F.lit(settings["regex_min"]).alias("threshold"),
         ))
-    return rows.withColumn(
+    scored = rows.withColumn(
         "scores", F.filter(F.array(*entries), lambda e: e["score"] > 0)
     ).drop(*[f"_{c}" for c in patterns])
+    return fence(scored, "scores")
 
 
 def explain_scores(scored: DataFrame) -> DataFrame:

@@ -27,7 +27,6 @@ def hashing_embedder(texts: DataFrame) -> DataFrame:
 def embed_signals(signals: DataFrame, embedder: Embedder = hashing_embedder) -> DataFrame:
     """Adds `embedding`.  A fingerprint is embedded once, whatever the number of
     its occurrences: with the text of its first one."""
-    text = X.dedup_text(F.col("error_line"), F.col("pre_content"), F.col("post_content"))
     first = F.min_by(
         F.struct("error_line", "pre_content", "post_content"), F.struct("failure_id", "stage", "line_no")
     )

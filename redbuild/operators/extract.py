@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signal_rules as R
 from ..functions import text as X
+from .fence import fence
 
 FILE = ["failure_id", "stage"]
 CHUNK = [*FILE, "chunk"]
@@ -89,14 +90,13 @@ def _chunk_of(chunk_lines: int) -> Column:
 
 def _marked(facts: DataFrame, chunk_lines: int) -> DataFrame:
     """Only the lines that can start an event or continue a block."""
-    # The one-row generator keeps the filter above the expressions it tests;
-    # pushed below, every regex would be evaluated in it once more.
-    return facts.select(
-        *FILE, _chunk_of(chunk_lines).alias("chunk"), "line_no",
-        F.inline(F.array(F.struct(
-            "block_type", "signal_type", "mask", F.when(F.col("hit"), F.col("clean")).alias("clean"),
-        ))),
-    ).filter(F.col("signal_type").isNotNull() | (F.col("mask") != 0))
+    rows = facts.select(
+        *FILE, _chunk_of(chunk_lines).alias("chunk"), "line_no", "block_type", "signal_type", "mask",
+        F.when(F.col("hit"), F.col("clean")).alias("clean"),
+    )
+    return fence(rows, "block_type", "signal_type", "mask", "clean").filter(
+        F.col("signal_type").isNotNull() | (F.col("mask") != 0)
+    )
 
 
 def _open(bit: int) -> int:
@@ -293,7 +293,9 @@ def _with_history(kept: DataFrame, pre_context: int) -> DataFrame:
     tails = kept.select(*CHUNK, _last(span, pre_context).alias("tail")).select(
         *CHUNK, _last(F.flatten(F.collect_list("tail").over(before)), pre_context).alias("earlier")
     )
-    rows = kept.join(tails, CHUNK, "left").withColumn("spans", F.concat("earlier", span))
+    # Fenced, so that not even a null test on the keys reaches the scan: both
+    # branches then read the same shuffle.
+    rows = kept.join(fence(tails, *CHUNK), CHUNK, "left").withColumn("spans", F.concat("earlier", span))
     offset = F.size("earlier")
     events = F.transform(
         "kept",
@@ -389,9 +391,12 @@ def _attach_text(needed: DataFrame, lines: DataFrame) -> DataFrame:
     text = (
         F.when(F.col("role") == "block", F.col("block_line"))
         .when((F.col("role") == "pre") & ~F.col("gap") & ~F.col("noise"), F.col("clean"))
-        .otherwise(F.concat("ascii", F.lit("\n")))
+        .otherwise(F.concat(F.coalesce("ascii", "after"), F.lit("\n")))
     )
-    found = needed.join(lines.select(*FILE, "line_no", "raw"), [*FILE, "line_no"], "left")
+    # Lines after an event are taken as they are; only the others need the views.
+    found = needed.join(lines.select(*FILE, "line_no", "raw"), [*FILE, "line_no"], "left").withColumn(
+        "after", F.when(F.col("role") == "post", X.ascii_only(F.col("raw")))
+    ).withColumn("raw", F.when(F.col("role").isin("pre", "block"), F.col("raw")))
     return (
         with_views(found)
         .select(*FILE, "event_line", "line_no", "role", "payload", text.alias("text"))

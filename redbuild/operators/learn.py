@@ -9,6 +9,7 @@ from ..functions import category_rules as C
 from ..functions import text as X
 from ..functions import training_rules as T
 from .dedup import Embedder, hashing_embedder
+from .neighbours import ensure_checkpoints
 
 
 def _fill(text: Column, key: str, words: list[str], seed: Column) -> Column:
@@ -81,6 +82,8 @@ def feedback_batch(pending: DataFrame, order: list[str], batch: int = C.FEEDBACK
     Fewer than `batch` rows stay, the last ones in `order`, so only these are
     looked for; nothing is sorted as a whole.
     """
+    ensure_checkpoints(pending.sparkSession)
+    pending = pending.checkpoint()  # counted, cut and read
     left_over = pending.count() % batch
     stay = pending.orderBy(*[F.desc(c) for c in order]).limit(left_over)
     return pending.join(F.broadcast(stay.select("fingerprint")), "fingerprint", "left_anti"), stay

@@ -412,12 +412,12 @@ oracle(
     "knowledge_upsert",
     """every AS (
     SELECT 'fp' || c_custkey AS fingerprint, c_mktsegment AS root_cause, 'MEDIUM' AS severity, 4 AS recurrence_count, c_acctbal AS embedding,
-           c_acctbal AS rca_confidence, c_name AS remediation, -1 AS at FROM customer
+           c_acctbal AS rca_confidence, c_name AS remediation, -1 AS nr FROM customer
     UNION ALL
     SELECT 'fp' || user_id, event_type, CASE WHEN value > 20 THEN 'HIGH' ELSE 'LOW' END, 0, value, value, props, event_id FROM events)""",
-    """SELECT fingerprint, arg_min(root_cause, at) AS root_cause, arg_min(severity, at) AS severity,
-       CAST(arg_min(recurrence_count, at) + count(*) - 1 AS INT) AS recurrence_count, arg_min(embedding, at) AS embedding,
-       arg_max(rca_confidence, at) AS rca_confidence, arg_max(remediation, at) AS remediation,
+    """SELECT fingerprint, arg_min(root_cause, nr) AS root_cause, arg_min(severity, nr) AS severity,
+       CAST(arg_min(recurrence_count, nr) + count(*) - 1 AS INT) AS recurrence_count, arg_min(embedding, nr) AS embedding,
+       arg_max(rca_confidence, nr) AS rca_confidence, arg_max(remediation, nr) AS remediation,
        CAST(NULL AS VARCHAR) AS secondary_remediations FROM every GROUP BY fingerprint""",
 )
 LEARNABLE = f"""{BY_PATTERNS},
