@@ -57,7 +57,10 @@ def category_scores(signals: DataFrame, patterns: Catalogue | None = None) -> Da
     """Adds `scores`: an array of (category, score, matches, confidence, priority,
     threshold), one entry per category with a hit."""
     patterns = check_catalogue(patterns or C.CATEGORY_PATTERNS)
-    rows = signals
+    # Few bytes, much work per row: without an explicit number of partitions the
+    # adaptive planner would merge the signals into a handful of tasks.
+    partitions = int(signals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = signals.repartition(partitions, "failure_id", "fingerprint")
     for category, regexes in patterns.items():
         rows = rows.withColumn(f"_{category}", _pattern_weights(regexes))
     entries = []
