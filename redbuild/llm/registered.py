@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, records, sharding, simhash, spotsigs
+from . import cotrain, decontaminate, hmm, licences, mixing, records, sharding, simhash, spotsigs, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +34,11 @@ def op1_sharding(spark, folder):
     )
 
 
+@query
+def op2_hidden_markov(spark, folder):
+    return hmm.score(table(spark, folder, "documents"))
+
+
 @query
 def op3_decontamination(spark, folder):
     found = decontaminate.hit_runs(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10)
@@ -72,6 +77,33 @@ def op6_mixing(spark, folder):
     )
 
 
+@query
+def op7_suffix_array(spark, folder):
+    kept = suffixes.without_repeats(table(spark, folder, "documents"), length=100)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op8_quality(spark, folder):
+    docs = table(spark, folder, "documents")
+    scored = cotrain.score(docs, cotrain.train(docs, table(spark, folder, "labels")))
+    chance = lambda c: 1 / (1 + F.exp(-F.col(c)))
+    return scored.select(
+        "doc_id", chance("good_odds").alias("quality"), chance("text_odds").alias("text_quality"),
+        chance("meta_odds").alias("meta_quality"), (F.col("good_odds") >= 0).alias("kept"),
+    )
+
+
+@query
+def op9_licences(spark, folder):
+    """Documents as files: their directories are source and language."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    files = table(spark, folder, "documents").select(path.alias("path"), "text")
+    found = licences.with_inherited(licences.own_licences(files))
+    doc_id = F.element_at(F.split("path", "/"), -1).try_cast("long")
+    return found.select(doc_id.alias("doc_id"), *found.columns)
+
+
 @query
 def op10_token_records(spark, folder):
     import public_tokenizers
