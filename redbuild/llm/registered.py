@@ -26,7 +26,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query
 def op1_sharding(spark, folder):
-    docs = sharding.size_and_crc(table(spark, folder, "documents"))
+    docs = table(spark, folder, "documents").select("doc_id", *sharding.size_and_crc())
     out = sharding.shard(docs, key=["doc_id"], carry=["size", "text_crc32"], shards=40)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",

@@ -1,7 +1,7 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
 Every shard owns virtual nodes on a ring of 64-bit positions; a row belongs to
-the first node clockwise from the hash of its key.  A shard takes rows up to
+the first node clockwise behind the hash of its key.  A shard takes rows up to
 its bound only; what overflows goes on clockwise to the next shard with room.
 Rows enter in ring order, so an arc of the ring needs no more than its number
 of rows to be settled: the driver walks shards x nodes numbers, however many
@@ -10,10 +10,10 @@ rows there are, and each row then finds its shard by its rank within its arc.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_right
 
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -76,8 +76,7 @@ def shard(
     # Equal rows are counted before anything is dealt out by key, so a key with a third of all rows is one row here.
     items = rows.groupBy(*columns).agg(F.count("*").alias("_n"))
     at = F.xxhash64(*[F.col(c) for c in key], F.lit(seed))
-    # Positions above p - 1, i.e. from p on: the arc before the first node is its own.
-    items = items.withColumn("_at", at).withColumn("_arc", range_of(F.col("_at") - 1, positions) % len(points))
+    items = items.withColumn("_at", at).withColumn("_arc", range_of(F.col("_at"), positions) % len(points))
     sums = items.groupBy("_arc").agg(F.sum("_n").alias("n"), F.max("_n").alias("most")).collect()  # at most shards x nodes rows
     counts = {r["_arc"]: r["n"] for r in sums}
     pieces = settle(counts, owners, bounds(sum(counts.values()), shards, load_factor))
@@ -104,11 +103,11 @@ def shard(
 
 
 def home_of(at: int, points: list[tuple[int, int]]) -> int:
-    """The shard of the first node from a position on, for tests."""
-    return points[bisect_left(points, (at, -1)) % len(points)][1]
+    """The shard of the first node behind a position."""
+    return points[bisect_right([p for p, _ in points], at) % len(points)][1]
 
 
-def size_and_crc(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text and 16) and text_crc32 (null for a null text)."""
+def size_and_crc() -> tuple[Column, Column]:
+    """size (UTF-8 bytes of the text and 16) and text_crc32 (null for a null text) of documents."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
-    return docs.select("doc_id", size.alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    return size.alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32")
