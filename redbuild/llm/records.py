@@ -6,7 +6,8 @@ A shard file holds one frame per sequence, all numbers little-endian:
 
 The payload is the sequence as unsigned 32-bit ids.  A checksum is the CRC-32 of the bytes, rotated right by 15 bits
 and raised by a constant, so that a checksum of data that holds checksums stays sound.  The index beside each shard
-has one int64 per frame, its offset, so any record can be read on its own and in any order.
+has two int64 per frame, its offset and its doc_id (the least number for null), so any record can be read on its own
+and in any order.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import bounds_of, checkpointed, fresh_folder, range_of, slices, small_batches
 
 MASK = 0xA282EAD8
+NO_ID = -(1 << 63)
 CACHED = 500_000  # spans of text that a worker remembers the ids of
 HEAD = struct.Struct("<QI")
 INDEX = "block int, seq long, doc_id long, start_in_block long, n_tokens long, file string, position long"
@@ -163,7 +165,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                 record = frame(ids.tobytes() + struct.pack("<I", end_id))
                 file.write(record)
                 rows.append((block, state["seq"], doc, state["start"], len(ids) + 1, state["name"], state["at"]))
-                state["offsets"].append(state["at"])
+                state["offsets"].append((state["at"], NO_ID if doc is None else doc))
                 state["at"] += len(record)
                 state["seq"] += 1
                 state["start"] += len(ids) + 1
@@ -197,52 +199,59 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str
     block = F.coalesce(range_of(F.col("doc_id"), bounds), F.lit(0)).cast("int")
     dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("block", block)
     small_batches(spark)
-    parts = dealt.repartition(slices(spark), "block").sortWithinPartitions("block", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    parts = dealt.repartitionById(len(bounds) + 1, "block").sortWithinPartitions("block", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     index = checkpointed(parts.mapInArrow(_writer(folder, tokenizer, end_id), INDEX))
     return folder, index
 
 
-def with_starts(index: DataFrame) -> DataFrame:
-    """Adds start, the ids of all records before: a running sum over the shards, of which there are few."""
-    totals = index.groupBy("block").agg(F.sum("n_tokens").alias("n")).collect()  # one row per shard file
-    before, total = {}, 0
+def shards(index: DataFrame) -> DataFrame:
+    """(block, file, before): each shard file and the ids in all files before it; one row per file, few."""
+    totals = index.groupBy("block", "file").agg(F.sum("n_tokens").alias("n")).collect()
+    rows, total = [], 0
     for row in sorted(totals):
-        before[row["block"]], total = total, total + row["n"]
-    if not before:
-        return index.withColumn("start", F.lit(0).cast("long"))
-    shifts = index.sparkSession.createDataFrame(list(before.items()), "block int, _before long")
-    return index.join(F.broadcast(shifts), "block").withColumn("start", F.col("start_in_block") + F.col("_before")).drop("_before")
+        rows.append((row["block"], row["file"], total))
+        total += row["n"]
+    return index.sparkSession.createDataFrame(rows, "block int, file string, before long")
+
+
+def _offsets(fs, path: str) -> np.ndarray:
+    """The index of a shard file: a row of offset and doc_id for each record."""
+    with fs.open_input_file(path + ".index") as f:
+        return np.frombuffer(f.read(), dtype="<i8").reshape(-1, 2)
 
 
 def _reader(folder: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
         for batch in batches:
-            for block, name in zip(batch.column("block").to_pylist(), batch.column("file").to_pylist()):
+            for block, name, start in zip(*(batch.column(c).to_pylist() for c in ("block", "file", "before"))):
+                ids = [None if i == NO_ID else i for i in _offsets(fs, f"{root}/{name}")[:, 1].tolist()]
                 with fs.open_input_stream(f"{root}/{name}", buffer_size=1 << 20) as file:
                     frames = iter(lambda: read_frame(file), None)
                     seq = 0
                     while some := list(itertools.islice(frames, 256)):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([block] * len(some), pa.int32()), pa.array(range(seq, seq + len(some)), pa.int64()), pa.array(some, pa.binary())],
-                            ["block", "seq", "payload"],
-                        )
-                        seq += len(some)
+                        starts = start + np.cumsum([0, *(len(p) // 4 for p in some)])
+                        columns = [[block] * len(some), range(seq, seq + len(some)), ids[seq:seq + len(some)], starts[:-1].tolist(), some]
+                        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "seq", "doc_id", "start", "payload"])
+                        seq, start = seq + len(some), int(starts[-1])
+                    if seq != len(ids):
+                        raise ValueError(f"{name} has {seq} records, its index {len(ids)}")
 
     return read
 
 
-def read_records(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """(block, seq, payload) of all records in a folder, every checksum tested; one task reads whole shard files."""
-    files = index.select("block", "file").distinct().repartition(slices(spark), "block")
-    return files.mapInArrow(_reader(folder), "block int, seq long, payload binary")
+def read_records(folder: str, files: DataFrame) -> DataFrame:
+    """(block, seq, doc_id, start, ids) of all records of the given shards(), every checksum tested; ids are unsigned
+    little-endian 32-bit numbers, start is the number of ids before the record, over all files.  A task reads whole shard files, record by record."""
+    dealt = files.repartition(slices(files.sparkSession), "block")
+    return dealt.mapInArrow(_reader(folder), "block int, seq long, doc_id long, start long, payload binary")
 
 
 def read_some(folder: str, file: str, wanted: list[int]) -> list[np.ndarray]:
     """Ids of the given records of a shard file, in the order asked for: seeks by its offset index."""
     fs, root = _filesystem(folder)
-    with fs.open_input_file(f"{root}/{file}.index") as f:
-        offsets = np.frombuffer(f.read(), dtype="<i8")
+    offsets = _offsets(fs, f"{root}/{file}")[:, 0]
     with fs.open_input_file(f"{root}/{file}") as f:
         out = []
         for i in wanted:
@@ -251,9 +260,9 @@ def read_some(folder: str, file: str, wanted: list[int]) -> list[np.ndarray]:
         return out
 
 
-def ids_of(payload: Column) -> Column:
-    """A payload as an array of ids, for readers that stay in Spark."""
-    text = F.hex(payload)
+def id_array(ids: Column) -> Column:
+    """The ids of a record as an array, for readers that stay in Spark."""
+    text = F.hex(ids)
     at = F.sequence(F.lit(1), F.length(text) - 7, F.lit(8))
     byte = lambda i, k: F.substring(text, i + 2 * k, F.lit(2))
     return F.transform(at, lambda i: F.conv(F.concat(*[byte(i, k) for k in (3, 2, 1, 0)]), 16, 10).cast("long"))

@@ -109,8 +109,7 @@ def op10_token_records(spark, folder):
     import public_tokenizers
 
     where, index = records.write_records(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
-    back = records.read_records(spark, where, index)
-    starts = records.with_starts(index).select("block", "seq", "doc_id", "start")
-    return starts.join(back, ["block", "seq"]).select(
+    back = records.read_records(where, records.shards(index))
+    return back.select(
         "doc_id", "start", (F.octet_length("payload") / 4).cast("long").alias("n_tokens"), F.crc32("payload").alias("ids_crc32")
     )
