@@ -43,28 +43,35 @@ def stage_logs(steps: DataFrame) -> DataFrame:
     )
 
 
-def stage_lines(steps: DataFrame) -> DataFrame:
+def stage_lines(steps: DataFrame, positions: int = 1024) -> DataFrame:
     """steps(run, stage, pos, log) -> lines(failure_id, stage, line_no, raw).
 
     Never builds the text of a stage: each step is cut into lines on its own
-    and shifted by the lines before it, a running sum over one small row per
-    step.  Steps end with a line break (an open last line is its own line).
+    and shifted by the lines before it.  Positions are taken in ranges, whose
+    line counts are summed first, one small row per range, so the text is
+    shuffled once, by range, and a large stage is many tasks' work.  Steps end
+    with a line break (an open last line is its own line); steps at one
+    position follow each other by their text, those without one come first.
     """
     from pyspark.sql import Window
 
-    cut = steps.withColumn("parts", F.split(F.regexp_replace("log", r"\r\n?", "\n"), "\n")).withColumn(
+    place = F.coalesce(F.floor(F.col("pos") / positions), F.lit(-(1 << 62)))
+    cut = steps.withColumn("range", place).withColumn("parts", F.split(F.regexp_replace("log", r"\r\n?", "\n"), "\n")).withColumn(
         "parts",
         F.when(F.element_at("parts", -1) == "", F.slice("parts", F.lit(1), F.size("parts") - 1))
         .otherwise(F.col("parts")),
     )
-    before = Window.partitionBy("run", "stage").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut.select("run", "stage", "pos", F.size("parts").alias("n")).select(
-        "run", "stage", "pos", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
+    key = ["run", "stage", "range"]
+    before = Window.partitionBy("run", "stage").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(*key).agg(F.sum(F.size("parts")).alias("n")).select(
+        *key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
     )
-    return (
-        cut.select("run", "stage", "pos", F.posexplode("parts").alias("i", "raw"))
-        .join(starts, ["run", "stage", "pos"])
-        .select(F.col("run").alias("failure_id"), "stage", (F.col("start") + F.col("i")).alias("line_no"), "raw")
+    inside = Window.partitionBy(*key).orderBy("pos", "log").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.join(starts, key).withColumn(
+        "start", F.col("start") + F.coalesce(F.sum(F.size("parts")).over(inside), F.lit(0))
+    )
+    return placed.select("run", "stage", "start", F.posexplode("parts").alias("i", "raw")).select(
+        F.col("run").alias("failure_id"), "stage", (F.col("start") + F.col("i")).alias("line_no"), "raw"
     )
 
 

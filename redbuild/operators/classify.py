@@ -99,19 +99,32 @@ def regex_best(scored: DataFrame) -> DataFrame:
     )
 
 
-def score_with_table(signals: DataFrame, catalogue: DataFrame) -> DataFrame:
+def score_with_table(signals: DataFrame, catalogue: DataFrame, at_once: int = 500) -> DataFrame:
     """Scores against a catalogue table (category, pattern_id, regex): one row per
     signal and category.  For catalogues that change; the literal form is faster.
 
-    The catalogue is read first and has to be a small one.
+    A catalogue of any size: its patterns are literals of a plan in groups of
+    `at_once`, the groups' scores and hits are summed, and each group costs one
+    more pass over the signals.
     """
-    rows = catalogue.select("category", "regex").orderBy("pattern_id").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("a pattern catalogue of more than 10,000 patterns is not supported")
-    patterns: Catalogue = {}
-    for r in rows:
-        patterns.setdefault(r["category"], []).append(r["regex"])
-    return explain_scores(category_scores(signals, patterns))
+    groups: list[Catalogue] = [{}]
+    for i, r in enumerate(catalogue.select("category", "regex", "pattern_id").orderBy("pattern_id", "regex").toLocalIterator()):
+        if i and i % at_once == 0:
+            groups.append({})
+        groups[-1].setdefault(r["category"], []).append(r["regex"])
+    if not groups[0]:
+        return explain_scores(category_scores(signals.filter(F.lit(False))))
+    if len(groups) > 1:
+        N.ensure_checkpoints(signals.sparkSession)
+        signals = signals.checkpoint()  # read once per group
+    parts = [explain_scores(category_scores(signals, g)) for g in groups]
+    if len(parts) == 1:
+        return parts[0]
+    key = ["failure_id", "fingerprint", "category", "priority", "threshold"]
+    summed = reduce(DataFrame.unionByName, parts).groupBy(*key).agg(
+        F.sum("score").cast("int").alias("score"), F.sum("matches").cast("int").alias("matches")
+    )
+    return summed.withColumn("confidence", confidence(F.col("score"), F.col("matches"))).select(*parts[0].columns)
 
 
 def neighbour_votes(queries: DataFrame, training: DataFrame, k: int = C.NEIGHBOURS, **search) -> DataFrame:

@@ -387,14 +387,18 @@ def _ordered(role: str) -> Column:
 
 def _attach_text(needed: DataFrame, lines: DataFrame) -> DataFrame:
     """Fetches the text of the needed lines; keyed by line, so no key is hot.
-    Lines behind the end of the file find no text."""
+
+    An inner join: an event's own line is always there, and lines behind the
+    end of the file have nothing to add.  So the planner may send the needed
+    lines, the smaller side, to the log, or filter the log by them first.
+    """
     text = (
         F.when(F.col("role") == "block", F.col("block_line"))
         .when((F.col("role") == "pre") & ~F.col("gap") & ~F.col("noise"), F.col("clean"))
         .otherwise(F.concat(F.coalesce("ascii", "after"), F.lit("\n")))
     )
     # Lines after an event are taken as they are; only the others need the views.
-    found = needed.join(lines.select(*FILE, "line_no", "raw"), [*FILE, "line_no"], "left").withColumn(
+    found = needed.join(lines.select(*FILE, "line_no", "raw"), [*FILE, "line_no"]).withColumn(
         "after", F.when(F.col("role") == "post", X.ascii_only(F.col("raw")))
     ).withColumn("raw", F.when(F.col("role").isin("pre", "block"), F.col("raw")))
     return (

@@ -47,29 +47,46 @@ def platform_of(payloads: DataFrame) -> DataFrame:
     })
 
 
-def intake(payloads: DataFrame, now: Column | None = None) -> DataFrame:
-    """Payloads -> failure records with status RECEIVED.
+def intake(payloads: DataFrame, now: Column | None = None, keep: list[str] = ()) -> DataFrame:
+    """Usable payloads -> failure records with status RECEIVED; quarantine() has the others.
 
-    The id is a digest of the payload, so a replayed batch gives equal ids.
+    The id is a digest of the payload, so a replayed batch gives equal ids.  `keep` names columns that came with the
+    payload and are no part of it.
     """
-    body = F.struct(*payloads.columns)
-    return platform_of(payloads).select(
+    body = F.struct(*[c for c in payloads.columns if c not in keep])
+    return platform_of(payloads).filter("reject_reason IS NULL").select(
+        *keep,
         F.sha2(F.to_json(body), 256).alias("failure_id"), "platform", "commit", "branch",
         F.lit("RECEIVED").alias("status"), body.alias("payload"),
         (F.current_timestamp() if now is None else now).cast("timestamp_ntz").alias("created_at"),
     )
 
 
+def quarantine(payloads: DataFrame, now: Column | None = None) -> DataFrame:
+    """(payload_id, reject_reason, payload, created_at) of payloads that no platform takes."""
+    body = F.struct(*payloads.columns)
+    return platform_of(payloads).filter("reject_reason IS NOT NULL").select(
+        F.sha2(F.to_json(body), 256).alias("payload_id"), "reject_reason", body.alias("payload"),
+        (F.current_timestamp() if now is None else now).cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+def identified() -> Column:
+    """Whether all keys that tell a run are there.  NULL equals nothing, so other records repeat none."""
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in INTAKE_KEYS])
+
+
 def drop_duplicates(records: DataFrame, first_by: str) -> DataFrame:
-    """First record of each (platform, commit, branch, job, build).
+    """First record of each (platform, commit, branch, job, build), and all records that lack one of these.
 
     min_by instead of a window: copies are combined before the shuffle.
     """
     rest = [c for c in records.columns if c not in INTAKE_KEYS]
-    return (
-        records.groupBy(*INTAKE_KEYS).agg(F.min_by(F.struct(*rest), first_by).alias("r"))
+    first = (
+        records.filter(identified()).groupBy(*INTAKE_KEYS).agg(F.min_by(F.struct(*rest), first_by).alias("r"))
         .select(*INTAKE_KEYS, "r.*").select(*records.columns)
     )
+    return first.unionByName(records.filter(~identified()))
 
 
 def find_duplicate(records: DataFrame, platform, commit, branch, job_name, build_number) -> DataFrame:

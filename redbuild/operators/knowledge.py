@@ -30,14 +30,23 @@ def misses(signals: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return signals.join(found.select(F.col("id").alias(key)), key, "left_anti")
 
 
+def only_usable(found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Hits whose pattern is among the usable ones; the rest are misses."""
+    known = patterns.select(F.col("fingerprint").alias("pattern_fingerprint"))
+    return found.join(known, "pattern_fingerprint", "left_semi").select(*found.columns)
+
+
 def cached_root_causes(signals: DataFrame, found: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Stored root causes of the hits, as rows of the failure they were found for."""
+    """Stored root causes of the hits, as rows of the failure they were found for.
+
+    patterns are those that rca.usable() lets through; a hit on any other is none (see only_usable).
+    """
     stored = patterns.drop("embedding").withColumnRenamed("fingerprint", "pattern_fingerprint")
     return (
-        signals.select("failure_id", "fingerprint")
+        signals.select("failure_id", "fingerprint", *[c for c in ("stage", "line_no") if c in signals.columns])
         .join(found.withColumnRenamed("id", "fingerprint"), "fingerprint")
         .drop("fingerprint")
-        .join(stored.drop("similarity_score"), "pattern_fingerprint")
+        .join(stored.drop("similarity_score", "failure_id", "stage", "line_no"), "pattern_fingerprint")
         .withColumnRenamed("pattern_fingerprint", "fingerprint")
     )
 

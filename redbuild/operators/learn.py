@@ -13,12 +13,13 @@ from .neighbours import ensure_checkpoints
 
 
 def _fill(text: Column, key: str, words: list[str], seed: Column) -> Column:
-    """Replaces each occurrence of {key} by a word drawn from a hash."""
+    """Replaces each occurrence of {key} by a word drawn from an md5 digest."""
     choices = F.array(*[F.lit(w) for w in words])
 
     def piece(part: Column, at: Column) -> Column:
-        draw = F.pmod(F.xxhash64(seed, F.lit(key), at), F.lit(len(words)))
-        return F.when(at == 0, part).otherwise(F.concat(F.get(choices, draw.cast("int")), part))
+        digits = F.substring(F.md5(F.concat_ws("/", seed, F.lit(key), at.cast("string")).cast("binary")), 1, 6)
+        draw = F.conv(digits, 16, 10).cast("int") % len(words)
+        return F.when(at == 0, part).otherwise(F.concat(F.get(choices, draw), part))
 
     return F.array_join(F.transform(F.split(text, r"\{" + key + r"\}"), piece), "")
 
@@ -40,7 +41,7 @@ def training_samples(
         rows, "template int, category string, stage string, error_line string, post_content string"
     ).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples_per_template - 1))))
     for field in ("error_line", "post_content"):
-        draw = F.struct(F.lit(seed), F.lit(field), "template", "i")
+        draw = F.concat_ws("/", F.lit(str(seed)), F.lit(field), F.col("template").cast("string"), F.col("i").cast("string"))
         for key, words in T.WORDS.items():
             if any("{" + key + "}" in (r[3] if field == "error_line" else r[4]) for r in rows):
                 frame = frame.withColumn(field, _fill(F.col(field), key, words, draw))

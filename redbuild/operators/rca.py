@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .fence import fence
+
 # --- fixed values: category -> action, action -> strategies offered in requests ----
 ACTIONS = {
     "DEV_FAILURE": "FIX_DEV",
@@ -58,6 +60,7 @@ LEVELS = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
 MANUAL = "MANUAL_INVESTIGATION"
 MANUAL_BELOW = 0.3
 DEFAULT_SKIP_REASON = "Pending investigation — add ticket reference before merging."
+PLACE = ["stage", "line_no"]  # where a signal stands in its failure: the order of reports
 ERROR_CHARS, PRE_CHARS, POST_CHARS = 400, 150, 250
 
 REMEDIATION = (
@@ -147,11 +150,12 @@ def template_analyzer(rows: DataFrame) -> DataFrame:
 def enrich(answers: DataFrame, classified: DataFrame, now: Column | None = None) -> DataFrame:
     """Root-cause rows: category, error line, owner and fingerprint always come
     from the classifier, whatever the analyzer answered."""
+    place = [c for c in PLACE if c in classified.columns]
     own = classified.select(
         "failure_id", "fingerprint", F.col("category").alias("validated_category"),
-        "error_line", F.col("owner_team").alias("owner"),
+        "error_line", F.col("owner_team").alias("owner"), *place,
     )
-    given = answers.drop("validated_category", "error_line", "owner")
+    given = answers.drop("validated_category", "error_line", "owner", *place)
     stamp = F.date_format(
         F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()) if now is None else now,
         "yyyy-MM-dd'T'HH:mm:ss'Z'",
@@ -167,18 +171,30 @@ def enrich(answers: DataFrame, classified: DataFrame, now: Column | None = None)
 def decode_remediation(json: Column) -> Column:
     """Stored JSON -> remediation.  Without an action it is a manual one; an
     action that does not exist, or unreadable text, gives NULL (a miss)."""
-    raw = F.from_json(json, REMEDIATION)
-    filled = raw.withField("action", F.coalesce(raw["action"], F.lit(MANUAL)))
+    def known(raw: Column) -> Column:
+        filled = raw.withField("action", F.coalesce(raw["action"], F.lit(MANUAL)))
+        return F.when(filled["action"].isin(*ACTIONS.values()), filled)
+
     readable = json.isNotNull() & F.try_parse_json(json).isNotNull()
-    return F.when(readable & filled["action"].isin(*ACTIONS.values()), filled)
+    # The one-element array makes the parsed text one value, however many fields are read from it.
+    return F.when(readable, F.element_at(F.transform(F.array(F.from_json(json, REMEDIATION)), known), 1))
+
+
+def decoded(rows: DataFrame, **columns: str) -> DataFrame:
+    """Adds remediations parsed from stored texts: decoded(rows, remediation="stored").  Each text is parsed once."""
+    for name, stored in columns.items():
+        decode = decode_remediations if name.endswith("s") else decode_remediation
+        rows = fence(rows.withColumn(name, decode(F.col(stored))), name)
+    return rows
 
 
 def decode_remediations(json: Column) -> Column:
     """Stored JSON list -> array of remediations; one undecodable entry gives NULL."""
-    raw = F.from_json(json, f"array<{REMEDIATION}>")
-    filled = F.transform(raw, lambda r: r.withField("action", F.coalesce(r["action"], F.lit(MANUAL))))
-    fine = F.forall(filled, lambda r: r["action"].isin(*ACTIONS.values()))
-    return F.when(fine, filled)
+    def known(raw: Column) -> Column:
+        filled = F.transform(raw, lambda r: r.withField("action", F.coalesce(r["action"], F.lit(MANUAL))))
+        return F.when(F.forall(filled, lambda r: r["action"].isin(*ACTIONS.values())), filled)
+
+    return F.element_at(F.transform(F.array(F.from_json(json, f"array<{REMEDIATION}>")), known), 1)
 
 
 def _default_strategy_fields(r: Column) -> Column:
@@ -235,18 +251,25 @@ def remediation_errors(r: Column) -> Column:
 def validate(root_causes: DataFrame) -> DataFrame:
     """Adds `errors` and `valid`, and resets strategy fields of the remediation.
 
-    Needs remediation, rca_confidence and severity.  Split on `valid` for
-    good rows and quarantine.
+    Needs remediation (NULL: undecodable, an error), rca_confidence and
+    severity; of the other columns of a root cause those that are there are
+    tested.  Split on `valid` for good rows and quarantine.
     """
-    own = remediation_errors(F.col("remediation"))
-    levels = F.array_compact(F.array(
-        F.when(~F.col("severity").isin(*LEVELS), "severity"),
-        F.when(~F.col("rca_confidence").between(0.0, 1.0), "rca_confidence"),
-        F.when(
-            (F.col("rca_confidence") < MANUAL_BELOW) & (F.col("remediation.action") != MANUAL),
-            "manual_expected",
-        ),
-    ))
+    own = F.when(F.col("remediation").isNull(), F.array(F.lit("remediation"))).otherwise(remediation_errors(F.col("remediation")))
+    tests = {
+        "severity": ~F.col("severity").isin(*LEVELS),
+        "rca_confidence": F.col("rca_confidence").isNull() | ~F.col("rca_confidence").between(0.0, 1.0),
+        "manual_expected": (F.col("rca_confidence") < MANUAL_BELOW) & (F.col("remediation.action") != MANUAL),
+    }
+    of_column = {
+        "root_cause": lambda c: c.isNull(),
+        "error_line": lambda c: c.isNull(),
+        "recurrence_count": lambda c: c < 0,
+        "similarity_score": lambda c: ~c.between(0.0, 1.0),
+        "secondary_remediations": lambda c: F.exists(c, lambda r: F.size(remediation_errors(r)) > 0),
+    }
+    tests |= {name: test(F.col(name)) for name, test in of_column.items() if name in root_causes.columns}
+    levels = F.array_compact(F.array(*[F.when(broken, name) for name, broken in tests.items()]))
     rows = root_causes.withColumn("severity", F.coalesce("severity", F.lit("MEDIUM")))
     return (
         rows.withColumn("errors", F.concat(own, levels))
@@ -255,6 +278,20 @@ def validate(root_causes: DataFrame) -> DataFrame:
     )
 
 
+def usable(patterns: DataFrame) -> DataFrame:
+    """Stored patterns whose root cause can be given again: readable and valid by today's rules.  Remediations may be
+    stored as JSON or as they are."""
+    kinds = dict(patterns.dtypes)
+    for name in ("remediation", "secondary_remediations"):
+        if kinds.get(name) == "string":
+            patterns = decoded(patterns.withColumnRenamed(name, f"_{name}"), **{name: f"_{name}"})
+            if name == "secondary_remediations":  # a list that is there must be readable
+                patterns = patterns.filter(F.col(f"_{name}").isNull() | F.col(name).isNotNull())
+            patterns = patterns.drop(f"_{name}")
+    checked = fence(validate(patterns), "errors", "valid")
+    return checked.filter("valid").drop("errors", "valid")
+
+
 def root_causes(classified: DataFrame, analyzer: Analyzer = template_analyzer) -> DataFrame:
     """Classified signals -> validated root-cause rows (`valid`, `errors`)."""
     return validate(enrich(analyzer(requests(classified)), classified))

@@ -51,18 +51,32 @@ def owner_counts(root_causes: DataFrame) -> DataFrame:
     return root_causes.groupBy("failure_id", "owner").agg(F.count("*").alias("rows"))
 
 
-def rows(root_causes: DataFrame, order: str = "fingerprint", prefix: int = 4) -> DataFrame:
-    """Report rows with `number` running through the sections of a failure.
-
-    A failure may hold most rows, so they are numbered inside buckets (the first
-    characters of the order value, which keep its order) and shifted by the
-    rows of the buckets before, one small row per bucket.
+def _bucket(root_causes: DataFrame, order: str, buckets: int, prefix: int) -> Column:
+    """Ranges of the order value, in its order; NULL is the first."""
+    if dict(root_causes.dtypes)[order] == "string":
+        return F.coalesce(F.substring(order, 1, prefix), F.lit(""))
+    value = F.col(order).cast("double")
+    low, high = root_causes.agg(F.min(value), F.max(value)).first()
+    if low is None or low == high:
+        return F.when(value.isNotNull(), 0).otherwise(-1)
+    place = F.floor((value - low) / (high - low) * buckets).cast("int")
+    return F.when(value.isNotNull(), F.least(place, F.lit(buckets - 1))).otherwise(-1)
+
+
+def rows(root_causes: DataFrame, order: str | list[str] = "fingerprint", buckets: int = 1024, prefix: int = 4) -> DataFrame:
+    """Report rows with `number` running through the sections of a failure, in
+    the order of the given columns (the signals' order, where they have it).
+
+    A failure may hold most rows, so they are numbered inside buckets (ranges
+    of the first column's values) and shifted by the rows of the buckets
+    before, one small row per bucket.
     """
+    order = [order] if isinstance(order, str) else list(order)
     ranked = root_causes.withColumn("section", section_rank(F.col("owner"))).withColumn(
-        "bucket", F.substring(F.col(order).cast("string"), 1, prefix)
+        "bucket", _bucket(root_causes, order[0], buckets, prefix)
     )
     key = ["failure_id", "section", "bucket"]
-    inside = Window.partitionBy(*key).orderBy(order)
+    inside = Window.partitionBy(*key).orderBy(*order)
     before = Window.partitionBy("failure_id").orderBy("section", "bucket").rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -42,15 +42,16 @@ def analyze(
     if known_patterns is not None:
         # Equal fingerprints have equal vectors: one lookup for each.
         queries = representatives.groupBy(F.col("fingerprint").alias("id")).agg(F.first("embedding").alias("vec"))
-        hits = knowledge.lookup(queries, known_patterns).checkpoint()
+        usable = rca.usable(known_patterns).checkpoint()
+        hits = knowledge.only_usable(knowledge.lookup(queries, known_patterns), usable).checkpoint()
     to_classify = knowledge.misses(representatives, hits, "fingerprint")
     classified = K.classify(to_classify, training, patterns=patterns, fallback=fallback).checkpoint()
 
     causes = rca.root_causes(classified, analyzer)
     fresh = causes.filter("valid").drop("valid", "errors")
     if known_patterns is not None:
-        cached = knowledge.cached_root_causes(representatives, hits, known_patterns)
-        fresh = fresh.unionByName(cached.select(*fresh.columns))
+        cached = knowledge.cached_root_causes(representatives, hits, usable)
+        fresh = fresh.unionByName(cached, allowMissingColumns=True).select(*fresh.columns)
     root_causes = fresh.checkpoint()
     cache_hits = knowledge.hits(representatives, hits, "fingerprint")
     return {
@@ -60,6 +61,6 @@ def analyze(
         "root_causes": root_causes,
         "rejected": causes.filter(~F.col("valid")),
         "summary": report.summary(root_causes),
-        "rows": report.rows(root_causes),
+        "rows": report.rows(root_causes, order=["stage", "line_no", "fingerprint"]),
         "counters": report.stage_counters(signals, representatives, cache_hits, lines.select("failure_id")),
     }

@@ -6,9 +6,11 @@ neighbours are found by comparing everything with everything.
 
 from __future__ import annotations
 
+import hashlib
 
 from ..functions import category_rules as C
 from ..functions import signal_rules as R
+from ..functions import training_rules as T
 from ..operators import ci_runs, failures, rca, report
 from ..sources.sample_logs import log_lines_sql
 
@@ -233,7 +235,7 @@ def oracle(name: str, ctes: str, select: str) -> None:
 
 # --- text ---------------------------------------------------------------------------
 oracle("clean_line", FACTS, f"SELECT {FILE}, line_no, clean FROM facts")
-oracle("json_message", LINES, f"SELECT {FILE}, line_no, {message('raw')} AS message FROM lines WHERE starts_with(raw, '{{')")
+oracle("json_message", LINES, f"SELECT {FILE}, line_no, {message('raw')} AS message FROM lines")
 oracle("normalize_error_line", "", f"SELECT doc_id, {normalized(ascii_only('text'))} AS normalized FROM documents")
 oracle("normalize_for_embedding", "", f"SELECT page_id, {for_embedding(ascii_only('html'))} AS normalized FROM pages")
 oracle(
@@ -334,7 +336,7 @@ taught AS MATERIALIZED (
     WHERE {_learned.replace('fingerprint', 'b.fingerprint')}
     QUALIFY row_number() OVER (PARTITION BY b.fingerprint ORDER BY failure_id, stage, line_no) = 1),
 known AS MATERIALIZED (SELECT * FROM taught WHERE category <> 'UNKNOWN'),
-open_ones AS MATERIALIZED (SELECT fingerprint AS id, vec FROM vectors WHERE NOT {_learned}),
+open_ones AS MATERIALIZED (SELECT fingerprint AS id, vec FROM vectors),
 {_votes('open_ones', 'known', 's.category')},
 both_scores AS (
     SELECT b.failure_id, b.fingerprint, b.error_line, category, sum(part) AS score, bool_or(voted) AS voted
@@ -343,7 +345,7 @@ both_scores AS (
           UNION ALL
           SELECT failure_id, fingerprint, error_line, semantic_category, {C.SEMANTIC_WEIGHT}::DOUBLE * semantic_confidence, true
           FROM best JOIN semantic ON fingerprint = id) b
-    WHERE NOT {_learned} GROUP BY ALL),
+    GROUP BY ALL),
 top AS (
     SELECT *, bool_or(voted) OVER (PARTITION BY failure_id, fingerprint) AS any_vote FROM both_scores
     QUALIFY row_number() OVER (PARTITION BY failure_id, fingerprint ORDER BY score DESC, {_prio('category')}) = 1),
@@ -354,7 +356,7 @@ final AS (
     SELECT b.failure_id, b.fingerprint, coalesce(a.category, {_rule('b.error_line')}) AS category,
            CASE WHEN a.category IS NOT NULL THEN least(1.0::DOUBLE, a.score)
                 WHEN {_rule('b.error_line')} = 'UNKNOWN' THEN 0.0 ELSE 0.5 END::DOUBLE AS confidence
-    FROM best b LEFT JOIN accepted a USING (failure_id, fingerprint) WHERE NOT {_learned.replace('fingerprint', 'b.fingerprint')})"""
+    FROM best b LEFT JOIN accepted a USING (failure_id, fingerprint))"""
 oracle(
     "fused_category", FUSED,
     f"SELECT failure_id, fingerprint, category, round(confidence, 6) AS confidence, {_owner('category')} AS owner_team FROM final",
@@ -411,12 +413,12 @@ walk AS (
 oracle(
     "knowledge_upsert",
     """every AS (
-    SELECT 'fp' || c_custkey AS fingerprint, c_mktsegment AS root_cause, 'MEDIUM' AS severity, 4 AS recurrence_count, c_acctbal AS embedding,
+    SELECT 'fp' || c_custkey AS fingerprint, c_mktsegment AS root_cause, 'MEDIUM' AS severity, 4 AS recurrence_count, [c_acctbal, c_custkey % 7] AS embedding,
            c_acctbal AS rca_confidence, c_name AS remediation, -1 AS nr FROM customer
     UNION ALL
-    SELECT 'fp' || user_id, event_type, CASE WHEN value > 20 THEN 'HIGH' ELSE 'LOW' END, 0, value, value, props, event_id FROM events)""",
+    SELECT 'fp' || user_id, event_type, CASE WHEN value > 20 THEN 'HIGH' ELSE 'LOW' END, 0, [value, event_id % 7], value, props, event_id FROM events)""",
     """SELECT fingerprint, arg_min(root_cause, nr) AS root_cause, arg_min(severity, nr) AS severity,
-       CAST(arg_min(recurrence_count, nr) + count(*) - 1 AS INT) AS recurrence_count, arg_min(embedding, nr) AS embedding,
+       CAST(arg_min(recurrence_count, nr) + count(*) - 1 AS INT) AS recurrence_count, array_to_string(list_transform(arg_min(embedding, nr), lambda x: CAST(CAST(x AS DECIMAL(18, 4)) AS VARCHAR)), ' ') AS embedding,
        arg_max(rca_confidence, nr) AS rca_confidence, arg_max(remediation, nr) AS remediation,
        CAST(NULL AS VARCHAR) AS secondary_remediations FROM every GROUP BY fingerprint""",
 )
@@ -429,8 +431,8 @@ fresh AS MATERIALIZED (
 oracle("learned_antijoin", LEARNABLE, "SELECT * FROM fresh")
 oracle(
     "feedback_batch", LEARNABLE,
-    f"""SELECT fingerprint, category FROM fresh
-QUALIFY row_number() OVER (ORDER BY fingerprint) <= count(*) OVER () // {C.FEEDBACK_BATCH} * {C.FEEDBACK_BATCH}""",
+    f"""SELECT fingerprint, category,
+       row_number() OVER (ORDER BY fingerprint) <= count(*) OVER () // {C.FEEDBACK_BATCH} * {C.FEEDBACK_BATCH} AS learned FROM fresh""",
 )
 
 # --- CI runs and failure records -------------------------------------------------------
@@ -440,9 +442,9 @@ STEPS = """steps AS (
 oracle("stage_assembly", STEPS, "SELECT run, stage, string_agg(log, '' ORDER BY pos, log) AS content FROM steps GROUP BY ALL")
 oracle(
     "stage_lines", STEPS,
-    """SELECT failure_id, stage, row_number() OVER (PARTITION BY failure_id, stage ORDER BY pos, i) - 1 AS line_no, raw
-FROM (SELECT run AS failure_id, stage, pos, i, string_split(log, chr(10))[i] AS raw
-      FROM (SELECT DISTINCT * FROM steps), (SELECT unnest([1, 2]) AS i))""",
+    """SELECT failure_id, stage, row_number() OVER (PARTITION BY failure_id, stage ORDER BY nr, i) - 1 AS line_no, raw
+FROM (SELECT run AS failure_id, stage, nr, i, string_split(log, chr(10))[i] AS raw
+      FROM (SELECT *, row_number() OVER (PARTITION BY run, stage ORDER BY pos, log) AS nr FROM steps), (SELECT unnest([1, 2]) AS i))""",
 )
 JOBS = f"""jobs AS (
     SELECT o_orderkey AS run, o_orderstatus AS stage,
@@ -471,8 +473,10 @@ oracle(
 )
 oracle(
     "intake_dedup", PAYLOADS,
-    """SELECT platform, commit, branch, job_name, build_number, intake_no, reject_reason FROM checked
-QUALIFY row_number() OVER (PARTITION BY platform, commit, branch, job_name, build_number ORDER BY intake_no) = 1""",
+    """SELECT platform, commit, branch, job_name, build_number, intake_no, reject_reason FROM checked a
+WHERE NOT EXISTS (
+    SELECT 1 FROM checked b WHERE b.platform = a.platform AND b.commit = a.commit AND b.branch = a.branch
+    AND b.job_name = a.job_name AND b.build_number = a.build_number AND b.intake_no < a.intake_no)""",
 )
 oracle(
     "latest_run", "newest AS (SELECT * FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100)",
@@ -493,7 +497,9 @@ WHERE step IS NOT NULL""",
 STORED = """raw_rows AS (
     SELECT *, (l_orderkey * 3 + l_linenumber) % 12 AS kind FROM lineitem),
 docs AS MATERIALIZED (
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, kind, l_discount * 5 AS rca_confidence,
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, kind, CASE WHEN l_suppkey % 17 <> 0 THEN l_discount * 5 END AS rca_confidence,
+           l_partkey % 19 <> 0 AS has_cause, l_orderkey % 23 <> 0 AS has_line, l_partkey % 9 - 1 AS recurrence_count,
+           CASE WHEN l_partkey % 3 = 0 THEN l_quantity / 40.0::DOUBLE END AS similarity_score, l_orderkey % 4 = 0 AS bad_secondary,
            CASE l_returnflag WHEN 'A' THEN 'HIGH' WHEN 'N' THEN 'WORST' ELSE 'MEDIUM' END AS severity,
            coalesce(CASE WHEN kind IN (0, 1, 2) THEN 'FIX_DEV' WHEN kind IN (3, 4, 5) THEN 'FIX_TEST'
                          WHEN kind IN (6, 7, 11) THEN 'FIX_CI_INFRA' WHEN kind IN (8, 9) THEN 'MANUAL_INVESTIGATION' END) AS action,
@@ -515,11 +521,15 @@ _broken = [
     ("strategy", "kind = 1"), ("target", "kind = 11"), ("patch_confidence", "kind = 2"),
     ("retry_count", "kind = 4 AND l_linenumber NOT BETWEEN 1 AND 5"), ("recovery_time", "kind = 6"),
     ("reason", "kind = 9"), ("priority", "kind = 9"), ("severity", "severity = 'WORST'"),
+    ("rca_confidence", "rca_confidence IS NULL OR rca_confidence < 0 OR rca_confidence > 1"),
     ("manual_expected", "rca_confidence < 0.3 AND action <> 'MANUAL_INVESTIGATION'"),
+    ("root_cause", "NOT has_cause"), ("error_line", "NOT has_line"), ("recurrence_count", "recurrence_count < 0"),
+    ("similarity_score", "similarity_score < 0 OR similarity_score > 1"), ("secondary_remediations", "bad_secondary"),
 ]
+_broken = [("remediation", "action IS NULL"), *((n, c.replace("kind = 11", "kind = 11 AND action IS NOT NULL")) for n, c in _broken)]
 oracle(
     "remediation_valid", STORED + f""",
-judged AS (SELECT *, concat_ws(',', {', '.join(f"CASE WHEN {c} THEN {text(n)} END" for n, c in _broken)}) AS errors FROM docs WHERE action IS NOT NULL)""",
+judged AS (SELECT *, concat_ws(',', {', '.join(f"CASE WHEN {c} THEN {text(n)} END" for n, c in _broken)}) AS errors FROM docs)""",
     f"""SELECT {_keys}, severity, errors = '' AS valid, errors, CASE WHEN kind = 2 THEN 'p' END AS suggested_patch,
        CASE WHEN kind = 4 THEN l_linenumber END AS retry_count, CASE WHEN kind = 3 THEN {text(rca.DEFAULT_SKIP_REASON)} END AS skip_reason,
        CASE kind WHEN 8 THEN 'MEDIUM' WHEN 9 THEN 'URGENT' END AS priority FROM judged""",
@@ -556,7 +566,7 @@ CAUSES = f"""causes AS MATERIALIZED (
            CASE WHEN o_orderstatus = 'F' THEN 'CRITICAL' ELSE 'LOW' END AS severity,
            (o_orderkey % 21) / 20.0::DOUBLE AS rca_confidence, CAST(o_orderkey % 7 AS INT) AS recurrence_count,
            CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 9) / 8.0::DOUBLE END AS similarity_score,
-           sha256(CAST(o_orderkey AS VARCHAR)) AS fp FROM orders)"""
+           sha256(CAST(o_orderkey AS VARCHAR)) AS fp, o_orderkey AS sequence FROM orders)"""
 _band = lambda c: f"CASE WHEN {c} >= 0.80 THEN 'High' WHEN {c} >= 0.50 THEN 'Medium' ELSE 'Low' END"
 oracle(
     "report_summary", CAUSES,
@@ -567,7 +577,7 @@ oracle(
 )
 oracle(
     "report_rows", CAUSES,
-    f"""SELECT failure_id, row_number() OVER (PARTITION BY failure_id ORDER BY {_section}, fp) AS number, owner, validated_category,
+    f"""SELECT failure_id, row_number() OVER (PARTITION BY failure_id ORDER BY {_section}, sequence) AS number, owner, validated_category,
        root_cause, error_line, severity, rca_confidence, {_band('rca_confidence')} AS confidence_band,
        CAST(trunc(rca_confidence * 100) AS INT) AS confidence_percent,
        CASE WHEN recurrence_count >= 5 THEN '5+' WHEN recurrence_count >= 2 THEN '2+' WHEN recurrence_count > 0 THEN '1' END AS recurrence_band,
@@ -585,15 +595,133 @@ sent AS (
     FROM mail m LEFT JOIN causes c USING (failure_id))""",
     "SELECT failure_id, coalesce(string_agg(a, ',' ORDER BY a), 'ci@x') AS recipients FROM sent GROUP BY failure_id",
 )
+DEDUPED = f"""{EMBEDDED},
+points AS MATERIALIZED (
+    SELECT o.failure_id AS g, o.stage || chr(1) || lpad(CAST(o.line_no AS VARCHAR), 19, '0') AS id, v.vec, o.stage, o.line_no, o.fingerprint
+    FROM once o JOIN vectors v USING (fingerprint)),
+{CLUSTERS.split("{VECTORS},")[-1].removeprefix(VECTORS + ",")},
+means AS (
+    SELECT g, label, list(mean ORDER BY d) AS mean FROM (
+        SELECT m.g, m.label, d, avg(u.u[d]) AS mean FROM members m JOIN units u USING (g, id), (SELECT unnest(range(1, 65)) AS d)
+        WHERE m.members >= 2 GROUP BY m.g, m.label, d) GROUP BY ALL),
+middle AS (
+    SELECT m.g, m.id FROM members m JOIN units u USING (g, id) JOIN means c ON m.g = c.g AND m.label = c.label
+    QUALIFY row_number() OVER (PARTITION BY m.g, m.label ORDER BY round(list_distance(u.u, c.mean), 9), m.id) = 1),
+lone AS MATERIALIZED (SELECT u.g, u.id, u.u AS vec FROM members m JOIN units u USING (g, id) WHERE m.members = 1),
+nearby AS MATERIALIZED (
+    SELECT b.g, b.id, list(a.id) AS earlier FROM lone a JOIN lone b ON a.g = b.g AND a.id < b.id
+    WHERE round(list_cosine_similarity(a.vec, b.vec), 9) > 0.85 GROUP BY ALL),
+queue AS MATERIALIZED (
+    SELECT p.g, p.id, coalesce(n.earlier, []) AS earlier, row_number() OVER (PARTITION BY p.g ORDER BY p.id) AS pos
+    FROM lone p LEFT JOIN nearby n USING (g, id)),
+walk AS (
+    SELECT g, 0::BIGINT AS pos, []::VARCHAR[] AS kept FROM (SELECT DISTINCT g FROM lone)
+    UNION ALL
+    SELECT w.g, q.pos, CASE WHEN list_has_any(w.kept, q.earlier) THEN w.kept ELSE list_append(w.kept, q.id) END
+    FROM walk w JOIN queue q ON w.g = q.g AND q.pos = w.pos + 1),
+stays AS (
+    SELECT g, id, 'cluster' AS kind FROM middle
+    UNION ALL
+    SELECT g, unnest(kept), 'noise' FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY g ORDER BY pos DESC) = 1)),
+deduped AS MATERIALIZED (SELECT p.g AS failure_id, p.stage, p.line_no, p.fingerprint, s.kind FROM stays s JOIN points p USING (g, id))"""
+oracle("signal_dedup", DEDUPED, "SELECT failure_id, stage, line_no, fingerprint, kind FROM deduped")
 oracle(
-    "stage_counters", SIGNALS + f""",
-seen AS (SELECT DISTINCT fp FROM (SELECT sha256({normalized('clean')}) AS fp FROM facts) WHERE substr(fp, 1, 1) = '0'),
+    "stage_counters", DEDUPED + """,
+hit AS (
+    SELECT DISTINCT a.fingerprint FROM vectors a, vectors b
+    WHERE substr(b.fingerprint, 1, 1) = '0' AND round(list_cosine_similarity(a.vec, b.vec), 9) >= 0.92),
 kept_counts AS (
-    SELECT failure_id, count(*) AS kept, count(block_type) AS clusters, count(*) - count(block_type) AS noise_kept,
-           count(*) FILTER (fingerprint IN (SELECT fp FROM seen)) AS cache_hits FROM once GROUP BY 1),
+    SELECT failure_id, count(*) AS kept, count(*) FILTER (kind = 'cluster') AS clusters, count(*) FILTER (kind = 'noise') AS noise_kept,
+           count(*) FILTER (fingerprint IN (SELECT fingerprint FROM hit)) AS cache_hits FROM deduped GROUP BY 1),
 sig_counts AS (SELECT failure_id, count(*) AS signals FROM signals GROUP BY 1)""",
     """SELECT f.failure_id, coalesce(signals, 0) AS signals, coalesce(kept, 0) AS kept, coalesce(clusters, 0) AS clusters,
        coalesce(noise_kept, 0) AS noise_kept, coalesce(cache_hits, 0) AS cache_hits, coalesce(kept, 0) - coalesce(cache_hits, 0) AS to_classify,
        coalesce(kept, 0) = 0 AS no_signals
 FROM (SELECT DISTINCT failure_id FROM lines) f LEFT JOIN sig_counts USING (failure_id) LEFT JOIN kept_counts USING (failure_id)""",
 )
+oracle("training_samples", LEARNABLE, "SELECT category, count(*) AS samples FROM fresh GROUP BY 1")
+
+USER_WORDS = ["refused", "failed", "no space", "timeout", "permission denied", "panic", "manifest", "credentials"]
+_categories = "[" + ", ".join(text(c) for c in C.CATEGORY_PATTERNS) + "]"
+_hit = lambda f: f"regexp_matches({f}, '(?i-s)' || word)"
+oracle(
+    "catalogue_scores", SIGNALS + f""",
+words AS (
+    SELECT DISTINCT event_type AS word FROM events UNION ALL SELECT DISTINCT lower(c_mktsegment) FROM customer
+    UNION ALL SELECT unnest([{', '.join(map(text, USER_WORDS))}])),
+hits AS (
+    SELECT failure_id, fingerprint, {_categories}[length(word) % {len(C.CATEGORY_PATTERNS)} + 1] AS category,
+           {' + '.join(f"CASE WHEN {_hit(f)} THEN {w} ELSE 0 END" for f, w in C.FIELD_WEIGHTS.items())} AS points FROM once, words),
+summed AS (
+    SELECT failure_id, fingerprint, category, CAST(sum(points) AS INT) AS score, CAST(count(*) FILTER (points > 0) AS INT) AS matches
+    FROM hits GROUP BY ALL HAVING sum(points) > 0)""",
+    f"""SELECT failure_id, fingerprint, category, score, matches, round({_confidence('score', 'matches')}, 6) AS confidence,
+       {_prio('category')} AS priority, {_min('category')} AS threshold FROM summed""",
+)
+_rules = "\n".join(
+    f"{i}. {category} if the evidence has one of: {', '.join(words)}" for i, (category, words) in enumerate(C.KEYWORD_RULES.items(), 1)
+)
+_request = (
+    "Assign the CI failure below to a category. Apply the first rule that fits, from explicit evidence only.\n"
+    f"{_rules}\n4. UNKNOWN otherwise\n"
+)
+oracle(
+    "classification_requests", BY_PATTERNS,
+    f"""SELECT failure_id, fingerprint, concat({text(_request)}, 'Stage: ', stage, chr(10), 'Error line: ', error_line, chr(10), 'Before: ', pre_content,
+       chr(10), 'After: ', post_content, chr(10), 'Now: UNKNOWN 0.0', chr(10),
+       'Answer as JSON with best_category and classified_confidence (0 to 1).') AS request FROM best WHERE regex_category = 'UNKNOWN'""",
+)
+JUDGED = f"""{DEDUPED}, {_scored('once')},
+judged AS (
+    SELECT b.failure_id, b.fingerprint, b.error_line, regex_category AS rc, {C.REGEX_WEIGHT}::DOUBLE * regex_confidence AS rs
+    FROM best b JOIN deduped USING (failure_id, fingerprint)),
+settled AS (
+    SELECT failure_id, fingerprint,
+           rc <> 'UNKNOWN' AND rs >= {C.ABSOLUTE_MINIMUM} AND rs >= {_min('rc')} * {C.REGEX_WEIGHT}::DOUBLE AS sure, rc, rs, {_rule('error_line')} AS by_rule
+    FROM judged),
+causes AS MATERIALIZED (
+    SELECT failure_id, fingerprint, CASE WHEN sure THEN rc ELSE by_rule END AS category,
+           CASE WHEN sure THEN least(1.0::DOUBLE, rs) WHEN by_rule = 'UNKNOWN' THEN 0.0 ELSE 0.5 END::DOUBLE AS rca_confidence FROM settled)"""
+oracle(
+    "analyze_summary", JUDGED,
+    f"""SELECT failure_id, count(*) AS total, count(*) FILTER ({_owner('category')} = 'DEVOPS_ENGINEERS') AS devops,
+       count(*) FILTER ({_owner('category')} = 'DEVELOPERS') AS developers, 0::BIGINT AS critical,
+       round(avg(rca_confidence), 6) AS avg_confidence, CAST(round_even(avg(rca_confidence) * 100, 0) AS INT) AS avg_percent,
+       {_band('avg(rca_confidence)')} AS avg_band FROM causes GROUP BY failure_id""",
+)
+
+
+def _drawn_samples() -> list[tuple[int, str, str, str, str]]:
+    """The training set by a plain loop: words are put in one after the other."""
+    out = []
+    every = [(c, t) for c, templates in T.TEMPLATES.items() for t in templates]
+    for number, (category, parts) in enumerate(every):
+        for i in range(T.SAMPLES_PER_TEMPLATE):
+            filled = []
+            for field, form in zip(("error_line", "post_content"), parts):
+                for key, words in T.WORDS.items():
+                    pieces = form.split("{" + key + "}")
+                    form = pieces[0]
+                    for at, piece in enumerate(pieces[1:], 1):
+                        digest = hashlib.md5(f"{T.SEED}/{field}/{number}/{i}/{key}/{at}".encode()).hexdigest()
+                        form += words[int(digest[:6], 16) % len(words)] + piece
+                filled.append(form)
+            out.append((number * T.SAMPLES_PER_TEMPLATE + i, category, T.STAGE_OF[category], *filled))
+    return out
+
+
+_values = ", ".join(f"({i}, {text(c)}, {text(e)}, {text(p)})" for i, c, _, e, p in _drawn_samples())
+oracle(
+    "template_votes", f"""{EMBEDDED},
+drawn (id, category, error_line, post_content) AS (VALUES {_values}),
+drawn_texts AS (SELECT id, category, {embedding_text('error_line', 'substr(post_content, 1, 200)', "''")} AS txt FROM drawn),
+drawn_buckets AS (
+    SELECT id, category, list_transform(list_filter(string_split(txt, ' '), lambda t: t <> ''), lambda t: ({_digits}) % 64) AS bs FROM drawn_texts),
+drawn_counts AS (SELECT id, category, list_transform(range(64), lambda d: len(list_filter(bs, lambda b: b = d))::DOUBLE) AS c FROM drawn_buckets),
+samples AS MATERIALIZED (
+    SELECT id, category, list_transform(c, lambda x: (x / (sqrt(list_sum(list_transform(c, lambda y: y * y))) + 1e-10::DOUBLE))::FLOAT::DOUBLE) AS vec
+    FROM drawn_counts),
+open_ones AS MATERIALIZED (SELECT fingerprint AS id, vec FROM vectors),
+{_votes('open_ones', 'samples', 's.category')}""",
+    "SELECT id, category, round(share, 6) AS share FROM votes",
+)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import category_rules as C
 from ..functions import text as X
 from ..operators import ci_runs, classify, dedup, extract, failures, knowledge, learn, rca, report
 from ..sources import sample_tables as T
@@ -22,6 +23,9 @@ def query(fn: Query) -> Query:
     return fn
 
 
+USER_WORDS = ["refused", "failed", "no space", "timeout", "permission denied", "panic", "manifest", "credentials"]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -51,8 +55,7 @@ def clean_line(spark, folder):
 
 @query
 def json_message(spark, folder):
-    rows = lines(spark, folder).filter(F.col("raw").startswith("{"))
-    return rows.select("failure_id", "stage", "line_no", X.json_message(F.col("raw")).alias("message"))
+    return lines(spark, folder).select("failure_id", "stage", "line_no", X.json_message(F.col("raw")).alias("message"))
 
 
 @query
@@ -168,15 +171,15 @@ def knn_best(spark, folder):
 
 
 def _self_trained(spark, folder):
-    """Signals split by fingerprint: those that start with 0..3 are the training
-    set, labelled by their patterns; the others are to be classified."""
+    """Signals, all to be classified; those whose fingerprint starts with 0..3
+    are the training set too, labelled by their patterns."""
     embedded = dedup.embed_signals(distinct(spark, folder).checkpoint()).checkpoint()
     learned = F.substring("fingerprint", 1, 1).isin("0", "1", "2", "3")
     labelled = classify.regex_best(classify.category_scores(embedded.filter(learned)))
     training = labelled.groupBy("fingerprint").agg(
         F.min_by(F.struct("regex_category", "embedding"), F.struct("failure_id", "stage", "line_no")).alias("s")
     ).select(F.col("fingerprint").alias("sample_id"), F.col("s.regex_category").alias("category"), "s.embedding")
-    return embedded.filter(~learned), training.filter(F.col("category") != "UNKNOWN")
+    return embedded, training.filter(F.col("category") != "UNKNOWN")
 
 
 @query
@@ -255,7 +258,8 @@ def knowledge_upsert(spark, folder):
     arrivals = T.pattern_arrivals(table(spark, folder, "events"))
     stored = T.stored_patterns(table(spark, folder, "customer"))
     merged = knowledge.upsert(stored, arrivals, ["event_id"])
-    return merged.withColumn("embedding", F.get("embedding", F.lit(0)))
+    shown = F.transform("embedding", lambda x: x.cast("decimal(18,4)").cast("string"))
+    return merged.withColumn("embedding", F.array_join(shown, " "))
 
 
 def _by_patterns(spark, folder):
@@ -279,10 +283,30 @@ def learned_antijoin(spark, folder):
     return fresh.select("fingerprint", "failure_id", "stage", "line_no", "category")
 
 
+@query
+def training_samples(spark, folder):
+    """Signals that their patterns are sure of, as training rows."""
+    fresh = learn.learnable(_by_patterns(spark, folder), _learned(spark, folder))
+    return learn.samples_per_category(learn.as_samples(fresh, fresh))
+
+
+@query
+def catalogue_scores(spark, folder):
+    """A user's catalogue: a pattern for every event type of the log's source and every market segment."""
+    kinds = table(spark, folder, "events").select(F.col("event_type").alias("word")).distinct()
+    names = table(spark, folder, "customer").select(F.lower("c_mktsegment").alias("word")).distinct()
+    words = kinds.unionByName(names).unionByName(spark.createDataFrame([(w,) for w in USER_WORDS], "word string"))
+    category = F.element_at(F.array(*[F.lit(c) for c in C.CATEGORY_PATTERNS]), (F.length("word") % len(C.CATEGORY_PATTERNS) + 1).cast("int"))
+    catalogue = words.select(category.alias("category"), F.col("word").alias("pattern_id"), F.col("word").alias("regex"))
+    scored = classify.score_with_table(distinct(spark, folder), catalogue, at_once=6)
+    return scored.withColumn("confidence", F.round("confidence", 6))
+
+
 @query
 def feedback_batch(spark, folder):
-    now, _ = learn.feedback_batch(learn.learnable(_by_patterns(spark, folder), _learned(spark, folder)), ["fingerprint"])
-    return now.select("fingerprint", "category")
+    now, later = learn.feedback_batch(learn.learnable(_by_patterns(spark, folder), _learned(spark, folder)), ["fingerprint"])
+    both = now.withColumn("learned", F.lit(True)).unionByName(later.withColumn("learned", F.lit(False)))
+    return both.select("fingerprint", "category", "learned")
 
 
 # --- CI runs and failure records -------------------------------------------------------
@@ -294,8 +318,7 @@ def stage_assembly(spark, folder):
 
 @query
 def stage_lines(spark, folder):
-    # Equal positions are told apart by numbering them; real step numbers are unique.
-    return ci_runs.stage_lines(T.steps(table(spark, folder, "lineitem")).distinct())
+    return ci_runs.stage_lines(T.steps(table(spark, folder, "lineitem")))
 
 
 def _jobs(spark, folder):
@@ -353,8 +376,8 @@ def status_gate(spark, folder):
 
 @query
 def remediation_decode(spark, folder):
-    rows = T.remediation_json(table(spark, folder, "lineitem"))
-    r = rca.decode_remediation(F.col("stored"))
+    rows = rca.decoded(T.remediation_json(table(spark, folder, "lineitem")), remediation="stored")
+    r = F.col("remediation")
     return rows.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         r["action"].alias("action"), r["strategy"].alias("strategy"), r["target"].alias("target"),
@@ -364,10 +387,8 @@ def remediation_decode(spark, folder):
 
 @query
 def remediation_valid(spark, folder):
-    rows = T.remediation_json(table(spark, folder, "lineitem")).withColumn(
-        "remediation", rca.decode_remediation(F.col("stored"))
-    ).filter(F.col("remediation").isNotNull())
-    checked = rca.validate(rows)
+    rows = T.remediation_json(table(spark, folder, "lineitem"))
+    checked = rca.validate(rca.decoded(rows, remediation="stored", secondary_remediations="secondary"))
     r = F.col("remediation")
     return checked.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "severity", "valid",
@@ -397,7 +418,7 @@ def rca_enriched(spark, folder):
 @query
 def classification_requests(spark, folder):
     return classify.classification_requests(_by_patterns(spark, folder)).select(
-        "failure_id", "fingerprint", F.length("request").alias("chars")
+        "failure_id", "fingerprint", "request"
     )
 
 
@@ -409,7 +430,7 @@ def report_summary(spark, folder):
 
 @query
 def report_rows(spark, folder):
-    return report.rows(T.root_causes(table(spark, folder, "orders"))).drop("analyzed_at", "evidence_url")
+    return report.rows(T.root_causes(table(spark, folder, "orders")), order="sequence").drop("analyzed_at", "evidence_url")
 
 
 @query
@@ -427,16 +448,20 @@ def recipients(spark, folder):
 
 @query
 def stage_counters(spark, folder):
+    """Real output of deduplication, looked up among the patterns of learned fingerprints."""
     found = extract.extract_signals(lines(spark, folder))
-    kept = extract.distinct_signals(found).withColumn(
-        "kind", F.when(F.col("block_type").isNotNull(), "cluster").otherwise("noise")
+    embedded = dedup.embed_signals(extract.distinct_signals(found).checkpoint()).checkpoint()
+    kept = dedup.deduplicate(embedded).checkpoint()
+    vectors = embedded.groupBy("fingerprint").agg(F.first("embedding").alias("embedding"))
+    known = vectors.filter(F.substring("fingerprint", 1, 1) == "0")
+    queries = vectors.join(kept.select("fingerprint").distinct(), "fingerprint").select(
+        F.col("fingerprint").alias("id"), F.col("embedding").alias("vec")
     )
-    hit = _learned(spark, folder)
-    hits = kept.join(hit, "fingerprint", "left_semi").select("failure_id", "fingerprint")
+    hits = knowledge.hits(kept, knowledge.lookup(queries, known), "fingerprint").select("failure_id", "fingerprint")
     return report.stage_counters(found, kept, hits, lines(spark, folder).select("failure_id"))
 
 
 @query
 def analyze_summary(spark, folder):
     """The whole pipeline."""
-    return analyze(lines(spark, folder))["summary"]
+    return analyze(lines(spark, folder))["summary"].withColumn("avg_confidence", F.round("avg_confidence", 6))

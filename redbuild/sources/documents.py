@@ -14,7 +14,9 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_payloads(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(S.PAYLOAD).json(path)
+    """Payloads with received_at, the time at which their file landed."""
+    found = spark.readStream.schema(S.PAYLOAD).json(path)
+    return found.select("*", F.col("_metadata.file_modification_time").alias("received_at"))
 
 
 def hub_jobs(runs: DataFrame) -> DataFrame:

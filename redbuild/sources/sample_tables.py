@@ -81,7 +81,7 @@ def pattern_arrivals(events: DataFrame) -> DataFrame:
         F.col("event_type").alias("root_cause"),
         F.when(F.col("value") > 20, "HIGH").otherwise("LOW").alias("severity"),
         F.lit(0).alias("recurrence_count"),
-        F.array(F.col("value")).alias("embedding"),
+        F.array(F.col("value"), (F.col("event_id") % 7).cast("double")).alias("embedding"),
         F.col("value").alias("rca_confidence"), F.col("props").alias("remediation"),
         F.lit(None).cast("string").alias("secondary_remediations"),
         "event_id",
@@ -92,7 +92,7 @@ def stored_patterns(customer: DataFrame) -> DataFrame:
     return customer.select(
         F.concat(F.lit("fp"), F.col("c_custkey").cast("string")).alias("fingerprint"),
         F.col("c_mktsegment").alias("root_cause"), F.lit("MEDIUM").alias("severity"),
-        F.lit(4).alias("recurrence_count"), F.array(F.col("c_acctbal")).alias("embedding"),
+        F.lit(4).alias("recurrence_count"), F.array(F.col("c_acctbal"), (F.col("c_custkey") % 7).cast("double")).alias("embedding"),
         F.col("c_acctbal").alias("rca_confidence"), F.col("c_name").alias("remediation"),
         F.lit(None).cast("string").alias("secondary_remediations"),
     )
@@ -118,7 +118,13 @@ def remediation_json(lineitem: DataFrame) -> DataFrame:
     )
     return lineitem.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("stored"),
-        (F.col("l_discount") * 5).alias("rca_confidence"),
+        F.when(F.col("l_suppkey") % 17 != 0, F.col("l_discount") * 5).alias("rca_confidence"),
+        F.when(F.col("l_partkey") % 19 != 0, F.concat(F.lit("part "), F.col("l_partkey").cast("string"))).alias("root_cause"),
+        F.when(F.col("l_orderkey") % 23 != 0, F.lit("error")).alias("error_line"),
+        (F.col("l_partkey") % 9 - 1).cast("int").alias("recurrence_count"),
+        F.when(F.col("l_partkey") % 3 == 0, F.col("l_quantity") / 40.0).alias("similarity_score"),
+        F.when(F.col("l_orderkey") % 4 == 0, F.lit('[{"action":"FIX_TEST","strategy":"FIX_ASSERTION"}]'))
+        .when(F.col("l_orderkey") % 4 == 1, F.lit('[{"reason":"look again"}]')).alias("secondary"),
         F.when(F.col("l_returnflag") == "A", "HIGH").when(F.col("l_returnflag") == "N", "WORST").alias("severity"),
     )
 
@@ -139,7 +145,7 @@ def root_causes(orders: DataFrame) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "CRITICAL").otherwise("LOW").alias("severity"),
         ((key % 21) / 20.0).alias("rca_confidence"), (key % 7).cast("int").alias("recurrence_count"),
         F.when(key % 3 == 0, (key % 9) / 8.0).alias("similarity_score"),
-        F.sha2(key.cast("string"), 256).alias("fingerprint"),
+        F.sha2(key.cast("string"), 256).alias("fingerprint"), key.alias("sequence"),
         F.lit("2024-01-01T00:00:00Z").alias("analyzed_at"), F.lit(None).cast("string").alias("evidence_url"),
     )
 

@@ -25,6 +25,11 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def write_embeddings(rows: DataFrame, path: str, batch_id: int) -> None:
     """(failure_id, fingerprint, embedding); rows without a vector are not stored."""
     stored = rows.select("failure_id", "fingerprint", "embedding").filter(F.col("embedding").isNotNull())

@@ -16,18 +16,29 @@ from ..sources import tables
 
 
 def intake_stream(payloads: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Payload stream -> failure records, repeated runs dropped within the delay."""
-    records = failures.intake(payloads)
-    keyed = records.withColumns({
-        "received_at": F.current_timestamp(),
-        "job_name": F.col("payload.job_name"),
-        "build_number": F.col("payload.build_number"),
-    })
-    return (
-        keyed.withWatermark("received_at", delay)
-        .dropDuplicatesWithinWatermark(failures.INTAKE_KEYS)
-        .drop("received_at", "job_name", "build_number")
-    )
+    """Payload stream -> failure records, repeated runs dropped within the delay.
+
+    The payloads carry received_at, when they landed, so a replay decides as the first run did.  Records that lack a key
+    of their run repeat none.
+    """
+    landed = F.col("received_at")
+    records = failures.intake(payloads, landed, keep=["received_at"]).withWatermark("received_at", delay)
+    keyed = records.withColumns({"job_name": F.col("payload.job_name"), "build_number": F.col("payload.build_number")})
+    first = keyed.filter(failures.identified()).dropDuplicatesWithinWatermark(failures.INTAKE_KEYS)
+    return first.unionByName(keyed.filter(~failures.identified())).drop("received_at", "job_name", "build_number")
+
+
+def intake_job(root: str) -> Callable[[DataFrame, int], None]:
+    """Payloads -> stored failure records, their first status, and the payloads that no platform takes."""
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        landed = F.col("received_at")
+        records = failures.intake(batch, landed, keep=["received_at"])
+        tables.write_batch(records.drop("received_at"), f"{root}/failures", batch_id)
+        tables.write_batch(records.select("failure_id", "status", F.col("received_at").alias("ts")), f"{root}/status_events", batch_id)
+        tables.write_batch(failures.quarantine(batch, landed), f"{root}/quarantine", batch_id)
+
+    return work
 
 
 def status_stream(events: DataFrame) -> DataFrame:
@@ -96,7 +107,7 @@ def analysis_job(root: str, training: DataFrame | None = None, **options) -> Cal
         spark = batch.sparkSession
         known = tables.read_patterns(spark, f"{root}/patterns", before=batch_id)
         results = analyze(batch, training=training, known_patterns=known, **options)
-        for name in ("signals", "classified", "root_causes", "summary"):
+        for name in ("signals", "classified", "root_causes", "rejected", "summary", "rows", "counters"):
             tables.write_batch(results[name], f"{root}/{name}", batch_id)
         tables.write_embeddings(results["representatives"], f"{root}/embeddings", batch_id)
         fresh = results["root_causes"].join(results["classified"].select("failure_id", "fingerprint"), ["failure_id", "fingerprint"])
@@ -115,10 +126,7 @@ def feedback_job(path: str, training: DataFrame) -> Callable[[DataFrame, int], N
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
-        except Exception:  # nothing stored yet
-            stored = None
+        stored = tables.read_batches(spark, path).filter(F.col("batch_id") < batch_id) if tables.exists(spark, path) else None
         fresh = learn.learnable(batch, training)
         if stored is not None:
             learned = stored.filter("learned")

@@ -110,10 +110,11 @@ def test_status_stream_rejects_illegal_moves(spark):
 def test_intake_stream_drops_repeated_payloads(spark):
     root = folder()
     body = {"commit": "c", "branch": "b", "job_name": "j", "build_number": 1}
+    hosted = {"commit": "c", "branch": "b", "owner": "o", "repo": "r", "run_id": 5}
     import os
 
     os.makedirs(f"{root}/in")
-    open(f"{root}/in/a.json", "w").write("\n".join(json.dumps(x) for x in (body, body, {**body, "build_number": 2})) + "\n")
+    open(f"{root}/in/a.json", "w").write("\n".join(json.dumps(x) for x in (body, body, {**body, "build_number": 2}, hosted, {**hosted, "run_id": 6})) + "\n")
     stream = jobs.intake_stream(documents.stream_payloads(spark, f"{root}/in"))
     query = (
         stream.writeStream.format("memory").queryName("intake").outputMode("append")
@@ -121,4 +122,71 @@ def test_intake_stream_drops_repeated_payloads(spark):
     )
     query.awaitTermination()
     rows = spark.table("intake").collect()
-    assert sorted(r["payload"]["build_number"] for r in rows) == [1, 2]
+    assert sorted(r["payload"]["build_number"] for r in rows if r["platform"] == "jenkins") == [1, 2]
+    assert sorted(r["payload"]["run_id"] for r in rows if r["platform"] == "github") == [5, 6]
+
+
+def test_intake_job_keeps_what_no_platform_takes(spark):
+    root = folder()
+    import os
+
+    os.makedirs(f"{root}/in")
+    open(f"{root}/in/a.json", "w").write("\n".join(json.dumps(x) for x in ({"commit": "c"}, {"commit": "c", "job_name": "j", "build_number": 1})) + "\n")
+    for _ in range(2):  # a second run finds nothing new
+        jobs.per_batch(jobs.intake_job(f"{root}/out"), documents.stream_payloads(spark, f"{root}/in"), f"{root}/c")
+    (held,) = tables.read_batches(spark, f"{root}/out/quarantine").collect()
+    assert held["reject_reason"] == "platform unknown" and held["payload"]["commit"] == "c"
+    assert tables.read_batches(spark, f"{root}/out/failures").count() == tables.read_batches(spark, f"{root}/out/status_events").count() == 1
+
+
+def log_frame(spark):
+    raws = ["ok", "connection refused: 10.0.0.1:80", "retry", "done"] * 3 + ["fatal: undefined reference to `f'", "x"]
+    return spark.createDataFrame([(f"f{i}", "s", n, raw) for i in range(2) for n, raw in enumerate(raws)], S.LINES)
+
+
+def test_known_patterns_answer_and_unusable_ones_do_not(spark):
+    from redbuild.plans.analyze import analyze
+
+    first = analyze(log_frame(spark))
+    causes, vectors = first["root_causes"], first["representatives"].select("failure_id", "fingerprint", "embedding")
+    known = tables.attach_embeddings(causes, vectors).groupBy("fingerprint").agg(F.first(F.struct(*[c for c in causes.columns if c != "fingerprint"], "embedding")).alias("s")).select("fingerprint", "s.*")
+    second = analyze(log_frame(spark), known_patterns=known.drop("failure_id", "stage", "line_no", "similarity_score"))
+    assert second["classified"].count() == 0
+    cached = second["root_causes"]
+    assert cached.count() == causes.count() and cached.filter("similarity_score > 0.99").count() == cached.count()
+    broken = known.withColumn("rca_confidence", F.lit(None).cast("double"))
+    third = analyze(log_frame(spark), known_patterns=broken.drop("failure_id", "stage", "line_no", "similarity_score"))
+    assert third["classified"].count() == first["classified"].count()
+    assert third["root_causes"].filter("similarity_score IS NOT NULL").count() == 0
+
+
+def test_analysis_job_stores_everything_and_survives_a_replay(spark):
+    root = folder()
+    work = jobs.analysis_job(root)
+    for batch in (0, 1, 1):
+        work(log_frame(spark), batch)
+    for name in ("signals", "classified", "root_causes", "rejected", "summary", "rows", "counters"):
+        assert tables.exists(spark, f"{root}/{name}"), name
+    patterns = tables.read_patterns(spark, f"{root}/patterns").collect()
+    causes = tables.read_batches(spark, f"{root}/root_causes")
+    seen = {r["fingerprint"]: r["n"] for r in causes.groupBy("fingerprint").agg(F.count("*").alias("n")).collect()}
+    assert {p["fingerprint"] for p in patterns} == set(seen)
+    counters = tables.read_batches(spark, f"{root}/counters")
+    assert counters.filter("batch_id = 1").agg(F.sum("cache_hits")).head()[0] > 0
+
+
+def test_feedback_stays_pending_until_a_batch_is_full(spark):
+    path = folder() + "/feedback"
+    rows = lambda ids: spark.createDataFrame(
+        [("f", "s", i, f"fp{i:03}", "DEV_FAILURE", 0.95, "e", "", "") for i in ids],
+        "failure_id string, stage string, line_no long, fingerprint string, category string, confidence double, error_line string, pre_content string, post_content string",
+    )
+    work = jobs.feedback_job(path, spark.createDataFrame([], "fingerprint string"))
+    work(rows(range(15)), 0)
+    work(rows(range(10, 30)), 1)
+    work(rows(range(10, 30)), 1)
+    stored = tables.read_batches(spark, path)
+    assert stored.filter("batch_id = 0 AND learned").count() == 0
+    now = stored.filter("batch_id = 1")
+    assert now.filter("learned").count() == 20 and now.filter("NOT learned").count() == 10
+    assert now.select("fingerprint").distinct().count() == 30

@@ -90,6 +90,15 @@ def test_remediation_rules(spark):
     assert got[second]["remediation"]["skip_reason"] == rca.DEFAULT_SKIP_REASON
     undecodable = remediation(spark, ['{"action":"REBOOT"}', "not json"]).select("remediation").collect()
     assert all(r["remediation"] is None for r in undecodable)
+    for r in rca.validate(remediation(spark, ['{"action":"REBOOT"}', "not json"])).collect():
+        assert r["errors"] == ["remediation"] and not r["valid"]
+    none = remediation(spark, [first]).withColumn("rca_confidence", F.lit(None).cast("double"))
+    assert rca.validate(none).head()["errors"] == ["rca_confidence"]
+    whole = remediation(spark, [first]).withColumns({
+        "root_cause": F.lit(None).cast("string"), "error_line": F.lit(None).cast("string"), "recurrence_count": F.lit(-1),
+        "similarity_score": F.lit(1.5), "secondary_remediations": rca.decode_remediations(F.lit('[{"action":"FIX_DEV"}]')),
+    })
+    assert rca.validate(whole).head()["errors"] == ["root_cause", "error_line", "recurrence_count", "similarity_score", "secondary_remediations"]
     low = remediation(spark, [first]).withColumn("rca_confidence", F.lit(0.2))
     assert rca.validate(low).head()["errors"] == ["manual_expected"]
     lists = spark.createDataFrame([('[{"reason":"a"}]',), ('[{"action":"X"}]',)], "t string")
@@ -119,6 +128,8 @@ def test_ci_status_and_stage_lines(spark):
     assert ci_runs.stage_logs(steps).head()["content"] == "a\r\nb\nc\n"
     lines = ci_runs.stage_lines(steps).orderBy("line_no").collect()
     assert [(r["line_no"], r["raw"]) for r in lines] == [(0, "a"), (1, "b"), (2, "c")]
+    same = spark.createDataFrame([("r", "s", 7, "x\n"), ("r", "s", 7, "x\n"), ("r", "s", 7, "w\n"), ("r", "s", 9000, "z\n"), ("r", "s", None, "n\n")], "run string, stage string, pos int, log string")
+    assert [(r["line_no"], r["raw"]) for r in ci_runs.stage_lines(same, 10).orderBy("line_no").collect()] == list(enumerate("nwxxz"))
     assert ci_runs.one_log_per_job(steps).count() == 1 and ci_runs.one_log_per_job(steps, True).count() == 2
 
 
@@ -132,7 +143,9 @@ def test_platform_and_intake(spark):
     assert [(r["platform"], r["effective_run"], r["reject_reason"]) for r in got] == [
         ("github", 5, None), ("github", 3, None), ("jenkins", 3, None), ("jenkins", None, "build_number missing"), ("jenkins", None, "platform unknown")]
     records = failures.intake(payloads).collect()
-    assert len({r["failure_id"] for r in records}) == 5 and {r["status"] for r in records} == {"RECEIVED"}
+    assert len({r["failure_id"] for r in records}) == 3 and {r["status"] for r in records} == {"RECEIVED"}
+    held = failures.quarantine(payloads).collect()
+    assert sorted(r["reject_reason"] for r in held) == ["build_number missing", "platform unknown"]
     found = failures.find_duplicate(failures.intake(payloads), "jenkins", "c", "b", "j", 3).collect()
     assert [r["payload"]["build_number"] for r in found] == [3]
 
@@ -148,6 +161,37 @@ def test_report_bands_and_rounding(spark):
     rows = report.rows(frame).orderBy("number").collect()
     assert [r["owner"] for r in rows] == ["DEVOPS_ENGINEERS", "DEVELOPERS", "TEST_ENGINEERS"]
     assert [r["number"] for r in rows] == [1, 2, 3] and rows[0]["confidence_percent"] == 12
+    many = spark.range(3000).select(F.lit("f").alias("failure_id"), F.lit("DEVELOPERS").alias("owner"), F.lit("LOW").alias("severity"), F.lit(0.5).alias("rca_confidence"),
+                                    F.sha2(F.col("id").cast("string"), 256).alias("fingerprint"), F.when(F.col("id") > 0, F.col("id") * 3).alias("sequence")).withColumns(
+        {c: F.lit("x") for c in ("validated_category", "root_cause", "error_line", "analyzed_at", "evidence_url")}
+    ).withColumns({"recurrence_count": F.lit(0), "similarity_score": F.lit(0.5)})
+    got = report.rows(many, order="sequence", buckets=7).select("number", "fingerprint").collect()
+    want = {r["fingerprint"][:16]: r["sequence"] for r in many.collect()}
+    assert [want[r["fingerprint"][:16]] for r in sorted(got)] == [None, *range(3, 9000, 3)]
     mail = spark.createDataFrame([("f", "ci@x", "", None), ("g", "a", "b", "c")], "failure_id string, ci_email string, dev_email string, test_email string")
     got = {r["failure_id"]: r["recipients"] for r in report.recipients(frame, mail, "d@x").collect()}
     assert got == {"f": ["ci@x"], "g": ["d@x"]}
+
+
+def test_null_keys_are_no_duplicates(spark):
+    keys = ["github", "c", "b", None, 5]
+    rows = [(*keys, 1), (*keys, 2), ("jenkins", "c", "b", "j", 1, 3), ("jenkins", "c", "b", "j", 1, 4), ("jenkins", "c", "b", "j", None, 5)]
+    frame = spark.createDataFrame(rows, "platform string, commit string, branch string, job_name string, build_number long, nr int")
+    assert sorted(r["nr"] for r in failures.drop_duplicates(frame, "nr").collect()) == [1, 2, 3, 5]
+
+
+def test_each_remediation_is_parsed_once(spark):
+    frame = spark.createDataFrame([('{"reason":"a"}', 0.9, "LOW")], "stored string, rca_confidence double, severity string")
+    checked = rca.validate(rca.decoded(frame, remediation="stored"))
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1, plan
+    assert checked.head()["valid"]
+
+
+def test_a_catalogue_may_have_any_size(spark):
+    signals = spark.createDataFrame([("f", "s", 0, "fp", "disk full", "", "net down")], "failure_id string, stage string, line_no long, fingerprint string, error_line string, pre_content string, post_content string")
+    words = ["disk", "full", "net", "down", "nothing"]
+    catalogue = spark.createDataFrame([("DEV_FAILURE" if i % 2 else "CI_INFRA_FAILURE", f"{i:02}", w) for i, w in enumerate(words * 3)], "category string, pattern_id string, regex string")
+    one, many = (sorted(classify.score_with_table(signals, catalogue, n).collect()) for n in (100, 2))
+    assert one == many and len(one) == 2
+    assert classify.score_with_table(signals, catalogue.limit(0)).count() == 0
