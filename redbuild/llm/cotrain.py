@@ -121,15 +121,18 @@ class CoTrained:
     text: Linear
     meta: Linear
     prior: float  # log odds of a good document
+    shares: np.ndarray  # constant, and how much each view's odds count
+
+    def together(self, text_odds: np.ndarray, meta_odds: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.ones(len(text_odds)), text_odds, meta_odds]) @ self.shares
 
     def odds(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        """The views' odds are taken as independent given the class."""
-        return self.text.odds(text) + self.meta.odds(meta) - self.prior
+        return self.together(self.text.odds(text), self.meta.odds(meta))
 
 
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> CoTrained:
-    """y: 1 good, 0 bad.  Every fourth labelled row is for calibration only."""
-    check = np.arange(len(y)) % 4 == 3
+    """y: 1 good, 0 bad.  Every fourth labelled row of either kind is for calibration only."""
+    check = np.where(y > 0, np.cumsum(y > 0), np.cumsum(y <= 0)) % 4 == 2
     views, pools = (text, meta), (pool_text, pool_meta)
     share = float(np.clip(y.mean(), 0.01, 0.99))
     # What each view is trained on: labelled rows and what the other has labelled.
@@ -153,7 +156,11 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
         if not taken.any():
             break
         open_ &= ~taken
-    return CoTrained(*models, math.log(share / (1 - share)))
+    # How far the views may be added up is seen on the rows for calibration, too.
+    odds = [np.clip(m.odds(v[check]), -8, 8) for m, v in zip(models, views)]
+    shares = newton(np.column_stack([np.ones(check.sum()), *odds]), y[check], 0.1)
+    shares[1:] = np.maximum(shares[1:], 0.0)
+    return CoTrained(*models, math.log(share / (1 - share)), shares)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +225,7 @@ def score(docs: DataFrame, model: CoTrained | None, names: tuple[str, str, str]
             own = m.text.odds(text) if len(text) else np.zeros(0)
             own = np.where(text[:, 0] > 0, own, m.prior) if len(text) else own
             page = m.meta.odds(meta) if len(meta) else np.zeros(0)
-            made = [own + page - m.prior, own, page]
+            made = [m.together(own, page), own, page]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.float64()) for x in made)], [*batch.schema.names, *names])
 
     shape = StructType([*docs.schema.fields, *(StructField(name, DoubleType()) for name in names)])

@@ -156,8 +156,8 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
 
 def directory(path):
-    """The part before the last slash, '' at the top."""
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
+    """The part before the last slash, '' at the top, null for null."""
+    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), "")
 
 
 def with_inherited(found: DataFrame, least_file: float = LEAST) -> DataFrame:
