@@ -4,7 +4,8 @@ A shard file holds one frame per sequence, all numbers little-endian:
 
     uint64 length | uint32 masked checksum of those 8 bytes | payload | uint32 masked checksum of the payload
 
-The payload is the sequence as unsigned 32-bit ids.  A checksum is the CRC-32 of the bytes, rotated right by 15 bits
+The payload is a byte with the width of an id, 2 or 4, and the ids as unsigned numbers of that width, 2 wherever all
+ids of the sequence allow it.  A checksum is the CRC-32 of the bytes, rotated right by 15 bits
 and raised by a constant, so that a checksum of data that holds checksums stays sound.  The index beside each shard
 has two int64 per frame, its offset and its doc_id (the least number for null), so any record can be read on its own
 and in any order.
@@ -59,6 +60,17 @@ def read_frame(file) -> bytes | None:
     return payload
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """The payload of a sequence."""
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
+
+
+def unpacked(payload: bytes) -> np.ndarray:
+    """The ids, as unsigned 32-bit numbers."""
+    return np.frombuffer(payload, dtype=f"<u{payload[0]}", offset=1).astype("<u4")
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
@@ -162,7 +174,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                     current, name = block, f"shard-{block:06d}.records"
                     state = {"path": f"{root}/{name}", "tmp": f"{root}/.{name}.{uuid.uuid4().hex}", "name": name, "at": 0, "seq": 0, "start": 0, "offsets": []}
                     file = fs.open_output_stream(state["tmp"])
-                record = frame(ids.tobytes() + struct.pack("<I", end_id))
+                record = frame(packed(np.append(ids, np.uint32(end_id))))
                 file.write(record)
                 rows.append((block, state["seq"], doc, state["start"], len(ids) + 1, state["name"], state["at"]))
                 state["offsets"].append((state["at"], NO_ID if doc is None else doc))
@@ -230,10 +242,11 @@ def _reader(folder: str):
                     frames = iter(lambda: read_frame(file), None)
                     seq = 0
                     while some := list(itertools.islice(frames, 256)):
+                        some = [unpacked(p).tobytes() for p in some]
                         starts = start + np.cumsum([0, *(len(p) // 4 for p in some)])
                         columns = [[block] * len(some), range(seq, seq + len(some)), ids[seq:seq + len(some)], starts[:-1].tolist(), some]
                         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "seq", "doc_id", "start", "payload"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "seq", "doc_id", "start", "ids"])
                         seq, start = seq + len(some), int(starts[-1])
                     if seq != len(ids):
                         raise ValueError(f"{name} has {seq} records, its index {len(ids)}")
@@ -245,7 +258,7 @@ def read_records(folder: str, files: DataFrame) -> DataFrame:
     """(block, seq, doc_id, start, ids) of all records of the given shards(), every checksum tested; ids are unsigned
     little-endian 32-bit numbers, start is the number of ids before the record, over all files.  A task reads whole shard files, record by record."""
     dealt = files.repartition(slices(files.sparkSession), "block")
-    return dealt.mapInArrow(_reader(folder), "block int, seq long, doc_id long, start long, payload binary")
+    return dealt.mapInArrow(_reader(folder), "block int, seq long, doc_id long, start long, ids binary")
 
 
 def read_some(folder: str, file: str, wanted: list[int]) -> list[np.ndarray]:
@@ -256,7 +269,7 @@ def read_some(folder: str, file: str, wanted: list[int]) -> list[np.ndarray]:
         out = []
         for i in wanted:
             f.seek(int(offsets[i]))
-            out.append(np.frombuffer(read_frame(f), dtype="<u4"))
+            out.append(unpacked(read_frame(f)))
         return out
 
 

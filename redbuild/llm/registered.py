@@ -111,5 +111,5 @@ def op10_token_records(spark, folder):
     where, index = records.write_records(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
     back = records.read_records(where, records.shards(index))
     return back.select(
-        "doc_id", "start", (F.octet_length("payload") / 4).cast("long").alias("n_tokens"), F.crc32("payload").alias("ids_crc32")
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
