@@ -80,9 +80,9 @@ def _filesystem(uri: str):
 class Encoder:
     """Ids of whole texts, equal to those of the library, which sees each distinct span between spaces once.
 
-    A byte-level pre-tokenizer starts a new piece at any single space between two other characters, so the ids of a
-    text are those of its spans, each with the space before it.  Texts that have spaces at an end or side by side go
-    to the library whole, and so do all texts if the tokenizer is of another kind.
+    A byte-level pre-tokenizer starts a new piece at any space that another character than white space follows, so the
+    ids of a text are those of its spans, each with the space before it.  Texts with other spaces go to the library
+    whole, and so do all texts if the tokenizer is of another kind.
     """
 
     def __init__(self, path: str):
@@ -99,6 +99,7 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.lengths[i] = len(added[i].content.encode()) if i in added else len(token)
         self.known: dict[str, bytes] = {}
+        self.blank: set[str] = set()  # spans known to begin with white space
         if any(t.lstrip or t.rstrip for t in added.values()):
             self.by_span = False
 
@@ -115,6 +116,7 @@ class Encoder:
             for span, last in zip(some, cuts.tolist()):
                 self.known[span[1:]] = data[4 * first:4 * last]
                 first = last
+            self.blank.update(s[1:] for s in some if s[1].isspace())
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_span:
@@ -126,10 +128,15 @@ class Encoder:
             out[i] = ids
         if len(self.known) > CACHED:
             self.known.clear()
+            self.blank.clear()
         split = [t.split(" ") if p else [] for t, p in zip(texts, plain)]
         wanted = set().union(*(s[1:] for s in split)) - self.known.keys()
         if wanted:
             self._learn(list(wanted))
+        if self.blank:
+            for i, spans in enumerate(split):
+                if not self.blank.isdisjoint(spans):
+                    split[i], out[i] = [], self._whole([texts[i]])[0]
         heads = iter(self._whole([s[0] for s in split if s]))
         get = self.known.__getitem__
         for i, spans in enumerate(split):
