@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
+from re import _parser as P
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,21 +38,42 @@ def confidence(score: Column, matches: Column) -> Column:
     )
 
 
+def required_literal(pattern: str) -> str | None:
+    """The longest text, in lower case, that every match of the pattern has in
+    it; None if there is none of two characters or more."""
+    runs = [""]
+
+    def walk(items) -> None:
+        for kind, value in items:
+            if kind is P.LITERAL:
+                runs[-1] += chr(value)
+            elif kind is P.SUBPATTERN and not value[1] and not value[2]:
+                walk(value[3])
+            elif kind is not P.AT:  # a branch, a class, a repetition, ...
+                runs.append("")
+
+    walk(P.parse(pattern, re.IGNORECASE))
+    best = max(runs, key=len)
+    return best.lower() if len(best) > 1 and best.isascii() else None
+
+
 def _pattern_weights(patterns: list[str]) -> Column:
     """Per pattern the summed weight of the fields it is found in.
 
-    The patterns are literals (compiled once per task).  One alternation per
-    field first tells whether any of them can match at all.
+    The patterns are literals (compiled once per task), and most contain a text
+    that is looked for first: few regexes run at all.
     """
-    nothing = F.array_repeat(F.lit(0), len(patterns))
+    literals = [required_literal(p) for p in patterns]
+
+    def of_field(name: str, pattern: str, literal: str | None) -> Column:
+        found = X.matches(F.col(name), pattern)
+        return found if literal is None else F.col(f"_low_{name}").contains(literal) & found
 
-    def of_field(name: str, weight: int) -> Column:
-        field = F.col(name)
-        each = [F.when(X.matches(field, p), weight).otherwise(0) for p in patterns]
-        return F.when(X.matches(field, X.one_of(patterns)), F.array(*each)).otherwise(nothing)
+    def weight(pattern: str, literal: str | None) -> Column:
+        parts = [F.when(of_field(name, pattern, literal), w).otherwise(0) for name, w in C.FIELD_WEIGHTS.items()]
+        return reduce(lambda a, b: a + b, parts)
 
-    fields = [of_field(name, weight) for name, weight in C.FIELD_WEIGHTS.items()]
-    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), fields)
+    return F.array(*[weight(p, t) for p, t in zip(patterns, literals)])
 
 
 def category_scores(signals: DataFrame, patterns: Catalogue | None = None) -> DataFrame:
@@ -61,6 +84,7 @@ def category_scores(signals: DataFrame, patterns: Catalogue | None = None) -> Da
     # adaptive planner would merge the signals into a handful of tasks.
     partitions = int(signals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = signals.repartition(partitions, "failure_id", "fingerprint")
+    rows = fence(rows.withColumns({f"_low_{c}": F.lower(c) for c in C.FIELD_WEIGHTS}), *[f"_low_{c}" for c in C.FIELD_WEIGHTS])
     for category, regexes in patterns.items():
         rows = rows.withColumn(f"_{category}", _pattern_weights(regexes))
     entries = []
@@ -77,7 +101,7 @@ def category_scores(signals: DataFrame, patterns: Catalogue | None = None) -> Da
         ))
     scored = rows.withColumn(
         "scores", F.filter(F.array(*entries), lambda e: e["score"] > 0)
-    ).drop(*[f"_{c}" for c in patterns])
+    ).drop(*[f"_{c}" for c in patterns], *[f"_low_{c}" for c in C.FIELD_WEIGHTS])
     return fence(scored, "scores")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,15 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 32_768
+BLOCK_BYTES = 64 << 20  # and no block of vectors is larger
 BROADCAST_ROWS = 20_000  # a right side up to this size goes to every task
+BROADCAST_BYTES = 16 << 20  # if it isn't larger than this either
+ROUNDS_AT_ONCE = 16
 CELLS = 8_000_000  # largest distance matrix held at once
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Uses the session's spark.checkpoint.dir; a folder of our own only without one."""
+    """Uses the session's spark.checkpoint.dir; without one, a folder of our own in local mode only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="redbuild-"))
 
 
@@ -55,8 +61,17 @@ def _tiles(left: np.ndarray, right: np.ndarray, metric: str) -> Iterator[tuple[i
 Reducer = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
 
+def _extent(vectors: DataFrame) -> tuple[int, int]:
+    """(rows, bytes of a row as doubles)."""
+    n, width = vectors.agg(F.count("*"), F.max(F.size("vec"))).first()
+    return n, 8 * max(1, width or 0)
+
+
 def _blocks(rows: DataFrame, group: str, sizes: DataFrame, side: str, other: str) -> DataFrame:
-    """Gives every row its own block and a copy for each block of the other side."""
+    """Gives every row its own block and a copy for each block of the other side.
+
+    The exact search costs blocks x rows of shuffled vectors; it is meant for what is left after equal vectors are one.
+    """
     dealt = rows.join(sizes, group).withColumn(
         side, F.pmod(F.xxhash64("id"), F.col(f"n_{side}")).cast("int")
     )
@@ -67,16 +82,23 @@ def _blocks(rows: DataFrame, group: str, sizes: DataFrame, side: str, other: str
 
 def reduce_pairs(
     left: DataFrame, right: DataFrame, group: str, reducer: Reducer, schema: str,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, one_group: bool = False,
 ) -> DataFrame:
-    """Runs `reducer(left block, right block)` on every pair of blocks of a group."""
+    """Runs `reducer(left block, right block)` on every pair of blocks of a group.
+
+    one_group: the sizes are a single row, which goes to every task; of many
+    groups they are joined, and the planner splits a large group's rows.
+    """
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy(group).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
 
     # New column ids, so that a side can be searched against itself.
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    block_rows = max(1, min(block_rows, BLOCK_BYTES // _extent(right)[1]))
     sizes = blocks(left, "n_lb").join(blocks(right, "n_rb"), group)
+    if one_group:
+        sizes = F.broadcast(sizes)
     keys = [group, "lb", "rb"]
     return (
         _blocks(left, group, sizes, "lb", "rb").groupBy(*keys)
@@ -110,10 +132,14 @@ def nearest(
             picked = ranked
             if at_least is not None:
                 picked = np.where(values >= at_least, ranked, np.inf)
-            # Everything up to the k-th smallest value, so ties are all seen.
+            # Up to the k-th smallest value; of those equal to it the first by
+            # stored id (the columns' order), so copies make no more than k rows.
             kth = min(k, picked.shape[1]) - 1
-            limit = np.partition(picked, kth, axis=1)[:, kth]
-            rows, cols = np.nonzero((picked <= limit[:, None]) & np.isfinite(picked))
+            limit = np.partition(picked, kth, axis=1)[:, kth, None]
+            below, equal = picked < limit, picked == limit
+            room = k - below.sum(axis=1, keepdims=True)
+            equal &= np.cumsum(equal, axis=1, dtype=np.int32) <= room
+            rows, cols = np.nonzero((below | equal) & np.isfinite(picked))
             found.append(pd.DataFrame({
                 "id": np.asarray(ids)[at + rows], "stored_id": known_ids[cols],
                 "value": values[rows, cols], "order": ranked[rows, cols],
@@ -126,11 +152,11 @@ def nearest(
         )
 
     schema = f"id {id_type}, stored_id {stored_type}, value double, rank int"
-    sample = stored.select("id", "vec").limit(broadcast_rows + 1).toPandas()
-    if len(sample) == 0:
+    n, size = _extent(stored)
+    if n == 0:
         return queries.sparkSession.createDataFrame([], schema)
-    if len(sample) <= broadcast_rows:
-        sample = sample.sort_values("id")
+    if n <= broadcast_rows and n * size <= BROADCAST_BYTES:
+        sample = stored.select("id", "vec").toPandas().sort_values("id")
         shared = queries.sparkSession.sparkContext.broadcast(
             (sample["id"].to_numpy(), _matrix(sample["vec"]))
         )
@@ -152,7 +178,7 @@ def nearest(
     everywhere = F.lit(0).alias("g")
     partial = reduce_pairs(
         queries.select(everywhere, "id", "vec"), stored.select(everywhere, "id", "vec"),
-        "g", per_pair, schema, block_rows,
+        "g", per_pair, schema, block_rows, one_group=True,
     )
     # At most k rows per block and query meet here.
     best = F.slice(
@@ -259,8 +285,7 @@ def greedy_keep(points: DataFrame, above: float, block_rows: int = BLOCK_ROWS) -
         fresh = settled.filter(~F.col("waits")).select("g", "id", "vec", F.lit(True).alias("kept"))
         kept.append(fresh.select("g", "id"))
         undecided = settled.filter("waits").select("g", "id", "vec", "kept")
+        if len(kept) == ROUNDS_AT_ONCE or undecided.isEmpty():
+            kept = [reduce(DataFrame.unionByName, kept).checkpoint()]
         if undecided.isEmpty():
-            out = kept[0]
-            for more in kept[1:]:
-                out = out.unionByName(more)
-            return out
+            return kept[0]

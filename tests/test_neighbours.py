@@ -100,3 +100,13 @@ def test_vector_functions(spark):
     ).head()
     assert np.allclose(row["u"], [0.6, 0.8]) and row["d"] == 4 and abs(row["c"] - 0.70710678) < 1e-7
     assert row["x"] == row["y"] and abs(np.linalg.norm(row["x"]) - 1) < 1e-6 and not any(row["z"])
+
+
+@pytest.mark.parametrize("broadcast_rows", [5, 100_000])
+def test_copies_make_no_more_than_k_rows(spark, broadcast_rows):
+    same = F.array(*[F.lit(1.0)] * 4)
+    queries = spark.range(2_000).select("id", same.alias("vec"))
+    stored = spark.range(20_000).select((20_000 - F.col("id")).alias("id"), same.alias("vec"))
+    got = N.nearest(queries, stored, 3, "l2", broadcast_rows=broadcast_rows)
+    assert got.count() == 6_000
+    assert got.groupBy("stored_id").count().orderBy("stored_id").collect() == [(1, 2_000), (2, 2_000), (3, 2_000)]
