@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,11 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
         return np.array([h(joined, SEED)], dtype=np.uint64)
     lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
     ends = np.cumsum(lengths + 1) - 1
-    cuts = zip((ends - lengths)[:1 - size].tolist(), ends[size - 1:].tolist())
+    cuts = zip((ends - lengths)[:len(tokens) - size + 1].tolist(), ends[size - 1:].tolist())
     return np.fromiter((h(joined[a:b], SEED) for a, b in cuts), dtype=np.uint64, count=len(tokens) - size + 1)
 
 
-def simhash(text: str | None, size: int) -> int:
-    """The fingerprint as a signed number; 0 for a text without words."""
-    hashes = shingle_hashes(text, size)
+def _voted(hashes: np.ndarray) -> int:
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65_536):
         bits = np.unpackbits(hashes[at:at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -52,15 +51,31 @@ def simhash(text: str | None, size: int) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row; words and shingles as in simhash().  Null texts have no words."""
+def _rehashed(hashes: np.ndarray, kind: int) -> np.ndarray:
+    """Other hashes of the same shingles; kind 0 are the hashes themselves."""
+    if not kind:
+        return hashes
+    mixed = (hashes ^ hashes >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15 * (2 * kind + 1) % (1 << 64))
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return mixed ^ mixed >> np.uint64(32)
+
+
+def simhash(text: str | None, size: int, kind: int = 0) -> int:
+    """The fingerprint as a signed number; 0 for a text without words."""
+    return _voted(_rehashed(shingle_hashes(text, size), kind))
+
+
+def fingerprints(docs: DataFrame, size: int = 3, kinds: int = 1) -> DataFrame:
+    """(doc_id, fps) for every row: the fingerprints by `kinds` independent hashes of its shingles.  Words end at white
+    space, A-Z count as a-z.  Null texts have no words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [simhash(t, size) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            hashes = [shingle_hashes(t, size) for t in batch.column("text").to_pylist()]
+            fps = [[_voted(_rehashed(h, k)) for k in range(kinds)] for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fps"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fps array<long>")
 
 
 def _dealt(values: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
@@ -177,7 +192,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, hot: int = HOT_BUCKET) -> Da
     ids or texts give a row each.  Null ids are ignored in the choice of component_id, which is null if all are null.
     Only doc_id and text are used.  An empty table gives no rows.
     """
-    fps = written(fingerprints(docs, size), "fingerprints")
+    fps = written(fingerprints(docs, size).select("doc_id", F.get("fps", F.lit(0)).alias("fp")), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     labels = components(links(distinct, hot)).withColumnRenamed("node", "fp")
     joined = distinct.join(labels, "fp")
@@ -187,11 +202,29 @@ def near_duplicates(docs: DataFrame, size: int = 3, hot: int = HOT_BUCKET) -> Da
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def least_of_groups(docs: DataFrame, size: int = 2, kinds: int = 6) -> DataFrame:
+    """(doc_id) of the least document of each group: documents are linked if any of their `kinds` fingerprints differ in
+    at most RADIUS bits.
+
+    A single fingerprint finds copies with a few per cent of other words about every second time; each further one, by
+    other hashes of the same shingles, has a chance of its own.
+    """
+    fps = written(fingerprints(docs.filter("doc_id IS NOT NULL"), size, kinds).groupBy("fps").agg(F.min("doc_id").alias("first")), "fingerprints")
+    edges = []
+    for kind in range(kinds):
+        own = fps.select(F.get("fps", F.lit(kind)).alias("fp"), "first")
+        least = written(own.groupBy("fp").agg(F.min("first").alias("least")), "distinct")
+        edges.append(own.join(least, "fp").select(F.col("first").alias("a"), F.col("least").alias("b")).filter("a != b"))
+        ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"at_{c}")) for c in "ab"]
+        edges.append(links(least.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("at_a").alias("a"), F.col("at_b").alias("b")))
+    labels = components(reduce(DataFrame.unionByName, edges)).select(F.col("node").alias("first"), "label")
+    return fps.join(labels, "first", "left").filter(F.coalesce("label", "first") == F.col("first")).select(F.col("first").alias("doc_id")).distinct()
+
+
+def one_of_each(docs: DataFrame, size: int = 2, kinds: int = 6) -> DataFrame:
     """docs without all but one document of each near-duplicate group, the one with the least id (then the least
     text hash among equal ids).  All columns are kept.  Rows without id stay."""
-    found = near_duplicates(docs.filter("doc_id IS NOT NULL"))
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
+    keep = written(least_of_groups(docs, size, kinds), "kept")
     kept = docs.join(keep, "doc_id", "left_semi")
     same = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
     if same.head(1):  # an id given twice: one row of it

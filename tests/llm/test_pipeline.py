@@ -1,9 +1,9 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from redbuild.llm import decontaminate, simhash
+from redbuild.llm import decontaminate
 from test_mixing import plain_targets
-from test_simhash import plain_components
+from test_simhash import plain_groups
 
 
 def test_stages_against_plain_versions(spark, small):
@@ -21,12 +21,7 @@ def test_stages_against_plain_versions(spark, small):
     assert all(kept[i] == before[i] for i in kept)
 
     single = {r["doc_id"]: r for r in near(spark, good, small).collect()}
-    fps = {i: simhash.simhash(r["text"], 3) for i, r in kept.items()}
-    groups = plain_components(sorted(set(fps.values())))
-    first = {}
-    for i in sorted(kept):
-        first.setdefault(groups[fps[i]], i)
-    assert set(single) == set(first.values())
+    assert set(single) == set(plain_groups({i: r["text"] for i, r in kept.items()}).values())
 
     free = clean(spark, near(spark, good, small), small)
     automaton = decontaminate.Automaton([(n, decontaminate.words(t)) for n, t in bench], 10)

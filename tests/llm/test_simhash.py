@@ -17,8 +17,9 @@ def plain_fingerprint(text):
 
 def test_fingerprints(make):
     texts = ["One two THREE four", "a b", "x", "", None, "É é ß x  y\tz", "w " * 500]
-    got = {r["doc_id"]: r["fp"] % (1 << 64) for r in simhash.fingerprints(make(texts)).collect()}
+    got = {r["doc_id"]: r["fps"][0] % (1 << 64) for r in simhash.fingerprints(make(texts), 3, 2).collect()}
     assert got == {i: plain_fingerprint(t) for i, t in enumerate(texts)}
+    assert len(simhash.shingle_hashes("a b c a", 1)) == 4 and len(simhash.shingle_hashes("a b", 2)) == 1
 
 
 def plain_components(values):
@@ -74,6 +75,41 @@ def test_near_copies_and_what_stays(make):
     assert {r["doc_id"] for r in simhash.one_of_each(make(rows)).collect()} == {4, 7, 9}
 
 
+def plain_groups(texts, size=2, kinds=6):
+    """doc_id -> text -> least doc_id of its group, comparing all."""
+    fps = {i: [simhash.simhash(t, size, k) % (1 << 64) for k in range(kinds)] for i, t in texts.items()}
+    label = {i: i for i in texts}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    ids = sorted(texts)
+    for at, i in enumerate(ids):
+        for j in ids[:at]:
+            if any((a ^ b).bit_count() <= 3 for a, b in zip(fps[i], fps[j])):
+                x, y = sorted((root(i), root(j)))
+                label[y] = x
+    return {i: root(i) for i in ids}
+
+
+def test_several_fingerprints_find_more(make):
+    rng = random.Random(8)
+    texts, origin = {}, {}
+    for i in range(60):
+        words = [f"{rng.choice('abcdefgh')}{rng.randint(0, 400)}" for _ in range(150)]
+        for copy in range(2):
+            origin[2 * i + copy] = 2 * i
+            texts[2 * i + copy] = " ".join("new" if copy and rng.random() < 0.02 else w for w in words)
+    want = plain_groups(texts)
+    got = {r["doc_id"] for r in simhash.one_of_each(make(list(texts.items()))).collect()}
+    assert got == set(want.values())
+    found = lambda kinds: sum(plain_groups(texts, 2, kinds)[2 * i + 1] == 2 * i for i in range(60))
+    assert found(6) > found(1) and found(6) > 30
+    assert all(origin[i] == origin[g] for i, g in want.items())
+
+
 def test_odd_input(odd, empty):
     found = simhash.near_duplicates(odd)
     assert found.count() == odd.count()
