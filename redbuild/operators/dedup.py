@@ -15,6 +15,7 @@ from . import neighbours as N
 CLUSTER_RADIUS = 0.1
 MIN_CLUSTER = 2
 NOISE_COSINE = 0.85
+WIDE = 256
 
 Embedder = Callable[[DataFrame], DataFrame]
 
@@ -66,15 +67,26 @@ def clusters(points: DataFrame, radius: float = CLUSTER_RADIUS, block_rows: int
 def medoids(clustered: DataFrame) -> DataFrame:
     """The point nearest to the mean of its cluster, first on ties: (g, label, id, members).
 
-    The mean is one average per dimension, combined before the shuffle.
+    The mean is one average per dimension, combined before the shuffle: as one
+    aggregate each up to WIDE dimensions, as one row each beyond.
     """
     real = clustered.filter(F.col("members") >= MIN_CLUSTER)
-    width = clustered.select(F.size("vec").alias("n")).head()
-    dimensions = width["n"] if width else 0
-    total = F.sum("copies")
-    means = real.groupBy("g", "label").agg(
-        F.array(*[F.sum(F.get("vec", F.lit(i)) * F.col("copies")) / total for i in range(dimensions)]).alias("mean")
-    )
+    widths = clustered.agg(F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most")).first()
+    if widths["least"] != widths["most"]:
+        raise ValueError(f"vectors of {widths['least']} to {widths['most']} dimensions")
+    dimensions = widths["most"] or 0
+    if dimensions <= WIDE:
+        total = F.sum("copies")
+        means = real.groupBy("g", "label").agg(
+            F.array(*[F.sum(F.get("vec", F.lit(i)) * F.col("copies")) / total for i in range(dimensions)]).alias("mean")
+        )
+    else:
+        each = real.select("g", "label", "copies", F.posexplode("vec").alias("i", "x")).groupBy("g", "label", "i").agg(
+            (F.sum(F.col("x") * F.col("copies")) / F.sum("copies")).alias("x")
+        )
+        means = each.groupBy("g", "label").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("mean")
+        )
     distance = F.round(F.sqrt(V.squared_l2(F.col("vec"), F.col("mean"))), 9)
     return (
         real.join(means, ["g", "label"])

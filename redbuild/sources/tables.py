@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import knowledge
 from . import schemas as S
 
-BUCKETS = 256
-
 
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     """Appends a batch of classified signals or root causes.  Writing the same
@@ -74,3 +72,7 @@ def upsert_patterns(arrivals: DataFrame, path: str, batch_id: int, order: list[s
     spark = arrivals.sparkSession
     merged = knowledge.upsert(read_patterns(spark, path, before=batch_id), arrivals, order)
     merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    # The version before stays, for a replay of this batch and for readers that have just begun.
+    for old in _versions(spark, path)[:-2]:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}")
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

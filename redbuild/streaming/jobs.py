@@ -35,7 +35,7 @@ def intake_job(root: str) -> Callable[[DataFrame, int], None]:
         landed = F.col("received_at")
         records = failures.intake(batch, landed, keep=["received_at"])
         tables.write_batch(records.drop("received_at"), f"{root}/failures", batch_id)
-        tables.write_batch(records.select("failure_id", "status", F.col("received_at").alias("ts")), f"{root}/status_events", batch_id)
+        tables.write_batch(records.select("failure_id", "status", F.col("received_at").alias("ts")), f"{root}/status_events/step=intake", batch_id)
         tables.write_batch(failures.quarantine(batch, landed), f"{root}/quarantine", batch_id)
 
     return work
@@ -120,6 +120,49 @@ def analysis_job(root: str, training: DataFrame | None = None, **options) -> Cal
     return work
 
 
+def mark(root: str, step: str, failures_: DataFrame, states: list[str], batch_id: int) -> None:
+    """Stores that failures have reached the given states, as events of a step."""
+    each = failures_.select("failure_id", F.explode(F.array(*[F.lit(s) for s in states])).alias("status"))
+    tables.write_batch(each.withColumn("ts", F.current_timestamp()), f"{root}/status_events/step={step}", batch_id)
+
+
+def collect_job(root: str) -> Callable[[DataFrame, int], None]:
+    """(failure_id) of failures whose logs are all there -> status events, where the gate lets them pass."""
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        mark(root, "collect", at_step(root, batch.select("failure_id").distinct(), "collect", batch_id), ["LOGS_COLLECTED"], batch_id)
+
+    return work
+
+
+def at_step(root: str, failures_: DataFrame, step: str, batch_id: int) -> DataFrame:
+    """Those of (failure_id) whose current state lets the step run.  What the
+    step itself said in this batch or later doesn't count, so a replay decides
+    as the first run did."""
+    spark = failures_.sparkSession
+    if not tables.exists(spark, f"{root}/status_events"):
+        return failures_.limit(0)
+    events = spark.read.parquet(f"{root}/status_events").filter((F.col("step") != step) | (F.col("batch_id") < batch_id))
+    now = failures.current_status(events).filter(failures.step_for(F.col("status")) == step)
+    return failures_.join(now.select("failure_id"), "failure_id", "left_semi")
+
+
+def gated_analysis_job(root: str, **options) -> Callable[[DataFrame, int], None]:
+    """analysis_job for failures whose lines come in several micro-batches: lines are kept until their failure's logs
+    are collected, then analysed once, and the failure is marked as resolved."""
+    analyse = analysis_job(root, **options)
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        tables.write_batch(batch, f"{root}/lines", batch_id)
+        lines = tables.read_batches(spark, f"{root}/lines").filter(F.col("batch_id") <= batch_id).drop("batch_id")
+        ready = at_step(root, lines.select("failure_id").distinct(), "classify", batch_id).checkpoint()
+        analyse(lines.join(ready, "failure_id", "left_semi"), batch_id)
+        mark(root, "classify", ready, ["CLASSIFIED", "ANALYZING", "RESOLVED"], batch_id)
+
+    return work
+
+
 def feedback_job(path: str, training: DataFrame) -> Callable[[DataFrame, int], None]:
     """Classified signals -> training feedback in full batches.  What does not
     fill one stays pending and is looked at again with the next micro-batch."""

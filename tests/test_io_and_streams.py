@@ -3,7 +3,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from redbuild.operators import extract
+from redbuild.operators import extract, failures
 from redbuild.sources import documents, logs, tables
 from redbuild.sources import schemas as S
 from redbuild.streaming import jobs
@@ -190,3 +190,20 @@ def test_feedback_stays_pending_until_a_batch_is_full(spark):
     now = stored.filter("batch_id = 1")
     assert now.filter("learned").count() == 20 and now.filter("NOT learned").count() == 10
     assert now.select("fingerprint").distinct().count() == 30
+
+
+def test_lines_wait_until_their_logs_are_collected(spark):
+    root = folder()
+    whole = log_frame(spark)
+    jobs.mark(root, "intake", spark.createDataFrame([("f0",), ("f1",)], "failure_id string"), ["RECEIVED"], 0)
+    work = jobs.gated_analysis_job(root)
+    work(whole.filter("line_no < 7"), 0)
+    jobs.collect_job(root)(spark.createDataFrame([("f0",)], "failure_id string"), 0)
+    for _ in range(2):  # replayed
+        work(whole.filter("line_no >= 7"), 1)
+    found = tables.read_batches(spark, f"{root}/signals")
+    assert {(r["failure_id"], r["batch_id"]) for r in found.collect()} == {("f0", 1)}
+    want = extract.distinct_signals(extract.extract_signals(whole.filter("failure_id = 'f0'")))
+    assert found.select("fingerprint").distinct().count() == want.count()
+    now = {r["failure_id"]: r["status"] for r in failures.current_status(spark.read.parquet(f"{root}/status_events")).collect()}
+    assert now == {"f0": "RESOLVED", "f1": "RECEIVED"}

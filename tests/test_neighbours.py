@@ -110,3 +110,13 @@ def test_copies_make_no_more_than_k_rows(spark, broadcast_rows):
     got = N.nearest(queries, stored, 3, "l2", broadcast_rows=broadcast_rows)
     assert got.count() == 6_000
     assert got.groupBy("stored_id").count().orderBy("stored_id").collect() == [(1, 2_000), (2, 2_000), (3, 2_000)]
+
+
+def test_medoids_of_wide_vectors(spark, monkeypatch):
+    points = frame(spark, cloud(80, 5))
+    clustered = D.clusters(points).checkpoint()
+    want = sorted(D.medoids(clustered).collect())
+    monkeypatch.setattr(D, "WIDE", 2)
+    assert sorted(D.medoids(clustered).collect()) == want and want
+    with pytest.raises(ValueError):
+        D.medoids(clustered.withColumn("vec", F.when(F.col("id") % 2 == 0, F.array(F.lit(1.0))).otherwise(F.col("vec"))))
