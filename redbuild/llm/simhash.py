@@ -224,7 +224,8 @@ def least_of_groups(docs: DataFrame, size: int = 2, kinds: int = 6) -> DataFrame
 def one_of_each(docs: DataFrame, size: int = 2, kinds: int = 6) -> DataFrame:
     """docs without all but one document of each near-duplicate group, the one with the least id (then the least
     text hash among equal ids).  All columns are kept.  Rows without id stay."""
-    keep = written(least_of_groups(docs, size, kinds), "kept")
+    # Texts are shuffled once, however few documents there are: the plan is the same at every size.
+    keep = written(least_of_groups(docs, size, kinds), "kept").hint("merge")
     kept = docs.join(keep, "doc_id", "left_semi")
     same = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
     if same.head(1):  # an id given twice: one row of it
