@@ -26,7 +26,8 @@ from .common import small_batches, slices, written
 
 PIECE = 32
 SEGMENT = 2_000_000  # bytes hashed at once
-BLOCK = 200_000  # bytes of a suffix array, unless a single group is larger
+BLOCK = 10_000  # bytes of a suffix array, unless a single group is larger: its lists then stay in the processor's cache
+BLOCKS = 64  # whose spans are passed on together
 RUN = 256  # windows of a context
 GROUP = 1_000_000  # bytes of one; windows of a larger group are told apart one by one
 _RANDOM = np.random.default_rng(20)
@@ -309,8 +310,8 @@ def repeats(parts: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarra
 
 def _sorter(length: int):
     """Contexts in the order of their anchors: spans of what is repeated among them; windows of groups that are too large."""
-    def solve(parts):
-        docs, starts = repeats(parts, length)
+    def passed_on(found) -> pa.RecordBatch:
+        docs, starts = (np.concatenate(x) for x in zip(*found))
         return _spans(docs, starts, starts + length)
 
     def windows(parts) -> Iterator[pa.RecordBatch]:
@@ -321,15 +322,18 @@ def _sorter(length: int):
             yield _rows(3, *hashes, np.full(len(i), doc), (i + start) << 16 | 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, group, own, key, large = [], 0, [], 0, None, False
+        found, block, size, group, own, key, large = [], [], 0, [], 0, None, False
         for batch in batches:
             for k, doc, start, part in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "start", "part"))):
                 if k != key:
                     block += group
                     size += own
                     if size >= BLOCK:
-                        yield solve(block)
+                        found.append(repeats(block, length))
                         block, size = [], 0
+                        if len(found) == BLOCKS:
+                            yield passed_on(found)
+                            found = []
                     group, own, key, large = [], 0, k, False
                 group.append((doc, start, part))
                 own += len(part)
@@ -339,7 +343,9 @@ def _sorter(length: int):
                     group, own = [], 0
         block += group
         if block:
-            yield solve(block)
+            found.append(repeats(block, length))
+        if found:
+            yield passed_on(found)
 
     return run
 
