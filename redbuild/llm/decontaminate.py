@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, small_batches
+from .common import TO_LOWER, small_batches, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {i: j for i, j in enumerate(TO_LOWER) if i != j}
 BLOCK_WORDS = 200_000  # words of test items in one automaton: a hundred MB at most
-SCHEMA = "doc_id long, h long, n_words long, starts array<int>, ends array<int>, items array<string>"
+SCHEMA = "row long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
 
 
 def words(text: str | None) -> list[str]:
@@ -32,7 +32,7 @@ def words(text: str | None) -> list[str]:
 class Automaton:
     """Suffix automaton of several word sequences; states are numbers, 0 is the root."""
 
-    def __init__(self, items: list[tuple[str, list[str]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[str]]], window: int):
         self.window = window
         self.next: list[dict[str, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -134,9 +134,9 @@ class Automaton:
         return [tuple(r) for r in runs], set().union(*(self.items_at[s] for s in found))
 
 
-def item_blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple[str, list[str]]]]:
+def item_blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple[str | None, list[str]]]]:
     """The items in blocks of bounded size: a block is all that an automaton, and so a task, ever holds."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id IS NOT NULL")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     blocks, size = [[]], 0
     for row in rows.orderBy("item_id", "text").toLocalIterator():  # the stated query set
         item = words(row["text"])
@@ -165,11 +165,11 @@ def _scanner(shared, key: str, window: int):
                 n.append(len(tokens))
                 starts.append([a for a, _ in runs])
                 ends.append([b for _, b in runs])
-                items.append(sorted(names))
+                items.append(sorted(names - {None}))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("h"), pa.array(n, pa.int64()), pa.array(starts, pa.list_(pa.int32())),
+                [batch.column("row"), batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(starts, pa.list_(pa.int32())),
                  pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "h", "n_words", "starts", "ends", "items"],
+                ["row", "doc_id", "n_words", "starts", "ends", "items"],
             )
 
     return scan
@@ -186,31 +186,36 @@ def _joined(runs):
     return F.aggregate(runs, F.array().cast("array<struct<a:int,b:int>>"), add)
 
 
-def hit_runs(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """For each row of docs: doc_id, n_words, starts and ends (its disjoint hit runs, in words) and items (ids as strings).
-
-    A null or empty text has no words and no hits.  An item of no words never occurs, an item without id is left out,
-    items of one id count as one.  Rows with the same doc_id give a row each while all items fit one automaton; beyond
-    that they are told apart by their texts (equal rows are then one).  Other columns are ignored.  An empty benchmark
-    hits nothing.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
+def _merged_runs(rows: DataFrame, blocks: list, window: int) -> DataFrame:
+    """(row, doc_id, n_words, starts, ends, items) for rows (row, doc_id, text) with unique numbers, over all blocks."""
     parts = []
-    blocks = item_blocks(benchmark, block_words)
     for block in blocks:
-        shared = spark.sparkContext.broadcast(block)  # at most block_words words and one item
-        rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-        scan = _scanner(shared, uuid.uuid4().hex, window)
-        if len(blocks) == 1:
-            return rows.mapInArrow(scan, SCHEMA).drop("h")
-        parts.append(rows.mapInArrow(scan, SCHEMA))
+        shared = rows.sparkSession.sparkContext.broadcast(block)  # at most block_words words and one item
+        parts.append(rows.mapInArrow(_scanner(shared, uuid.uuid4().hex, window), SCHEMA))
+    if len(parts) == 1:
+        return parts[0]
     runs = F.arrays_zip(F.col("starts").alias("a"), F.col("ends").alias("b"))
     every = reduce(DataFrame.unionByName, [p.withColumn("r", runs) for p in parts])
-    merged = every.groupBy("doc_id", "h", "n_words").agg(
+    merged = every.groupBy("row", "doc_id", "n_words").agg(
         _joined(F.array_sort(F.flatten(F.collect_list("r")))).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    return merged.select("doc_id", "n_words", F.col("r.a").alias("starts"), F.col("r.b").alias("ends"), "items")
+    return merged.select("row", "doc_id", "n_words", F.col("r.a").alias("starts"), F.col("r.b").alias("ends"), "items")
+
+
+def hit_runs(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """For each row of docs: doc_id, n_words, starts and ends (its disjoint hit runs, in words) and items (ids as strings).
+
+    A null or empty text has no words and no hits.  An item of no words never occurs; the words of an item without id are
+    hit like any other's, but items can't name it; items of one id count as one.  Equal rows give a row each, however
+    many blocks there are: with several, rows are numbered and written once.  Other columns are ignored.  An empty
+    benchmark hits nothing.
+    """
+    small_batches(docs.sparkSession)
+    blocks = item_blocks(benchmark, block_words)
+    rows = docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text")
+    if len(blocks) > 1:
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    return _merged_runs(rows, blocks, window).drop("row")
 
 
 def _cleaner(shared, key: str, window: int, most: float):

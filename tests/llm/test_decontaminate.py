@@ -61,6 +61,15 @@ def test_spans_go_and_mostly_copied_documents_too(spark, make):
     assert got[2]["text"] == "clean words only" and got[3]["text"] is None
 
 
+@pytest.mark.parametrize("block_words", [200_000, 1])
+def test_equal_rows_and_items_without_id(spark, make, block_words):
+    bench = spark.createDataFrame([(1, "a b c"), (2, "b c d"), (None, "x y z")], "item_id long, text string")
+    docs = make([(1, "a b c d"), (1, "a b c d"), (None, "x y z w"), (None, "x y z w"), (3, None), (3, None)])
+    got = sorted((r["doc_id"] or 0, r["n_words"], list(zip(r["starts"], r["ends"])), r["items"]) for r in D.hit_runs(docs, bench, 3, block_words).collect())
+    assert got == [(0, 4, [(0, 3)], [])] * 2 + [(1, 4, [(0, 4)], ["1", "2"])] * 2 + [(3, 0, [], [])] * 2
+    assert sum(r["text"] == " w" for r in D.decontaminate(docs, bench, 3, 1.0, block_words).collect()) == 2
+
+
 def test_odd_input(spark, odd, empty):
     bench = spark.createDataFrame([(1, "same text of a row"), (None, "x"), (2, None), (3, ""), (1, "the end")], "item_id long, text string")
     got = D.hit_runs(odd, bench)
