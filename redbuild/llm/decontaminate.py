@@ -218,40 +218,57 @@ def hit_runs(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_word
     return _merged_runs(rows, blocks, window).drop("row")
 
 
+def _without(batch: pa.RecordBatch, runs: list, most: float) -> pa.RecordBatch:
+    """The rows of which at most `most` of the words are in runs, without these."""
+    out, keep = [], []
+    for text, own in zip(batch.column("text").to_pylist(), runs):
+        spans = [m.span() for m in WORD.finditer((text or "").translate(LOWER))]
+        keep.append(sum(b - a for a, b in own) <= most * len(spans))
+        for a, b in reversed(own):
+            text = text[:spans[a][0]] + text[spans[b - 1][1]:]
+        out.append(text)
+    at = batch.schema.get_field_index("text")
+    new = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+    return new.filter(pa.array(keep, pa.bool_()))
+
+
 def _cleaner(shared, key: str, window: int, most: float):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _BUILT:
             _BUILT.clear()
             _BUILT[key] = Automaton(shared.value, window)
         for batch in batches:
-            out, keep = [], []
-            for text in batch.column("text").to_pylist():
-                spans = [m.span() for m in WORD.finditer((text or "").translate(LOWER))]
-                lower = (text or "").translate(LOWER)
-                runs, _ = _BUILT[key].scan([lower[a:b] for a, b in spans])
-                hit = sum(b - a for a, b in runs)
-                keep.append(hit <= most * len(spans))
-                for a, b in reversed(runs):
-                    text = text[:spans[a][0]] + text[spans[b - 1][1]:]
-                out.append(text)
-            at = batch.schema.get_field_index("text")
-            new = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
-            yield new.filter(pa.array(keep, pa.bool_()))
+            yield _without(batch, [_BUILT[key].scan(words(text))[0] for text in batch.column("text").to_pylist()], most)
 
     return clean
 
 
+def _cutter(most: float):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [list(zip(a, b)) for a, b in zip(batch.column("_starts").to_pylist(), batch.column("_ends").to_pylist())]
+            yield _without(batch.drop_columns(["_starts", "_ends"]), runs, most)
+
+    return cut
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the spans that stand in test items; a document goes if more than `most` of its words are hit.
 
-    All columns are kept; n_chars, where there is one, follows the text.  Null and empty texts stay as they are.  With
-    several blocks of items each block cleans what the one before has left.
+    All columns are kept; n_chars, where there is one, follows the text.  Null and empty texts stay as they are.  Hits are
+    those of the text as given, whatever the number of blocks: with several, rows are numbered and written once, and cut
+    when all their runs are known.
     """
     small_batches(docs.sparkSession)
-    out = docs
-    for block in item_blocks(benchmark, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        out = out.mapInArrow(_cleaner(shared, uuid.uuid4().hex, window, most), docs.schema)
+    blocks = item_blocks(benchmark, block_words)
+    if len(blocks) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(blocks[0])
+        out = docs.mapInArrow(_cleaner(shared, uuid.uuid4().hex, window, most), docs.schema)
+    else:
+        numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        runs = _merged_runs(numbered.select(F.col("_row").alias("row"), "doc_id", "text"), blocks, window)
+        runs = runs.select(F.col("row").alias("_row"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
+        out = numbered.join(runs, "_row").select(*docs.columns, "_starts", "_ends").mapInArrow(_cutter(most), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -61,6 +61,20 @@ def test_spans_go_and_mostly_copied_documents_too(spark, make):
     assert got[2]["text"] == "clean words only" and got[3]["text"] is None
 
 
+def test_blocks_do_not_change_what_is_cut(spark, make):
+    first, second = " ".join(f"w{i}" for i in range(1, 13)), " ".join(f"w{i}" for i in range(8, 20))
+    other = " ".join(f"v{i}" for i in range(25))
+    bench = spark.createDataFrame([(1, first), (2, second), (3, other)], "item_id long, text string")
+    overlap = "a b " * 20 + " ".join(f"w{i}" for i in range(1, 20)) + " the end"
+    mostly = " ".join(f"v{i}" for i in range(20)) + " x " * 18 + first  # 32 of 50 words, in two blocks
+    texts = [overlap, overlap, mostly, None, "", *case(1)[0]]
+    got = [D.decontaminate(make(texts), bench, block_words=n).collect() for n in (20, 200_000)]
+    assert len(D.item_blocks(bench, 20)) == 3
+    assert sorted(map(str, got[0])) == sorted(map(str, got[1]))
+    kept = {r["doc_id"]: r["text"] for r in got[0]}
+    assert kept[0] == kept[1] == "a b " * 20 + " the end" and 2 not in kept and kept[3] is None
+
+
 @pytest.mark.parametrize("block_words", [200_000, 1])
 def test_equal_rows_and_items_without_id(spark, make, block_words):
     bench = spark.createDataFrame([(1, "a b c"), (2, "b c d"), (None, "x y z")], "item_id long, text string")
