@@ -1,8 +1,9 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
-Every line of a file and the file as a whole are compared with the templates,
-in the space of the templates' words and one dimension more for each other
-word.  A file without a licence of its own has that of the nearest ancestor
+Every line of a file, groups of neighbouring lines and the file as a whole are
+compared with the templates, in the space of the templates' words and one
+dimension more for each other word; the file as a whole also with full licence
+texts.  A file without a licence of its own has that of the nearest ancestor
 directory with a licence file; directories are resolved once each, by joins on
 their paths.
 """
@@ -10,6 +11,7 @@ their paths.
 from __future__ import annotations
 
 import math
+import pkgutil
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -42,6 +44,16 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved. No part may be reproduced without written permission."),
 ]
+#: Notices that also stand beside licences: they count only where nothing else is found.
+BARE = [
+    ("Proprietary", "All rights reserved."),
+    ("Proprietary", "Copyright (c) All rights reserved."),
+]
+#: Files of licence_texts, compared with whole files only.
+FULL = [
+    "MIT", "Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "BSD-3-Clause", "BSD-2-Clause",
+    "MPL-1.1", "MPL-2.0", "ISC", "CC0-1.0", "Unlicense",
+]
 #: Names of licence files, without their endings (fixed values).
 FILE_NAMES = ("license", "licence", "copying", "notice", "unlicense")
 LEAST = 0.75  # cosine of a line or a file with a template
@@ -58,10 +70,23 @@ def cleaned(text: str | None) -> bytes:
     return (text or "").encode().translate(_TABLE)
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """Licence ids and whole texts."""
+    texts = [(name, pkgutil.get_data(__package__, f"licence_texts/{name}.txt").decode()) for name in FULL]
+    # The two differ in their names and one section.
+    affero = dict(texts)["GPL-3.0"].replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC").replace("GNU General Public", "GNU Affero General Public")
+    return [*texts, ("AGPL-3.0", affero)]
+
+
 class Scanner:
     """Templates as unit vectors; finds the closest for a bag of words."""
 
-    def __init__(self, templates: list[tuple[str, str]], rows: int, df: dict[bytes, int], least: float):
+    def __init__(
+        self, templates: list[tuple[str, str]], rows: int, df: dict[bytes, int], least: float,
+        bare: list[tuple[str, str]] = (), full: list[tuple[str, str]] = (),
+    ):
+        self.bare = Scanner(bare, rows, df, least) if bare else None
+        self.full = Scanner(full, rows, df, least) if full else None
         self.names = [name for name, _ in templates]
         bags = [Counter(tokens(cleaned(text))) for _, text in templates]
         self.idf = {w: math.log((rows + 1) / (df.get(w, 0) + 1)) + 1 for bag in bags for w in bag}
@@ -69,6 +94,9 @@ class Scanner:
         self.least = least
         self.at: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         self.needed: set[bytes] = set()
+        self.rare: set[bytes] = set()  # the same without the commonest words
+        # A group of lines with more words than these is further from any template than `least`, if words weigh the same.
+        self.most_words = int(max((sum(bag.values()) for bag in bags), default=0) / least ** 2) + 1
         for t, bag in enumerate(bags):
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in bag.items())) or 1.0
             weights = sorted(((n * self.idf[w] / norm, w) for w, n in bag.items()), reverse=True)
@@ -79,6 +107,11 @@ class Scanner:
                 if rest >= least * least:
                     self.needed.add(w)
                 rest -= weight * weight
+            rest = 0.0
+            for _, weight, w in sorted((self.idf[w], weight, w) for weight, w in weights):
+                rest += weight * weight
+                if rest >= least * least:
+                    self.rare.add(w)
 
     def best(self, bag: Counter) -> tuple[float, int]:
         """(cosine, template) of the closest template; the first one among equals."""
@@ -93,26 +126,67 @@ class Scanner:
         t = min(dots, key=lambda i: (-round(dots[i], 12), i))
         return dots[t] / norm, t
 
-    def scan(self, text: str | None) -> tuple[str | None, float, int | None, float]:
-        """(licence, cosine, line, cosine of the whole text): the closest line or the whole text (line null)."""
-        data = cleaned(text)
-        words = set(data.split())
-        if not any(w.strip(b".-") in self.needed for w in words):
-            return None, 0.0, None, 0.0
-        best, total = (0.0, -1, None), Counter()
-        for i, line in enumerate(data.split(b"\n")):
-            bag = Counter(tokens(line))
-            total.update(bag)
-            if not self.needed.isdisjoint(bag):
+    def closest(self, bags: list[Counter]) -> tuple[float, int, int | None]:
+        """(cosine, template, line): the closest line, else group of neighbouring lines, by its first line."""
+        best = (0.0, -1, None)
+        hit = [not self.needed.isdisjoint(bag) for bag in bags]
+        for i, bag in enumerate(bags):
+            if hit[i]:
                 score, t = self.best(bag)
                 if score > best[0] + 1e-12:
                     best = (score, t, i)
-        whole, t = self.best(total)
+        filled = [i for i, bag in enumerate(bags) if bag]
+        sizes = [sum(bags[i].values()) for i in filled]
+        ahead = len(filled)  # the next line at or behind `at` with a needed word
+        near = [0] * len(filled)
+        for at in reversed(range(len(filled))):
+            ahead = at if hit[filled[at]] else ahead
+            near[at] = ahead
+        for at, i in enumerate(filled):
+            if near[at] - at > self.most_words:
+                continue
+            group, words = bags[i], sizes[at]
+            for to in range(at + 1, len(filled)):
+                words += sizes[to]
+                if words > self.most_words:
+                    break
+                group = group + bags[filled[to]]
+                if near[at] <= to:
+                    score, t = self.best(group)
+                    if score > best[0] + 1e-12:
+                        best = (score, t, i)
+        return best
+
+    def scan(self, text: str | None) -> tuple[str | None, float, int | None, float]:
+        """(licence, cosine, line, cosine of the whole text): the closest line, group of lines (its first line) or the
+        whole text (line null).  A full licence text goes before notices in it, bare notices come last."""
+        data = cleaned(text)
+        words = {w.strip(b".-") for w in set(data.split())}
+        notice = not self.needed.isdisjoint(words)
+        bare = self.bare is not None and not self.bare.needed.isdisjoint(words)
+        whole_text = self.full is not None and not self.full.rare.isdisjoint(words)
+        if not (notice or bare or whole_text):
+            return None, 0.0, None, 0.0
+        bags = [Counter(tokens(line)) for line in data.split(b"\n")] if notice or bare else []
+        total = Counter(tokens(data))
+        whole, t = self.best(total) if notice else (0.0, -1)
+        full = 0.0
+        if whole_text:
+            full, f = self.full.best(total)
+            if full >= self.least and full > whole:
+                return self.full.names[f], full, None, full
+        best = self.closest(bags) if notice else (0.0, -1, None)
         if whole > best[0] + 1e-12:
             best = (whole, t, None)
-        if best[0] < self.least:
-            return None, best[0], None, whole
-        return self.names[best[1]], best[0], best[2], whole
+        whole = max(whole, full)
+        if best[0] >= self.least:
+            return self.names[best[1]], best[0], best[2], whole
+        if bare:
+            own = self.bare.closest(bags)
+            if own[0] >= self.least:
+                return self.bare.names[own[1]], own[0], own[2], max(whole, self.bare.best(total)[0])
+            best = max(best, own, key=lambda x: x[0])
+        return None, max(best[0], full), None, whole
 
 
 def document_counts(files: DataFrame, templates: list[tuple[str, str]]) -> tuple[int, dict[bytes, int]]:
@@ -136,14 +210,16 @@ def document_counts(files: DataFrame, templates: list[tuple[str, str]]) -> tuple
 
 
 def own_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """(path, licence, score, line, whole_score) for every row: the closest template among the file's lines and the
-    file itself; licence is null below `least`.
+    """(path, licence, score, line, whole_score) for every row: the closest template among the file's lines, groups of
+    neighbouring lines and the file itself; licence is null below `least`.  Full licence texts and BARE notices are
+    compared with the file too.
 
-    line counts from 0, null for the file as a whole.  Null and empty texts have no licence and score 0.  The first of
+    line counts from 0, null for the file as a whole; of a group of lines it is the first.  Null and empty texts have no licence and score 0.  The first of
     equally close lines and templates wins.  Rows with equal paths give a row each.  Other columns are ignored.
     """
-    rows, df = document_counts(files, templates)
-    shared = files.sparkSession.sparkContext.broadcast(Scanner(templates, rows, df, least))  # the templates' words
+    full = full_texts()
+    rows, df = document_counts(files, [*templates, *BARE, *full])
+    shared = files.sparkSession.sparkContext.broadcast(Scanner(templates, rows, df, least, BARE, full))  # the templates' words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = shared.value

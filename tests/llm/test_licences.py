@@ -52,6 +52,24 @@ def test_nearest_directory_passes_its_licence_on(spark):
     assert got["a/b/header.c"] == ("MIT", None) and got[None] == (None, None)
 
 
+def test_bare_wrapped_and_full_notices(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met"
+    full = dict(L.full_texts())
+    words = "/* ".join(f"{w}\n" for w in dict(L.TEMPLATES)["ISC"].split())
+    prose = "\n".join(f"some prose of line {i} and more" for i in range(40))
+    rows = [
+        ("a", f"{prose}\nAll rights reserved.\n{prose}"), ("b", "// Copyright (c) 2020 Acme.\n// All rights reserved.\ncode"),
+        ("c", "# " + bsd.replace("\n", "\n# ") + "\n# " + prose), ("d", f"Copyright 2001. All rights reserved.\n\n{bsd}:\n{prose}"),
+        ("e", f"{prose}\n{words}\n{prose}"), ("f", "all the rights of man are reserved for others and so on"), ("g", prose),
+        *((f"full/{name}", text.replace("<holder>", "Jo Doe").replace("<year>", "1999")) for name, text in full.items()),
+    ]
+    got = {r["path"]: (r["licence"], r["line"]) for r in L.own_licences(files(spark, rows)).collect()}
+    assert got["a"] == ("Proprietary", 40) and got["b"][0] == "Proprietary"
+    assert got["c"] == ("BSD-3-Clause", 0) and got["d"] == ("BSD-3-Clause", 2)
+    assert got["e"] == ("ISC", 40) and got["f"] == got["g"] == (None, None)
+    assert all(got[f"full/{name}"] == (name, None) for name in full), [(n, got[f"full/{n}"]) for n in full]
+
+
 def test_odd_input(spark, odd, empty):
     from pyspark.sql import functions as F
 
