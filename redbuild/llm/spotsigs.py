@@ -25,25 +25,30 @@ ANCHORS = (
 ).split()
 CHAIN = 2  # content words of a spot
 REACH = 8  # words behind an anchor among which they are looked for
+AROUND = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())  # what may stand around an anchor
 
 
 def spots(text: Column) -> Column:
     """The text's fingerprint: rising, distinct 64-bit numbers.
 
-    Words end at white space, A-Z count as a-z.  The text's start is an anchor too, so every text with words has a
-    fingerprint; a text without (null, empty) has the empty one.  Equal texts have equal fingerprints.
+    Words end at white space, A-Z count as a-z, an anchor may have punctuation around it.  The text's start is an anchor
+    too, so every text with words has a fingerprint; a text without (null, empty) has the empty one.  Where the REACH
+    words before a word have no anchor, the word is one itself, so the whole length is seen of texts with few anchors or
+    none.  Equal texts have equal fingerprints.
     """
     words = F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SPACES), lambda w: w != "")
-    common = lambda w: w.isin(*sorted(set(ANCHORS)))
+    bare = lambda w: F.btrim(w, F.lit(AROUND))
+    common = lambda w: bare(w).isin(*sorted(set(ANCHORS)))
 
-    def of(w: Column) -> Column:
+    def of(w: Column, c: Column) -> Column:
         chain = lambda at, anchor: F.xxhash64(F.concat_ws(
             " ", anchor, F.slice(F.filter(F.slice(w, at, F.lit(REACH)), lambda x: ~common(x)), 1, CHAIN)))
-        found = F.transform(w, lambda x, i: F.when(common(x), chain(i + 2, x)))
+        far = lambda i: (i >= REACH) & ~F.array_contains(F.slice(c, F.greatest(i - (REACH - 1), F.lit(1)), F.lit(REACH)), True)
+        found = F.transform(w, lambda x, i: F.when(F.get(c, i), chain(i + 2, bare(x))).when(far(i), chain(i + 2, x)))
         start = F.when(F.size(w) > 0, chain(F.lit(1), F.lit("^")))
         return F.array_sort(F.array_distinct(F.array_compact(F.concat(found, F.array(start)))))
 
-    return let(words, of)
+    return let(words, lambda w: let(F.transform(w, common), lambda c: of(w, c)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

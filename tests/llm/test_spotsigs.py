@@ -23,6 +23,15 @@ def test_spots_equal_a_plain_loop(spark, make):
         assert r["s"] == sorted(codes[s] for s in plain_spots(texts[r["doc_id"]]))
 
 
+def test_texts_without_anchors_are_seen_whole(make):
+    one, two = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    texts = ["same start " + one, "same start " + two, "same start " + one[:len(one) // 2] + two[len(two) // 2:], '"The, cat (of) house', "the cat of house"]
+    rows = {r["doc_id"]: set(r["s"]) for r in make(texts).select("doc_id", S.spots(F.col("text")).alias("s")).collect()}
+    like = lambda a, b: len(rows[a] & rows[b]) / len(rows[a] | rows[b])
+    assert like(0, 1) < 0.1 and 0.2 < like(0, 2) < 0.6
+    assert len(rows[3]) == len(rows[4]) == 3 and rows[3] == rows[4]
+
+
 def test_edited_texts_and_likeness(make):
     texts = [f"{'😀' if i % 3 == 0 else ''}the word{i} of a house and tree{i} " * (i % 4 + 1) for i in range(37)] + [None, "", "x"]
     ids = [i * 7 % 101 for i in range(len(texts))]
