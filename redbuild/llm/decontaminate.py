@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, small_batches, written
+from .common import TO_LOWER, small_batches, unused, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {i: j for i, j in enumerate(TO_LOWER) if i != j}
@@ -243,11 +243,11 @@ def _cleaner(shared, key: str, window: int, most: float):
     return clean
 
 
-def _cutter(most: float):
+def _cutter(starts: str, ends: str, most: float):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = [list(zip(a, b)) for a, b in zip(batch.column("_starts").to_pylist(), batch.column("_ends").to_pylist())]
-            yield _without(batch.drop_columns(["_starts", "_ends"]), runs, most)
+            runs = [list(zip(a, b)) for a, b in zip(batch.column(starts).to_pylist(), batch.column(ends).to_pylist())]
+            yield _without(batch.drop_columns([starts, ends]), runs, most)
 
     return cut
 
@@ -265,10 +265,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most:
         shared = docs.sparkSession.sparkContext.broadcast(blocks[0])
         out = docs.mapInArrow(_cleaner(shared, uuid.uuid4().hex, window, most), docs.schema)
     else:
-        numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        runs = _merged_runs(numbered.select(F.col("_row").alias("row"), "doc_id", "text"), blocks, window)
-        runs = runs.select(F.col("row").alias("_row"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
-        out = numbered.join(runs, "_row").select(*docs.columns, "_starts", "_ends").mapInArrow(_cutter(most), docs.schema)
+        row, starts, ends = unused(docs, "row", "starts", "ends")
+        numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        runs = _merged_runs(numbered.select(F.col(row).alias("row"), "doc_id", "text"), blocks, window)
+        runs = runs.select(F.col("row").alias(row), F.col("starts").alias(starts), F.col("ends").alias(ends))
+        out = numbered.join(runs, row).select(*docs.columns, starts, ends).mapInArrow(_cutter(starts, ends, most), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, ranked
+from .common import checkpointed, ranked, unused
 
 BLOCK = 128
 TINY = 1e-9
@@ -157,21 +157,20 @@ def spread_copies(mixed: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
     """docs as the mix takes them, each row as often as it is taken; all columns are kept.
 
-    Sizes are words of the text.  Rows are told apart by doc_id, source and their texts' hash; rows equal in all of
-    these are one item, for which one of them stands.
+    Sizes are words of the text.  Rows equal in all columns are one item, whose copies are as many in sum.
     """
-    rows = docs.select("*", F.xxhash64("text").alias("_h0"), word_count(F.col("text")).alias("_size0"))
-    mixed = mix(rows, ["doc_id", "_h0"], size="_size0", weights=weights, share=share, most=most, seed=seed)
-    taken = mixed.filter("copies > 0").select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_h0").alias("_g"), "copies", "rows"
-    ).withColumnsRenamed({"copies": "_copies", "rows": "_rows"})
-    taken = checkpointed(taken)
-    if taken.filter("_rows > 1").head(1):
-        rows = rows.dropDuplicates(["doc_id", "source", "_h0"])
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_h0") == F.col("_g"))
+    h0, size0, copies, count, at, copy, d, s, g = unused(docs, "h0", "size0", "copies", "count", "at", "copy", "d", "s", "g")
+    rows = docs.select("*", F.xxhash64(*[F.col(c) for c in docs.columns]).alias(h0), word_count(F.col("text")).alias(size0))
+    items = rows.select(F.col("doc_id").alias("doc"), F.col("source").alias("origin"), F.col(h0).alias("hash"), F.col(size0).alias("words"))
+    mixed = mix(items, ["doc", "hash"], source="origin", size="words", weights=weights, share=share, most=most, seed=seed)
+    taken = checkpointed(mixed.filter("copies > 0").select(
+        F.col("doc").alias(d), F.col("origin").alias(s), F.col("hash").alias(g), F.col("copies").alias(copies), F.col("rows").alias(count)))
+    if taken.filter(F.col(count) > 1).head(1):
+        rows = rows.dropDuplicates(["doc_id", "source", h0])
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(h0) == F.col(g))
     met = rows.join(taken, same)
     # At most 2 rows from one, but for items of many equal rows: those are dealt out in parts first.
-    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(1_024).cast("long")))
-    met = met.withColumn("_at", part)
-    copy = F.explode(F.sequence(F.col("_at"), F.least(F.col("_at") + 1_023, F.col("_copies") - 1)))
-    return met.withColumn("_copy", copy).select(*[F.col(c) for c in docs.columns])
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(1_024).cast("long")))
+    met = met.withColumn(at, part)
+    each = F.explode(F.sequence(F.col(at), F.least(F.col(at) + 1_023, F.col(copies) - 1)))
+    return met.withColumn(copy, each).select(*[F.col(c) for c in docs.columns])

@@ -11,15 +11,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import TO_LOWER, small_batches, slices, written
+from .common import TO_LOWER, small_batches, slices, unused, written
 from .graph import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -51,31 +51,21 @@ def _voted(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def _rehashed(hashes: np.ndarray, kind: int) -> np.ndarray:
-    """Other hashes of the same shingles; kind 0 are the hashes themselves."""
-    if not kind:
-        return hashes
-    mixed = (hashes ^ hashes >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15 * (2 * kind + 1) % (1 << 64))
-    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return mixed ^ mixed >> np.uint64(32)
-
-
-def simhash(text: str | None, size: int, kind: int = 0) -> int:
+def simhash(text: str | None, size: int) -> int:
     """The fingerprint as a signed number; 0 for a text without words."""
-    return _voted(_rehashed(shingle_hashes(text, size), kind))
+    return _voted(shingle_hashes(text, size))
 
 
-def fingerprints(docs: DataFrame, size: int = 3, kinds: int = 1) -> DataFrame:
-    """(doc_id, fps) for every row: the fingerprints by `kinds` independent hashes of its shingles.  Words end at white
-    space, A-Z count as a-z.  Null texts have no words."""
+def fingerprints(docs: DataFrame, size: int = 3, name: str = "fp") -> DataFrame:
+    """docs with the fingerprint of the column text, as `name`.  Words end at white space, A-Z count as a-z; null texts
+    have no words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(t, size) for t in batch.column("text").to_pylist()]
-            fps = [[_voted(_rehashed(h, k)) for k in range(kinds)] for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fps"])
+            fps = [simhash(t, size) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, name])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fps array<long>")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def _dealt(values: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
@@ -192,7 +182,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, hot: int = HOT_BUCKET) -> Da
     ids or texts give a row each.  Null ids are ignored in the choice of component_id, which is null if all are null.
     Only doc_id and text are used.  An empty table gives no rows.
     """
-    fps = written(fingerprints(docs, size).select("doc_id", F.get("fps", F.lit(0)).alias("fp")), "fingerprints")
+    fps = written(fingerprints(docs.select("doc_id", "text"), size).select(F.col("doc_id").cast("long"), "fp"), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     labels = components(links(distinct, hot)).withColumnRenamed("node", "fp")
     joined = distinct.join(labels, "fp")
@@ -202,35 +192,20 @@ def near_duplicates(docs: DataFrame, size: int = 3, hot: int = HOT_BUCKET) -> Da
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def least_of_groups(docs: DataFrame, size: int = 2, kinds: int = 6) -> DataFrame:
-    """(doc_id) of the least document of each group: documents are linked if any of their `kinds` fingerprints differ in
-    at most RADIUS bits.
+def one_of_each(docs: DataFrame, size: int = 3, hot: int = HOT_BUCKET) -> DataFrame:
+    """docs with one row of each group of near_duplicates(): the row of the least doc_id, then of the least hash of its
+    text, rows without id last.
 
-    A single fingerprint finds copies with a few per cent of other words about every second time; each further one, by
-    other hashes of the same shingles, has a chance of its own.
+    Rows of one id with different texts are documents of their own, each in the group of its text.  All texts without
+    words are one group.  All columns are kept, whatever their names.
     """
-    fps = written(fingerprints(docs.filter("doc_id IS NOT NULL"), size, kinds).groupBy("fps").agg(F.min("doc_id").alias("first")), "fingerprints")
-    edges = []
-    for kind in range(kinds):
-        own = fps.select(F.get("fps", F.lit(kind)).alias("fp"), "first")
-        least = written(own.groupBy("fp").agg(F.min("first").alias("least")), "distinct")
-        edges.append(own.join(least, "fp").select(F.col("first").alias("a"), F.col("least").alias("b")).filter("a != b"))
-        ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"at_{c}")) for c in "ab"]
-        edges.append(links(least.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("at_a").alias("a"), F.col("at_b").alias("b")))
-    labels = components(reduce(DataFrame.unionByName, edges)).select(F.col("node").alias("first"), "label")
-    return fps.join(labels, "first", "left").filter(F.coalesce("label", "first") == F.col("first")).select(F.col("first").alias("doc_id")).distinct()
-
-
-def one_of_each(docs: DataFrame, size: int = 2, kinds: int = 6) -> DataFrame:
-    """docs without all but one document of each near-duplicate group, the one with the least id (then the least
-    text hash among equal ids).  All columns are kept.  Rows without id stay."""
+    rid, fp = unused(docs, "rid", "fp")
+    # The numbers are given while writing, so every later read sees the same.
+    rows = written(fingerprints(docs, size, fp).withColumn(rid, F.monotonically_increasing_id()), "rows")
+    of = [F.col("doc_id").isNull().alias("lost"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col(rid).alias("rid")]
+    best = written(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(F.struct(*of)).alias("best")), "distinct")
+    labels = components(links(best, hot)).withColumnRenamed("node", "fp")
+    group = best.join(labels, "fp", "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("best").alias("best"))
+    keep = written(group.select(F.col("best.rid").alias(rid)), "kept")
     # Texts are shuffled once, however few documents there are: the plan is the same at every size.
-    keep = written(least_of_groups(docs, size, kinds), "kept").hint("merge")
-    kept = docs.join(keep, "doc_id", "left_semi")
-    same = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if same.head(1):  # an id given twice: one row of it
-        same = written(same, "repeated")
-        twice = kept.join(same, "doc_id", "left_semi").withColumn("_h", F.xxhash64("text"))
-        first = twice.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.col("_h")).alias("_r")).select("_r.*")
-        kept = kept.join(same, "doc_id", "left_anti").unionByName(first.select(*kept.columns))
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    return rows.join(keep.hint("merge"), rid, "left_semi").select(*docs.columns)

@@ -24,7 +24,7 @@ def odd(make):
         (6, "same text of a row"), (6, "other text of the id"), (7, "same text of a row"), (8, "é ü 中文 😀 the end", None), (9, "aa " * 2_000),
     ]
     frame = make(rows).withColumn("lang", F.when(F.col("doc_id") > 2, F.col("lang")))
-    names = ["shard", "slot", "size", "rows", "copies", "target", "label", "key", "h", "block", "fp", "component_id", "spots", "count",
+    names = ["shard", "slot", "size", "rows", "copies", "target", "label", "key", "h", "block", "fp", "component_id", "spots", "count", "_rid", "_fp", "_null", "_id", "_h", "_n", "_row", "_starts", "_ends", "_h0", "_size0", "_copies", "_rows", "_at", "_copy",
              "quality", "good_odds", "kind", "at", "rank", "start", "path", "n_words", "items", "word", "c", "rid"]
     return frame.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
 

@@ -90,7 +90,8 @@ def test_odd_input(spark, odd, empty):
     assert got.count() == odd.count()
     assert {tuple(r["items"]) for r in got.filter("doc_id = 7").collect()} == {("1",)}
     assert got.filter("doc_id = 1").head()["n_words"] == 0
-    assert D.decontaminate(odd, bench).columns == odd.columns
+    for block_words in (200_000, 8):
+        assert D.decontaminate(odd, bench, block_words=block_words).columns == odd.columns
     assert D.hit_runs(odd, bench.limit(0)).filter("size(items) > 0").count() == 0
     assert D.hit_runs(empty, bench).count() == 0 and D.decontaminate(empty, bench).count() == 0
 

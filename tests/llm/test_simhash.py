@@ -17,7 +17,7 @@ def plain_fingerprint(text):
 
 def test_fingerprints(make):
     texts = ["One two THREE four", "a b", "x", "", None, "É é ß x  y\tz", "w " * 500]
-    got = {r["doc_id"]: r["fps"][0] % (1 << 64) for r in simhash.fingerprints(make(texts), 3, 2).collect()}
+    got = {r["doc_id"]: r["fp"] % (1 << 64) for r in simhash.fingerprints(make(texts), 3).collect()}
     assert got == {i: plain_fingerprint(t) for i, t in enumerate(texts)}
     assert len(simhash.shingle_hashes("a b c a", 1)) == 4 and len(simhash.shingle_hashes("a b", 2)) == 1
 
@@ -75,39 +75,29 @@ def test_near_copies_and_what_stays(make):
     assert {r["doc_id"] for r in simhash.one_of_each(make(rows)).collect()} == {4, 7, 9}
 
 
-def plain_groups(texts, size=2, kinds=6):
-    """doc_id -> text -> least doc_id of its group, comparing all."""
-    fps = {i: [simhash.simhash(t, size, k) % (1 << 64) for k in range(kinds)] for i, t in texts.items()}
-    label = {i: i for i in texts}
+def plain_kept(rows):
+    """Of rows (doc_id, text) the (doc_id, text) that stay, comparing all fingerprints."""
+    label = plain_components(sorted({simhash.simhash(t, 3) for _, t in rows}))
+    best = {}
+    for i, t in rows:
+        of = label[simhash.simhash(t, 3)]
+        row = (i is None, i or 0, t or "")
+        best[of] = min(best.get(of, row), row)
+    return {(None if lost else i, t) for lost, i, t in best.values()}
 
-    def root(i):
-        while label[i] != i:
-            i = label[i]
-        return i
 
-    ids = sorted(texts)
-    for at, i in enumerate(ids):
-        for j in ids[:at]:
-            if any((a ^ b).bit_count() <= 3 for a, b in zip(fps[i], fps[j])):
-                x, y = sorted((root(i), root(j)))
-                label[y] = x
-    return {i: root(i) for i in ids}
-
-
-def test_several_fingerprints_find_more(make):
+def test_one_row_of_each_group_stays(make):
     rng = random.Random(8)
-    texts, origin = {}, {}
+    texts = []
     for i in range(60):
         words = [f"{rng.choice('abcdefgh')}{rng.randint(0, 400)}" for _ in range(150)]
-        for copy in range(2):
-            origin[2 * i + copy] = 2 * i
-            texts[2 * i + copy] = " ".join("new" if copy and rng.random() < 0.02 else w for w in words)
-    want = plain_groups(texts)
-    got = {r["doc_id"] for r in simhash.one_of_each(make(list(texts.items()))).collect()}
-    assert got == set(want.values())
-    found = lambda kinds: sum(plain_groups(texts, 2, kinds)[2 * i + 1] == 2 * i for i in range(60))
-    assert found(6) > found(1) and found(6) > 30
-    assert all(origin[i] == origin[g] for i, g in want.items())
+        texts += [" ".join("new" if copy and rng.random() < 0.004 else w for w in words) for copy in range(3)]
+    rows = list(enumerate(texts)) + [(None, texts[0]), (None, "only without an id"), (6, "another text of the id"), (500, texts[2])] * 2
+    kept = make(rows).withColumn("FP", F.lit(1)).withColumn("rid", F.lit(2))
+    got = simhash.one_of_each(kept)
+    assert got.columns == kept.columns
+    got = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_kept(rows) and len(got) < 130
 
 
 def test_odd_input(odd, empty):
@@ -116,8 +106,8 @@ def test_odd_input(odd, empty):
     assert {r["component_id"] for r in found.filter("fp = 0").collect()} == {1}
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns
-    ids = sorted(r[0] for r in kept.select("doc_id").collect() if r[0] is not None)
-    assert len(ids) == len(set(ids)) and kept.filter("doc_id IS NULL").count() == 2
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert {(r["doc_id"], r["text"] or "") for r in kept.collect()} == {(i, t or "") for i, t in plain_kept(rows)}
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
     assert np.array_equal(simhash.shingle_hashes(None, 3), [])
     assert odd.filter(F.col("doc_id") == 6).count() == 3
