@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redbuild.llm import cotrain, decontaminate, likeness, mixing, sharding
+from redbuild.llm import cotrain, decontaminate, mixing, sharding, simhash
 from redbuild.llm.common import written
 
 
@@ -14,8 +14,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near copies: five-word shingles, likeness 0.8 or more."""
-    return likeness.one_of_each(docs)
+    """One document, that of the least id, of each group linked by fingerprints of three-word shingles at 3 bits or fewer."""
+    return simhash.one_of_each(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
