@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, decontaminate, hmm, licences, mixing, records, sharding, simhash, spotsigs, suffixes
+from . import cotrain, decontaminate, hmm, licences, mixing, periods, records, resample, sharding, simhash, spotsigs, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,3 +113,37 @@ def op10_token_records(spark, folder):
     return back.select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query
+def op11_periods(spark, folder):
+    """About every tenth text gets a planted loop first, as the contract says."""
+    docs = table(spark, folder, "documents").select("doc_id", periods.with_loops(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periods.periodic_runs(docs)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    start, length, period = -longest["s"], longest["n"], -longest["p"]
+    each = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(each, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    net = toxicity.train(docs, table(spark, folder, "labels").filter(~held_out))
+    scored = toxicity.score(docs, net)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_windows", "worst_start", "worst_end"
+    )
+
+
+@query
+def op13_resampling(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    weighed = resample.weighed(docs, table(spark, folder, "benchmark")).drop("text")
+    return resample.draw(weighed, percent=5, least_words=20, seed=42).select("doc_id", "n_features", "weight", "score", "rank")
