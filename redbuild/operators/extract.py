@@ -13,8 +13,10 @@ One file may be a third of all lines, so nothing here works on a whole file:
 * the scan can enter a chunk at `post_context + 2` offsets from its first line
   or behind a block that crosses its start (one per block type).  Each chunk
   computes its exit for every one of these entries, in parallel;
-* one small row per chunk is then folded in order (streamed, constant memory),
-  which fixes the true entry of each chunk;
+* an entry is one of 31 states, so a chunk is a function from states to states.
+  Functions of neighbours are composed in a tree: `fan_in` chunks make a node,
+  `fan_in` nodes the next one, up to one row per file; the true states are then
+  handed down the same tree.  No task sees more than `fan_in` rows of a file;
 * each chunk replays its candidates from its true entry.
 
 Line numbers are contiguous inside a file.
@@ -22,9 +24,6 @@ Line numbers are contiguous inside a file.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +34,8 @@ from .fence import fence
 FILE = ["failure_id", "stage"]
 CHUNK = [*FILE, "chunk"]
 CHUNK_LINES = 4096
+FAN_IN = 512  # children of a node; with two levels below the root, a file may have 5 x 10^11 lines
+LEVELS = 2
 BLOCK_TYPES = list(R.BLOCK_TRIGGERS)
 STRICT, INDENT = "strict", "indent"
 
@@ -184,73 +185,115 @@ def _candidates(ends: DataFrame, chunk_lines: int, post_context: int) -> DataFra
     )
 
 
-def _true_entries(candidates: DataFrame, chunk_lines: int, post_context: int) -> DataFrame:
-    """Folds the chunk rows of each file in order, one small row at a time.
+def _functions(candidates: DataFrame, chunk_lines: int, post_context: int) -> DataFrame:
+    """Chunks as nodes (file, lo, moves, stops).
 
-    Returns per chunk its true entry, and where the block that leaves it open
-    stops in a later chunk.
+    A node begins at line `lo`.  Its states are how many lines a scan is ahead of the boundary (0 to post_context + 1),
+    then one per block type: inside such a block.  moves: the state at its end for each state at its start.  stops: for
+    each block type, the line before which a block that crosses the node's start ends; NULL if not in this node.
     """
-    plain = post_context + 2  # entries[:plain] are offsets, then one per block type
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, frontier, reached = None, 0, -1
-        pending = None  # the chunk that was left with an open block
-
-        for batch in batches:
-            out = []
-            for failure, stage, chunk, entries, exits, stops in zip(
-                batch["failure_id"], batch["stage"], batch["chunk"],
-                batch["entries"], batch["exits"], batch["first_stop"],
-            ):
-                if (failure, stage) != current:
-                    if pending:
-                        out.append((*pending, reached))
-                    current, frontier, reached, pending = (failure, stage), 0, -1, None
-                lo = chunk * chunk_lines
-                if frontier < 0:
-                    bit = -frontier - 1
-                    if lo > reached:  # nothing marked there: the block stopped
-                        out.append((*pending, reached))
-                        pending, frontier = None, reached + post_context + 1
-                    elif entries[plain + bit] < 0:  # runs through the whole chunk
-                        reached = lo + chunk_lines
-                        continue
-                    else:
-                        out.append((*pending, int(stops[bit])))
-                        pending, frontier = None, int(entries[plain + bit])
-                row = (failure, stage, chunk, frontier)
-                if frontier < lo + chunk_lines:
-                    frontier = int(exits[list(entries).index(max(frontier, lo))])
-                if frontier < 0:
-                    pending, reached = row, lo + chunk_lines
-                else:
-                    out.append((*row, None))
-            yield as_frame(out)
-        if pending:
-            yield as_frame([(*pending, reached)])
-
-    def as_frame(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=[*CHUNK, "entry", "open_stop"])
-        return frame.astype({"chunk": "int64", "entry": "int64", "open_stop": "Int64"})
-
-    # Clustered by file and sorted by chunk, so a file's rows arrive in order.
-    ordered = (
-        candidates.select(*CHUNK, "entries", "exits", "first_stop")
-        .repartition(*FILE)
-        .sortWithinPartitions(*CHUNK)
+    end = F.col("lo") + chunk_lines
+    moves = F.transform(
+        "exits",
+        lambda x: F.when(x < 0, post_context + 1 - x).otherwise(F.greatest(x - end, F.lit(0))).cast("int"),
     )
-    return ordered.mapInPandas(
-        fold, "failure_id string, stage string, chunk long, entry long, open_stop long"
+    return candidates.withColumn("lo", F.col("chunk") * chunk_lines).select(
+        *FILE, "lo", moves.alias("moves"), F.col("first_stop").alias("stops")
     )
 
 
-def _kept(candidates: DataFrame, entries: DataFrame, post_context: int) -> DataFrame:
-    """Events that survive, per chunk in order, with the last open end filled in."""
+def _over_gap(state: Column, lines: Column, post_context: int) -> Column:
+    """The state behind `lines` lines of which none is marked: a block ends with the first of them."""
+    ahead = F.when(state < post_context + 2, state).otherwise(post_context + 1)
+    return F.when(lines > 0, F.greatest(ahead - lines, F.lit(0)).cast("int")).otherwise(state)
+
+
+def _parents(nodes: DataFrame, span: int, post_context: int) -> DataFrame:
+    """(file, lo, kids): the nodes of each stretch of `span` lines in order; the stretch is the whole file if 0."""
+    lo = F.floor(F.col("lo") / span).cast("long") * span if span else F.lit(0).cast("long")
+    kid = F.struct("lo", "moves", "stops")
+    return nodes.groupBy(*FILE, lo.alias("up")).agg(F.array_sort(F.collect_list(kid)).alias("kids")).withColumnRenamed("up", "lo")
+
+
+def _composed(parents: DataFrame, span: int, kid_span: int, post_context: int) -> DataFrame:
+    """Parents as nodes: the functions of their kids, and of the gaps between these, one after the other."""
+    every = list(range(post_context + 2 + len(BLOCK_TYPES)))
     start = F.struct(
-        F.col("entry").alias("frontier"),
-        F.slice("found", 1, 0).alias("kept"),
+        F.col("lo").alias("at"), F.array(*[F.lit(s) for s in every]).alias("moves"),
+        F.array(*[F.lit(None).cast("long")] * len(BLOCK_TYPES)).alias("stops"),
     )
 
+    def step(acc: Column, kid: Column) -> Column:
+        gap = kid["lo"] - acc["at"]
+        here = F.when(gap > 0, F.transform(kid["stops"], lambda _: acc["at"])).otherwise(kid["stops"])
+        return F.struct(
+            (kid["lo"] + kid_span).alias("at"),
+            F.transform(acc["moves"], lambda s: F.get(kid["moves"], _over_gap(s, gap, post_context))).alias("moves"),
+            F.zip_with(acc["stops"], here, lambda a, b: F.coalesce(a, b)).alias("stops"),
+        )
+
+    done = parents.select(*FILE, "lo", F.aggregate("kids", start, step).alias("n"))
+    gap = F.col("lo") + span - F.col("n.at")
+    stops = F.when(gap > 0, F.transform("n.stops", lambda x: F.coalesce(x, F.col("n.at")))).otherwise(F.col("n.stops"))
+    moves = F.transform("n.moves", lambda s: _over_gap(s, gap, post_context))
+    return done.select(*FILE, "lo", moves.alias("moves"), stops.alias("stops"))
+
+
+def _handed_down(parents: DataFrame, kid_span: int, post_context: int) -> DataFrame:
+    """(file, lo, state, after) of the kids of parents with their own state at the start and `after`: where a block that is
+    open at their end stops, by type.  `end` is the parents' end, NULL where nothing follows."""
+    first = F.struct(F.col("lo").alias("at"), F.col("state").alias("s"), F.array().cast("array<int>").alias("out"))
+
+    def forward(acc: Column, kid: Column) -> Column:
+        state = _over_gap(acc["s"], kid["lo"] - acc["at"], post_context)
+        return F.struct(
+            (kid["lo"] + kid_span).alias("at"), F.get(kid["moves"], state).alias("s"), F.concat(acc["out"], F.array(state)).alias("out")
+        )
+
+    last = F.struct(F.col("end").alias("at"), F.col("after").alias("after"), F.array().cast("array<array<bigint>>").alias("out"))
+
+    def backward(acc: Column, kid: Column) -> Column:
+        end = kid["lo"] + kid_span
+        # Where lines without a mark follow, or none, every block ends with the node.
+        behind = F.transform(acc["after"], lambda x: F.when(acc["at"] == end, x).otherwise(end))
+        return F.struct(
+            kid["lo"].alias("at"), F.zip_with(kid["stops"], behind, lambda a, b: F.coalesce(a, b)).alias("after"),
+            F.concat(acc["out"], F.array(behind)).alias("out"),
+        )
+
+    found = parents.select(
+        *FILE, F.transform("kids", lambda k: k["lo"]).alias("los"), F.aggregate("kids", first, forward)["out"].alias("states"),
+        F.reverse(F.aggregate(F.reverse("kids"), last, backward)["out"]).alias("afters"),
+    )
+    zipped = F.arrays_zip(F.col("los").alias("lo"), F.col("states").alias("state"), F.col("afters").alias("after"))
+    return found.select(*FILE, F.explode(zipped).alias("k")).select(*FILE, "k.lo", "k.state", "k.after")
+
+
+def _true_entries(
+    candidates: DataFrame, chunk_lines: int, post_context: int, fan_in: int = FAN_IN, levels: int = LEVELS
+) -> DataFrame:
+    """(file, chunk, state, after): the state in which the scan enters each chunk, and where a block that is open at the
+    chunk's end stops, by type."""
+    spans = [chunk_lines * fan_in ** k for k in range(levels + 1)]
+    nodes, kept = _functions(candidates, chunk_lines, post_context), []
+    for kid_span, span in zip(spans, spans[1:]):
+        kept.append(_parents(nodes, span, post_context))
+        nodes = _composed(kept[-1], span, kid_span, post_context)
+    root = _parents(nodes, 0, post_context).withColumns({
+        "state": F.lit(0), "end": F.lit(None).cast("long"), "after": F.array(*[F.lit(None).cast("long")] * len(BLOCK_TYPES)),
+    })
+    entered = _handed_down(root, spans[-1], post_context)
+    for parents, kid_span, span in zip(kept[::-1], spans[-2::-1], spans[:0:-1]):
+        known = parents.join(entered, [*FILE, "lo"], "left").withColumn("end", F.col("lo") + span)
+        entered = _handed_down(known, kid_span, post_context)
+    return entered.select(*FILE, F.floor(F.col("lo") / chunk_lines).cast("long").alias("chunk"), "state", "after")
+
+
+def _kept(candidates: DataFrame, entries: DataFrame, post_context: int) -> DataFrame:
+    """Events that survive, per chunk in order, with the last open end filled in."""
+    entry = F.get("entries", F.col("state"))
+    start = F.struct(entry.alias("frontier"), F.slice("found", 1, 0).alias("kept"))
+
     def step(state: Column, cand: Column) -> Column:
         take = (state["frontier"] >= 0) & (cand["line_no"] >= state["frontier"])
         return F.struct(
@@ -260,19 +303,20 @@ def _kept(candidates: DataFrame, entries: DataFrame, post_context: int) -> DataF
         )
 
     def closed(event: Column) -> Column:
-        stop = F.coalesce(event["stop"], F.col("open_stop"))
+        index = F.array_position(F.array(*[F.lit(t) for t in BLOCK_TYPES]), event["block_type"])
+        stop = F.coalesce(event["stop"], F.get("after", (index - 1).cast("int")))
         return event.withField("stop", stop).withField(
             "resume",
             F.when(event["resume"] < 0, stop + post_context + 1).otherwise(event["resume"]),
         )
 
     return (
-        candidates.select(*CHUNK, "found")
+        candidates.select(*CHUNK, "found", "entries")
         # Outer joins from here on: nothing is filtered on one side only, so both
         # uses of the candidates share one shuffle.  Chunks inside one long
-        # block have no entry and keep nothing.
+        # block have a negative entry and keep nothing.
         .join(entries, CHUNK, "left")
-        .select(*CHUNK, "open_stop", F.aggregate("found", start, step)["kept"].alias("kept"))
+        .select(*CHUNK, "after", F.aggregate("found", start, step)["kept"].alias("kept"))
         .filter(F.size("kept") > 0)
         .select(*CHUNK, F.transform("kept", closed).alias("kept"))
     )
@@ -282,17 +326,32 @@ def _last(array: Column, n: int) -> Column:
     return F.slice(array, F.greatest(F.lit(1), F.size(array) - n + 1), F.lit(n))
 
 
-def _with_history(kept: DataFrame, pre_context: int) -> DataFrame:
+def _earlier_spans(tails: DataFrame, pre_context: int, fan_in: int) -> DataFrame:
+    """Adds `earlier` to (file, chunk, tail): the last spans of all chunks before.
+
+    Every row holds at least one event, so `pre_context` rows before suffice.  Rows meet by stretches of `fan_in` chunks;
+    from one stretch to the next go its last spans, one row for all its chunks.
+    """
+    rows = tails.withColumn("part", F.floor(F.col("chunk") / fan_in).cast("long"))
+
+    def before(*keys: str):
+        order = Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(-pre_context, -1)
+        return F.flatten(F.collect_list("tail").over(order))
+
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "tail"))), lambda x: x["tail"])
+    parts = rows.groupBy(*FILE, "part").agg(_last(F.flatten(in_order), pre_context).alias("tail"))
+    carried = parts.select(*FILE, "part", before(*FILE, "part").alias("carried"))
+    own = rows.withColumn("own", before(*FILE, "part", "chunk"))
+    return own.join(carried, [*FILE, "part"]).select(*CHUNK, _last(F.concat("carried", "own"), pre_context).alias("earlier"))
+
+
+def _with_history(kept: DataFrame, pre_context: int, fan_in: int = FAN_IN) -> DataFrame:
     """One row per event with the spans of up to `pre_context` events before it."""
     span = F.transform(
         "kept", lambda e: F.struct(e["line_no"].alias("line_no"), e["resume"].alias("resume"))
     )
-    # Only the last spans of each chunk travel by file.  Every row holds at
-    # least one event, so this many rows before suffice.
-    before = Window.partitionBy(*FILE).orderBy("chunk").rowsBetween(-pre_context, -1)
-    tails = kept.select(*CHUNK, _last(span, pre_context).alias("tail")).select(
-        *CHUNK, _last(F.flatten(F.collect_list("tail").over(before)), pre_context).alias("earlier")
-    )
+    # Only the last spans of each chunk travel.
+    tails = _earlier_spans(kept.select(*CHUNK, _last(span, pre_context).alias("tail")), pre_context, fan_in)
     # Fenced, so that not even a null test on the keys reaches the scan: both
     # branches then read the same shuffle.
     rows = kept.join(fence(tails, *CHUNK), CHUNK, "left").withColumn("spans", F.concat("earlier", span))
@@ -458,13 +517,15 @@ def extract_signals(
     pre_context: int = R.PRE_CONTEXT,
     post_context: int = R.POST_CONTEXT,
     chunk_lines: int = CHUNK_LINES,
+    fan_in: int = FAN_IN,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """Every signal of every file: failure_id, stage, line_no, signal_type,
     block_type, fingerprint, error_line, pre_content, post_content."""
     ends = _run_ends(_marked(line_facts(lines, mode), chunk_lines), chunk_lines)
     candidates = _candidates(ends, chunk_lines, post_context)
-    entries = _true_entries(candidates, chunk_lines, post_context)
-    events = _with_history(_kept(candidates, entries, post_context), pre_context)
+    entries = _true_entries(candidates, chunk_lines, post_context, fan_in, levels)
+    events = _with_history(_kept(candidates, entries, post_context), pre_context, fan_in)
     found = _attach_text(_needed_lines(events, pre_context, post_context), lines)
 
     block_lines = F.concat(F.array("payload.clean"), F.col("block"))

@@ -3,6 +3,7 @@ import random
 import pytest
 
 import scan_model
+from redbuild.operators import extract
 from redbuild.operators.extract import INDENT, distinct_signals, extract_signals
 
 SAMPLES = {
@@ -37,8 +38,8 @@ def as_lines(spark, files):
     return spark.createDataFrame(rows, "failure_id string, stage string, line_no long, raw string")
 
 
-@pytest.mark.parametrize("chunk_lines", [1, 7, 4096])
-def test_scan_equals_the_model_on_random_files(spark, chunk_lines):
+@pytest.mark.parametrize("chunk_lines,fan_in,levels", [(1, 2, 3), (1, 512, 2), (7, 3, 1), (7, 2, 0), (5, 4, 2), (4096, 512, 2)])
+def test_scan_equals_the_model_on_random_files(spark, chunk_lines, fan_in, levels):
     rng = random.Random(7)
     mixes = [(90, 5, 3, 1, 1), (50, 10, 20, 10, 10), (10, 5, 5, 20, 60), (0, 0, 100, 0, 0), (5, 0, 0, 5, 90), (0, 0, 0, 2, 98)]
     files = {
@@ -51,7 +52,7 @@ def test_scan_equals_the_model_on_random_files(spark, chunk_lines):
             expected[failure, stage, event["line_no"]] = event
     got = {
         (r["failure_id"], r["stage"], r["line_no"]): r.asDict()
-        for r in extract_signals(as_lines(spark, files), chunk_lines=chunk_lines).collect()
+        for r in extract_signals(as_lines(spark, files), chunk_lines=chunk_lines, fan_in=fan_in, levels=levels).collect()
     }
     assert len(expected) > 150
     assert got.keys() == expected.keys()
@@ -113,3 +114,19 @@ def test_first_of_a_fingerprint_is_kept_across_stages(spark):
     files = {("f", "b"): ["unauthorized 1"], ("f", "a"): ["ok", "unauthorized 2"], ("g", "z"): ["unauthorized 3"]}
     rows = distinct_signals(extract_signals(as_lines(spark, files))).collect()
     assert sorted((r["failure_id"], r["stage"], r["line_no"]) for r in rows) == [("f", "a", 1), ("g", "z", 0)]
+
+
+def test_no_task_needs_a_whole_file(spark):
+    """What is dealt out by the file alone is one row for fan_in chunks, or for fan_in such rows."""
+    lines = as_lines(spark, {("f", "s"): ["unauthorized"] * 400})
+    plan = extract_signals(lines, chunk_lines=2, fan_in=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapIn" not in plan and "Python" not in plan
+    rows = extract._functions(_ran(lines), 2, 20)
+    assert rows.count() == 200
+    nodes = extract._composed(extract._parents(rows, 8, 20), 8, 2, 20)
+    assert nodes.count() == 50 and extract._composed(extract._parents(nodes, 32, 20), 32, 8, 20).count() == 13
+
+
+def _ran(lines):
+    ends = extract._run_ends(extract._marked(extract.line_facts(lines), 2), 2)
+    return extract._candidates(ends, 2, 20)
