@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from functools import reduce
-from re import _parser as P
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +12,11 @@ from ..functions import category_rules as C
 from ..functions import text as X
 from . import neighbours as N
 from .fence import fence
+from .needles import constants, named_patterns
 
 Catalogue = dict[str, list[str]]
 Fallback = Callable[[DataFrame], DataFrame]
+SCORES = "array<struct<category:string,score:int,matches:int,confidence:double,priority:int,threshold:double>>"
 
 
 def check_catalogue(patterns: Catalogue) -> Catalogue:
@@ -38,71 +38,60 @@ def confidence(score: Column, matches: Column) -> Column:
     )
 
 
-def required_literal(pattern: str) -> str | None:
-    """The longest text, in lower case, that every match of the pattern has in
-    it; None if there is none of two characters or more."""
-    runs = [""]
-
-    def walk(items) -> None:
-        for kind, value in items:
-            if kind is P.LITERAL:
-                runs[-1] += chr(value)
-            elif kind is P.SUBPATTERN and not value[1] and not value[2]:
-                walk(value[3])
-            elif kind is not P.AT:  # a branch, a class, a repetition, ...
-                runs.append("")
-
-    walk(P.parse(pattern, re.IGNORECASE))
-    best = max(runs, key=len)
-    return best.lower() if len(best) > 1 and best.isascii() else None
-
-
-def _pattern_weights(patterns: list[str]) -> Column:
-    """Per pattern the summed weight of the fields it is found in.
-
-    The patterns are literals (compiled once per task), and most contain a text
-    that is looked for first: few regexes run at all.
-    """
-    literals = [required_literal(p) for p in patterns]
-
-    def of_field(name: str, pattern: str, literal: str | None) -> Column:
-        found = X.matches(F.col(name), pattern)
-        return found if literal is None else F.col(f"_low_{name}").contains(literal) & found
-
-    def weight(pattern: str, literal: str | None) -> Column:
-        parts = [F.when(of_field(name, pattern, literal), w).otherwise(0) for name, w in C.FIELD_WEIGHTS.items()]
-        return reduce(lambda a, b: a + b, parts)
-
-    return F.array(*[weight(p, t) for p, t in zip(patterns, literals)])
-
-
 def category_scores(signals: DataFrame, patterns: Catalogue | None = None) -> DataFrame:
     """Adds `scores`: an array of (category, score, matches, confidence, priority,
-    threshold), one entry per category with a hit."""
-    patterns = check_catalogue(patterns or C.CATEGORY_PATTERNS)
+    threshold), one entry per category with a hit.
+
+    An automaton names the few patterns worth running on each field, in one pass
+    over its text; these run as the regexes of Spark.  The catalogue is part of
+    the plan as one literal, whatever its size.
+    """
+    patterns = check_catalogue(C.CATEGORY_PATTERNS if patterns is None else patterns)
+    names = [c for c, regexes in patterns.items() if regexes]
+    regexes = [r for c in names for r in patterns[c]]
+    category_of = [i for i, c in enumerate(names) for _ in patterns[c]]
+    if not regexes:
+        return signals.withColumn("scores", F.array().cast(SCORES))
+    spark = signals.sparkSession
     # Few bytes, much work per row: without an explicit number of partitions the
     # adaptive planner would merge the signals into a handful of tasks.
-    partitions = int(signals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = signals.repartition(partitions, "failure_id", "fingerprint")
-    rows = fence(rows.withColumns({f"_low_{c}": F.lower(c) for c in C.FIELD_WEIGHTS}), *[f"_low_{c}" for c in C.FIELD_WEIGHTS])
-    for category, regexes in patterns.items():
-        rows = rows.withColumn(f"_{category}", _pattern_weights(regexes))
-    entries = []
-    for category in patterns:
-        weights = F.col(f"_{category}")
-        score = F.aggregate(weights, F.lit(0), lambda a, x: a + x)
-        matched = F.size(F.filter(weights, lambda x: x > 0))
-        settings = C.CATEGORY_SETTINGS[category]
-        entries.append(F.struct(
-            F.lit(category).alias("category"), score.alias("score"), matched.alias("matches"),
-            confidence(score, matched).alias("confidence"),
-            F.lit(settings["priority"]).alias("priority"),
-            F.lit(settings["regex_min"]).alias("threshold"),
-        ))
-    scored = rows.withColumn(
-        "scores", F.filter(F.array(*entries), lambda e: e["score"] > 0)
-    ).drop(*[f"_{c}" for c in patterns], *[f"_low_{c}" for c in C.FIELD_WEIGHTS])
-    return fence(scored, "scores")
+    fields = list(C.FIELD_WEIGHTS)
+    named = named_patterns(spark, regexes)
+    rows = rows.withColumn("_named", named(*[F.lower(c) for c in fields]))
+    every = constants(["(?id)" + r for r in regexes])
+
+    def hits(k: int) -> Column:
+        return F.filter(F.get("_named", F.lit(k)), lambda p: F.rlike(F.col(fields[k]), F.get(every, p)))
+
+    rows = fence(rows.withColumn("_hits", F.array(*[hits(k) for k in range(len(fields))])), "_hits")
+    # (category, pattern) of each pattern found, with the weights of its fields.
+    category = F.split(F.lit(",".join(map(str, category_of))), ",").cast("array<int>")
+    weights = list(C.FIELD_WEIGHTS.values())
+    weight = lambda p: reduce(
+        lambda a, b: a + b, [F.when(F.array_contains(F.get("_hits", F.lit(k)), p), w).otherwise(0) for k, w in enumerate(weights)]
+    )
+    found = F.transform(F.array_distinct(F.flatten("_hits")), lambda p: F.struct(F.get(category, p).alias("c"), weight(p).alias("w")))
+    rows = fence(rows.withColumn("_found", found), "_found")
+    settings = [C.CATEGORY_SETTINGS[c] for c in names]
+    of = lambda values, c, kind: F.get(constants([str(v) for v in values]), c).cast(kind)
+
+    def entry(c: Column) -> Column:
+        own = F.filter("_found", lambda x: x["c"] == c)
+        return F.struct(
+            c.alias("c"), F.aggregate(own, F.lit(0), lambda a, x: a + x["w"]).alias("score"), F.size(own).alias("matches")
+        )
+
+    sums = F.transform(F.array_sort(F.array_distinct(F.transform("_found", lambda x: x["c"]))), entry)
+    rows = fence(rows.withColumn("_sums", sums), "_sums")
+    scored = rows.withColumn("scores", F.transform("_sums", lambda s: F.struct(
+        of(names, s["c"], "string").alias("category"), s["score"].alias("score"), s["matches"].alias("matches"),
+        confidence(s["score"], s["matches"]).alias("confidence"),
+        of([x["priority"] for x in settings], s["c"], "int").alias("priority"),
+        of([x["regex_min"] for x in settings], s["c"], "double").alias("threshold"),
+    )))
+    return fence(scored.drop("_named", "_hits", "_found", "_sums"), "scores")
 
 
 def explain_scores(scored: DataFrame) -> DataFrame:
@@ -123,32 +112,17 @@ def regex_best(scored: DataFrame) -> DataFrame:
     )
 
 
-def score_with_table(signals: DataFrame, catalogue: DataFrame, at_once: int = 500) -> DataFrame:
+def score_with_table(signals: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Scores against a catalogue table (category, pattern_id, regex): one row per
-    signal and category.  For catalogues that change; the literal form is faster.
+    signal and category.
 
-    A catalogue of any size: its patterns are literals of a plan in groups of
-    `at_once`, the groups' scores and hits are summed, and each group costs one
-    more pass over the signals.
+    The catalogue, of thousands of patterns, is read by the driver and becomes an
+    automaton and a literal of the plan: one pass over the signals at any size.
     """
-    groups: list[Catalogue] = [{}]
-    for i, r in enumerate(catalogue.select("category", "regex", "pattern_id").orderBy("pattern_id", "regex").toLocalIterator()):
-        if i and i % at_once == 0:
-            groups.append({})
-        groups[-1].setdefault(r["category"], []).append(r["regex"])
-    if not groups[0]:
-        return explain_scores(category_scores(signals.filter(F.lit(False))))
-    if len(groups) > 1:
-        N.ensure_checkpoints(signals.sparkSession)
-        signals = signals.checkpoint()  # read once per group
-    parts = [explain_scores(category_scores(signals, g)) for g in groups]
-    if len(parts) == 1:
-        return parts[0]
-    key = ["failure_id", "fingerprint", "category", "priority", "threshold"]
-    summed = reduce(DataFrame.unionByName, parts).groupBy(*key).agg(
-        F.sum("score").cast("int").alias("score"), F.sum("matches").cast("int").alias("matches")
-    )
-    return summed.withColumn("confidence", confidence(F.col("score"), F.col("matches"))).select(*parts[0].columns)
+    regexes: Catalogue = {}
+    for r in catalogue.select("category", "regex", "pattern_id").orderBy("pattern_id", "regex").toLocalIterator():
+        regexes.setdefault(r["category"], []).append(r["regex"])
+    return explain_scores(category_scores(signals, regexes))
 
 
 def neighbour_votes(queries: DataFrame, training: DataFrame, k: int = C.NEIGHBOURS, **search) -> DataFrame:

@@ -298,7 +298,7 @@ def catalogue_scores(spark, folder):
     words = kinds.unionByName(names).unionByName(spark.createDataFrame([(w,) for w in USER_WORDS], "word string"))
     category = F.element_at(F.array(*[F.lit(c) for c in C.CATEGORY_PATTERNS]), (F.length("word") % len(C.CATEGORY_PATTERNS) + 1).cast("int"))
     catalogue = words.select(category.alias("category"), F.col("word").alias("pattern_id"), F.col("word").alias("regex"))
-    scored = classify.score_with_table(distinct(spark, folder), catalogue, at_once=6)
+    scored = classify.score_with_table(distinct(spark, folder), catalogue)
     return scored.withColumn("confidence", F.round("confidence", 6))
 
 

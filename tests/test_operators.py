@@ -1,8 +1,11 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from redbuild.functions import category_rules as C
-from redbuild.operators import ci_runs, classify, failures, knowledge, learn, rca, report
+from redbuild.operators import ci_runs, classify, failures, knowledge, learn, needles, rca, report
 from redbuild.sources import schemas as S
 
 
@@ -188,10 +191,41 @@ def test_each_remediation_is_parsed_once(spark):
     assert checked.head()["valid"]
 
 
-def test_a_catalogue_may_have_any_size(spark):
-    signals = spark.createDataFrame([("f", "s", 0, "fp", "disk full", "", "net down")], "failure_id string, stage string, line_no long, fingerprint string, error_line string, pre_content string, post_content string")
-    words = ["disk", "full", "net", "down", "nothing"]
-    catalogue = spark.createDataFrame([("DEV_FAILURE" if i % 2 else "CI_INFRA_FAILURE", f"{i:02}", w) for i, w in enumerate(words * 3)], "category string, pattern_id string, regex string")
-    one, many = (sorted(classify.score_with_table(signals, catalogue, n).collect()) for n in (100, 2))
-    assert one == many and len(one) == 2
+SCORED = "failure_id string, stage string, line_no long, fingerprint string, error_line string, pre_content string, post_content string"
+
+
+def test_a_catalogue_of_any_size_takes_one_pass(spark):
+    signals = spark.createDataFrame([("f", "s", 0, "fp", "disk full code7", "", "net down"), ("f", "s", 1, "g", None, None, "x")], SCORED)
+    words = ["disk", "full", "net", "down", "nothing"] + [f"code{i}" for i in range(9_995)]
+    catalogue = spark.createDataFrame([("DEV_FAILURE" if i % 2 else "CI_INFRA_FAILURE", f"{i:05}", w) for i, w in enumerate(words)], "category string, pattern_id string, regex string")
+    scored = classify.score_with_table(signals, catalogue)
+    assert scored._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 1
+    got = {(r["fingerprint"], r["category"]): (r["score"], r["matches"]) for r in scored.collect()}
+    # code7 is the thirteenth word.
+    assert got == {("fp", "CI_INFRA_FAILURE"): (5 + 2 + 5, 3), ("fp", "DEV_FAILURE"): (5 + 2, 2)}
     assert classify.score_with_table(signals, catalogue.limit(0)).count() == 0
+
+
+def test_patterns_are_those_of_java(spark):
+    signals = spark.createDataFrame([("f", "s", 0, "fp", "Err ABC seen", "", "")], SCORED)
+    regexes = [r"(?<kind>err)\s", r"\p{Alpha}+ abc", r"\Qabc\E s", r"(?x) se en", r"[a-z&&[^x]]bc"]
+    scored = classify.explain_scores(classify.category_scores(signals, {"DEV_FAILURE": regexes})).collect()
+    assert [(r["score"], r["matches"]) for r in scored] == [(25, 5)]
+
+
+def test_needles_are_in_every_match():
+    cases = {
+        r"(?:foo|ba)r+x": ["ba", "foo"], r"a+bc": ["abc"], r"ab{2,3}cd": ["bcd"], r"colou?r is": ["colo"], r"x[abc]hello": ["hello"],
+        r"(abc)?def": ["def"], r"foo|bar": ["bar", "foo"], r"ab*cd": ["cd"], r"aa\.bb": ["aa.bb"], r"(a|b)c": None, r"(?x) ab c": None,
+        r"[]ab]cde": None, r"\Qa.b\E": None, r"x{0}abc|d": None, r"\bword\b$": ["word"], r"(": None, r"ab[": None, "": None,
+    }
+    assert {p: needles.needles(p) for p in cases} == cases
+    rng = random.Random(3)
+    parts = ["ab", "c", "d+", "e?", "(?:fg|hi)", "[xy]", "(jk)*", "l{2}", ".", "\\s", "mn|op"]
+    for _ in range(3_000):
+        pattern = "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+        own = needles.needles(pattern)
+        for _ in range(5):
+            text = "".join(rng.choice(["ab", "c", "d", "e", "fg", "hi", "x", "jk", "ll", " ", "mn", "op", "AB"]) for _ in range(8))
+            found = re.search(pattern, text, re.I)
+            assert not (found and own) or any(n in found[0].lower() for n in own), (pattern, own, text)
