@@ -25,9 +25,13 @@ def hashing_embedder(texts: DataFrame) -> DataFrame:
     return texts.select("key", V.hashed_words(F.col("text")).alias("embedding"))
 
 
-def embed_signals(signals: DataFrame, embedder: Embedder = hashing_embedder) -> DataFrame:
+def embed_signals(signals: DataFrame, embedder: Embedder = hashing_embedder, stored: DataFrame | None = None) -> DataFrame:
     """Adds `embedding`.  A fingerprint is embedded once, whatever the number of
-    its occurrences: with the text of its first one."""
+    its occurrences: with the text of its first one.
+
+    `stored` (fingerprint, embedding), one row each, are vectors of earlier runs:
+    what is there does not go to the embedder again.
+    """
     first = F.min_by(
         F.struct("error_line", "pre_content", "post_content"), F.struct("failure_id", "stage", "line_no")
     )
@@ -35,7 +39,12 @@ def embed_signals(signals: DataFrame, embedder: Embedder = hashing_embedder) ->
         F.col("fingerprint").alias("key"),
         X.dedup_text(F.col("s.error_line"), F.col("s.pre_content"), F.col("s.post_content")).alias("text"),
     )
-    vectors = embedder(texts).withColumnRenamed("key", "fingerprint")
+    if stored is None:
+        vectors = embedder(texts).withColumnRenamed("key", "fingerprint")
+    else:
+        known = stored.join(texts.select(F.col("key").alias("fingerprint")), "fingerprint", "left_semi").select("fingerprint", "embedding")
+        fresh = texts.join(stored.select(F.col("fingerprint").alias("key")), "key", "left_anti")
+        vectors = embedder(fresh).withColumnRenamed("key", "fingerprint").unionByName(known)
     return signals.join(vectors, "fingerprint", "left")
 
 

@@ -34,8 +34,8 @@ from .fence import fence
 FILE = ["failure_id", "stage"]
 CHUNK = [*FILE, "chunk"]
 CHUNK_LINES = 4096
-FAN_IN = 512  # children of a node; with two levels below the root, a file may have 5 x 10^11 lines
-LEVELS = 2
+FAN_IN = 4096  # children of a node; with one level below the root, a file may have 7 x 10^10 lines
+LEVELS = 1
 BLOCK_TYPES = list(R.BLOCK_TRIGGERS)
 STRICT, INDENT = "strict", "indent"
 

@@ -17,6 +17,7 @@ def analyze(
     lines: DataFrame, *,
     training: DataFrame | None = None,
     known_patterns: DataFrame | None = None,
+    stored_vectors: DataFrame | None = None,
     embedder: D.Embedder = D.hashing_embedder,
     fallback: K.Fallback = K.rule_fallback,
     analyzer: rca.Analyzer = rca.template_analyzer,
@@ -27,12 +28,13 @@ def analyze(
 ) -> dict[str, DataFrame]:
     """signals, representatives, classified, root_causes, rejected, summary, rows, counters.
 
-    `training` needs `embedding`; `known_patterns` is the stored pattern table.
+    `training` needs `embedding`; `known_patterns` is the stored pattern table,
+    `stored_vectors` (fingerprint, embedding) what was embedded before.
     Steps that later steps share are checkpointed.
     """
     ensure_checkpoints(lines.sparkSession)
     found = E.extract_signals(lines, mode=mode, pre_context=pre_context, post_context=post_context)
-    signals = D.embed_signals(E.distinct_signals(found).checkpoint(), embedder).checkpoint()
+    signals = D.embed_signals(E.distinct_signals(found).checkpoint(), embedder, stored_vectors).checkpoint()
     representatives = D.deduplicate(signals).checkpoint()
 
     no_hits = representatives.sparkSession.createDataFrame(

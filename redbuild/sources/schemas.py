@@ -29,6 +29,7 @@ PATTERNS = (
     "severity string, recurrence_count int, analyzed_at string, evidence_url string, embedding array<float>"
 )
 EMBEDDINGS = "failure_id string, fingerprint string, embedding array<float>"
+INTAKE_KEYS = "platform string, commit string, branch string, job_name string, build_number long, failure_id string"
 STATUS_EVENTS = "failure_id string, status string, ts timestamp"
 # Documents of the CI services, as landed.
 HUB_RUN = (

@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import knowledge
+from . import buckets
 from . import schemas as S
 
 
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Appends a batch of classified signals or root causes.  Writing the same
-    batch again replaces it, so a replay adds nothing."""
-    (
-        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-    )
+    """Adds a batch of rows.  Writing the same batch again replaces it, also by
+    no rows, so a replay adds nothing and leaves nothing behind."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
@@ -43,36 +41,15 @@ def attach_embeddings(root_causes: DataFrame, embeddings: DataFrame) -> DataFram
     return root_causes.join(newest, ["failure_id", "fingerprint"], "left")
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Complete versions of a table, oldest first (a folder with its success mark)."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    found = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(name.split("=")[1]))
-    return sorted(found)
-
-
 def read_patterns(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """Newest version of the pattern table (older than `before`); empty at first."""
-    versions = [v for v in _versions(spark, path) if before is None or v < before]
-    if not versions:
-        return spark.createDataFrame([], S.PATTERNS)
-    return spark.read.schema(S.PATTERNS).parquet(f"{path}/version={versions[-1]}")
+    """The pattern table as of its last commit (before a batch); empty at first."""
+    return buckets.read(spark, path, S.PATTERNS, before)
 
 
 def upsert_patterns(arrivals: DataFrame, path: str, batch_id: int, order: list[str]) -> None:
-    """Writes version `batch_id` from the version before it.  A replayed batch
-    starts from the same version again, so no recurrence is counted twice."""
-    spark = arrivals.sparkSession
-    merged = knowledge.upsert(read_patterns(spark, path, before=batch_id), arrivals, order)
-    merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-    # The version before stays, for a replay of this batch and for readers that have just begun.
-    for old in _versions(spark, path)[:-2]:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}")
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    """Merges arrivals into the buckets of their fingerprints.  A replayed batch
+    starts from the commit before it again, so no recurrence is counted twice."""
+    buckets.merge(
+        arrivals.filter(F.col("embedding").isNotNull()), path, batch_id, S.PATTERNS, ["fingerprint"],
+        lambda stored, new: knowledge.upsert(stored, new, order),
+    )

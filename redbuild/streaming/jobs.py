@@ -12,7 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import extract as E
 from ..operators import failures, learn
 from ..plans.analyze import analyze
-from ..sources import tables
+from ..sources import buckets, tables
+from ..sources import schemas as S
+from .gate import RELEASED
 
 
 def intake_stream(payloads: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -29,14 +31,29 @@ def intake_stream(payloads: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def intake_job(root: str) -> Callable[[DataFrame, int], None]:
-    """Payloads -> stored failure records, their first status, and the payloads that no platform takes."""
+    """Payloads -> stored failure records, their first status, and the payloads that no platform takes.
+
+    A record of a run that was stored before is dropped, however long ago that was: the keys of all runs are kept in
+    buckets, and a micro-batch looks into those of its own keys only.  A replay looks at what was stored before it.
+    """
 
     def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         landed = F.col("received_at")
-        records = failures.intake(batch, landed, keep=["received_at"])
-        tables.write_batch(records.drop("received_at"), f"{root}/failures", batch_id)
-        tables.write_batch(records.select("failure_id", "status", F.col("received_at").alias("ts")), f"{root}/status_events/step=intake", batch_id)
+        keyed = failures.intake(batch, landed, keep=["received_at"]).withColumns(
+            {"job_name": F.col("payload.job_name"), "build_number": F.col("payload.build_number")}
+        )
+        once = failures.drop_duplicates(keyed.withColumn("_first", F.struct("received_at", "failure_id")), "_first").drop("_first")
+        index = f"{root}/intake_keys"
+        new = buckets.unseen(once.filter(failures.identified()), index, batch_id, S.INTAKE_KEYS, failures.INTAKE_KEYS)
+        records = new.unionByName(once.filter(~failures.identified()))
+        tables.write_batch(records, f"{root}/failures", batch_id)
+        stored = spark.read.parquet(f"{root}/failures/batch_id={batch_id}")
+        events = stored.select("failure_id", "status", F.col("received_at").alias("ts"))
+        tables.write_batch(events, f"{root}/status_events/step=intake", batch_id)
         tables.write_batch(failures.quarantine(batch, landed), f"{root}/quarantine", batch_id)
+        keys = stored.filter(failures.identified()).select(*failures.INTAKE_KEYS, "failure_id")
+        buckets.append(keys, index, batch_id, S.INTAKE_KEYS, failures.INTAKE_KEYS)
 
     return work
 
@@ -100,22 +117,42 @@ def knowledge_job(path: str, order: list[str]) -> Callable[[DataFrame, int], Non
     return work
 
 
-def analysis_job(root: str, training: DataFrame | None = None, **options) -> Callable[[DataFrame, int], None]:
-    """Lines in, all result tables out (under `root`), and the pattern table kept up."""
+def analysis_job(root: str, training: DataFrame | None = None, status: bool = False, **options) -> Callable[[DataFrame, int], None]:
+    """Lines in, all result tables out (under `root`), and the pattern table kept up.
 
-    def work(batch: DataFrame, batch_id: int) -> None:
+    With `status`, the failures' states are stored as they are reached: those that stored root causes answer in full are
+    RESOLVED at once, the others pass CLASSIFIED and ANALYZING.
+    """
+
+    def work(batch: DataFrame, batch_id: int, ready: DataFrame | None = None) -> None:
         spark = batch.sparkSession
         known = tables.read_patterns(spark, f"{root}/patterns", before=batch_id)
-        results = analyze(batch, training=training, known_patterns=known, **options)
-        for name in ("signals", "classified", "root_causes", "rejected", "summary", "rows", "counters"):
-            tables.write_batch(results[name], f"{root}/{name}", batch_id)
-        tables.write_embeddings(results["representatives"], f"{root}/embeddings", batch_id)
+        vectors = None
+        if tables.exists(spark, f"{root}/embeddings"):
+            before = tables.read_batches(spark, f"{root}/embeddings").filter(F.col("batch_id") < batch_id)
+            vectors = before.groupBy("fingerprint").agg(F.max_by("embedding", F.struct("batch_id", "failure_id")).alias("embedding"))
+        results = analyze(batch, training=training, known_patterns=known, stored_vectors=vectors, **options)
+
+        def store(*names: str) -> None:
+            for name in names:
+                tables.write_batch(results[name], f"{root}/{name}", batch_id)
+
+        store("signals", "classified")
+        tables.write_embeddings(results["signals"], f"{root}/embeddings", batch_id)
+        all_ = batch.select("failure_id").distinct() if ready is None else ready
+        if status:
+            unknown = results["classified"].select("failure_id").distinct()
+            mark(root, "classified", unknown, ["CLASSIFIED"], batch_id)
+            mark(root, "analyzing", unknown, ["ANALYZING"], batch_id)
+        store("root_causes", "rejected", "summary", "rows", "counters")
         fresh = results["root_causes"].join(results["classified"].select("failure_id", "fingerprint"), ["failure_id", "fingerprint"])
-        vectors = results["representatives"].select("failure_id", "fingerprint", "embedding")
+        own = results["signals"].select("failure_id", "fingerprint", "embedding")
         tables.upsert_patterns(
-            tables.attach_embeddings(fresh, vectors).drop("similarity_score"),
+            tables.attach_embeddings(fresh, own).drop("similarity_score"),
             f"{root}/patterns", batch_id, ["failure_id"],
         )
+        if status:
+            mark(root, "resolved", all_, ["RESOLVED"], batch_id)
 
     return work
 
@@ -126,39 +163,42 @@ def mark(root: str, step: str, failures_: DataFrame, states: list[str], batch_id
     tables.write_batch(each.withColumn("ts", F.current_timestamp()), f"{root}/status_events/step={step}", batch_id)
 
 
-def collect_job(root: str) -> Callable[[DataFrame, int], None]:
-    """(failure_id) of failures whose logs are all there -> status events, where the gate lets them pass."""
-
-    def work(batch: DataFrame, batch_id: int) -> None:
-        mark(root, "collect", at_step(root, batch.select("failure_id").distinct(), "collect", batch_id), ["LOGS_COLLECTED"], batch_id)
-
-    return work
+#: Steps whose events are stored by the job that also asks for the state.
+OWN_STEPS = ["collect", "expired", "classified", "analyzing", "resolved"]
 
 
 def at_step(root: str, failures_: DataFrame, step: str, batch_id: int) -> DataFrame:
     """Those of (failure_id) whose current state lets the step run.  What the
-    step itself said in this batch or later doesn't count, so a replay decides
+    job itself said in this batch or later doesn't count, so a replay decides
     as the first run did."""
     spark = failures_.sparkSession
     if not tables.exists(spark, f"{root}/status_events"):
         return failures_.limit(0)
-    events = spark.read.parquet(f"{root}/status_events").filter((F.col("step") != step) | (F.col("batch_id") < batch_id))
+    events = spark.read.parquet(f"{root}/status_events").filter(~F.col("step").isin(OWN_STEPS) | (F.col("batch_id") < batch_id))
     now = failures.current_status(events).filter(failures.step_for(F.col("status")) == step)
     return failures_.join(now.select("failure_id"), "failure_id", "left_semi")
 
 
-def gated_analysis_job(root: str, **options) -> Callable[[DataFrame, int], None]:
-    """analysis_job for failures whose lines come in several micro-batches: lines are kept until their failure's logs
-    are collected, then analysed once, and the failure is marked as resolved."""
-    analyse = analysis_job(root, **options)
+def release_job(root: str, **options) -> Callable[[DataFrame, int], None]:
+    """What gated_lines() lets go -> all result tables and states.
+
+    The collect event of a failure that was received makes it LOGS_COLLECTED and has its lines analysed in this very
+    micro-batch; one whose event did not come in time is FAILED.  Lines that come behind the event are kept apart.
+    """
+    analyse = analysis_job(root, status=True, **options)
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        tables.write_batch(batch, f"{root}/lines", batch_id)
-        lines = tables.read_batches(spark, f"{root}/lines").filter(F.col("batch_id") <= batch_id).drop("batch_id")
-        ready = at_step(root, lines.select("failure_id").distinct(), "classify", batch_id).checkpoint()
-        analyse(lines.join(ready, "failure_id", "left_semi"), batch_id)
-        mark(root, "classify", ready, ["CLASSIFIED", "ANALYZING", "RESOLVED"], batch_id)
+        # Written once: the stateful plan must not run again for each use.
+        tables.write_batch(batch, f"{root}/released", batch_id)
+        rows = spark.read.schema(RELEASED).parquet(f"{root}/released/batch_id={batch_id}")
+        of = lambda kind: rows.filter(F.col("kind") == kind).select("failure_id").distinct()
+        mark(root, "expired", of("expired"), ["FAILED"], batch_id)
+        tables.write_batch(rows.filter("kind = 'late'").drop("kind"), f"{root}/late_lines", batch_id)
+        ready = at_step(root, of("collected"), "collect", batch_id).checkpoint()
+        mark(root, "collect", ready, ["LOGS_COLLECTED"], batch_id)
+        lines = rows.filter("kind = 'line'").drop("kind").join(ready, "failure_id", "left_semi")
+        analyse(lines, batch_id, ready)
 
     return work
 

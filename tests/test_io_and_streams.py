@@ -3,10 +3,11 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from redbuild.operators import extract, failures
-from redbuild.sources import documents, logs, tables
+from redbuild.operators import dedup, extract, failures
+from redbuild.sources import buckets, documents, logs, tables
 from redbuild.sources import schemas as S
 from redbuild.streaming import jobs
+from redbuild.streaming.gate import gated_lines
 
 
 def folder():
@@ -192,18 +193,137 @@ def test_feedback_stays_pending_until_a_batch_is_full(spark):
     assert now.select("fingerprint").distinct().count() == 30
 
 
-def test_lines_wait_until_their_logs_are_collected(spark):
+def landed(frame, seconds):
+    return frame.withColumn("received_at", F.timestamp_seconds(F.lit(seconds))).coalesce(1).write.mode("append")
+
+
+def gate_run(spark, root, work, delay="1 hour"):
+    lines = spark.readStream.schema(S.LINES + ", received_at timestamp").parquet(f"{root}/in")
+    collected = spark.readStream.schema("failure_id string, received_at timestamp").parquet(f"{root}/collected")
+    jobs.per_batch(work, gated_lines(lines, collected, 10_000, parts=3, delay=delay), f"{root}/c")
+
+
+def test_the_collect_event_starts_the_analysis(spark):
     root = folder()
     whole = log_frame(spark)
-    jobs.mark(root, "intake", spark.createDataFrame([("f0",), ("f1",)], "failure_id string"), ["RECEIVED"], 0)
-    work = jobs.gated_analysis_job(root)
-    work(whole.filter("line_no < 7"), 0)
-    jobs.collect_job(root)(spark.createDataFrame([("f0",)], "failure_id string"), 0)
-    for _ in range(2):  # replayed
-        work(whole.filter("line_no >= 7"), 1)
+    again = whole.filter("failure_id = 'f0'").withColumn("failure_id", F.lit("f2"))
+    one = lambda f: spark.createDataFrame([(f,)], "failure_id string")
+    jobs.mark(root, "intake", spark.createDataFrame([("f0",), ("f1",), ("f2",)], "failure_id string"), ["RECEIVED"], 0)
+    work = jobs.release_job(root)
+    batches = []
+
+    def twice(batch, batch_id):  # every micro-batch is replayed
+        batches.append(batch_id)
+        work(batch, batch_id)
+        work(batch, batch_id)
+
+    landed(whole, 1).parquet(f"{root}/in")
+    landed(one("nobody").filter("false"), 1).parquet(f"{root}/collected")
+    gate_run(spark, root, twice)
+    assert tables.read_batches(spark, f"{root}/signals").count() == 0
+    # Long after the last line.
+    landed(one("f0"), 2).parquet(f"{root}/collected")
+    gate_run(spark, root, twice)
     found = tables.read_batches(spark, f"{root}/signals")
-    assert {(r["failure_id"], r["batch_id"]) for r in found.collect()} == {("f0", 1)}
     want = extract.distinct_signals(extract.extract_signals(whole.filter("failure_id = 'f0'")))
-    assert found.select("fingerprint").distinct().count() == want.count()
+    columns = ["failure_id", "stage", "line_no", "fingerprint", "pre_content", "post_content"]
+    assert sorted(found.select(columns).collect()) == sorted(want.select(columns).collect()) and want.count() >= 1
+    # The same errors again: stored root causes answer in full.  A line behind its failure's event is late.
+    late = spark.createDataFrame([("f0", "s", 99, "unauthorized")], S.LINES)
+    landed(again.unionByName(late), 3).parquet(f"{root}/in")
+    landed(one("f2"), 3).parquet(f"{root}/collected")
+    gate_run(spark, root, twice)
+    events = {}
+    for r in spark.read.parquet(f"{root}/status_events").collect():
+        events.setdefault(r["failure_id"], []).append(r["status"])
+    assert {f: sorted(s) for f, s in events.items()} == {
+        "f0": sorted(["RECEIVED", "LOGS_COLLECTED", "CLASSIFIED", "ANALYZING", "RESOLVED"]), "f1": ["RECEIVED"],
+        "f2": sorted(["RECEIVED", "LOGS_COLLECTED", "RESOLVED"]),
+    }
     now = {r["failure_id"]: r["status"] for r in failures.current_status(spark.read.parquet(f"{root}/status_events")).collect()}
-    assert now == {"f0": "RESOLVED", "f1": "RECEIVED"}
+    assert now == {"f0": "RESOLVED", "f1": "RECEIVED", "f2": "RESOLVED"}
+    assert [r["line_no"] for r in tables.read_batches(spark, f"{root}/late_lines").collect()] == [99]
+    assert tables.read_batches(spark, f"{root}/root_causes").filter("failure_id = 'f2' AND similarity_score > 0.99").count() == want.count()
+    assert len(set(batches)) == len(batches) >= 3
+
+
+def test_a_failure_whose_logs_never_come_has_failed(spark):
+    root = folder()
+    jobs.mark(root, "intake", spark.createDataFrame([("f1",), ("f9",)], "failure_id string"), ["RECEIVED"], 0)
+    line = lambda f: spark.createDataFrame([(f, "s", 0, "unauthorized")], S.LINES)
+    landed(line("f1"), 1).parquet(f"{root}/in")
+    landed(spark.createDataFrame([], "failure_id string"), 1).parquet(f"{root}/collected")
+    gate_run(spark, root, jobs.release_job(root), "0 seconds")
+    landed(line("f9"), 100_000).parquet(f"{root}/in")
+    gate_run(spark, root, jobs.release_job(root), "0 seconds")
+    now = {r["failure_id"]: r["status"] for r in failures.current_status(spark.read.parquet(f"{root}/status_events")).collect()}
+    assert now["f1"] == "FAILED" and now["f9"] == "RECEIVED"
+
+
+def test_a_run_that_comes_again_days_later_is_dropped(spark):
+    root = folder()
+    work = jobs.intake_job(root)
+
+    def payloads(days, builds):
+        rows = [("c", "b", "j", n) for n in builds]
+        frame = spark.createDataFrame(rows, "commit string, branch string, job_name string, build_number long")
+        empty = {c: F.lit(None).cast("string") for c in ("owner", "repo")} | {"run_id": F.lit(None).cast("long")}
+        return frame.withColumns(empty).withColumn("received_at", F.timestamp_seconds(F.lit(86_400 * days)))
+
+    work(payloads(0, [1, 1, 2, None]), 0)
+    for _ in range(2):  # replayed
+        work(payloads(2, [2, 3, 3, None]), 1)
+    work(payloads(9, [1, 3, 4]), 2)
+    kept = tables.read_batches(spark, f"{root}/failures")
+    got = sorted((r["batch_id"], r["payload"]["build_number"] or 0) for r in kept.collect())
+    assert got == [(0, 1), (0, 2), (1, 3), (2, 4)]
+    assert spark.read.parquet(f"{root}/status_events").count() == 4
+    work(payloads(9, [1]), 2)  # a replay with fewer rows leaves none behind
+    assert tables.read_batches(spark, f"{root}/failures").filter("batch_id = 2").count() == 0
+
+
+def test_only_touched_buckets_are_rewritten(spark):
+    import os
+
+    path = folder() + "/patterns"
+    files = lambda: {f"{d}/{n}": os.stat(f"{d}/{n}").st_mtime_ns for d, _, names in os.walk(f"{path}/data") for n in names if n.endswith(".parquet")}
+    tables.upsert_patterns(pattern(spark, [("f", f"p{i}", 0.5, "LOW") for i in range(300)]), path, 0, ["failure_id"])
+    first = files()
+    assert len(first) > 40
+    reader = tables.read_patterns(spark, path)
+    tables.upsert_patterns(pattern(spark, [("g", "p7", 0.9, "HIGH"), ("g", "new", 0.1, "LOW")]), path, 1, ["failure_id"])
+    second = files()
+    assert all(second[f] == t for f, t in first.items()) and len(second) - len(first) in (1, 2)
+    assert reader.count() == 300  # what a reader has begun stays whole
+    now = {r["fingerprint"]: (r["recurrence_count"], r["rca_confidence"]) for r in tables.read_patterns(spark, path).collect()}
+    assert len(now) == 301 and now["p7"] == (1, 0.9) and now["p8"] == (0, 0.5)
+    tables.upsert_patterns(pattern(spark, [("h", "p7", 0.2, "LOW")]), path, 2, ["failure_id"])
+    assert buckets.commits(spark, path) == [1, 2]
+    assert tables.read_patterns(spark, path, before=2).filter("fingerprint = 'p7'").head()["recurrence_count"] == 1
+    assert tables.read_patterns(spark, path).filter("fingerprint = 'p7'").head()["recurrence_count"] == 2
+
+
+def test_appended_buckets_are_joined_when_there_are_many(spark):
+    path = folder() + "/keys"
+    for i in range(5):
+        buckets.append(spark.createDataFrame([(i, "a"), (i + 100, "b")], "k long, v string"), path, i, "k long, v string", ["k"], buckets=1, runs=3)
+    assert [len(f) for f in buckets.newest(spark, path)["folders"].values()] == [2]
+    assert sorted(r["k"] for r in buckets.read(spark, path, "k long, v string").collect()) == [0, 1, 2, 3, 4, 100, 101, 102, 103, 104]
+    rows = spark.createDataFrame([(3,), (7,), (None,)], "k long")
+    assert {r["k"] for r in buckets.unseen(rows, path, 9, "k long, v string", ["k"]).collect()} == {7, None}
+    assert {r["k"] for r in buckets.unseen(rows, path, 3, "k long, v string", ["k"]).collect()} == {3, 7, None}
+
+
+def test_a_second_run_embeds_unseen_fingerprints_only(spark):
+    root, asked = folder(), []
+
+    def embedder(texts):
+        asked.append(sorted(r["key"] for r in texts.select("key").collect()))
+        return dedup.hashing_embedder(texts)
+
+    work = jobs.analysis_job(root, embedder=embedder)
+    more = spark.createDataFrame([("f0", "t", 0, "fatal: something else entirely")], S.LINES)
+    work(log_frame(spark), 0)
+    for _ in range(2):
+        work(log_frame(spark).unionByName(more), 1)
+    assert len(asked[0]) >= 1 and len(asked[1]) == 1 and asked[1] == asked[2] and not set(asked[0]) & set(asked[1])
