@@ -197,8 +197,15 @@ def release_job(root: str, **options) -> Callable[[DataFrame, int], None]:
         tables.write_batch(rows.filter("kind = 'late'").drop("kind"), f"{root}/late_lines", batch_id)
         ready = at_step(root, of("collected"), "collect", batch_id).checkpoint()
         mark(root, "collect", ready, ["LOGS_COLLECTED"], batch_id)
+        if ready.isEmpty():
+            return
         lines = rows.filter("kind = 'line'").drop("kind").join(ready, "failure_id", "left_semi")
-        analyse(lines, batch_id, ready)
+        # The micro-batch itself ran without adaptive plans, as stateful plans must; what follows is batch work.
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+        try:
+            analyse(lines, batch_id, ready)
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", False)
 
     return work
 
