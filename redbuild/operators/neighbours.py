@@ -1,9 +1,11 @@
-"""Exact neighbour search over vectors, in blocks of bounded size.
-
-Both sides of a search are dealt into blocks; a task gets one pair of blocks
-and reduces it at once to a row per left vector (its nearest ones, the least
-label next to it, ...).  Pairs are never written out, so a group of near copies
-costs arithmetic only, and a hot group is spread over (n / block)^2 tasks.
+"""Exact neighbour search over vectors, by metric cells and blocks of bounded size.
+
+The stored side is dealt into metric cells (cells.py), and a vector meets only
+the cells that can hold something near enough.  Both sides of a cell are dealt
+into blocks; a task gets one pair of blocks and reduces it at once to a row per
+left vector (its nearest ones, the least label next to it, ...).  Pairs are
+never written out, so a group of near copies costs arithmetic only, and a hot
+cell is spread over (n / block)^2 tasks.
 """
 
 from __future__ import annotations
@@ -14,15 +16,18 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import cells as M
+
 BLOCK_ROWS = 32_768
 BLOCK_BYTES = 64 << 20  # and no block of vectors is larger
 BROADCAST_ROWS = 20_000  # a right side up to this size goes to every task
 BROADCAST_BYTES = 16 << 20  # if it isn't larger than this either
 ROUNDS_AT_ONCE = 16
 CELLS = 8_000_000  # largest distance matrix held at once
+WHOLE, STRANGE = -1, -2  # cells of a group that needs none, and of vectors that have no distance
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
@@ -35,10 +40,6 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="redbuild-"))
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack(vectors.to_numpy()).astype(np.float64)
-
-
 def _tiles(left: np.ndarray, right: np.ndarray, metric: str) -> Iterator[tuple[int, np.ndarray]]:
     """(first left row, matrix of left rows x right rows), a few rows at a time.
 
@@ -67,10 +68,11 @@ def _extent(vectors: DataFrame) -> tuple[int, int]:
     return n, 8 * max(1, width or 0)
 
 
-def _blocks(rows: DataFrame, group: str, sizes: DataFrame, side: str, other: str) -> DataFrame:
+def _blocks(rows: DataFrame, group: list[str], sizes: DataFrame, side: str, other: str) -> DataFrame:
     """Gives every row its own block and a copy for each block of the other side.
 
-    The exact search costs blocks x rows of shuffled vectors; it is meant for what is left after equal vectors are one.
+    Within a group the search costs blocks x rows of shuffled vectors; it is meant for what is left after equal vectors
+    are one.
     """
     dealt = rows.join(sizes, group).withColumn(
         side, F.pmod(F.xxhash64("id"), F.col(f"n_{side}")).cast("int")
@@ -81,25 +83,25 @@ def _blocks(rows: DataFrame, group: str, sizes: DataFrame, side: str, other: str
 
 
 def reduce_pairs(
-    left: DataFrame, right: DataFrame, group: str, reducer: Reducer, schema: str,
-    block_rows: int = BLOCK_ROWS, one_group: bool = False,
+    left: DataFrame, right: DataFrame, group: list[str], reducer: Reducer, schema: str,
+    block_rows: int = BLOCK_ROWS, few_groups: bool = False,
 ) -> DataFrame:
     """Runs `reducer(left block, right block)` on every pair of blocks of a group.
 
-    one_group: the sizes are a single row, which goes to every task; of many
-    groups they are joined, and the planner splits a large group's rows.
+    few_groups: the sizes are a row per cell at most, which go to every task; of
+    many groups they are joined, and the planner splits a large group's rows.
     """
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy(group).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+        return rows.groupBy(*group).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
 
     # New column ids, so that a side can be searched against itself.
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
     block_rows = max(1, min(block_rows, BLOCK_BYTES // _extent(right)[1]))
     sizes = blocks(left, "n_lb").join(blocks(right, "n_rb"), group)
-    if one_group:
+    if few_groups:
         sizes = F.broadcast(sizes)
-    keys = [group, "lb", "rb"]
+    keys = [*group, "lb", "rb"]
     return (
         _blocks(left, group, sizes, "lb", "rb").groupBy(*keys)
         .cogroup(_blocks(right, group, sizes, "rb", "lb").groupBy(*keys))
@@ -119,7 +121,8 @@ def nearest(
     queries(id, vec), stored(id, vec) -> (id, stored_id, value, rank).  `value`
     is the squared L2 distance (metric "l2") or the cosine ("cosine", where
     `at_least` drops what is below it).  A small stored side, counted first,
-    goes to every task; a larger one is searched block by block.
+    goes to every task; of a larger one each query meets its own cell and then
+    those that its k-th best so far leaves open.
     """
     sign = -1.0 if metric == "cosine" else 1.0
     id_type = dict(queries.dtypes)["id"]
@@ -158,14 +161,14 @@ def nearest(
     if n <= broadcast_rows and n * size <= BROADCAST_BYTES:
         sample = stored.select("id", "vec").toPandas().sort_values("id")
         shared = queries.sparkSession.sparkContext.broadcast(
-            (sample["id"].to_numpy(), _matrix(sample["vec"]))
+            (sample["id"].to_numpy(), M.matrix(sample["vec"]))
         )
 
         def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known_ids, known = shared.value
             for batch in batches:
                 if len(batch):
-                    yield search(batch["id"].to_numpy(), _matrix(batch["vec"]), known_ids, known)
+                    yield search(batch["id"].to_numpy(), M.matrix(batch["vec"]), known_ids, known)
 
         return queries.select("id", "vec").mapInPandas(per_batch, schema)
 
@@ -173,25 +176,65 @@ def nearest(
         if not len(a):
             return pd.DataFrame(columns=["id", "stored_id", "value", "rank"])
         b = b.sort_values("id")
-        return search(a["id"].to_numpy(), _matrix(a["vec"]), b["id"].to_numpy(), _matrix(b["vec"]))
+        return search(a["id"].to_numpy(), M.matrix(a["vec"]), b["id"].to_numpy(), M.matrix(b["vec"]))
+
+    # Of equal stored vectors only the first k by id can be among the nearest; the window keeps k per task already.
+    copies = Window.partitionBy("vec").orderBy("id")
+    first_copies = stored.select("id", "vec").withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k)
+    ensure_checkpoints(queries.sparkSession)
+    space, dealt = M.deal(first_copies.drop("copy"), metric, n, size)
+    if not len(space.pivots):
+        return queries.sparkSession.createDataFrame([], schema)
 
-    everywhere = F.lit(0).alias("g")
-    partial = reduce_pairs(
-        queries.select(everywhere, "id", "vec"), stored.select(everywhere, "id", "vec"),
-        "g", per_pair, schema, block_rows, one_group=True,
-    )
-    # At most k rows per block and query meet here.
-    best = F.slice(
-        F.array_sort(F.collect_list(F.struct((F.col("value") * sign).alias("order"), "stored_id", "value"))),
-        1, k,
-    )
+    # The home cell gives a bound, then the cells within it are searched.
+    at_home = queries.select("id", "vec").filter(M.finite(F.col("vec"))).withColumn("h", M.home_of(space, k)).select(
+        "id", "vec", "h.cell", "h.upper"
+    ).checkpoint()
+    found = _best(reduce_pairs(at_home, dealt, ["cell"], per_pair, schema, block_rows, few_groups=True), k, sign).checkpoint()
+    last = F.get("best", F.lit(k - 1))["value"]
+    bounds = [F.col("upper"), F.sqrt((2 - 2 * last if metric == "cosine" else last) + M.ROUNDING)]
+    if at_least is not None:
+        bounds.append(F.lit(max(0.0, 2 - 2 * at_least) + M.ROUNDING) ** 0.5)
+    beyond = at_home.join(found, "id", "left").withColumn("reach", F.least(*bounds)).select(
+        "id", "vec", F.explode(F.array_remove(M.cells_within(space, F.col("reach")), F.col("cell"))).alias("cell")
+    ).checkpoint()
+    rest = reduce_pairs(beyond, dealt, ["cell"], per_pair, schema, block_rows, few_groups=True)
+    so_far = found.select("id", F.explode("best").alias("b")).select("id", "b.stored_id", "b.value")
     return (
-        partial.groupBy("id").agg(best.alias("best"))
+        _best(so_far.unionByName(rest.drop("rank")), k, sign)
         .select("id", F.posexplode("best").alias("pos", "b"))
         .select("id", "b.stored_id", "b.value", (F.col("pos") + 1).cast("int").alias("rank"))
     )
 
 
+def _best(found: DataFrame, k: int, sign: float) -> DataFrame:
+    """(id, stored_id, value) -> (id, best): the k best in order.  At most k rows per block and query meet here."""
+    each = F.struct((F.col("value") * sign).alias("order"), "stored_id", "value")
+    return found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(each)), 1, k).alias("best"))
+
+
+def _in_cells(points: DataFrame, metric: str, reach: float, block_rows: int) -> DataFrame:
+    """Adds `cell`, where a point lies, and `cells`, where points of its group within `reach` can lie; checkpointed.
+
+    Cells are shared by all groups.  A group of one block keeps together: one cell is all it has.
+    """
+    n, size = _extent(points)
+    space, dealt = M.deal(points, metric, n, size)
+    sizes = points.groupBy("g").agg((F.count("*") > block_rows).alias("large"))
+    met = M.cells_within(space, F.lit(reach)) if len(space.pivots) else F.array("cell")
+    placed = dealt.join(sizes, "g").withColumn(
+        "cells", F.when(F.col("large"), F.array_union(met, F.array("cell"))).otherwise(F.array(F.lit(WHOLE)))
+    ).withColumn("cell", F.when(F.col("large"), F.col("cell")).otherwise(WHOLE)).drop("large")
+    # Vectors without distances are near nothing, but they stay.
+    strange = points.filter(~M.finite(F.col("vec"))).withColumn("cell", F.lit(STRANGE)).withColumn("cells", F.array("cell"))
+    return placed.unionByName(strange).checkpoint()
+
+
+def _visits(points: DataFrame) -> DataFrame:
+    """A row for each cell that a point meets."""
+    return points.withColumn("cell", F.explode("cells")).drop("cells")
+
+
 def components(points: DataFrame, radius: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Connected components of the "closer than `radius`" graph inside a group.
 
@@ -211,7 +254,7 @@ def components(points: DataFrame, radius: float, block_rows: int = BLOCK_ROWS) -
         labels, ids = b["label"].to_numpy(), b["id"].to_numpy()
         own = a["id"].to_numpy()
         least, touched = a["label"].to_numpy().copy(), np.zeros(len(a), dtype=bool)
-        for at, values in _tiles(_matrix(a["vec"]), _matrix(b["vec"]), "l2"):
+        for at, values in _tiles(M.matrix(a["vec"]), M.matrix(b["vec"]), "l2"):
             near = values <= square
             near &= ids[None, :] != own[at:at + len(values), None]
             hit = near.any(axis=1)
@@ -223,11 +266,11 @@ def components(points: DataFrame, radius: float, block_rows: int = BLOCK_ROWS) -
                     least[at + r] = first[r]
         return pd.DataFrame({"g": a["g"], "id": own, "least": least, "touched": touched})
 
-    state = points.select("g", "id", "vec", F.col("id").alias("label")).checkpoint()
+    state = _in_cells(points.select("g", "id", "vec"), "l2", radius, block_rows).withColumn("label", F.col("id"))
     lonely = None
     while True:
         found = (
-            reduce_pairs(state, state, "g", least_label, schema, block_rows)
+            reduce_pairs(_visits(state), state.drop("cells"), ["g", "cell"], least_label, schema, block_rows)
             .groupBy("g", "id").agg(F.min("least").alias("least"), F.max("touched").alias("touched"))
         )
         step = state.join(found, ["g", "id"]).checkpoint()
@@ -239,7 +282,7 @@ def components(points: DataFrame, radius: float, block_rows: int = BLOCK_ROWS) -
             F.col("g").alias("g"), F.col("id").alias("least"), F.col("least").alias("beyond")
         )
         after = step.join(jump, ["g", "least"]).select(
-            "g", "id", "vec", F.col("label").alias("before"),
+            "g", "id", "vec", "cell", "cells", F.col("label").alias("before"),
             F.least("least", "beyond").alias("label"),
         ).checkpoint()
         state = after.drop("before")
@@ -267,24 +310,27 @@ def greedy_keep(points: DataFrame, above: float, block_rows: int = BLOCK_ROWS) -
         own, other = order[:len(a)], order[len(a):]
         kept = b["kept"].to_numpy()
         next_to_kept, waits = np.zeros(len(a), dtype=bool), np.zeros(len(a), dtype=bool)
-        for at, values in _tiles(_matrix(a["vec"]), _matrix(b["vec"]), "cosine"):
+        for at, values in _tiles(M.matrix(a["vec"]), M.matrix(b["vec"]), "cosine"):
             near = (values > above) & (other[None, :] < own[at:at + len(values), None])
             next_to_kept[at:at + len(values)] = (near & kept[None, :]).any(axis=1)
             waits[at:at + len(values)] = (near & ~kept[None, :]).any(axis=1)
         return pd.DataFrame({"g": a["g"], "id": a["id"], "next_to_kept": next_to_kept, "waits": waits})
 
-    undecided = points.select("g", "id", "vec", F.lit(False).alias("kept")).checkpoint()
+    reach = max(0.0, 2 - 2 * above) + M.ROUNDING
+    undecided = _in_cells(points.select("g", "id", "vec"), "cosine", reach ** 0.5, block_rows).withColumn("kept", F.lit(False))
     fresh, kept = undecided.limit(0), []
     while True:
         facts = (
-            reduce_pairs(undecided, undecided.unionByName(fresh), "g", earlier, schema, block_rows)
+            reduce_pairs(
+                _visits(undecided), undecided.unionByName(fresh).drop("cells"), ["g", "cell"], earlier, schema, block_rows
+            )
             .groupBy("g", "id")
             .agg(F.max("next_to_kept").alias("next_to_kept"), F.max("waits").alias("waits"))
         )
         settled = undecided.join(facts, ["g", "id"]).filter(~F.col("next_to_kept")).checkpoint()
-        fresh = settled.filter(~F.col("waits")).select("g", "id", "vec", F.lit(True).alias("kept"))
+        fresh = settled.filter(~F.col("waits")).select("g", "id", "vec", "cell", "cells", F.lit(True).alias("kept"))
         kept.append(fresh.select("g", "id"))
-        undecided = settled.filter("waits").select("g", "id", "vec", "kept")
+        undecided = settled.filter("waits").select("g", "id", "vec", "cell", "cells", "kept")
         if len(kept) == ROUNDS_AT_ONCE or undecided.isEmpty():
             kept = [reduce(DataFrame.unionByName, kept).checkpoint()]
         if undecided.isEmpty():

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from redbuild.functions import vectors as V
 from redbuild.operators import dedup as D
+from redbuild.operators import cells as M
 from redbuild.operators import neighbours as N
 
 
@@ -120,3 +121,63 @@ def test_medoids_of_wide_vectors(spark, monkeypatch):
     assert sorted(D.medoids(clustered).collect()) == want and want
     with pytest.raises(ValueError):
         D.medoids(clustered.withColumn("vec", F.when(F.col("id") % 2 == 0, F.array(F.lit(1.0))).otherwise(F.col("vec"))))
+
+
+def clouds(n, centres, dims, seed, spread=0.05):
+    """Points around a few centres; one centre holds a third of them, every tenth point is a copy."""
+    rng = np.random.default_rng(seed)
+    middle = np.random.default_rng(1).normal(size=(centres, dims))
+    at = np.where(rng.random(n) < 1 / 3, 0, rng.integers(0, centres, n))
+    points = middle[at] + rng.normal(scale=spread, size=(n, dims))
+    points[9::10] = points[8::10][:len(points[9::10])]
+    return points
+
+
+def as_frame(spark, points, first=0):
+    return spark.createDataFrame([(first + i, [float(x) for x in v]) for i, v in enumerate(points)], "id long, vec array<double>")
+
+
+@pytest.mark.parametrize("metric, at_least", [("l2", None), ("cosine", None), ("cosine", 0.9)])
+def test_cells_find_what_a_full_search_finds(spark, metric, at_least):
+    stored, queries = clouds(600, 12, 5, 2), clouds(90, 12, 5, 3)
+    stored[5], stored[6], queries[4], queries[7] = 0.0, 0.0, 0.0, 40.0  # no direction; far from everything
+    found = N.nearest(
+        as_frame(spark, queries), as_frame(spark, stored, 1_000), 4, metric, at_least, block_rows=50, broadcast_rows=10
+    )
+    got = sorted((r["id"], r["rank"], r["stored_id"], r["value"]) for r in found.collect())
+    whole = N.nearest(as_frame(spark, queries), as_frame(spark, stored, 1_000), 4, metric, at_least)
+    assert got == sorted((r["id"], r["rank"], r["stored_id"], r["value"]) for r in whole.collect())
+    assert len(got) == 360 if at_least is None else 0 < len(got) < 360
+
+
+def test_cells_leave_out_most_pairs(spark):
+    stored, queries = as_frame(spark, clouds(3_000, 40, 8, 2)), as_frame(spark, clouds(500, 40, 8, 3))
+    space, dealt = M.deal(stored, "l2", 3_000, 64)
+    visits = queries.select("id", F.explode(M.cells_within(space, F.lit(0.3))).alias("cell"))
+    share = M.pair_share(visits, dealt, 500)
+    # A third of both sides lies around one centre: a ninth of all pairs there alone, if nothing tells them apart.
+    assert 0 < share < 0.2
+    near = {(r["id"], r["cell"]) for r in visits.collect()}
+    where = {r["id"]: r["cell"] for r in dealt.collect()}
+    a, b = clouds(500, 40, 8, 3), clouds(3_000, 40, 8, 2)
+    close = np.argwhere(((a[:, None] - b[None]) ** 2).sum(axis=2) <= 0.09)
+    assert len(close) and all((i, where[j]) in near for i, j in close)
+
+
+def test_groups_in_cells_equal_groups_whole(spark):
+    rows = [(0, i, [float(x) for x in v]) for i, v in enumerate(clouds(300, 10, 4, 8, 0.03))]
+    rows += [(1, 1_000 + i, [float(x) for x in v]) for i, v in enumerate(clouds(12, 3, 4, 9, 0.03))]
+    rows += [(0, 2_000, [float("nan")] * 4), (0, 2_001, [float("inf")] * 4), (0, 2_002, [0.0] * 4), (0, 2_003, [0.0] * 4)]
+    points = frame(spark, rows)
+    for walk in (lambda n: N.components(points, 0.05, n), lambda n: N.greedy_keep(points, 0.99, n)):
+        small, large = sorted(map(tuple, walk(40).collect())), sorted(map(tuple, walk(100_000).collect()))
+        assert small == large and {2_000, 2_001} <= {r[1] for r in large}
+    got = {r["id"]: r["label"] for r in N.components(points, 0.05, 40).collect()}
+    assert got == brute_components(rows, 0.05) and len(set(got.values())) < 250
+
+
+def test_no_cells_of_nothing(spark):
+    none = frame(spark, [])
+    assert N.components(none, 0.1).collect() == [] and N.greedy_keep(none, 0.85).collect() == []
+    strange = spark.createDataFrame([(1, [float("nan")])], "id long, vec array<double>")
+    assert N.nearest(strange, strange, 1, "l2", broadcast_rows=0).collect() == []
