@@ -50,12 +50,12 @@ def platform_of(payloads: DataFrame) -> DataFrame:
 def intake(payloads: DataFrame, now: Column | None = None, keep: list[str] = ()) -> DataFrame:
     """Usable payloads -> failure records with status RECEIVED; quarantine() has the others.
 
-    The id is a digest of the payload, so a replayed batch gives equal ids.  `keep` names columns that came with the
-    payload and are no part of it.
+    The id is a digest of the payload's known fields, so a replayed batch gives equal ids.  `keep` names columns that
+    came with the payload and are no part of it; the whole `document` is kept too, if it came.
     """
-    body = F.struct(*[c for c in payloads.columns if c not in keep])
+    body = F.struct(*[c for c in payloads.columns if c not in keep and c != "document"])
     return platform_of(payloads).filter("reject_reason IS NULL").select(
-        *keep,
+        *keep, *[c for c in payloads.columns if c == "document"],
         F.sha2(F.to_json(body), 256).alias("failure_id"), "platform", "commit", "branch",
         F.lit("RECEIVED").alias("status"), body.alias("payload"),
         (F.current_timestamp() if now is None else now).cast("timestamp_ntz").alias("created_at"),
@@ -97,6 +97,25 @@ def find_duplicate(records: DataFrame, platform, commit, branch, job_name, build
     ).orderBy("created_at", "failure_id").limit(1)
 
 
+def at_path(document: Column, path: Column | str) -> Column:
+    """Text of what a VARIANT holds at a JSON path, NULL if there is nothing."""
+    return F.try_variant_get(document, path if isinstance(path, Column) else F.lit(path), "string")
+
+
+def values_at(records: DataFrame, paths: dict[str, str], document: str = "document") -> DataFrame:
+    """A row per record and path: the other columns, `name` and `value`.  paths: name -> JSON path, as data."""
+    named = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("path")) for n, p in paths.items()])
+    return records.withColumn("at", F.explode(named)).select(
+        *[c for c in records.columns if c != document], "at.name",
+        at_path(F.col(document), F.col("at.path")).alias("value"),
+    )
+
+
+def matching(records: DataFrame, wanted: dict[str, str], document: str = "document") -> DataFrame:
+    """Records whose document has these texts at these JSON paths."""
+    return records.filter(reduce(lambda a, b: a & b, [at_path(F.col(document), p) == v for p, v in wanted.items()]))
+
+
 def by_id(records: DataFrame, failure_id: str) -> DataFrame:
     return records.filter(F.col("failure_id") == failure_id).orderBy("created_at").limit(1)
 

@@ -50,12 +50,28 @@ VALID_STRATEGIES = {
         "FIX_PLUGIN_CONFIGURATION", "VALIDATE_FILE_EXISTENCE", "ROTATE_CREDENTIALS", "FIX_NETWORK_POLICY",
     ],
 }
+# --- fixed values: what an answer must fill in, by action and by strategy; lists that may be empty ----
 REQUIRED_FIELDS = {
-    "FIX_DEV": ["strategy", "target"],
-    "FIX_TEST": ["strategy", "target"],
-    "FIX_CI_INFRA": ["strategy", "target"],
-    "MANUAL_INVESTIGATION": ["reason"],
+    "FIX_DEV": ["target", "related_files"],
+    "FIX_TEST": ["target", "fix_commands"],
+    "FIX_CI_INFRA": ["target", "estimated_recovery_time_seconds", "requires_human_approval", "fix_commands"],
+    "MANUAL_INVESTIGATION": ["reason", "suggested_next_step", "escalation_team", "priority", "investigation_links"],
 }
+STRATEGY_FIELDS = {
+    "CLEAN_REBUILD": ["fix_commands"],
+    "RESOLVE_DEPENDENCY": ["related_files", "fix_commands"],
+    "UPGRADE_DEPENDENCY": ["fix_commands"],
+    "GENERATE_CODE_PATCH": ["suggested_patch", "patch_confidence"],
+    "APPLY_LINT_FIX": ["fix_commands"],
+    "FIX_CODE_QUALITY": ["fix_commands"],
+    "REVERT_COMMIT": ["fix_commands"],
+    "MARK_FLAKY_RETRY": ["retry_count"],
+    "SKIP_TEST_TEMPORARILY": ["skip_reason"],
+}
+APPROVED_BY_HAND = ["ROTATE_CREDENTIALS", "UPDATE_SECRET", "FIX_NETWORK_POLICY"]
+MAY_BE_EMPTY = ["related_files", "investigation_links"]
+LIST_FIELDS = ["fix_commands", "related_files", "investigation_links"]
+NUMBER_FIELDS = ["patch_confidence", "retry_count", "estimated_recovery_time_seconds", "requires_human_approval"]
 LEVELS = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
 MANUAL = "MANUAL_INVESTIGATION"
 MANUAL_BELOW = 0.3
@@ -81,6 +97,40 @@ def action_of(category: Column) -> Column:
     return F.coalesce(_lookup(category, ACTIONS), F.lit(MANUAL))
 
 
+def contract_text(action: str) -> str:
+    """The fields an answer with this action must have, then those of its strategies."""
+    rules = [f"{s}: {', '.join(STRATEGY_FIELDS[s])}" for s in OFFERED_STRATEGIES[action] if s in STRATEGY_FIELDS]
+    approved = [s for s in OFFERED_STRATEGIES[action] if s in APPROVED_BY_HAND]
+    if approved:
+        rules.append(f"requires_human_approval is true for {', '.join(approved)}")
+    return "; ".join([", ".join(REQUIRED_FIELDS[action]), *rules])
+
+
+def contract_gaps(r: Column) -> Column:
+    """Names of the fields that a remediation's action and strategy ask for and that it lacks, in alphabetical order.
+
+    Softer than `remediation_errors`: such a remediation is valid, but an analyzer can be asked again.  Texts and lists
+    must not be empty, but for lists that may be; a strategy that needs an approval must say so.
+    """
+
+    def lacks(field: str) -> Column:
+        value = r[field]
+        if field in LIST_FIELDS and field not in MAY_BE_EMPTY:
+            return value.isNull() | (F.size(value) == 0)
+        return value.isNull() if field in LIST_FIELDS + NUMBER_FIELDS else value.isNull() | (F.trim(value) == "")
+
+    asked: dict[str, list[Column]] = {}
+    for action, fields in REQUIRED_FIELDS.items():
+        for field in fields:
+            asked.setdefault(field, []).append(r["action"] == action)
+    for strategy, fields in STRATEGY_FIELDS.items():
+        for field in fields:
+            asked.setdefault(field, []).append(r["strategy"] == strategy)
+    rules = {f: reduce(lambda a, b: a | b, [F.coalesce(w, F.lit(False)) for w in when]) & lacks(f) for f, when in asked.items()}
+    rules["requires_human_approval"] |= r["strategy"].isin(*APPROVED_BY_HAND) & ~F.coalesce(r["requires_human_approval"], F.lit(False))
+    return F.array_compact(F.array(*[F.when(rules[f], f) for f in sorted(rules)]))
+
+
 def requests(classified: DataFrame) -> DataFrame:
     """One row per classified signal with everything an analyzer needs, and the
     same as a text.  Evidence is cut to 400 / 150 / 250 characters."""
@@ -89,7 +139,6 @@ def requests(classified: DataFrame) -> DataFrame:
         return F.when(F.length(c) > 0, cut(F.col(c))).otherwise("(none)")
 
     strategies = {a: ", ".join(s) if s else "N/A" for a, s in OFFERED_STRATEGIES.items()}
-    fields = {a: ", ".join(f) for a, f in REQUIRED_FIELDS.items()}
     rows = classified.select(
         "failure_id", "stage", "fingerprint", "category", "confidence", "owner_team",
         action_of(F.col("category")).alias("action"),
@@ -98,7 +147,7 @@ def requests(classified: DataFrame) -> DataFrame:
         evidence("post_content", lambda c: F.substring(c, 1, POST_CHARS)).alias("after"),
     ).withColumns({
         "strategies": _lookup(F.col("action"), strategies),
-        "required": _lookup(F.col("action"), fields),
+        "required": _lookup(F.col("action"), {a: contract_text(a) for a in REQUIRED_FIELDS}),
     })
     return rows.withColumn("request", F.concat(
         F.lit("Find the root cause of this CI failure and one remediation that can be carried out as given.\n"),

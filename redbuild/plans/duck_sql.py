@@ -482,6 +482,28 @@ oracle(
     "latest_run", "newest AS (SELECT * FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100)",
     "SELECT o_orderkey AS run, o_orderstatus AS branch, o_orderpriority AS commit FROM newest WHERE starts_with(o_orderpriority, '1-U')",
 )
+LANDED = """landed AS (
+    SELECT event_id, CASE WHEN event_id % 13 = 5 THEN left(whole, 20) ELSE whole END AS value FROM (
+        SELECT event_id, '{"job_name":"job-' || event_type || '","build_number":' || user_id || ',"branch":null,"extra":' || props
+               || ',"tags":["a","' || event_type || '"]}' AS whole FROM events)),
+readable AS MATERIALIZED (SELECT event_id, CASE WHEN json_valid(value) THEN value END AS doc FROM landed)"""
+_paths = {"job": "$.job_name", "build": "$.build_number", "branch": "$.branch", "k": "$.extra.k", "tag": "$.tags[1]", "none": "$.x.y"}
+oracle(
+    "payload_paths", LANDED,
+    " UNION ALL ".join(f"SELECT event_id, {text(n)} AS name, json_extract_string(doc, {text(p)}) AS value FROM readable" for n, p in _paths.items()),
+)
+oracle(
+    "payload_matches", LANDED,
+    """SELECT event_id, doc->>'$.job_name' AS job_name, CAST(doc->>'$.build_number' AS BIGINT) AS build_number FROM readable
+WHERE doc->>'$.tags[1]' = 'error' AND doc->>'$.extra.k' = '7'""",
+)
+oracle(
+    "find_duplicate", PAYLOADS,
+    """SELECT intake_no AS failure_id, platform, commit, branch, intake_no % 24 AS created_at FROM checked
+WHERE platform = 'jenkins' AND commit = 'c7' AND branch = 'O' AND job_name = 'job-5-LOW' AND build_number = 1
+ORDER BY intake_no % 24, CAST(intake_no AS BIGINT) LIMIT 1""",
+)
+oracle("record_by_id", PAYLOADS, "SELECT intake_no AS failure_id, platform, commit, branch FROM checked WHERE intake_no = 33")
 STATUS = f"""moves AS (
     SELECT 'run-' || o_custkey AS failure_id, o_orderkey % 6 AS s, o_orderdate AS ts FROM orders),
 latest AS (
@@ -517,6 +539,14 @@ oracle(
     f"""SELECT {_keys}, action, CASE WHEN action IS NOT NULL THEN strategy END AS strategy, target, reason,
        CASE WHEN action IS NOT NULL THEN retry_count END AS retry_count FROM docs""",
 )
+_gaps = {
+    0: "fix_commands,related_files", 1: "fix_commands,related_files", 2: "related_files", 3: "fix_commands,skip_reason",
+    4: "fix_commands", 5: "fix_commands", 6: "fix_commands,requires_human_approval",
+    7: "estimated_recovery_time_seconds,fix_commands", 8: "escalation_team,investigation_links,priority,suggested_next_step",
+    9: "escalation_team,investigation_links,reason,suggested_next_step", 10: "",
+    11: "estimated_recovery_time_seconds,fix_commands,requires_human_approval,target",
+}
+oracle("contract_gaps", STORED, f"SELECT {_keys}, {case((f'kind = {k}', text(v)) for k, v in _gaps.items())} AS gaps FROM docs")
 _broken = [
     ("strategy", "kind = 1"), ("target", "kind = 11"), ("patch_confidence", "kind = 2"),
     ("retry_count", "kind = 4 AND l_linenumber NOT BETWEEN 1 AND 5"), ("recovery_time", "kind = 6"),
@@ -543,10 +573,25 @@ def _map(x: str, table: dict) -> str:
 _action = _map("regex_category", rca.ACTIONS)
 _cut = lambda c, x: f"CASE WHEN length({c}) > 0 THEN {x} ELSE '(none)' END"
 oracle(
-    "rca_requests", BY_PATTERNS,
-    f"""SELECT failure_id, fingerprint, {_action} AS action, {_cut('error_line', 'substr(error_line, 1, 400)')} AS error_line,
+    "rca_requests", BY_PATTERNS + f""",
+parts AS (
+    SELECT failure_id, fingerprint, stage, regex_category, {_action} AS action, {_cut('error_line', 'substr(error_line, 1, 400)')} AS error_line,
        {_cut('pre_content', 'right(pre_content, 150)')} AS before, {_cut('post_content', 'substr(post_content, 1, 250)')} AS after,
-       {_map(_action, {a: ', '.join(s) or 'N/A' for a, s in rca.OFFERED_STRATEGIES.items()})} AS strategies FROM best""",
+       {_map(_action, {a: ', '.join(s) or 'N/A' for a, s in rca.OFFERED_STRATEGIES.items()})} AS strategies,
+       {_map(_action, {
+           "FIX_DEV": "target, related_files; CLEAN_REBUILD: fix_commands; RESOLVE_DEPENDENCY: related_files, fix_commands; "
+           "UPGRADE_DEPENDENCY: fix_commands; GENERATE_CODE_PATCH: suggested_patch, patch_confidence; APPLY_LINT_FIX: fix_commands; "
+           "FIX_CODE_QUALITY: fix_commands; REVERT_COMMIT: fix_commands",
+           "FIX_TEST": "target, fix_commands; MARK_FLAKY_RETRY: retry_count; SKIP_TEST_TEMPORARILY: skip_reason",
+           "FIX_CI_INFRA": "target, estimated_recovery_time_seconds, requires_human_approval, fix_commands; "
+           "requires_human_approval is true for ROTATE_CREDENTIALS, UPDATE_SECRET, FIX_NETWORK_POLICY",
+           "MANUAL_INVESTIGATION": "reason, suggested_next_step, escalation_team, priority, investigation_links",
+       })} AS required FROM best)""",
+    """SELECT failure_id, fingerprint, action, error_line, before, after, strategies, required,
+       'Find the root cause of this CI failure and one remediation that can be carried out as given.' || chr(10) || 'Action: ' || action
+       || chr(10) || 'Strategy, one of: ' || strategies || chr(10) || 'Required fields: ' || required || chr(10) || 'Stage: ' || stage
+       || chr(10) || 'Category: ' || regex_category || chr(10) || 'Error line:' || chr(10) || error_line || chr(10) || 'Before:'
+       || chr(10) || before || chr(10) || 'After:' || chr(10) || after AS request FROM parts""",
 )
 _manual = f"({_action} = 'MANUAL_INVESTIGATION' OR regex_confidence < 0.3)"
 oracle(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import category_rules as C
 from ..functions import text as X
 from ..operators import ci_runs, classify, dedup, extract, failures, knowledge, learn, rca, report
+from ..sources import documents
 from ..sources import sample_tables as T
 from ..sources.sample_logs import log_lines, spread
 from .analyze import analyze
@@ -23,6 +24,9 @@ def query(fn: Query) -> Query:
     return fn
 
 
+PAYLOAD_PATHS = {
+    "job": "$.job_name", "build": "$.build_number", "branch": "$.branch", "k": "$.extra.k", "tag": "$.tags[1]", "none": "$.x.y",
+}
 USER_WORDS = ["refused", "failed", "no space", "timeout", "permission denied", "panic", "manifest", "credentials"]
 
 
@@ -360,6 +364,38 @@ def intake_dedup(spark, folder):
     return kept
 
 
+@query
+def payload_paths(spark, folder):
+    payloads = documents.with_documents(T.payload_texts(table(spark, folder, "events")))
+    return failures.values_at(payloads.select("event_id", "document"), PAYLOAD_PATHS)
+
+
+@query
+def payload_matches(spark, folder):
+    payloads = documents.with_documents(T.payload_texts(table(spark, folder, "events")))
+    return failures.matching(payloads, {"$.tags[1]": "error", "$.extra.k": "7"}).select("event_id", "job_name", "build_number")
+
+
+def _records(spark, folder):
+    """Failure records with the run's number as their id, taken in by the hour."""
+    payloads = failures.platform_of(T.payloads(table(spark, folder, "orders")))
+    return payloads.select(
+        F.col("intake_no").alias("failure_id"), "platform", "commit", "branch",
+        F.struct("job_name", "build_number").alias("payload"), (F.col("intake_no") % 24).alias("created_at"),
+    )
+
+
+@query
+def find_duplicate(spark, folder):
+    found = failures.find_duplicate(_records(spark, folder), "jenkins", "c7", "O", "job-5-LOW", 1)
+    return found.select("failure_id", "platform", "commit", "branch", "created_at")
+
+
+@query
+def record_by_id(spark, folder):
+    return failures.by_id(_records(spark, folder), 33).select("failure_id", "platform", "commit", "branch")
+
+
 @query
 def status_current(spark, folder):
     current = failures.current_status(T.status_events(table(spark, folder, "orders")))
@@ -385,6 +421,15 @@ def remediation_decode(spark, folder):
     )
 
 
+@query
+def contract_gaps(spark, folder):
+    rows = rca.decoded(T.remediation_json(table(spark, folder, "lineitem")), remediation="stored")
+    return rows.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.array_join(rca.contract_gaps(F.col("remediation")), ",").alias("gaps"),
+    )
+
+
 @query
 def remediation_valid(spark, folder):
     rows = T.remediation_json(table(spark, folder, "lineitem"))
@@ -400,7 +445,7 @@ def remediation_valid(spark, folder):
 @query
 def rca_requests(spark, folder):
     return rca.requests(_by_patterns(spark, folder)).select(
-        "failure_id", "fingerprint", "action", "error_line", "before", "after", "strategies"
+        "failure_id", "fingerprint", "action", "error_line", "before", "after", "strategies", "required", "request"
     )
 
 

@@ -9,14 +9,25 @@ from ..operators.ci_runs import normalized_status
 from . import schemas as S
 
 
+def with_documents(texts: DataFrame, text: str = "value") -> DataFrame:
+    """A JSON text -> the known fields of a payload, and all of it as `document` (VARIANT), so that unknown fields stay.
+    Unreadable text has no fields and is kept as a string; other columns stay."""
+    document = F.coalesce(F.try_parse_json(F.col(text)), F.col(text).cast("variant"))
+    return texts.filter(F.trim(F.col(text)) != "").select(
+        F.from_json(F.col(text), S.PAYLOAD).alias("known"), document.alias("document"),
+        *[c for c in texts.columns if c != text],
+    ).select("known.*", "document", *[c for c in texts.columns if c != text])
+
+
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.PAYLOAD).json(path)
+    """Landed payloads, a JSON text per line, with `document`."""
+    return with_documents(spark.read.text(path))
 
 
 def stream_payloads(spark: SparkSession, path: str) -> DataFrame:
     """Payloads with received_at, the time at which their file landed."""
-    found = spark.readStream.schema(S.PAYLOAD).json(path)
-    return found.select("*", F.col("_metadata.file_modification_time").alias("received_at"))
+    found = spark.readStream.text(path)
+    return with_documents(found.select("value", F.col("_metadata.file_modification_time").alias("received_at")))
 
 
 def hub_jobs(runs: DataFrame) -> DataFrame:

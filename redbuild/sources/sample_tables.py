@@ -65,6 +65,15 @@ def payloads(orders: DataFrame) -> DataFrame:
     )
 
 
+def payload_texts(events: DataFrame) -> DataFrame:
+    """Payloads as landed, with fields that no schema knows; some of them broken off."""
+    whole = F.concat(
+        F.lit('{"job_name":"job-'), F.col("event_type"), F.lit('","build_number":'), F.col("user_id").cast("string"),
+        F.lit(',"branch":null,"extra":'), F.col("props"), F.lit(',"tags":["a","'), F.col("event_type"), F.lit('"]}'),
+    )
+    return events.select("event_id", F.when(F.col("event_id") % 13 == 5, F.left(whole, F.lit(20))).otherwise(whole).alias("value"))
+
+
 def status_events(orders: DataFrame) -> DataFrame:
     states = F.array(*[F.lit(s) for s in ("RECEIVED", "LOGS_COLLECTED", "CLASSIFIED", "ANALYZING", "RESOLVED", "FAILED")])
     return orders.select(

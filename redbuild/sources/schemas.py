@@ -14,7 +14,7 @@ PAYLOAD = (
 FAILURES = (
     f"failure_id string, platform string, commit string, branch string, status string, "
     f"payload struct<{PAYLOAD.replace(' string', ':string').replace(' long', ':bigint').replace(' struct', ':struct')}>, "
-    "created_at timestamp_ntz"
+    "created_at timestamp_ntz, document variant"
 )
 CLASSIFIED = f"{SIGNAL}, category string, confidence double, owner_team string"
 ROOT_CAUSES = (

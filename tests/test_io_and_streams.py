@@ -1,10 +1,11 @@
 import json
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from redbuild.operators import dedup, extract, failures
-from redbuild.sources import buckets, documents, logs, tables
+from redbuild.sources import buckets, documents, log_files, logs, tables
 from redbuild.sources import schemas as S
 from redbuild.streaming import jobs
 from redbuild.streaming.gate import gated_lines
@@ -37,6 +38,67 @@ def test_log_files_become_numbered_lines(spark):
     assert [r["raw"] for r in one] == wanted["f1", "build"] and one[0]["failure_id"] == "x"
 
 
+def test_stage_logs_become_files_and_lines_again(spark):
+    import os
+    from pathlib import Path
+
+    root = folder()
+    long = spark.range(200_000).select(
+        F.lit("f1").alias("failure_id"), F.lit("Build all").alias("stage"), F.col("id").alias("line_no"),
+        F.concat(F.lit("é line "), F.col("id").cast("string")).alias("raw"),
+    )
+    short = spark.createDataFrame(
+        [("f 2", f"s{i}", n, None if n == 1 else f"{i} {n}") for i in range(30) for n in range(3)] + [("f 2", "s0", 2, "0 1b")], S.LINES
+    )
+    lines = long.unionByName(short).orderBy(F.rand(3))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        written = log_files.write_log_files(lines, root, 4)
+        assert written.count() == 31 and written.agg(F.sum("lines")).head()[0] == 200_091
+        def content():
+            return {str(p): p.read_bytes() for p in Path(root).glob("*/*.log")}
+
+        before = content()
+        assert before[f"{root}/f 2/s0.log"] == b"0 0\n\n0 1b\n0 2\n" and len(before) == 31
+        (stage,) = os.listdir(f"{root}/f1")
+        assert before[f"{root}/f1/{stage}"].decode().splitlines() == [f"é line {i}" for i in range(200_000)]
+        back = logs.read_stage_logs(spark, root).filter("failure_id = 'f1'")
+        assert back.join(long, ["failure_id", "line_no", "raw"], "left_semi").count() == back.count() == 200_000
+        # A replay puts the same bytes, also one that was cut off between or within the phases.
+        log_files.write_log_files(lines, root, 4)
+        log_files.stage_files(lines, root, 4)
+        os.makedirs(f"{root}/_staged/4/files", exist_ok=True)
+        Path(f"{root}/_staged/4/files/lost.part").write_text("of an attempt that was lost")
+        log_files.commit_files(spark, root, 4)
+        log_files.commit_files(spark, root, 4)
+        assert content() == before and not os.path.exists(f"{root}/_staged/4/files")
+        os.remove(f"{root}/f 2/s0.log")
+        with pytest.raises(Exception, match="neither"):
+            log_files.commit_files(spark, root, 4)
+        with pytest.raises(Exception, match="no file for failure"):
+            log_files.write_log_files(spark.createDataFrame([("../x", "s", 0, "a")], S.LINES), root, 5)
+        assert log_files.write_log_files(short.limit(0), root, 6).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_payload_documents_keep_unknown_fields(spark):
+    root = folder()
+    import os
+
+    os.makedirs(f"{root}/in")
+    whole = {"commit": "c", "job_name": "j", "build_number": 7, "extra": {"who": "x", "n": [1, 2]}}
+    open(f"{root}/in/a.json", "w").write(json.dumps(whole) + "\n\n{broken\n")
+    jobs.per_batch(jobs.intake_job(f"{root}/out"), documents.stream_payloads(spark, f"{root}/in"), f"{root}/c")
+    stored = tables.read_batches(spark, f"{root}/out/failures")
+    assert failures.matching(stored, {"$.extra.who": "x", "$.build_number": "7"}).count() == 1
+    assert failures.matching(stored, {"$.extra.who": "y"}).count() == 0
+    got = failures.values_at(stored.select("failure_id", "document"), {"a": "$.extra.n[1]", "b": "$.no"}).collect()
+    assert {r["name"]: r["value"] for r in got} == {"a": "2", "b": None}
+    (held,) = tables.read_batches(spark, f"{root}/out/quarantine").select(F.expr("payload.document::string")).collect()
+    assert held[0] == "{broken"
+
+
 def test_ci_documents(spark):
     root = folder()
     run = {"run_id": 9, "jobs": [{"id": 1, "name": "Build", "conclusion": "failure", "status": "completed",

@@ -8,7 +8,7 @@ QUICK = [
     "clean_line", "json_message", "normalize_error_line", "normalize_for_embedding", "embedding_text", "stage_names",
     "noise_lines", "signal_type_counts", "signals_distinct", "knn_best", "cache_hits", "near_dup_keep",
     "knowledge_upsert", "stage_assembly", "stage_lines", "failed_stages", "platform_of", "intake_dedup", "latest_run",
-    "status_gate", "remediation_decode", "remediation_valid", "report_summary", "report_rows", "recipients",
+    "status_gate", "payload_paths", "payload_matches", "find_duplicate", "record_by_id", "contract_gaps", "remediation_decode", "remediation_valid", "report_summary", "report_rows", "recipients",
 ]
 
 
