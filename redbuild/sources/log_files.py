@@ -7,7 +7,6 @@ repeated at any point.  A stage is never held whole: the sort spills, and rows c
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .log_ranges import open_uri
 
 MANIFEST = "failure_id string, stage string, staged string, lines long, bytes long"
 
@@ -25,14 +25,7 @@ MANIFEST = "failure_id string, stage string, staged string, lines long, bytes lo
 def _qualified(spark: SparkSession, path: str) -> str:
     """The path with its file system, as all tasks see it."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    full = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
-    return re.sub(r"^file:/+", "file:///", full)
-
-
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    if uri.startswith("file:///"):
-        return fs.LocalFileSystem(), uri[len("file://"):]  # names may hold signs that a URI has to escape
-    return fs.FileSystem.from_uri(uri)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
 
 class _File:
@@ -40,7 +33,7 @@ class _File:
 
     def __init__(self, folder: str, key: tuple[str, str]):
         self.key, self.name, self.lines, self.bytes = key, f"{uuid.uuid4().hex}.part", 0, 0
-        files, path = _open(folder)
+        files, path = open_uri(folder)
         files.create_dir(path, recursive=True)
         self.out = files.open_output_stream(f"{path}/{self.name}")
 
@@ -110,8 +103,8 @@ def commit_files(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
     def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                files, staged = _open(f"{folder}/{row.staged}")
-                _, place = _open(f"{base}/{row.failure_id}/{row.stage}.log")
+                files, staged = open_uri(f"{folder}/{row.staged}")
+                _, place = open_uri(f"{base}/{row.failure_id}/{row.stage}.log")
                 if files.get_file_info(staged).type == fs.FileType.File:
                     files.create_dir(place.rsplit("/", 1)[0], recursive=True)
                     files.move(staged, place)
@@ -122,7 +115,7 @@ def commit_files(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
     manifest = spark.read.parquet(f"{base}/_staged/{batch_id}/manifest")
     moved = manifest.mapInPandas(move, "failure_id string, stage string, lines long, bytes long")
     moved.write.mode("overwrite").parquet(f"{base}/_written/batch_id={batch_id}")
-    files, staging = _open(folder)
+    files, staging = open_uri(folder)
     if files.get_file_info(staging).type == fs.FileType.Directory:
         files.delete_dir(staging)  # files of attempts that don't count
     return spark.read.parquet(f"{base}/_written/batch_id={batch_id}")

@@ -2,51 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .log_ranges import found_files, lines_of, stream_files
 
 
 def _path_part(from_end: int) -> Column:
-    parts = F.split(F.col("file"), "/")
-    return F.url_decode(F.replace(F.element_at(parts, -from_end), F.lit("+"), F.lit("%2B")))
-
-
-def _numbered(raw: DataFrame) -> DataFrame:
-    """Adds line_no.  A large file is read in splits by many tasks: lines are
-    counted inside their split and shifted by the splits before, so no file is
-    sorted as a whole.
-
-    The shifts, a row of three numbers per split (of 128 MB: 100 TB of logs
-    have 800,000), go to every task, so the text is not shuffled.
-    """
-    rows = raw.select(
-        F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"),
-        F.xxhash64("_metadata.file_path").alias("of"), F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("at"),
-    )
-    before = Window.partitionBy("of").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = rows.groupBy("of", "split").agg(F.min("at").alias("first"), F.count("*").alias("n")).select(
-        "of", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")
-    )
-    return rows.join(F.broadcast(splits), ["of", "split"]).withColumn("line_no", F.col("shift") + F.col("at"))
+    return F.element_at(F.split(F.col("path"), "/"), -from_end)
+
+
+def _stage() -> Column:
+    return F.replace(_path_part(1), F.lit(".log"), F.lit(""))
+
+
+def stage_lines(files: DataFrame) -> DataFrame:
+    """(path, length) of <failure_id>/<stage>.log -> their lines, in batches or in foreachBatch of a stream of files."""
+    return lines_of(files).select(_path_part(2).alias("failure_id"), _stage().alias("stage"), "line_no", "raw")
 
 
 def read_stage_logs(spark: SparkSession, root: str) -> DataFrame:
     """lines of every <root>/<failure_id>/<stage>.log."""
-    lines = _numbered(spark.read.text(f"{root}/*/*.log"))
-    stage = F.replace(_path_part(1), F.lit(".log"), F.lit(""))
-    return lines.select(_path_part(2).alias("failure_id"), stage.alias("stage"), "line_no", "raw")
+    return stage_lines(found_files(spark, f"{root}/*/*.log"))
+
+
+def stream_stage_logs(spark: SparkSession, root: str) -> DataFrame:
+    """Stream of new log files; stage_lines gives the lines of a micro-batch."""
+    return stream_files(spark, f"{root}/*/*.log")
 
 
 def read_log_folder(spark: SparkSession, folder: str, failure_id: str) -> DataFrame:
     """Any folder of .log files as one failure; an empty folder is an error."""
-    found = spark.read.option("pathGlobFilter", "*.log").text(folder)
+    found = found_files(spark, folder, pathGlobFilter="*.log")
     if not found.inputFiles():
         raise ValueError(f"no .log files in {folder}")
-    stage = F.replace(_path_part(1), F.lit(".log"), F.lit(""))
-    return _numbered(found).select(F.lit(failure_id).alias("failure_id"), stage.alias("stage"), "line_no", "raw")
+    return lines_of(found).select(F.lit(failure_id).alias("failure_id"), _stage().alias("stage"), "line_no", "raw")
 
 
 def write_stage_logs(lines: DataFrame, path: str, batch_id: int) -> None:

@@ -99,6 +99,58 @@ def test_payload_documents_keep_unknown_fields(spark):
     assert held[0] == "{broken"
 
 
+def test_byte_ranges_give_every_line_once():
+    import io
+    import random
+
+    from redbuild.sources import log_ranges
+
+    draw = random.Random(5)
+    for _ in range(300):
+        data = b"".join(draw.choice([b"\n", b"\r", b"\r\n", b"a", b"bc", "é".encode()]) for _ in range(draw.randrange(60)))
+        size, log_ranges.CHUNK = draw.randrange(1, 9), draw.randrange(1, 7)
+        want = data.splitlines()
+        starts = range(0, len(data), size)
+        got = [list(log_ranges.lines_in(io.BytesIO(data), s, min(len(data), s + size))) for s in starts]
+        assert [line for part in got for line in part] == want
+        assert [log_ranges.count_starts(io.BytesIO(data), s, min(len(data), s + size)) for s in starts] == [len(p) for p in got]
+    log_ranges.CHUNK = 4 << 20
+
+
+def test_many_small_files_and_a_large_one(spark):
+    import os
+
+    root = folder()
+    for i in range(60):
+        os.makedirs(f"{root}/f{i % 3}", exist_ok=True)
+        open(f"{root}/f{i % 3}/s{i}.log", "w").write("".join(f"{i} {n}\n" for n in range(i % 5)))
+    open(f"{root}/f0/a+b c.log", "wb").write(b"\xef\xbb\xbf" + b"".join(b"line %d\r\n" % n for n in range(300_000)) + b"\xff end")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100kb")
+    try:
+        lines = logs.read_stage_logs(spark, root)
+        assert "Broadcast" not in lines._jdf.queryExecution().executedPlan().toString()
+        large = lines.filter("stage = 'a+b c'").checkpoint()
+        assert large.count() == 300_001 and large.filter("raw <> 'line ' || line_no").collect() == [("f0", "a+b c", 300_000, "\ufffd end")]
+        small = sorted((r["stage"], r["line_no"], r["raw"]) for r in lines.filter("stage like 's%'").collect())
+        assert small == sorted((f"s{i}", n, f"{i} {n}") for i in range(60) for n in range(i % 5))
+        text = spark.read.text(f"{root}/f0/*.log").filter("value like 'line%'")
+        assert text.join(large, text["value"] == large["raw"], "left_semi").count() == 300_000
+
+        def work(files, batch_id):
+            tables.write_batch(logs.stage_lines(files), f"{root}/_out", batch_id)
+
+        for _ in range(2):  # what was read isn't read again
+            logs.stream_stage_logs(spark, root).writeStream.foreachBatch(work).option(
+                "checkpointLocation", f"{root}/_c"
+            ).trigger(availableNow=True).start().awaitTermination()
+        streamed = tables.read_batches(spark, f"{root}/_out").drop("batch_id")
+        assert streamed.count() == lines.count() and streamed.exceptAll(lines).isEmpty()
+        none = spark.createDataFrame([], "path string, length long")
+        assert logs.stage_lines(none).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_ci_documents(spark):
     root = folder()
     run = {"run_id": 9, "jobs": [{"id": 1, "name": "Build", "conclusion": "failure", "status": "completed",
