@@ -51,27 +51,36 @@ def suffix_array(s: list[int]) -> list[int]:
     while end > 0:
         start = group[order[end]]
         counts: dict[int, int] = {}
-        for i in sorted(order[start:end + 1]):
+        once = True
+        for i in sorted(order[start:end + 1]) if start < end else (order[end],):
             # The previous suffix of a lower group; what lies between is in this group or in a higher one.
             p = i - 1
             while p >= 0 and group[p] >= start:
                 p = before[p]
             before[i] = p
-            if p >= 0:
-                counts[p] = counts.get(p, 0) + 1
-        levels: dict[int, list[int]] = {}
-        for p, c in counts.items():
-            levels.setdefault(c, []).append(p)
-        for c in sorted(levels, reverse=True):
-            # Those followed c times by this group's prefix leave their groups for new ones right behind.
-            found = levels[c]
+            # A group of one has nothing to be told apart from.
+            if p >= 0 and size[group[p]] > 1:
+                if p in counts:
+                    counts[p] += 1
+                    once = False
+                else:
+                    counts[p] = 1
+        rounds = [list(counts)]
+        if not once:
+            levels: dict[int, list[int]] = {}
+            for p, c in counts.items():
+                levels.setdefault(c, []).append(p)
+            rounds = [levels[c] for c in sorted(levels, reverse=True)]
+        for found in rounds:
+            # Those followed equally often by this group's prefix leave their groups for new ones right behind.
             for p in found:
                 g = group[p]
                 size[g] = left = size[g] - 1
                 to, at = g + left, place[p]
-                other = order[to]
-                order[at], place[other] = other, at
-                order[to], place[p] = p, to
+                if at != to:
+                    other = order[to]
+                    order[at], place[other] = other, at
+                    order[to], place[p] = p, to
             for p, new in zip(found, [group[p] + size[group[p]] for p in found]):
                 group[p] = new
                 size[new] += 1
@@ -284,12 +293,17 @@ def _cutter(length: int):
 def repeats(parts: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(doc, start) of all windows in parts (doc, start, bytes) that also stand earlier in them, by a suffix array."""
     text = b"".join(p for _, _, p in parts)
-    order = np.array(suffix_array([b + 1 for b in text]), dtype=np.int64)
+    # Any order of the bytes puts equal windows side by side; with the rare ones lowest, fewer suffixes change groups.
+    values = np.frombuffer(text, np.uint8)
+    counts = np.bincount(values, minlength=256)
+    symbol = np.empty(256, dtype=np.int64)
+    symbol[np.argsort(counts, kind="stable")] = np.arange(1, 257)
+    order = np.array(suffix_array(symbol[values].tolist()), dtype=np.int64)
     sizes = np.array([len(p) for _, _, p in parts])
     begins = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(parts)), sizes)
     whole = np.arange(len(text)) + length <= np.repeat(begins + sizes, sizes)
-    order = order[whole[order]]  # windows, in the order of their bytes: equal ones stand side by side
+    order = order[whole[order]]  # windows, in the order of their symbols: equal ones stand side by side
     views = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), length)
     equal = np.zeros(len(order), dtype=bool)
     for at in range(1, len(order), 65_536):
