@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from . import neighbours as N
+from .density import density_labels
 
 # --- fixed values ---------------------------------------------------------------
 CLUSTER_RADIUS = 0.1
@@ -73,6 +74,25 @@ def clusters(points: DataFrame, radius: float = CLUSTER_RADIUS, block_rows: int
     return labelled.join(sizes, ["g", "label"]).select("g", "id", "vec", "copies", "label", "members")
 
 
+def density_clusters(
+    points: DataFrame, least: int = MIN_CLUSTER, epsilon: float = CLUSTER_RADIUS, block_rows: int = N.BLOCK_ROWS, **limits: int
+) -> DataFrame:
+    """`clusters` at any density: stable parts of each group's single-link tree (density.py), of `least` points or more;
+    those tighter than `epsilon` are joined to what is around them.
+
+    Noise has its own id as label and members = 1, whatever its copies.
+    """
+    N.ensure_checkpoints(points.sparkSession)
+    distinct = collapse_copies(points.select("g", "id", V.unit(F.col("vec")).alias("vec"))).checkpoint()
+    found = density_labels(distinct, least, epsilon, block_rows, **limits).checkpoint()
+    sizes = found.filter("label IS NOT NULL").join(distinct.select("g", "id", "copies"), ["g", "id"]).groupBy("g", "label").agg(
+        F.sum("copies").alias("members")
+    )
+    return distinct.join(found, ["g", "id"]).join(sizes, ["g", "label"], "left").select(
+        "g", "id", "vec", "copies", F.coalesce("label", "id").alias("label"), F.coalesce("members", F.lit(1).cast("long")).alias("members")
+    )
+
+
 def medoids(clustered: DataFrame) -> DataFrame:
     """The point nearest to the mean of its cluster, first on ties: (g, label, id, members).
 
@@ -109,9 +129,9 @@ def keep_noise(clustered: DataFrame, above: float = NOISE_COSINE, block_rows: in
     return N.greedy_keep(noise, above, block_rows)
 
 
-def representatives(points: DataFrame, block_rows: int = N.BLOCK_ROWS) -> DataFrame:
-    """(g, id, vec) -> (g, id, kind) of what stays: medoids and kept noise."""
-    clustered = clusters(points, block_rows=block_rows).checkpoint()
+def representatives(points: DataFrame, block_rows: int = N.BLOCK_ROWS, clustering: Callable[..., DataFrame] = clusters) -> DataFrame:
+    """(g, id, vec) -> (g, id, kind) of what stays: medoids and kept noise.  `clustering` is clusters or density_clusters."""
+    clustered = clustering(points, block_rows=block_rows).checkpoint()
     return (
         medoids(clustered).select("g", "id", F.lit("cluster").alias("kind"))
         .unionByName(keep_noise(clustered, block_rows=block_rows).select("g", "id", F.lit("noise").alias("kind")))
@@ -123,12 +143,12 @@ def signal_order() -> Column:
     return F.concat_ws("\u0001", "stage", F.lpad(F.col("line_no").cast("string"), 19, "0"))
 
 
-def deduplicate(embedded: DataFrame, block_rows: int = N.BLOCK_ROWS) -> DataFrame:
+def deduplicate(embedded: DataFrame, block_rows: int = N.BLOCK_ROWS, clustering: Callable[..., DataFrame] = clusters) -> DataFrame:
     """Representative signals of each failure, with `kind`."""
     keyed = embedded.withColumn("id", signal_order())
     N.ensure_checkpoints(embedded.sparkSession)
     keyed = keyed.checkpoint()
     kept = representatives(
-        keyed.select(F.col("failure_id").alias("g"), "id", F.col("embedding").alias("vec")), block_rows
+        keyed.select(F.col("failure_id").alias("g"), "id", F.col("embedding").alias("vec")), block_rows, clustering
     ).withColumnRenamed("g", "failure_id")
     return keyed.join(kept, ["failure_id", "id"]).drop("id")

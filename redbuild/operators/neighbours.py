@@ -11,6 +11,7 @@ cell is spread over (n / block)^2 tasks.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -40,6 +41,17 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="redbuild-"))
 
 
+def rewritten(df: DataFrame) -> DataFrame:
+    """The rows, computed once, as Parquet in the checkpoint folder.
+
+    For loops of joins: a checkpoint keeps the planner's size estimates, and those of joins multiply from round to round.
+    """
+    ensure_checkpoints(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _tiles(left: np.ndarray, right: np.ndarray, metric: str) -> Iterator[tuple[int, np.ndarray]]:
     """(first left row, matrix of left rows x right rows), a few rows at a time.
 
@@ -273,7 +285,7 @@ def components(points: DataFrame, radius: float, block_rows: int = BLOCK_ROWS) -
             reduce_pairs(_visits(state), state.drop("cells"), ["g", "cell"], least_label, schema, block_rows)
             .groupBy("g", "id").agg(F.min("least").alias("least"), F.max("touched").alias("touched"))
         )
-        step = state.join(found, ["g", "id"]).checkpoint()
+        step = rewritten(state.join(found, ["g", "id"]))
         if lonely is None:
             # Points without any neighbour are done.
             lonely = step.filter(~F.col("touched")).select("g", "id", "label")
@@ -281,10 +293,10 @@ def components(points: DataFrame, radius: float, block_rows: int = BLOCK_ROWS) -
         jump = step.select(
             F.col("g").alias("g"), F.col("id").alias("least"), F.col("least").alias("beyond")
         )
-        after = step.join(jump, ["g", "least"]).select(
+        after = rewritten(step.join(jump, ["g", "least"]).select(
             "g", "id", "vec", "cell", "cells", F.col("label").alias("before"),
             F.least("least", "beyond").alias("label"),
-        ).checkpoint()
+        ))
         state = after.drop("before")
         if after.filter(F.col("label") != F.col("before")).isEmpty():
             return lonely.unionByName(state.select("g", "id", "label"))
@@ -327,7 +339,7 @@ def greedy_keep(points: DataFrame, above: float, block_rows: int = BLOCK_ROWS) -
             .groupBy("g", "id")
             .agg(F.max("next_to_kept").alias("next_to_kept"), F.max("waits").alias("waits"))
         )
-        settled = undecided.join(facts, ["g", "id"]).filter(~F.col("next_to_kept")).checkpoint()
+        settled = rewritten(undecided.join(facts, ["g", "id"]).filter(~F.col("next_to_kept")))
         fresh = settled.filter(~F.col("waits")).select("g", "id", "vec", "cell", "cells", F.lit(True).alias("kept"))
         kept.append(fresh.select("g", "id"))
         undecided = settled.filter("waits").select("g", "id", "vec", "cell", "cells", "kept")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ def analyze(
     known_patterns: DataFrame | None = None,
     stored_vectors: DataFrame | None = None,
     embedder: D.Embedder = D.hashing_embedder,
+    clustering: Callable[..., DataFrame] = D.clusters,
     fallback: K.Fallback = K.rule_fallback,
     analyzer: rca.Analyzer = rca.template_analyzer,
     patterns: K.Catalogue | None = None,
@@ -30,12 +33,13 @@ def analyze(
 
     `training` needs `embedding`; `known_patterns` is the stored pattern table,
     `stored_vectors` (fingerprint, embedding) what was embedded before.
+    `clustering` may be dedup.density_clusters, which also finds loose clusters.
     Steps that later steps share are checkpointed.
     """
     ensure_checkpoints(lines.sparkSession)
     found = E.extract_signals(lines, mode=mode, pre_context=pre_context, post_context=post_context)
     signals = D.embed_signals(E.distinct_signals(found).checkpoint(), embedder, stored_vectors).checkpoint()
-    representatives = D.deduplicate(signals).checkpoint()
+    representatives = D.deduplicate(signals, clustering=clustering).checkpoint()
 
     no_hits = representatives.sparkSession.createDataFrame(
         [], "id string, pattern_fingerprint string, similarity_score double"

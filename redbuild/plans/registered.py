@@ -235,6 +235,12 @@ def clusters(spark, folder):
     return _clusters(spark, folder).select("g", "id", "label", "members")
 
 
+@query
+def density_clusters(spark, folder):
+    points = T.vectors(table(spark, folder, "embeddings")).select("g", "id", "vec")
+    return dedup.density_clusters(points).select("g", "id", "label", "members")
+
+
 @query
 def medoids(spark, folder):
     return dedup.medoids(_clusters(spark, folder).checkpoint()).select("g", "label", "id", "members")
