@@ -95,11 +95,19 @@ class Scanner:
         self.at: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         self.needed: set[bytes] = set()
         self.rare: set[bytes] = set()  # the same without the commonest words
-        # A group of lines with more words than these is further from any template than `least`, if words weigh the same.
-        self.most_words = int(max((sum(bag.values()) for bag in bags), default=0) / least ** 2) + 1
+        self.heavy: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
+        self.margin: list[float] = []
         for t, bag in enumerate(bags):
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in bag.items())) or 1.0
             weights = sorted(((n * self.idf[w] / norm, w) for w, n in bag.items()), reverse=True)
+            # Heavy words h, light ones with weights r in all, other words o: a cosine is at most sqrt(r^2 + h^2 / o^2).
+            light = 1.0
+            for weight, w in weights:
+                if light <= least * least / 2:
+                    break
+                self.heavy[w].append((t, weight * self.idf[w]))
+                light -= weight * weight
+            self.margin.append(least * least - max(0.0, light))
             rest = 1.0
             for weight, w in weights:
                 self.at[w].append((t, weight))
@@ -136,23 +144,42 @@ class Scanner:
                 if score > best[0] + 1e-12:
                     best = (score, t, i)
         filled = [i for i, bag in enumerate(bags) if bag]
-        sizes = [sum(bags[i].values()) for i in filled]
-        ahead = len(filled)  # the next line at or behind `at` with a needed word
-        near = [0] * len(filled)
+        # How heavy other words may be in a group that starts at a line and reaches `least`, by the heavy words behind it.
+        ahead: dict[int, float] = defaultdict(float)
+        limits, limit = [0.0] * len(filled), 0.0
         for at in reversed(range(len(filled))):
-            ahead = at if hit[filled[at]] else ahead
-            near[at] = ahead
+            for w in bags[filled[at]].keys() & self.heavy.keys():
+                for t, weight in self.heavy[w]:
+                    ahead[t] += weight * bags[filled[at]][w]
+                    limit = max(limit, ahead[t] ** 2 / self.margin[t])
+            limits[at] = limit * (1 + 1e-9)
         for at, i in enumerate(filled):
-            if near[at] - at > self.most_words:
+            # Without its first line, if that has no word of a template, a group is closer.
+            if limits[at] == 0.0 or self.at.keys().isdisjoint(bags[i]):
                 continue
-            group, words = bags[i], sizes[at]
-            for to in range(at + 1, len(filled)):
-                words += sizes[to]
-                if words > self.most_words:
+            group: Counter = Counter()
+            dots: dict[int, float] = defaultdict(float)
+            norm = others = 0.0
+            needed = False
+            for to in range(at, len(filled)):
+                line = filled[to]
+                for w, n in bags[line].items():
+                    more = (2 * group[w] + n) * n
+                    group[w] += n
+                    idf = self.idf.get(w)
+                    if idf is None:
+                        norm += more * self.other ** 2
+                        others += more * self.other ** 2
+                    else:
+                        norm += more * idf * idf
+                        for t, weight in self.at[w]:
+                            dots[t] += weight * n * idf
+                if others > limits[at]:
                     break
-                group = group + bags[filled[to]]
-                if near[at] <= to:
-                    score, t = self.best(group)
+                needed = needed or hit[line]
+                if needed and to > at:
+                    t = min(dots, key=lambda k: (-round(dots[k], 12), k))
+                    score = dots[t] / math.sqrt(norm)
                     if score > best[0] + 1e-12:
                         best = (score, t, i)
         return best

@@ -1,6 +1,9 @@
 import math
+import random
 from collections import Counter
 
+import pytest
+
 from redbuild.llm import licences as L
 
 
@@ -77,3 +80,31 @@ def test_odd_input(spark, odd, empty):
     got = L.with_inherited(L.own_licences(named))
     assert got.count() == odd.count() and got.filter("effective IS NOT NULL").count() == 0
     assert L.with_inherited(L.own_licences(empty.withColumn("path", F.lit("x")))).count() == 0
+
+
+def test_groups_of_lines_of_any_length_equal_brute_force():
+    rng = random.Random(1)
+    words = [w for _, text in L.TEMPLATES for w in text.split()]
+    counts = Counter(w for _, text in L.TEMPLATES for w in L.tokens(L.cleaned(text)))
+    scanner = L.Scanner(L.TEMPLATES, 1_000, {w: 40 * n for w, n in counts.items()}, L.LEAST)
+
+    def other_lines():
+        return [" ".join(rng.choice([*words, *(f"q{i}" for i in range(60))]) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 4))]
+
+    reached = long = 0
+    for _ in range(120):
+        notice = rng.choice(L.TEMPLATES)[1].split() * rng.choice([1, 1, 3, 12])  # repeated notices make long groups
+        notice = [w if rng.random() < 0.93 else f"z{rng.randrange(9)}" for w in notice]
+        lines = []
+        while notice:
+            n = rng.randint(1, 9)
+            lines.append(" ".join(notice[:n]))
+            notice = notice[n:]
+        bags = [Counter(L.tokens(line)) for line in L.cleaned("\n".join(other_lines() + lines + other_lines())).split(b"\n")]
+        scores = {(i, j): scanner.best(sum(bags[i:j], Counter()))[0] for i in range(len(bags)) for j in range(i + 1, len(bags) + 1)}
+        best = max(scores, key=scores.get)
+        if scores[best] >= L.LEAST:
+            assert scanner.closest(bags)[0] == pytest.approx(scores[best], abs=1e-9)
+            reached += 1
+            long += sum(sum(bag.values()) for bag in bags[slice(*best)]) > 60
+    assert reached > 60 and long > 10
