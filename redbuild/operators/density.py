@@ -4,7 +4,7 @@ With one neighbour as the core, the mutual reachability of two points is their d
 that of the distances.  Groups of up to a block find theirs in one task.  The tree of a larger group grows by rounds of
 Boruvka over metric cells: every component but a group's largest looks for its shortest link out, within a radius that
 doubles once nothing nearer is left.  What is found within the radius is exact, so no further bound is needed, and points
-look only into cells within the radius that hold another component.
+look only into cells within the radius.  Vectors lie on shelves (neighbours.py); from round to round only labels are written.
 
 Links then merge components from the shortest up.  A part of at least `least` points that meets another such part ends
 there, seen from above it splits off, as a cluster; its stability is the sum over its points of 1/distance at which they
@@ -201,52 +201,63 @@ def _small_labels(points: DataFrame, least: int, epsilon: float, shape: str) ->
 def _across_cells(points: DataFrame, radius: float, block_rows: int, links: str) -> DataFrame:
     """Spanning trees of larger groups: rounds of Boruvka within a radius that doubles."""
     types = dict(points.dtypes)
+    spark = points.sparkSession
     n, size = N._extent(points)
     space, dealt = M.deal(points.select("g", "id", "vec"), "l2", n, size)
-    state = dealt.withColumn("label", F.col("id"))
+    # Vectors stay where they are; from round to round only labels change.
+    shelves = N.shelve(dealt, ["g", "cell", "id"], block_rows)
+    if not shelves.entries:
+        return spark.createDataFrame([], links)
+    state = N.rewritten(spark.read.parquet(shelves.folder).select("shelf", "g", "id", F.col("id").alias("label")))
     shape = f"g {types['g']}, label {types['id']}, square double, a {types['id']}, b {types['id']}, other {types['id']}"
 
-    def way_out(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The nearest point of another component within the radius, the first by id among equals."""
-        empty = pd.DataFrame(columns=["g", "label", "square", "a", "b", "other"])
-        if not len(left):
-            return empty
-        right = right.sort_values("id", kind="stable")
-        ids, labels = right["id"].to_numpy(), right["label"].to_numpy()
-        found = [empty]
-        for at, values in N._tiles(M.matrix(left["vec"]), M.matrix(right["vec"]), "l2"):
-            rows = left.iloc[at:at + len(values)]
-            values[rows["label"].to_numpy()[:, None] == labels[None, :]] = np.inf
-            to = values.argmin(axis=1)
-            square = values[np.arange(len(values)), to]
-            hit = square <= limit
-            own, met = rows["id"].to_numpy()[hit], ids[to[hit]]
-            found.append(pd.DataFrame({
-                "g": rows["g"].to_numpy()[hit], "label": rows["label"].to_numpy()[hit], "square": square[hit],
-                "a": np.where(own < met, own, met), "b": np.where(own < met, met, own), "other": labels[to[hit]],
-            }))
-        found = [f for f in found if len(f)]
-        return pd.concat(found) if found else empty
-
     grown: list[DataFrame] = []
-    while True:
+    def search(radius: float, notes: str) -> DataFrame:
+        """For each component that looks, the nearest point of another one within the radius, the first by id among equals."""
         limit = round(radius * radius, 9)
-        # The cells of a point change with the radius only.
-        state = N.rewritten(state.withColumn("cells", M.cells_within(space, F.lit(radius))))
+
+        def way_out(entry: tuple, first: int) -> pd.DataFrame:
+            shelf, g = entry[:2]
+            found = [pd.DataFrame(columns=["g", "label", "square", "a", "b", "other"])]
+            own = N.take(shelves.folder, shelf, g).sort_values(["cell", "id"], kind="stable").iloc[first:first + N.PIECE_ROWS]
+            own = own.merge(N.take(notes, shelf, g)[["id", "label", "looks"]], on="id")
+            own = own[own["looks"]]
+            if not len(own):
+                return found[0]
+            ids, labels, home, vectors = own["id"].to_numpy(), own["label"].to_numpy(), own["cell"].to_numpy(), M.matrix(own["vec"])
+            needs = N.needed_cells(space, own["vec"], np.full(len(own), radius))
+            for shelf, _, _, low, high in shelves.of(g):
+                if not needs[:, low:high + 1].any():
+                    continue
+                met = N.take(shelves.folder, shelf, g).merge(N.take(notes, shelf, g)[["id", "label"]], on="id").sort_values("id", kind="stable")
+                met_ids, met_labels, met_vectors = met["id"].to_numpy(), met["label"].to_numpy(), M.matrix(met["vec"])
+                for r, c in N.pairings(home, needs, met["cell"].to_numpy()):
+                    for at, values in N._tiles(vectors[r], met_vectors[c], "l2"):
+                        rows = r[at:at + len(values)]
+                        values[labels[rows][:, None] == met_labels[c][None, :]] = np.inf
+                        to = values.argmin(axis=1)
+                        square = values[np.arange(len(values)), to]
+                        hit = square <= limit
+                        one, two, to = ids[rows[hit]], met_ids[c[to[hit]]], c[to[hit]]
+                        found.append(pd.DataFrame({
+                            "g": [g] * len(one), "label": labels[rows[hit]], "square": square[hit],
+                            "a": np.where(one < two, one, two), "b": np.where(one < two, two, one), "other": met_labels[to],
+                        }))
+            found = [f for f in found if len(f)] or found[:1]
+            return pd.concat(found).sort_values(["square", "a", "b", "other"], kind="stable").drop_duplicates("label")
+
+        return N.over_pieces(spark, shelves, shelves.pieces(), way_out, shape)
+
+    while True:
         while True:
             sizes = state.groupBy("g", "label").agg(F.count("*").alias("n"))
             most = sizes.groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("parts"))
             most = N.rewritten(most.filter("parts > 1").select("g", "most"))
             if most.isEmpty():
-                return reduce(DataFrame.unionByName, grown) if grown else points.sparkSession.createDataFrame([], links)
-            held = state.groupBy("g", "cell").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-            looking = state.join(most, "g").filter(F.col("label") != F.col("most"))
-            visits = N.rewritten(looking.select("g", "id", "vec", "label", F.explode("cells").alias("cell")).join(held, ["g", "cell"]).filter(
-                (F.col("low") != F.col("label")) | (F.col("high") != F.col("label"))
-            ).drop("low", "high"))
+                return reduce(DataFrame.unionByName, grown) if grown else spark.createDataFrame([], links)
+            notes = N.noted(state.join(most, "g", "left").withColumn("looks", F.coalesce(F.col("label") != F.col("most"), F.lit(False))).drop("most"))
             found = N.rewritten(
-                N.reduce_pairs(visits, state.drop("cells"), ["g", "cell"], way_out, shape, block_rows)
-                .groupBy("g", "label").agg(F.min(F.struct("square", "a", "b", "other")).alias("m")).select("g", "label", "m.*")
+                search(radius, notes).groupBy("g", "label").agg(F.min(F.struct("square", "a", "b", "other")).alias("m")).select("g", "label", "m.*")
             )
             if found.isEmpty():
                 break
@@ -255,7 +266,6 @@ def _across_cells(points: DataFrame, radius: float, block_rows: int, links: str)
                 grown = [N.rewritten(reduce(DataFrame.unionByName, grown))]
             state = N.rewritten(state.join(_roots(found), ["g", "label"], "left").withColumn("label", F.coalesce("root", "label")).drop("root"))
         radius *= 2
-        state = state.drop("cells")
 
 
 def _roots(found: DataFrame) -> DataFrame:

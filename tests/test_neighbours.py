@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from redbuild.functions import vectors as V
 from redbuild.operators import dedup as D
 from redbuild.operators import cells as M
+from redbuild.operators import density as Y
 from redbuild.operators import neighbours as N
 
 
@@ -181,3 +184,25 @@ def test_no_cells_of_nothing(spark):
     assert N.components(none, 0.1).collect() == [] and N.greedy_keep(none, 0.85).collect() == []
     strange = spark.createDataFrame([(1, [float("nan")])], "id long, vec array<double>")
     assert N.nearest(strange, strange, 1, "l2", broadcast_rows=0).collect() == []
+
+
+def folder_bytes(spark):
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    return sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+
+
+def test_vectors_without_structure_are_not_copied_into_cells(spark):
+    rng = np.random.default_rng(3)
+    N.ensure_checkpoints(spark)
+    stored, queries = rng.normal(size=(2_000, 32)), rng.normal(size=(3_000, 32))
+    known, asked = as_frame(spark, stored).checkpoint(), as_frame(spark, queries, 10_000).checkpoint()
+    before = folder_bytes(spark)
+    got = {r["id"]: r["stored_id"] for r in N.nearest(asked, known, 1, "cosine", 0.1, broadcast_rows=0).collect()}
+    cosines = (queries / np.linalg.norm(queries, axis=1)[:, None]) @ (stored / np.linalg.norm(stored, axis=1)[:, None]).T
+    assert got == {10_000 + i: int(c.argmax()) for i, c in enumerate(cosines) if c.max() >= 0.1}
+    assert folder_bytes(spark) - before < 6 * 5_000 * 32 * 8
+    points = known.select(F.lit(0).alias("g"), "id", "vec")
+    for walk in (lambda: N.greedy_keep(points, 0.5, 500), lambda: N.components(points, 4.5, 500), lambda: Y.spanning_forest(points.filter("id < 600"), 3.0, 200)):
+        before = folder_bytes(spark)
+        assert walk().count() > 500
+        assert folder_bytes(spark) - before < 15 * 2_000 * 32 * 8
