@@ -14,6 +14,7 @@ and in any order.
 from __future__ import annotations
 
 import itertools
+import os
 import struct
 import uuid
 import zlib
@@ -28,7 +29,9 @@ from .common import bounds_of, checkpointed, fresh_folder, range_of, slices, sma
 
 MASK = 0xA282EAD8
 NO_ID = -(1 << 63)
-CACHED = 500_000  # spans of text that a worker remembers the ids of
+CACHED = 300_000  # spans of text that a worker remembers the ids of
+CACHED_BYTES = 64 << 20  # and their characters and ids take no more
+AT_ONCE = 1 << 20  # characters of texts that go to the library at once
 HEAD = struct.Struct("<QI")
 INDEX = "block int, seq long, doc_id long, start_in_block long, n_tokens long, file string, position long"
 
@@ -99,6 +102,7 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.lengths[i] = len(added[i].content.encode()) if i in added else len(token)
         self.known: dict[str, bytes] = {}
+        self.held = 0  # bytes of what is known
         self.blank: set[str] = set()  # spans known to begin with white space
         if any(t.lstrip or t.rstrip for t in added.values()):
             self.by_span = False
@@ -115,9 +119,21 @@ class Encoder:
             data, first = ids.tobytes(), 0
             for span, last in zip(some, cuts.tolist()):
                 self.known[span[1:]] = data[4 * first:4 * last]
+                self.held += len(span) + 4 * (last - first)
                 first = last
             self.blank.update(s[1:] for s in some if s[1].isspace())
 
+    def parts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text in turn; about AT_ONCE characters are in work."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= AT_ONCE:
+                yield from self(held)
+                held, size = [], 0
+        yield from self(held)
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_span:
             return self._whole(texts)
@@ -126,9 +142,10 @@ class Encoder:
         rest = [i for i, p in enumerate(plain) if not p]
         for i, ids in zip(rest, self._whole([texts[i] for i in rest]) if rest else []):
             out[i] = ids
-        if len(self.known) > CACHED:
+        if len(self.known) > CACHED or self.held > CACHED_BYTES:
             self.known.clear()
             self.blank.clear()
+            self.held = 0
         split = [t.split(" ") if p else [] for t, p in zip(texts, plain)]
         wanted = set().union(*(s[1:] for s in split)) - self.known.keys()
         if wanted:
@@ -150,7 +167,8 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process."""
+    """One per worker process, on the one core of its task: threads of the library would each keep memory of their own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -175,7 +193,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
             blocks = batch.column("block").to_pylist()
             docs, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             rows = []
-            for block, doc, ids in zip(blocks, docs, encode(texts)):
+            for block, doc, ids in zip(blocks, docs, encode.parts(texts)):
                 if block != current:
                     close()
                     current, name = block, f"shard-{block:06d}.records"

@@ -75,3 +75,15 @@ def test_odd_input(spark, odd, empty):
     assert [r["doc_id"] for r in ordered][:2] == [None, None]
     assert all(a["start"] + len(a["ids"]) // 4 == b["start"] for a, b in zip(ordered, ordered[1:]))
     assert back(spark, empty)[2].count() == 0
+
+
+def test_a_worker_holds_a_bounded_part_of_its_texts(monkeypatch):
+    monkeypatch.setattr(records, "AT_ONCE", 100)
+    monkeypatch.setattr(records, "CACHED_BYTES", 500)
+    encode, library = records.Encoder(PATH), Tokenizer.from_file(PATH)
+    sizes, whole = [], encode._whole
+    monkeypatch.setattr(encode, "_whole", lambda texts: sizes.append(sum(map(len, texts))) or whole(texts))
+    texts = [" ".join(f"word{i * 7 + k}" for k in range(6)) for i in range(60)] + ["", "two  spaces"]
+    got = list(encode.parts(texts))
+    assert [ids.tolist() for ids in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(sizes) <= 200 and encode.held <= 500 + 2_000
