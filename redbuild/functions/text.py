@@ -91,27 +91,47 @@ def is_informational(line: Column) -> Column:
     return matches(line, R.INFORMATIONAL_LINE)
 
 
+def _found(c: Column, pattern: str, words: list[str]) -> Column:
+    """`matches`, where a match of the pattern holds one of the words: most lines cost substring searches only."""
+    return contains_any(c, words) & matches(c, pattern)
+
+
 def signal_type(clean: Column) -> Column:
     """Signal type of a clean line by priority, NULL if none applies."""
-    return reduce(
-        lambda acc, kv: acc.when(matches(clean, one_of(kv[1])), kv[0]),
-        R.SIGNAL_TYPES.items(),
-        F,
-    )
+    def one(kind: str) -> Column:
+        tests = [_found(clean, p, w) for p, w in zip(R.SIGNAL_TYPES[kind], R.SIGNAL_TYPE_WORDS[kind], strict=True)]
+        return reduce(lambda a, b: a | b, tests)
+
+    return reduce(lambda acc, kind: acc.when(one(kind), kind), R.SIGNAL_TYPES, F)
 
 
 def block_trigger(clean: Column) -> Column:
     """Type of the multi-line block that a clean line opens, NULL if none."""
     return reduce(
-        lambda acc, kv: acc.when(matches(clean, kv[1]), kv[0]), R.BLOCK_TRIGGERS.items(), F
+        lambda acc, kv: acc.when(_found(clean, kv[1], R.BLOCK_TRIGGER_WORDS[kv[0]]), kv[0]), R.BLOCK_TRIGGERS.items(), F
     )
 
 
+def kinds(clean: Column) -> Column:
+    """struct(block_type, signal_type) of a clean line.
+
+    The one-element transform keeps the many tests out of the generated method of the scan, which the JVM would not compile
+    beyond 8,000 bytes.
+    """
+    def both(c: Column) -> Column:
+        return F.struct(block_trigger(c).alias("block_type"), signal_type(c).alias("signal_type"))
+
+    return F.transform(F.array(clean), both)[0]
+
+
+def suspect(clean: Column) -> Column:
+    """False for the many lines that surely are no signal and open no block."""
+    return contains_any(clean, R.SIGNAL_WORDS)
+
+
 def may_signal(clean: Column) -> Column:
-    """Whether a clean line is a signal or opens a block, at the price of a few
-    substring searches for the many lines that are neither."""
-    every = list(R.BLOCK_TRIGGERS.values()) + [p for ps in R.SIGNAL_TYPES.values() for p in ps]
-    return contains_any(clean, R.SIGNAL_WORDS) & matches(clean, one_of(every))
+    """Whether a clean line is a signal or opens a block."""
+    return suspect(clean) & (block_trigger(clean).isNotNull() | signal_type(clean).isNotNull())
 
 
 def may_continue(line: Column, keep_blank: bool = False) -> Column:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ..functions import signal_rules as R
 from ..functions import text as X
 from .fence import fence
+from .neighbours import rewritten
 
 FILE = ["failure_id", "stage"]
 CHUNK = [*FILE, "chunk"]
@@ -66,7 +67,7 @@ def line_facts(lines: DataFrame, mode: str = STRICT) -> DataFrame:
     if mode not in (STRICT, INDENT):
         raise ValueError(f"unknown mode {mode!r}")
     facts = with_views(lines.select(*FILE, "line_no", "raw")).withColumn(
-        "hit", ~F.col("noise") & X.may_signal(F.col("clean"))
+        "suspect", ~F.col("noise") & X.suspect(F.col("clean"))
     )
     keep_blank = mode == INDENT
     if keep_blank:
@@ -75,12 +76,10 @@ def line_facts(lines: DataFrame, mode: str = STRICT) -> DataFrame:
     facts = facts.withColumn("continues", X.may_continue(F.col("block_line"), keep_blank))
     mask = F.when(F.col("continues"), X.continuation_mask(F.col("block_line"), keep_blank))
     return (
-        facts.withColumn("block_type", F.when(F.col("hit"), X.block_trigger(F.col("clean"))))
-        .withColumn(
-            "signal_type",
-            F.when(F.col("block_type").isNotNull(), "ERROR")
-            .when(F.col("hit"), X.signal_type(F.col("clean"))),
-        )
+        facts.withColumn("kinds", F.when(F.col("suspect"), X.kinds(F.col("clean"))))
+        .withColumn("block_type", F.col("kinds.block_type"))
+        .withColumn("signal_type", F.when(F.col("block_type").isNotNull(), "ERROR").otherwise(F.col("kinds.signal_type")))
+        .drop("kinds")
         .withColumn("mask", F.coalesce(mask, F.lit(0)))
     )
 
@@ -93,7 +92,7 @@ def _marked(facts: DataFrame, chunk_lines: int) -> DataFrame:
     """Only the lines that can start an event or continue a block."""
     rows = facts.select(
         *FILE, _chunk_of(chunk_lines).alias("chunk"), "line_no", "block_type", "signal_type", "mask",
-        F.when(F.col("hit"), F.col("clean")).alias("clean"),
+        F.when(F.col("signal_type").isNotNull(), F.col("clean")).alias("clean"),
     )
     return fence(rows, "block_type", "signal_type", "mask", "clean").filter(
         F.col("signal_type").isNotNull() | (F.col("mask") != 0)
@@ -312,9 +311,7 @@ def _kept(candidates: DataFrame, entries: DataFrame, post_context: int) -> DataF
 
     return (
         candidates.select(*CHUNK, "found", "entries")
-        # Outer joins from here on: nothing is filtered on one side only, so both
-        # uses of the candidates share one shuffle.  Chunks inside one long
-        # block have a negative entry and keep nothing.
+        # Chunks inside one long block have a negative entry and keep nothing.
         .join(entries, CHUNK, "left")
         .select(*CHUNK, "after", F.aggregate("found", start, step)["kept"].alias("kept"))
         .filter(F.size("kept") > 0)
@@ -352,9 +349,7 @@ def _with_history(kept: DataFrame, pre_context: int, fan_in: int = FAN_IN) -> Da
     )
     # Only the last spans of each chunk travel.
     tails = _earlier_spans(kept.select(*CHUNK, _last(span, pre_context).alias("tail")), pre_context, fan_in)
-    # Fenced, so that not even a null test on the keys reaches the scan: both
-    # branches then read the same shuffle.
-    rows = kept.join(fence(tails, *CHUNK), CHUNK, "left").withColumn("spans", F.concat("earlier", span))
+    rows = kept.join(tails, CHUNK, "left").withColumn("spans", F.concat("earlier", span))
     offset = F.size("earlier")
     events = F.transform(
         "kept",
@@ -523,9 +518,11 @@ def extract_signals(
     """Every signal of every file: failure_id, stage, line_no, signal_type,
     block_type, fingerprint, error_line, pre_content, post_content."""
     ends = _run_ends(_marked(line_facts(lines, mode), chunk_lines), chunk_lines)
-    candidates = _candidates(ends, chunk_lines, post_context)
+    # Each is used twice and is a row per chunk: written once, or every regex would run once per use.
+    candidates = rewritten(_candidates(ends, chunk_lines, post_context))
     entries = _true_entries(candidates, chunk_lines, post_context, fan_in, levels)
-    events = _with_history(_kept(candidates, entries, post_context), pre_context, fan_in)
+    kept = rewritten(_kept(candidates, entries, post_context))
+    events = _with_history(kept, pre_context, fan_in)
     found = _attach_text(_needed_lines(events, pre_context, post_context), lines)
 
     block_lines = F.concat(F.array("payload.clean"), F.col("block"))

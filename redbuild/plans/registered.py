@@ -500,7 +500,7 @@ def recipients(spark, folder):
 @query
 def stage_counters(spark, folder):
     """Real output of deduplication, looked up among the patterns of learned fingerprints."""
-    found = extract.extract_signals(lines(spark, folder))
+    found = extract.extract_signals(lines(spark, folder)).checkpoint()
     embedded = dedup.embed_signals(extract.distinct_signals(found).checkpoint()).checkpoint()
     kept = dedup.deduplicate(embedded).checkpoint()
     vectors = embedded.groupBy("fingerprint").agg(F.first("embedding").alias("embedding"))

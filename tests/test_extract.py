@@ -3,6 +3,7 @@ import random
 import pytest
 
 import scan_model
+from redbuild.functions import signal_rules as R
 from redbuild.operators import extract
 from redbuild.operators.extract import INDENT, distinct_signals, extract_signals
 
@@ -130,3 +131,10 @@ def test_no_task_needs_a_whole_file(spark):
 def _ran(lines):
     ends = extract._run_ends(extract._marked(extract.line_facts(lines), 2), 2)
     return extract._candidates(ends, 2, 20)
+
+
+def test_lines_are_judged_once(spark):
+    """The plan of the signals reads the lines for their text only; their regexes have run before, once."""
+    lines = as_lines(spark, {("f", "s"): ["unauthorized", "ok"] * 40})
+    plan = extract_signals(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert R.SIGNAL_TYPES["SECURITY"][1] not in plan

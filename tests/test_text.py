@@ -89,3 +89,21 @@ def test_small_functions(spark):
         X.training_text(F.lit("e"), F.lit("x" * 5 + "y" * 100), F.lit("")).alias("b"),
     ).head()
     assert row["a"] == "e " + "y" * 100 and row["b"] == "e " + "x" * 5 + "y" * 95
+
+
+def test_each_pattern_has_its_words(spark):
+    assert {k: len(v) for k, v in R.SIGNAL_TYPES.items()} == {k: len(v) for k, v in R.SIGNAL_TYPE_WORDS.items()}
+    assert list(R.BLOCK_TRIGGERS) == list(R.BLOCK_TRIGGER_WORDS)
+    assert {w for ws in R.SIGNAL_TYPE_WORDS.values() for own in ws for w in own if not any(s in w for s in R.SIGNAL_WORDS)} == {
+        "assert", "test", "build", "access", "auth", "permission", "http"
+    }
+    rng = random.Random(6)
+    words = [w for ws in R.SIGNAL_TYPE_WORDS.values() for own in ws for w in own] + [w for ws in R.BLOCK_TRIGGER_WORDS.values() for w in ws] + [
+        "failed", "assertion failed", "tests failed", "access denied", "not resolve artifact", "cannot find symbol", "err!", "no matching", "found",
+        "to pull", "pull", "authentication failed", "handshake error", "left on device", "quota exceeded", "refused", "not connect", "host",
+        "to", "service not", "name or", "exceeded", "code 3", "= 7", "(most recent call last):", "in thread", "a.b.exception: x", "thread 'a'",
+        "at", "unhandled exception:", "build failed with an exception", "parse error: x", "typeerror: x", "a:error: y", "timed", "of",
+    ]
+    lines = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    kinds = apply(spark, X.kinds, lines)
+    assert [(k["block_type"], "ERROR" if k["block_type"] else k["signal_type"]) for k in kinds] == [scan_model.kind_of(x) for x in lines]
