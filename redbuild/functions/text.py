@@ -156,10 +156,18 @@ def continuation_mask(line: Column, keep_blank: bool = False) -> Column:
 
 def normalize_error_line(line: Column) -> Column:
     """Text that two occurrences of the same error share."""
-    out = F.lower(F.coalesce(line, F.lit("")))
-    for pattern, replacement in R.FINGERPRINT_REWRITES:
+    lowered = F.lower(F.coalesce(line, F.lit("")))
+    rewrites = list(R.FINGERPRINT_REWRITES)
+    # Each of the first four needs one of these.
+    special = contains_any(lowered, ["\x1b", "[", ":\\", "/"])
+    out = lowered
+    for pattern, replacement in rewrites[:4]:
         out = F.regexp_replace(out, pattern, replacement)
-    return strip(out)
+    out = F.when(special, out).otherwise(lowered)
+    for pattern, replacement in rewrites[4:-2]:
+        out = F.regexp_replace(out, pattern, replacement)
+    # The last two in one: other signs become blanks, and blanks in a row one.
+    return strip(F.regexp_replace(out, r"[^\w<>]+", " "))
 
 
 def fingerprint(line: Column) -> Column:

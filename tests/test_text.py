@@ -107,3 +107,22 @@ def test_each_pattern_has_its_words(spark):
     lines = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(3000)]
     kinds = apply(spark, X.kinds, lines)
     assert [(k["block_type"], "ERROR" if k["block_type"] else k["signal_type"]) for k in kinds] == [scan_model.kind_of(x) for x in lines]
+
+
+def test_fingerprint_text_is_that_of_all_rewrites(spark):
+    rng = random.Random(7)
+    parts = [
+        "\x1b[0m", "[2024-01-02t03:04:05.678z]", "c:\\a b", ":\x1b[1m\\x", "/a/b c", "12", "#a1f", "#", "<x>", "é", "\u00a0", "\t", "\n", "  ", "a_b", "-",
+        "!?", "K", "\u2028", "[", "]", ":", "\\", "E",
+    ]
+    lines = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 8))) for _ in range(3000)] + [None]
+
+    def step_by_step(line):
+        out = F.lower(F.coalesce(line, F.lit("")))
+        for pattern, replacement in R.FINGERPRINT_REWRITES:
+            out = F.regexp_replace(out, pattern, replacement)
+        return X.strip(out)
+
+    assert apply(spark, X.normalize_error_line, lines) == apply(spark, step_by_step, lines)
+    plan = spark.range(1).select(X.normalize_error_line(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") == len(R.FINGERPRINT_REWRITES) - 1
