@@ -69,7 +69,8 @@ def clusters(points: DataFrame, radius: float = CLUSTER_RADIUS, block_rows: int
     distinct = collapse_copies(points.select("g", "id", V.unit(F.col("vec")).alias("vec")))
     N.ensure_checkpoints(points.sparkSession)
     distinct = distinct.checkpoint()
-    labelled = distinct.join(N.components(distinct, radius, block_rows), ["g", "id"])
+    # Used twice, for the sizes too: every pair would be compared twice.
+    labelled = distinct.join(N.rewritten(N.components(distinct, radius, block_rows)), ["g", "id"])
     sizes = labelled.groupBy("g", "label").agg(F.sum("copies").alias("members"))
     return labelled.join(sizes, ["g", "label"]).select("g", "id", "vec", "copies", "label", "members")
 

@@ -206,3 +206,12 @@ def test_vectors_without_structure_are_not_copied_into_cells(spark):
         before = folder_bytes(spark)
         assert walk().count() > 500
         assert folder_bytes(spark) - before < 15 * 2_000 * 32 * 8
+
+
+def test_clusters_compare_a_group_once(spark):
+    from redbuild.operators import dedup
+
+    points = spark.createDataFrame([(1, i, [1.0, 0.01 * i]) for i in range(5)], "g int, id int, vec array<double>")
+    found = dedup.clusters(points)
+    assert "InPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["id"], r["label"], r["members"]) for r in found.collect()) == [(i, 0, 5) for i in range(5)]
