@@ -111,19 +111,19 @@ def draw(points: DataFrame, metric: str, n: int, row_bytes: int) -> np.ndarray:
     return np.unique(place(matrix(picked["vec"]), metric, True), axis=0)
 
 
-def home_of(space: Cells, k: int = 1, stored: bool = False) -> Column:
-    """vec -> struct(cell, away, upper): the nearest pivot, its distance, and `Cells.upper`."""
+def home_of(space: Cells, vec: Column | str = "vec") -> Column:
+    """Stored vec -> struct(cell, away): the nearest pivot and its distance."""
 
-    @F.pandas_udf("cell int, away double, upper double")
+    @F.pandas_udf("cell int, away double")
     def home(vectors: pd.Series) -> pd.DataFrame:
         found = [
-            pd.DataFrame({"cell": cell, "away": away[np.arange(len(away)), cell], "upper": space.upper(away, k)})
-            for _, away, cell in (space.tiles(vectors, stored) if len(vectors) else ())
+            pd.DataFrame({"cell": cell, "away": away[np.arange(len(away)), cell]})
+            for _, away, cell in (space.tiles(vectors, True) if len(vectors) else ())
         ]
-        empty = pd.DataFrame({"cell": [], "away": [], "upper": []})
-        return (pd.concat(found) if found else empty).astype({"cell": "int32", "away": "float64", "upper": "float64"})
+        empty = pd.DataFrame({"cell": [], "away": []})
+        return (pd.concat(found) if found else empty).astype({"cell": "int32", "away": "float64"})
 
-    return home("vec")
+    return home(vec)
 
 
 def cells_within(space: Cells, reach: Column) -> Column:
@@ -141,24 +141,34 @@ def cells_within(space: Cells, reach: Column) -> Column:
     return cells("vec", reach)
 
 
+def drawn(points: DataFrame, metric: str, n: int, row_bytes: int) -> Cells:
+    """Cells of which only the pivots are known."""
+    pivots = draw(points, metric, n, row_bytes)
+    m = len(pivots)
+    return Cells(metric, pivots, np.zeros(m), np.zeros(m), np.zeros(m, dtype=np.int64))
+
+
+def measured(space: Cells, dealt: DataFrame) -> Cells:
+    """The cells as dealt(cell, away) fills them: one row per pivot comes back."""
+    facts = dealt.groupBy("cell").agg(F.min("away").alias("low"), F.max("away").alias("high"), F.count("*").alias("n")).toPandas()
+    m = len(space.pivots)
+    low, high, counts = np.full(m, np.inf), np.zeros(m), np.zeros(m, dtype=np.int64)
+    low[facts["cell"]], high[facts["cell"]], counts[facts["cell"]] = facts["low"], facts["high"], facts["n"]
+    return Cells(space.metric, space.pivots, low, high, counts)
+
+
 def deal(points: DataFrame, metric: str, n: int, row_bytes: int) -> tuple[Cells, DataFrame]:
     """The cells of `points` (with id and vec) and the points with their `cell`, checkpointed.
 
     Vectors that have no distance from anything are left out.
     """
-    pivots = draw(points, metric, n, row_bytes)
-    m = len(pivots)
-    bare = Cells(metric, pivots, np.zeros(m), np.zeros(m), np.zeros(m, dtype=np.int64))
-    if not m:
+    bare = drawn(points, metric, n, row_bytes)
+    if not len(bare.pivots):
         return bare, points.limit(0).withColumn("cell", F.lit(0)).checkpoint()
-    dealt = points.filter(finite(F.col("vec"))).withColumn("h", home_of(bare, stored=True)).select(
+    dealt = points.filter(finite(F.col("vec"))).withColumn("h", home_of(bare)).select(
         *points.columns, "h.cell", "h.away"
     ).checkpoint()
-    # One row per pivot comes back.
-    facts = dealt.groupBy("cell").agg(F.min("away").alias("low"), F.max("away").alias("high"), F.count("*").alias("n")).toPandas()
-    low, high, counts = np.full(m, np.inf), np.zeros(m), np.zeros(m, dtype=np.int64)
-    low[facts["cell"]], high[facts["cell"]], counts[facts["cell"]] = facts["low"], facts["high"], facts["n"]
-    return Cells(metric, pivots, low, high, counts), dealt.drop("away")
+    return measured(bare, dealt), dealt.drop("away")
 
 
 def pair_share(visits: DataFrame, dealt: DataFrame, n_left: int) -> float:

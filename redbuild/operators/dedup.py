@@ -68,7 +68,7 @@ def clusters(points: DataFrame, radius: float = CLUSTER_RADIUS, block_rows: int
     """
     distinct = collapse_copies(points.select("g", "id", V.unit(F.col("vec")).alias("vec")))
     N.ensure_checkpoints(points.sparkSession)
-    distinct = distinct.checkpoint()
+    distinct = N.rewritten(distinct)
     # Used twice, for the sizes too: every pair would be compared twice.
     labelled = distinct.join(N.rewritten(N.components(distinct, radius, block_rows)), ["g", "id"])
     sizes = labelled.groupBy("g", "label").agg(F.sum("copies").alias("members"))
@@ -84,7 +84,7 @@ def density_clusters(
     Noise has its own id as label and members = 1, whatever its copies.
     """
     N.ensure_checkpoints(points.sparkSession)
-    distinct = collapse_copies(points.select("g", "id", V.unit(F.col("vec")).alias("vec"))).checkpoint()
+    distinct = N.rewritten(collapse_copies(points.select("g", "id", V.unit(F.col("vec")).alias("vec"))))
     found = density_labels(distinct, least, epsilon, block_rows, **limits).checkpoint()
     sizes = found.filter("label IS NOT NULL").join(distinct.select("g", "id", "copies"), ["g", "id"]).groupBy("g", "label").agg(
         F.sum("copies").alias("members")

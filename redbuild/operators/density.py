@@ -202,10 +202,8 @@ def _across_cells(points: DataFrame, radius: float, block_rows: int, links: str)
     """Spanning trees of larger groups: rounds of Boruvka within a radius that doubles."""
     types = dict(points.dtypes)
     spark = points.sparkSession
-    n, size = N._extent(points)
-    space, dealt = M.deal(points.select("g", "id", "vec"), "l2", n, size)
     # Vectors stay where they are; from round to round only labels change.
-    shelves = N.shelve(dealt, ["g", "cell", "id"], block_rows)
+    space, shelves = N.shelve(points.select("g", "id", "vec"), "l2", True, block_rows)
     if not shelves.entries:
         return spark.createDataFrame([], links)
     state = N.rewritten(spark.read.parquet(shelves.folder).select("shelf", "g", "id", F.col("id").alias("label")))
@@ -417,10 +415,11 @@ def density_labels(
     usual = points.filter(M.finite(F.col("vec")))
     large = N.rewritten(usual.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > small).select("g"))
     strange = points.filter(~M.finite(F.col("vec"))).select("g", "id", F.lit(None).cast(types["id"]).alias("label"))
-    done = _small_labels(usual.join(large, "g", "left_anti"), least, epsilon, shape).unionByName(strange)
+    few = F.broadcast(large)  # at most a row for each `small` points
+    done = _small_labels(usual.join(few, "g", "left_anti"), least, epsilon, shape).unionByName(strange)
     if large.isEmpty():
         return done
-    rest = N.rewritten(usual.join(large, "g", "left_semi").select("g", "id", "vec", "copies"))
+    rest = usual.join(few, "g", "left_semi").select("g", "id", "vec", "copies")
     forest = N.rewritten(spanning_forest(rest, block_rows=block_rows))
     found = N.rewritten(_chosen(_merged(rest, forest, least, band_links), epsilon).filter("node.a = node.b"))
     named = found.groupBy("g", "chosen").agg(F.min("node.a").alias("label"))

@@ -31,6 +31,8 @@ BLOCK_BYTES = 64 << 20  # and no block of vectors is larger
 BROADCAST_ROWS = 20_000  # a right side up to this size goes to every task
 BROADCAST_BYTES = 16 << 20  # if it isn't larger than this either
 PIECE_ROWS = 4_096  # rows that a task holds while it reads shelves
+ASKED_ROWS = 16_384  # queries that a task holds; they lie in no order of cells
+ASKED_BYTES = 16 << 20  # and they take no more than this, unless they are fewer than PIECE_ROWS
 WALK_ROWS = 1_024  # rows that are compared with each other one by one
 ROUNDS_AT_ONCE = 16
 CELLS = 8_000_000  # largest distance matrix held at once
@@ -104,18 +106,40 @@ class Shelves:
         return [(i, at) for i, e in enumerate(self.entries) for at in range(0, e[2], rows)]
 
 
-def shelve(points: DataFrame, order: list[str], block_rows: int, group: str | None = "g") -> Shelves:
-    """Writes the rows in ranges of `order`; a row per shelf and group comes back."""
+def shelve(points: DataFrame, metric: str, by_cell: bool, block_rows: int, group: str | None = "g") -> tuple[M.Cells, Shelves]:
+    """Deals points(id, vec, ...) into cells and writes them in ranges of (group, cell, id), or of (group, id); a row per
+    shelf and group comes back.
+
+    This is the only copy of the vectors, and they are shuffled once for it: the points are read several times instead.
+    Vectors that have no distance from anything are left out `by_cell`, otherwise they lie in cell -1.
+    """
     n, size = _extent(points)
+    space = M.drawn(points, metric, n, size)
     rows = max(1, min(block_rows, BLOCK_BYTES // size))
     folder = f"{points.sparkSession.sparkContext.getCheckpointDir()}/shelves-{uuid.uuid4().hex}"
-    dealt = points.repartitionByRange(max(1, math.ceil(n / rows)), *order).withColumn("shelf", F.spark_partition_id())
+    if not n or by_cell and not len(space.pivots):
+        return space, Shelves(folder, [])
+    parts, before, usual = max(1, math.ceil(n / rows)), [group] if group else [], M.finite(F.col("vec"))
+    if by_cell:
+        homed = points.filter(usual).withColumn("h", M.home_of(space)).select(*points.columns, "h.cell", "h.away")
+        dealt = homed.repartitionByRange(parts, *before, "cell", "id")
+    else:
+        dealt = points.repartitionByRange(parts, *before, "id")
+        if len(space.pivots):
+            # Ranges are cut without a look at the cells, so these are found once.
+            vec = F.when(usual, F.col("vec")).otherwise(F.transform("vec", lambda x: F.lit(0.0)))
+            dealt = dealt.withColumn("h", M.home_of(space, vec)).select(
+                *points.columns, F.when(usual, F.col("h.cell")).otherwise(-1).alias("cell"), F.when(usual, F.col("h.away")).alias("away")
+            )
+        else:
+            dealt = dealt.withColumn("cell", F.lit(-1)).withColumn("away", F.lit(None).cast("double"))
+    dealt = dealt.withColumn("shelf", F.spark_partition_id())
     dealt.write.partitionBy("shelf").parquet(folder)
-    if not n:
-        return Shelves(folder, [])
+    stored = points.sparkSession.read.parquet(folder)
     keys = ["shelf", F.col(group).alias("_g") if group else F.lit(None).cast("int").alias("_g")]
-    facts = points.sparkSession.read.parquet(folder).groupBy(*keys).agg(F.count("*"), F.min("cell"), F.max("cell"))
-    return Shelves(folder, sorted((tuple(r) for r in facts.collect()), key=lambda e: (e[0], str(e[1]))))
+    facts = stored.groupBy(*keys).agg(F.count("*"), F.min("cell"), F.max("cell"))
+    entries = sorted((tuple(r) for r in facts.collect()), key=lambda e: (e[0], str(e[1])))
+    return M.measured(space, stored.filter("cell >= 0")), Shelves(folder, entries)
 
 
 def take(folder: str, shelf: int, g=None) -> pd.DataFrame:
@@ -298,12 +322,9 @@ def nearest(
     # Of equal stored vectors only the first k by id can be among the nearest; the window keeps k per task already.
     copies = Window.partitionBy("vec").orderBy("id")
     first_copies = stored.select("id", "vec").withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k)
-    ensure_checkpoints(queries.sparkSession)
-    space, dealt = M.deal(first_copies.drop("copy"), metric, n, size)
-    if not len(space.pivots):
+    space, shelves = shelve(rewritten(first_copies.drop("copy")), metric, True, block_rows, group=None)
+    if not shelves.entries:
         return queries.sparkSession.createDataFrame([], schema)
-
-    shelves = shelve(dealt.select("id", "vec", "cell"), ["cell", "id"], block_rows, group=None)
     ahead = max(0.0, 2 - 2 * at_least) + M.ROUNDING if at_least is not None else math.inf
 
     def best_of(found: list[pd.DataFrame]) -> pd.DataFrame:
@@ -314,7 +335,9 @@ def nearest(
 
     def search_shelves(rows: pd.DataFrame) -> pd.DataFrame:
         """The home cells give a bound, then the cells within it are searched."""
-        vectors, home = M.matrix(rows["vec"]), rows["cell"].to_numpy()
+        vectors = M.matrix(rows["vec"])
+        homes = [(home, space.upper(away, k)) for _, away, home in space.tiles(rows["vec"], False)]
+        home, upper = (np.concatenate(x) for x in zip(*homes))
         best = pd.DataFrame({"id": np.zeros(0, dtype=np.int64), "stored_id": [], "value": [], "order": []})
         needs = np.zeros((len(rows), len(space.pivots)), dtype=bool)
         needs[np.arange(len(rows)), home] = True
@@ -324,7 +347,7 @@ def nearest(
             """No vector beyond this distance is among the k nearest."""
             last = best[best.groupby("id").cumcount() == k - 1]
             squares = (2 - 2 * last["value"] if metric == "cosine" else last["value"]).to_numpy(dtype=np.float64)
-            reach, at = rows["upper"].to_numpy().copy(), last["id"].to_numpy(dtype=np.int64)
+            reach, at = upper.copy(), last["id"].to_numpy(dtype=np.int64)
             reach[at] = np.minimum(reach[at], np.sqrt(np.maximum(squares + M.ROUNDING, 0.0)))
             return np.minimum(reach, math.sqrt(ahead))
 
@@ -359,20 +382,21 @@ def nearest(
             "value": best["value"].to_numpy(dtype=np.float64), "rank": np.zeros(len(best), dtype=np.int32),
         })
 
+    hold = max(PIECE_ROWS, min(ASKED_ROWS, ASKED_BYTES // size))
+
     def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for batch in batches:
             held.append(batch)
-            if sum(map(len, held)) >= PIECE_ROWS:
+            if sum(map(len, held)) >= hold:
                 yield search_shelves(pd.concat(held, ignore_index=True))
                 held = []
         if sum(map(len, held)):
             yield search_shelves(pd.concat(held, ignore_index=True))
 
+    # Queries are searched where they are: only what they find is shuffled.
     asking = queries.select("id", "vec").filter(M.finite(F.col("vec")))
-    at_home = asking.withColumn("h", M.home_of(space, k)).select("id", "vec", "h.cell", "h.upper")
-    parts = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(asking.count() / PIECE_ROWS))
-    found = at_home.repartitionByRange(parts, "cell", F.xxhash64("id")).mapInPandas(per_task, schema)
+    found = asking.mapInPandas(per_task, schema)
     return (
         _best(found.drop("rank"), k, sign)
         .select("id", F.posexplode("best").alias("pos", "b"))
@@ -392,7 +416,8 @@ def _best(found: DataFrame, k: int, sign: float) -> DataFrame:
 def _by_size(points: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame, bool]:
     """(rows of groups of up to a block, rows of larger groups, whether there are any of these)."""
     large = rewritten(points.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > block_rows).select("g"))
-    return points.join(large, "g", "left_anti"), points.join(large, "g", "left_semi"), not large.isEmpty()
+    few = F.broadcast(large)  # at most a row for each block of points
+    return points.join(few, "g", "left_anti"), points.join(few, "g", "left_semi"), not large.isEmpty()
 
 
 def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -435,11 +460,7 @@ def components(points: DataFrame, radius: float, block_rows: int = BLOCK_ROWS) -
     done = small.groupBy("g").applyInPandas(whole, shape)
     if not any_large:
         return done
-    large = rewritten(large)
-    usual = large.filter(M.finite(F.col("vec")))
-    n, size = _extent(usual)
-    space, dealt = M.deal(usual, "l2", n, size)
-    shelves = shelve(dealt, ["g", "cell", "id"], block_rows)
+    space, shelves = shelve(large, "l2", True, block_rows)
 
     def links(entry: tuple, first: int) -> pd.DataFrame:
         shelf, g = entry[:2]
@@ -548,13 +569,9 @@ def greedy_keep(points: DataFrame, above: float, block_rows: int = BLOCK_ROWS) -
     done = small.groupBy("g").applyInPandas(whole, shape)
     if not any_large:
         return done
-    large = rewritten(large)
     # Vectors without a distance are near nothing, but they stay unless another row of their id goes.
     reach = math.sqrt(max(0.0, 2 - 2 * above) + M.ROUNDING)
-    n, size = _extent(large)
-    space, dealt = M.deal(large, "cosine", n, size)
-    strange = large.filter(~M.finite(F.col("vec"))).withColumn("cell", F.lit(-1))
-    shelves = shelve(dealt.unionByName(strange), ["g", "id"], block_rows)
+    space, shelves = shelve(large, "cosine", False, block_rows)
     turns: dict = {}
     for i, e in enumerate(shelves.entries):
         turns.setdefault(e[1], []).append(i)

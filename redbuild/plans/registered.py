@@ -149,7 +149,7 @@ def rule_fallback(spark, folder):
 
 
 def _vector_sides(spark, folder):
-    everything = T.vectors(table(spark, folder, "embeddings"))
+    everything = T.vectors(spread(table(spark, folder, "embeddings").select("vec_id", "embedding", "label")))
     stored = everything.filter((F.col("vec_id") % 5 == 0) & (F.col("k") == 0))
     return everything.filter((F.col("vec_id") % 5 != 0) | (F.col("k") > 0)), stored
 

@@ -215,3 +215,29 @@ def test_clusters_compare_a_group_once(spark):
     found = dedup.clusters(points)
     assert "InPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["id"], r["label"], r["members"]) for r in found.collect()) == [(i, 0, 5) for i in range(5)]
+
+
+def folders_with_vectors(spark, run):
+    """Folders of Parquet with vectors, and checkpoints, that run() leaves in the checkpoint folder."""
+    top = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = {p.name for p in top.iterdir()}
+    run().count()
+    new = [p for p in top.iterdir() if p.name not in before]
+    written = [p.name for p in new if p.name.startswith("rdd-")]
+    return written + [p.name for p in new if not p.name.startswith("rdd-") and "vec" in spark.read.parquet(str(p)).columns]
+
+
+def test_vectors_of_large_groups_are_written_once(spark):
+    points = frame(spark, cloud(60, 5))
+    for run in (lambda: N.greedy_keep(points, 0.85, 4), lambda: N.components(points, 0.1, 4), lambda: Y.spanning_forest(points, block_rows=4)):
+        left = folders_with_vectors(spark, run)
+        assert len(left) == 1 and left[0].startswith("shelves-"), left
+
+
+def test_queries_of_a_search_on_shelves_stay_where_they_are(spark):
+    points = frame(spark, cloud(60, 6)).select("id", "vec")
+    found = N.nearest(points, points, 2, "l2", block_rows=8, broadcast_rows=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan, plan
+    whole = N.nearest(points, points, 2, "l2")
+    assert sorted(found.select("id", "stored_id", "rank").collect()) == sorted(whole.select("id", "stored_id", "rank").collect())
