@@ -149,7 +149,9 @@ def rule_fallback(spark, folder):
 
 
 def _vector_sides(spark, folder):
-    everything = T.vectors(spread(table(spark, folder, "embeddings").select("vec_id", "embedding", "label")))
+    # As spread(), but rows with equal ids stay together: the search looks at them as one query.
+    embeddings, cores = table(spark, folder, "embeddings").select("vec_id", "embedding", "label"), spark.sparkContext.defaultParallelism
+    everything = T.vectors(embeddings.repartition(cores, "vec_id") if embeddings.rdd.getNumPartitions() < cores else embeddings)
     stored = everything.filter((F.col("vec_id") % 5 == 0) & (F.col("k") == 0))
     return everything.filter((F.col("vec_id") % 5 != 0) | (F.col("k") > 0)), stored
 

@@ -1,6 +1,7 @@
 from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,8 +224,7 @@ def folders_with_vectors(spark, run):
     before = {p.name for p in top.iterdir()}
     run().count()
     new = [p for p in top.iterdir() if p.name not in before]
-    written = [p.name for p in new if p.name.startswith("rdd-")]
-    return written + [p.name for p in new if not p.name.startswith("rdd-") and "vec" in spark.read.parquet(str(p)).columns]
+    return [p.name for p in new if p.name.startswith("rdd-") or any("vec" in pq.read_schema(f).names for f in p.rglob("*.parquet"))]
 
 
 def test_vectors_of_large_groups_are_written_once(spark):
@@ -241,3 +241,17 @@ def test_queries_of_a_search_on_shelves_stay_where_they_are(spark):
     assert "rangepartitioning" not in plan, plan
     whole = N.nearest(points, points, 2, "l2")
     assert sorted(found.select("id", "stored_id", "rank").collect()) == sorted(whole.select("id", "stored_id", "rank").collect())
+
+
+def test_queries_with_equal_ids_are_one_query(spark, tmp_path):
+    """Whatever tasks they are read in."""
+    from redbuild.plans.registered import knn_votes
+
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=4)], int(i % 3)) for i in range(60)]
+    votes = []
+    for name, twice in (("once", rows), ("twice", [*rows, *rows])):
+        spark.createDataFrame(twice, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        found = knn_votes(spark, f"{tmp_path}/{name}").groupBy("id").agg(F.sum("share").alias("s"), F.max("first_rank").alias("last")).collect()
+        votes.append({r["id"]: (round(r["s"], 4), r["last"] <= 3) for r in found})
+    assert votes[0] == votes[1] == {i: (1.0, True) for i in votes[0]}
