@@ -17,6 +17,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -130,27 +131,30 @@ ENCODED = "doc_id long, held_out boolean, n_tokens long, known long, logs double
 def _encoder(shared):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: Words = shared.value
-        get = table.head.get
-        log = {w: np.log10(c + 0.5) for w, (_, c) in table.head.items()}
-        end = float(np.log10(table.ends + 0.5))
+        place = dict(zip(table.head, range(len(table.head))))
+        classes = np.array([*(k for k, _ in table.head.values()), END], dtype="<u2")
+        logs = np.log10(np.array([*(c for _, c in table.head.values()), table.ends]) + 0.5)
+        # What a word adds to the score beside its class; the end stands last.
+        extra = np.zeros(len(logs))
+        common = (classes >= OWN) & (classes < END)
+        extra[common] = logs[common] - table.shared[classes[common] - OWN]
+        end = len(place)
         for batch in batches:
             columns = [[] for _ in range(6)]
             for text in batch.column("text").to_pylist():
-                codes, tail, logs, given = [], [], end, 0.0
-                for w in words(text):
-                    if (hit := get(w)) is None:
-                        k = shared_class(w)
-                        tail.append(w.decode())
-                        given -= table.shared[k - OWN]
-                    else:
-                        k = hit[0]
-                        logs += (x := log[w])
-                        if k >= OWN:
-                            given += x - table.shared[k - OWN]
-                    codes.append(k)
-                codes.append(END)
-                known = len(codes) - len(tail) - (table.ends == 0)
-                for column, value in zip(columns, (len(codes), known, logs, given, tail, np.array(codes, dtype="<u2").tobytes())):
+                ws = words(text)
+                at = np.fromiter(map(place.get, ws, repeat(-1)), np.int64, len(ws))
+                at = np.append(at, end)
+                codes, given = classes[at], extra[at]
+                beyond = np.flatnonzero(at < 0).tolist()
+                tail = [ws[i].decode() for i in beyond]
+                for i in beyond:
+                    codes[i] = k = shared_class(ws[i])
+                    given[i] = -table.shared[k - OWN]
+                # One after the other, the end first: sums as a loop over the words would make them.
+                known = np.r_[logs[end], logs[at[:-1][at[:-1] >= 0]]].cumsum()[-1]
+                values = len(at), len(at) - len(tail) - (table.ends == 0), known, given.cumsum()[-1], tail, codes.tobytes()
+                for column, value in zip(columns, values):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -180,10 +184,12 @@ def _order(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     lengths = np.array([len(s) for s in sequences])
     order = np.argsort(-lengths, kind="stable")
     flat, lengths = np.concatenate([sequences[i] for i in order]), lengths[order]
-    at = np.concatenate([np.arange(n) for n in lengths])
-    by_time = np.argsort(at, kind="stable")
-    begins = np.concatenate([[0], np.cumsum(np.bincount(at))])
-    return flat[by_time], begins, order
+    # Of the longest first, those that go on at a step are the first ones.
+    begins = np.concatenate([[0], np.cumsum(np.cumsum(np.bincount(lengths)[::-1])[::-1][1:])])
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    codes = np.empty_like(flat)
+    codes[begins[at] + np.repeat(np.arange(len(lengths)), lengths)] = flat
+    return codes, begins, order
 
 
 def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:

@@ -104,3 +104,27 @@ def test_odd_input(odd, empty):
     assert rows.count() == odd.count()
     assert rows.filter("score IS NULL OR isnan(score) OR score >= 0").count() == 0
     assert hmm.score(empty).count() == 0
+
+
+def test_encoded_texts_equal_a_loop_over_the_words():
+    import pyarrow as pa
+
+    head = {b"a": (0, 7), b"b": (1, 3), b"ab": (hmm.shared_class(b"ab"), 2)}
+    table = hmm.Words(20, 5, 2, head, np.linspace(0.5, 2, hmm.SHARED), np.full(hmm.CLASSES, 1 / hmm.CLASSES))
+    texts = ["a B ab zz a", "", None, "zz \u00e9 zz", "ab"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array([False] * 5), pa.array(texts)], ["doc_id", "held_out", "text"])
+    shared = type("Shared", (), {"value": table})
+    for text, row in zip(texts, next(hmm._encoder(shared)(iter([batch]))).to_pylist()):
+        codes, tail, logs, given = [], [], np.log10(2.5), 0.0
+        for w in hmm.words(text):
+            k, c = head.get(w, (hmm.shared_class(w), None))
+            codes.append(k)
+            given -= table.shared[k - hmm.OWN] if k >= hmm.OWN else 0
+            if c is None:
+                tail.append(w.decode())
+            else:
+                logs += np.log10(c + 0.5)
+                given += np.log10(c + 0.5) if k >= hmm.OWN else 0
+        assert np.frombuffer(row["codes"], dtype="<u2").tolist() == [*codes, hmm.END] and row["tail"] == tail
+        assert (row["n_tokens"], row["known"]) == (len(codes) + 1, len(codes) + 1 - len(tail))
+        assert abs(row["logs"] - logs) < 1e-12 and abs(row["given"] - given) < 1e-12
