@@ -29,7 +29,7 @@ from .common import bounds_of, checkpointed, fresh_folder, range_of, slices, sma
 
 MASK = 0xA282EAD8
 NO_ID = -(1 << 63)
-CACHED = 300_000  # spans of text that a worker remembers the ids of
+CACHED = 800_000  # spans of text that a worker remembers the ids of, half of them since the last change
 CACHED_BYTES = 64 << 20  # and their characters and ids take no more
 AT_ONCE = 1 << 20  # characters of texts that go to the library at once
 HEAD = struct.Struct("<QI")
@@ -102,6 +102,7 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.lengths[i] = len(added[i].content.encode()) if i in added else len(token)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # known before the last change; what is met again moves back
         self.held = 0  # bytes of what is known
         self.blank: set[str] = set()  # spans known to begin with white space
         if any(t.lstrip or t.rstrip for t in added.values()):
@@ -112,16 +113,27 @@ class Encoder:
 
     def _learn(self, spans: list[str]) -> None:
         for at in range(0, len(spans), 20_000):
-            some = [" " + s for s in spans[at:at + 20_000]]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            some = spans[at:at + 20_000]
+            text = " " + " ".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.cumsum(self.lengths[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(s.encode()) for s in some])) + 1
+            sizes = list(map(len, some if text.isascii() else map(str.encode, some)))
+            cuts = (np.searchsorted(ends, np.cumsum(np.array(sizes) + 1)) + 1).tolist()
             data, first = ids.tobytes(), 0
-            for span, last in zip(some, cuts.tolist()):
-                self.known[span[1:]] = data[4 * first:4 * last]
-                self.held += len(span) + 4 * (last - first)
+            for span, last in zip(some, cuts):
+                self.known[span] = data[4 * first:4 * last]
                 first = last
-            self.blank.update(s[1:] for s in some if s[1].isspace())
+            self.held += len(text) + 4 * len(ids)
+            self.blank.update(s for s in some if s[:1].isspace())
+
+    def _recall(self, spans: set[str]) -> list[str]:
+        """Makes the spans known that were so before; the rest."""
+        older = self.older
+        again = [s for s in spans if s in older]
+        for s in again:
+            self.known[s] = ids = older.pop(s)
+            self.held += len(s) + 1 + len(ids)
+        return list(spans.difference(again))
 
     def parts(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text in turn; about AT_ONCE characters are in work."""
@@ -142,14 +154,13 @@ class Encoder:
         rest = [i for i, p in enumerate(plain) if not p]
         for i, ids in zip(rest, self._whole([texts[i] for i in rest]) if rest else []):
             out[i] = ids
-        if len(self.known) > CACHED or self.held > CACHED_BYTES:
-            self.known.clear()
-            self.blank.clear()
-            self.held = 0
+        if len(self.known) > CACHED // 2 or self.held > CACHED_BYTES // 2:
+            self.older, self.known, self.held = self.known, {}, 0
+            self.blank &= self.older.keys()
         split = [t.split(" ") if p else [] for t, p in zip(texts, plain)]
         wanted = set().union(*(s[1:] for s in split)) - self.known.keys()
-        if wanted:
-            self._learn(list(wanted))
+        if wanted and (fresh := self._recall(wanted)):
+            self._learn(fresh)
         if self.blank:
             for i, spans in enumerate(split):
                 if not self.blank.isdisjoint(spans):

@@ -87,3 +87,16 @@ def test_a_worker_holds_a_bounded_part_of_its_texts(monkeypatch):
     got = list(encode.parts(texts))
     assert [ids.tolist() for ids in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert max(sizes) <= 200 and encode.held <= 500 + 2_000
+
+
+def test_frequent_spans_outlive_a_full_cache(monkeypatch):
+    monkeypatch.setattr(records, "CACHED", 40)
+    library, encode, learned = Tokenizer.from_file(PATH), records.Encoder(PATH), []
+    learn = encode._learn
+    monkeypatch.setattr(encode, "_learn", lambda spans: (learned.extend(spans), learn(spans)))
+    for i in range(30):
+        texts = ["the end of the line", " ".join(["a", "\tb", "é中", *(f"w{i}x{j}" for j in range(9))])]
+        for text, ids in zip(texts, encode(texts)):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert learned.count("the") == learned.count("\tb") == 1
+    assert len(encode.known) + len(encode.older) <= 60
