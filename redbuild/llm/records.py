@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,14 +127,30 @@ class Encoder:
             self.held += len(text) + 4 * len(ids)
             self.blank.update(s for s in some if s[:1].isspace())
 
-    def _recall(self, spans: set[str]) -> list[str]:
+    def _recall(self, spans: list[str]) -> list[str]:
         """Makes the spans known that were so before; the rest."""
-        older = self.older
-        again = [s for s in spans if s in older]
-        for s in again:
-            self.known[s] = ids = older.pop(s)
-            self.held += len(s) + 1 + len(ids)
-        return list(spans.difference(again))
+        older, rest = self.older, []
+        for s in spans:
+            ids = older.pop(s, None)
+            if ids is None:
+                rest.append(s)
+            else:
+                self.known[s] = ids
+                self.held += len(s) + 1 + len(ids)
+        return rest
+
+    def _ids_of(self, spans: list[str]) -> list[bytes]:
+        """The ids of distinct spans, each with the space before it."""
+        if len(self.known) > CACHED // 2 or self.held > CACHED_BYTES // 2:
+            self.older, self.known, self.held = self.known, {}, 0
+            self.blank &= self.older.keys()
+        found = list(map(self.known.get, spans))
+        unknown = [k for k, ids in enumerate(found) if ids is None]
+        if unknown and (fresh := self._recall([spans[k] for k in unknown])):
+            self._learn(fresh)
+        for k in unknown:
+            found[k] = self.known[spans[k]]
+        return found
 
     def parts(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text in turn; about AT_ONCE characters are in work."""
@@ -149,30 +166,32 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_span:
             return self._whole(texts)
-        plain = [bool(t) and "  " not in t and t[0] != " " and t[-1] != " " for t in texts]
-        out: list = [None] * len(texts)
+        plain = [" " in t and "  " not in t and t[0] != " " and t[-1] != " " for t in texts]
         rest = [i for i, p in enumerate(plain) if not p]
+        out: list = [None] * len(texts)
+        if len(rest) < len(texts):
+            rest += self._by_span([i for i, p in enumerate(plain) if p], texts, out)
         for i, ids in zip(rest, self._whole([texts[i] for i in rest]) if rest else []):
             out[i] = ids
-        if len(self.known) > CACHED // 2 or self.held > CACHED_BYTES // 2:
-            self.older, self.known, self.held = self.known, {}, 0
-            self.blank &= self.older.keys()
-        split = [t.split(" ") if p else [] for t, p in zip(texts, plain)]
-        wanted = set().union(*(s[1:] for s in split)) - self.known.keys()
-        if wanted and (fresh := self._recall(wanted)):
-            self._learn(fresh)
-        if self.blank:
-            for i, spans in enumerate(split):
-                if not self.blank.isdisjoint(spans):
-                    split[i], out[i] = [], self._whole([texts[i]])[0]
-        heads = iter(self._whole([s[0] for s in split if s]))
-        get = self.known.__getitem__
-        for i, spans in enumerate(split):
-            if spans:
-                tail = np.frombuffer(b"".join(map(get, spans[1:])), dtype="<u4")
-                out[i] = np.concatenate([next(heads), tail])
         return out
 
+    def _by_span(self, which: list[int], texts: list[str], out: list) -> list[int]:
+        """Puts the ids of these texts into out; those that have to go to the library whole."""
+        heads, _, tails = zip(*(texts[i].partition(" ") for i in which))
+        split = pc.split_pattern(pa.array(tails, pa.large_string()), " ")
+        coded = split.values.dictionary_encode()
+        spans = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # Each span is looked up once, however often the texts have it; Arrow lays out the ids of all.
+        ids = pa.array(self._ids_of(spans), pa.large_binary()).take(coded.indices)
+        _, ends, data = ids.buffers()
+        cuts = np.frombuffer(ends, dtype="<i8")[split.offsets.to_numpy()].tolist()
+        for i, head, first, last in zip(which, self._whole(list(heads)), cuts, cuts[1:]):
+            out[i] = np.concatenate([head, np.frombuffer(data, dtype="<u4", count=(last - first) // 4, offset=first)])
+        if self.blank.isdisjoint(spans):
+            return []
+        blank = np.array([s in self.blank for s in spans])[coded.indices.to_numpy()]
+        return [which[k] for k in np.flatnonzero(np.logical_or.reduceat(blank, split.offsets.to_numpy()[:-1]))]
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

@@ -100,3 +100,23 @@ def test_frequent_spans_outlive_a_full_cache(monkeypatch):
             assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
     assert learned.count("the") == learned.count("\tb") == 1
     assert len(encode.known) + len(encode.older) <= 60
+
+
+def test_a_span_is_looked_up_once_for_all_texts():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counting.asked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            Counting.asked += 1
+            return super().__getitem__(key)
+
+    library, encode = Tokenizer.from_file(PATH), records.Encoder(PATH)
+    encode.known = Counting()
+    texts = ["once more the same é中 words, " + "the same words, " * 200 + f"and {i}" for i in range(50)] + ["a \tb", "\tb the", "the \tb", "", "the"]
+    for text, ids in zip(texts, encode(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert Counting.asked <= 3 * 70
