@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ MASK = 0xA282EAD8
 NO_ID = -(1 << 63)
 CACHED = 800_000  # spans of text that a worker remembers the ids of, half of them since the last change
 CACHED_BYTES = 64 << 20  # and their characters and ids take no more
-AT_ONCE = 1 << 20  # characters of texts that go to the library at once
+AT_ONCE = 4 << 20  # characters of texts that are encoded together
 HEAD = struct.Struct("<QI")
 INDEX = "block int, seq long, doc_id long, start_in_block long, n_tokens long, file string, position long"
 
@@ -125,7 +126,8 @@ class Encoder:
                 self.known[span] = data[4 * first:4 * last]
                 first = last
             self.held += len(text) + 4 * len(ids)
-            self.blank.update(s for s in some if s[:1].isspace())
+            if re.search(r" \s", text):
+                self.blank.update(s for s in some if s[:1].isspace())
 
     def _recall(self, spans: list[str]) -> list[str]:
         """Makes the spans known that were so before; the rest."""
@@ -152,12 +154,12 @@ class Encoder:
             found[k] = self.known[spans[k]]
         return found
 
-    def parts(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def parts(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text in turn; about AT_ONCE characters are in work."""
         held, size = [], 0
         for text in texts:
             held.append(text)
-            size += len(text)
+            size += len(text) + 16  # many empty texts are work, too
             if size >= AT_ONCE:
                 yield from self(held)
                 held, size = [], 0
@@ -219,25 +221,27 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                 fs.move(state["tmp"] + ".index", state["path"] + ".index")
                 fs.move(state["tmp"], state["path"])
 
-        for batch in batches:
-            blocks = batch.column("block").to_pylist()
-            docs, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            rows = []
-            for block, doc, ids in zip(blocks, docs, encode.parts(texts)):
-                if block != current:
-                    close()
-                    current, name = block, f"shard-{block:06d}.records"
-                    state = {"path": f"{root}/{name}", "tmp": f"{root}/.{name}.{uuid.uuid4().hex}", "name": name, "at": 0, "seq": 0, "start": 0, "offsets": []}
-                    file = fs.open_output_stream(state["tmp"])
-                record = frame(packed(np.append(ids, np.uint32(end_id))))
-                file.write(record)
-                rows.append((block, state["seq"], doc, state["start"], len(ids) + 1, state["name"], state["at"]))
-                state["offsets"].append((state["at"], NO_ID if doc is None else doc))
-                state["at"] += len(record)
-                state["seq"] += 1
-                state["start"] += len(ids) + 1
-            yield _rows(rows)
+        # Texts meet in the encoder across batches; their keys wait for them.
+        keys, texts = itertools.tee(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("block", "doc_id", "text"))))
+        rows = []
+        for (block, doc, _), ids in zip(keys, encode.parts(t or "" for _, _, t in texts)):
+            if block != current:
+                close()
+                current, name = block, f"shard-{block:06d}.records"
+                state = {"path": f"{root}/{name}", "tmp": f"{root}/.{name}.{uuid.uuid4().hex}", "name": name, "at": 0, "seq": 0, "start": 0, "offsets": []}
+                file = fs.open_output_stream(state["tmp"])
+            record = frame(packed(np.append(ids, np.uint32(end_id))))
+            file.write(record)
+            rows.append((block, state["seq"], doc, state["start"], len(ids) + 1, state["name"], state["at"]))
+            state["offsets"].append((state["at"], NO_ID if doc is None else doc))
+            state["at"] += len(record)
+            state["seq"] += 1
+            state["start"] += len(ids) + 1
+            if len(rows) == 512:
+                yield _rows(rows)
+                rows = []
         close()
+        yield _rows(rows)
 
     return write
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -120,3 +121,19 @@ def test_a_span_is_looked_up_once_for_all_texts():
     for text, ids in zip(texts, encode(texts)):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
     assert Counting.asked <= 3 * 70
+
+
+def test_texts_of_several_batches_are_encoded_together(monkeypatch, tmp_path):
+    library, calls, call = Tokenizer.from_file(PATH), [], records.Encoder.__call__
+    monkeypatch.setattr(records.Encoder, "__call__", lambda self, texts: (calls.append(len(texts)), call(self, texts))[1])
+    texts = [None, "", *(f"text {i} of\tmany " * (i % 3) + "end" for i in range(1_300))]
+    columns = [pa.array([i // 700 for i in range(len(texts))], pa.int32()), pa.array([None, *range(1, len(texts))], pa.int64()), pa.array(texts)]
+    batches = pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "text"])
+    write = records._writer(str(tmp_path), PATH, 2)
+    rows = [r for b in write(batches.slice(i, 10) for i in range(0, len(texts), 10)) for r in b.to_pylist()]
+    assert sum(calls) == len(texts) and len(calls) <= 2
+    assert [r["doc_id"] for r in rows] == [None, *range(1, len(texts))] and [r["block"] for r in rows] == columns[0].to_pylist()
+    for block in (0, 1):
+        name, of = f"shard-{block:06d}.records", range(700 * block, min(700 * block + 700, len(texts)))
+        got = records.read_some(str(tmp_path), name, list(range(len(of))))
+        assert [ids.tolist() for ids in got] == [[*library.encode(texts[i] or "", add_special_tokens=False).ids, 2] for i in of]
