@@ -31,7 +31,7 @@ from .common import bounds_of, checkpointed, fresh_folder, range_of, slices, sma
 
 MASK = 0xA282EAD8
 NO_ID = -(1 << 63)
-CACHED = 800_000  # spans of text that a worker remembers the ids of, half of them since the last change
+CACHED = 1_600_000  # spans of text that a worker remembers the ids of, half of them since the last change
 CACHED_BYTES = 64 << 20  # and their characters and ids take no more
 AT_ONCE = 4 << 20  # characters of texts that are encoded together
 HEAD = struct.Struct("<QI")
