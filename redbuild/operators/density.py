@@ -1,10 +1,12 @@
 """Density clusters: the single-link tree of each group, condensed, and its most stable parts.
 
 With one neighbour as the core, the mutual reachability of two points is their distance, so its minimum spanning tree is
-that of the distances.  Groups of up to a block find theirs in one task.  The tree of a larger group grows by rounds of
-Boruvka over metric cells: every component but a group's largest looks for its shortest link out, within a radius that
-doubles once nothing nearer is left.  What is found within the radius is exact, so no further bound is needed, and points
-look only into cells within the radius.  Vectors lie on shelves (neighbours.py); from round to round only labels are written.
+that of the distances.  It grows by rounds of Boruvka: every component takes its shortest link out.  A pass over the vectors
+finds the few shortest links of each point at once, in single precision with a slack and then exactly; rounds go on over
+these as long as a component's shortest known link is no longer than what its points know of.  The next pass is for the
+points whose links all lie within their component and that may still have a shorter one than it knows of.  What is known so
+is exact, and equal links are told apart by their ids.  Groups of up to a block do all this in one task.  Vectors of larger
+ones lie on shelves (neighbours.py), and points look only into metric cells within the reach of their links.
 
 Links then merge components from the shortest up.  A part of at least `least` points that meets another such part ends
 there, seen from above it splits off, as a cluster; its stability is the sum over its points of 1/distance at which they
@@ -17,7 +19,7 @@ outermost.  The whole group is no cluster.  Links of equal length are cut at onc
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,27 +31,165 @@ from pyspark.sql import functions as F
 from . import cells as M
 from . import neighbours as N
 
-FIRST_RADIUS = 0.1
 SMALL_GROUP = 16_384  # a tree of up to this many points is grown in one task
 BAND_LINKS = 500_000  # links of a group that a task merges at once
+WAYS = 8  # links that a point finds in a pass
+LOOK_ROWS = 16_384  # rows that a task holds while it reads shelves
+KNOWN_ROWS = 3_000_000  # links and points of a group that a task follows at once
+PAIRS = 32_768  # pairs compared one by one at once
+TILE = (512, 2_048)  # distances are computed in tiles that stay in the cache
+LINK, WAY, POINT, LOOKS = range(4)  # a link of the tree; a known link of two components; what a point knows; one that must look
+
+
+class Ways:
+    """The shortest links of some points to points of other components, among those met so far; equal ones by id."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, most: int = WAYS):
+        self.ids, self.labels, self.vectors, self.most = ids, labels, vectors, most
+        self.squares = (vectors * vectors).sum(axis=1)
+        self.narrow = np.hstack([vectors * -2, np.ones((len(ids), 1))]).astype(np.float32)
+        self.square = np.full((len(ids), most), np.inf)
+        self.to, self.other = (np.repeat(x[:, None], most, axis=1) for x in (ids, labels))
+
+    def meet(self, rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> None:
+        """The points in `rows` meet others, in order of their ids; nobody meets anybody twice."""
+        squares = (vectors * vectors).sum(axis=1)
+        top = max(self.squares[rows].max(initial=0.0), squares.max(initial=0.0))
+        single = top < 1e30
+        slack = 4e-7 * (vectors.shape[1] + 8) * top + M.ROUNDING
+        other = np.hstack([vectors, squares[:, None]]).astype(np.float32) if single else None
+        mine, theirs = self.labels, labels
+        if labels.dtype == object:
+            codes = np.unique(np.concatenate([mine, labels]), return_inverse=True)[1]
+            mine, theirs = codes[:len(mine)], codes[len(mine):]
+        room, hits = np.empty(TILE[0] * TILE[1], dtype=np.float32), np.zeros(TILE[0] * TILE[1], dtype=bool)
+        for at in range(0, len(rows), TILE[0]):
+            r = rows[at:at + TILE[0]]
+            found, waiting = [], 0
+            for first in range(0, len(ids), TILE[1]):
+                c = slice(first, min(first + TILE[1], len(ids)))
+                last, pairs = self.square[r, -1], None
+                if single:
+                    shape = (len(r), c.stop - first)
+                    near = room[:shape[0] * shape[1]].reshape(shape)
+                    np.matmul(self.narrow[r], other[c].T, out=near)
+                    bound = np.minimum(last + slack - self.squares[r], 1e38).astype(np.float32)
+                    open_ = np.flatnonzero(np.isinf(last))
+                    if len(open_) and shape[1] > self.most:
+                        known = np.where(mine[r[open_]][:, None] == theirs[c][None, :], np.float32(np.inf), near[open_])
+                        bound[open_] = np.minimum(np.partition(known, self.most - 1, axis=1)[:, self.most - 1] + 2 * slack, 1e38)
+                    hit = hits[:near.size].reshape(shape)
+                    np.less_equal(near, bound[:, None], out=hit)
+                    count = np.count_nonzero(hit)
+                    if count > hit.size // 64:  # mostly within components
+                        hit &= mine[r][:, None] != theirs[c][None, :]
+                        count = np.count_nonzero(hit)
+                    if count <= max(TILE[0], hit.size // 16):
+                        # Eight at a time, as there are few.
+                        hits[hit.size:-(-hit.size // 8) * 8] = False
+                        eight = np.flatnonzero(hits[:-(-hit.size // 8) * 8].view(np.int64))
+                        cells = (eight[:, None] * 8 + np.arange(8)).ravel()
+                        pairs = np.divmod(cells[hits[cells]], shape[1])
+                if pairs is None:
+                    pairs = self._few(r, vectors[c], mine[r][:, None] == theirs[c][None, :])
+                x, y = r[pairs[0]], first + pairs[1]
+                apart = mine[x] != theirs[y]
+                x, y = x[apart], y[apart]
+                if not len(x):
+                    continue
+                value = np.concatenate([N.exact(self.vectors, vectors, x[i:i + PAIRS], y[i:i + PAIRS], "l2") for i in range(0, len(x), PAIRS)])
+                keep = value <= self.square[x, -1]
+                found.append((x[keep], value[keep], ids[y[keep]], labels[y[keep]]))
+                waiting += len(found[-1][0])
+                if waiting > 2 * len(r) or len(found) == 1 and np.isinf(last).any():
+                    self._keep(found)
+                    found, waiting = [], 0
+            if waiting:
+                self._keep(found)
+
+    def _few(self, rows: np.ndarray, vectors: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of many that are equally near the first by id, which is their order."""
+        _, values = next(N._tiles(self.vectors[rows], vectors, "l2"))
+        values[within] = np.inf
+        kth = min(self.most, values.shape[1]) - 1
+        limit = np.partition(values, kth, axis=1)[:, kth, None]
+        below, equal = values < limit, values == limit
+        equal &= np.cumsum(equal, axis=1, dtype=np.int32) <= self.most - below.sum(axis=1, keepdims=True)
+        return np.nonzero((below | equal) & np.isfinite(values))
+
+    def _keep(self, found: list[tuple]) -> None:
+        new, square, to, other = (np.concatenate(x) for x in zip(*found))
+        rows = np.unique(new)
+        r = np.concatenate([np.repeat(rows, self.most), new])
+        square, to, other = (np.concatenate([x[rows].ravel(), y]) for x, y in ((self.square, square), (self.to, to), (self.other, other)))
+        order = np.lexsort((_codes(to), square, r))
+        r = r[order]
+        best = order[np.arange(len(r)) - np.searchsorted(r, r) < self.most]
+        for x, y in ((self.square, square), (self.to, to), (self.other, other)):
+            x[rows] = y[best].reshape(len(rows), self.most)
+
+
+def _codes(ids: np.ndarray) -> np.ndarray:
+    """Numbers in the order of ids."""
+    return np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
+
+
+def grown(ways: tuple, points: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rounds of Boruvka over what is known.
+
+    ways: (label, other, square, a, b) of links between components, a < b; points: (label, square, a, b), no link of the
+    point that is not among the ways is shorter.  Returns which ways are links of the tree, the points' labels, whether
+    they must look, and the ways' labels and others.
+    """
+    x, y, square, a, b = ways
+    names, codes = np.unique(np.concatenate([x, y, points[0]]), return_inverse=True)
+    n = len(square)
+    x, y, own = codes[:n], codes[n:2 * n], codes[2 * n:]
+    square, a, b = np.concatenate([square, points[1]]), *(_codes(np.concatenate(e)) for e in ((a, points[2]), (b, points[3])))
+    order = np.lexsort((b, a, square))
+    differ = (square[order][1:] != square[order][:-1]) | (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.cumsum(np.r_[0, differ])[:len(order)]
+    at = np.flatnonzero(x != y)
+    at = at[np.argsort(-rank[at], kind="stable")]  # of a component the last is the shortest
+    bound = rank[n:]
+    label, links, none = np.arange(len(names)), [], len(order)
+    while True:
+        limit, pick = np.full(len(names), none), np.full(len(names), -1)
+        np.minimum.at(limit, label[own], bound)
+        pick[label[x[at]]] = at
+        best = np.where(pick >= 0, rank[:n][pick] if n else none, none)
+        sure = np.flatnonzero((pick >= 0) & (best <= limit))
+        if not len(sure):
+            break
+        links.append(pick[sure])
+        label = N.joined(label, x[pick[sure]], y[pick[sure]])
+        at = at[label[x[at]] != label[y[at]]]
+    taken = np.concatenate(links) if links else np.zeros(0, dtype=np.int64)
+    taken = taken[np.unique(rank[taken], return_index=True)[1]]
+    own = label[own]
+    looks = (bound < best[own]) & np.isfinite(points[1]) & (own != np.bincount(own, minlength=len(names)).argmax())
+    return taken, names[own], looks, names[label[x]], names[label[y]]
 
 
 def spanning_links(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(from, to, squared distance) of a minimum spanning tree, grown from the first vector."""
-    n = len(vectors)
-    squares = (vectors * vectors).sum(axis=1)
-    best, origin = np.full(n, np.inf), np.zeros(n, dtype=np.int64)
-    outside = np.ones(n, dtype=bool)
-    a, b, d = np.zeros(max(0, n - 1), dtype=np.int64), np.zeros(max(0, n - 1), dtype=np.int64), np.zeros(max(0, n - 1))
-    at = 0
-    for i in range(n - 1):
-        outside[at] = False
-        away = np.round(np.maximum(squares + squares[at] - 2 * vectors @ vectors[at], 0.0), 9)
-        nearer = outside & (away < best)
-        best[nearer], origin[nearer] = away[nearer], at
-        at = int(np.where(outside, best, np.inf).argmin())
-        a[i], b[i], d[i] = origin[at], at, best[at]
-    return a, b, d
+    """(from, to, squared distance) of a minimum spanning tree, from < to."""
+    ids = labels = np.arange(len(vectors))
+    looks, known, tree = np.ones(len(ids), dtype=bool), [np.zeros(0, dtype=np.int64)] * 2 + [np.zeros(0)] + [np.zeros(0, dtype=np.int64)] * 2, []
+    last, end = np.full(len(ids), np.inf), ids.copy()
+    while looks.any():
+        mine = np.flatnonzero(looks)
+        found = Ways(mine, labels[mine], vectors[mine])
+        found.meet(np.arange(len(mine)), ids, labels, vectors)
+        r, k = np.nonzero(np.isfinite(found.square))
+        one, two = mine[r], found.to[r, k]
+        fresh = (labels[one], found.other[r, k], found.square[r, k], np.minimum(one, two), np.maximum(one, two))
+        known = [np.concatenate(e) for e in zip(known, fresh)]
+        last[mine], end[mine] = found.square[:, -1], found.to[:, -1]
+        taken, labels, looks, x, y = grown(tuple(known), (labels, last, np.minimum(ids, end), np.maximum(ids, end)))
+        tree.append((known[3][taken], known[4][taken], known[2][taken]))
+        known = [e[x != y] for e in (x, y, *known[2:])]
+    return tuple(np.concatenate(e) for e in zip(*tree))
 
 
 Node = tuple  # a point (id, id), or the link (a, b) by which points came together
@@ -184,7 +324,6 @@ def _small_labels(points: DataFrame, least: int, epsilon: float, shape: str) ->
         rows = rows.sort_values("id", kind="stable")
         ids = rows["id"].tolist()
         a, b, square = spanning_links(M.matrix(rows["vec"]))
-        a, b = np.minimum(a, b), np.maximum(a, b)
         merger = Merger({i: Level((i, i), None, w) for i, w in enumerate(rows["copies"].tolist())}, least)
         order = np.lexsort((b, a, square))
         for x, y, d in zip(a[order].tolist(), b[order].tolist(), np.sqrt(square[order]).tolist()):
@@ -198,72 +337,120 @@ def _small_labels(points: DataFrame, least: int, epsilon: float, shape: str) ->
     return points.select("g", "id", "vec", "copies").groupBy("g").applyInPandas(run, shape)
 
 
-def _across_cells(points: DataFrame, radius: float, block_rows: int, links: str) -> DataFrame:
-    """Spanning trees of larger groups: rounds of Boruvka within a radius that doubles."""
+def _across_cells(points: DataFrame, block_rows: int, known_rows: int, links: str) -> DataFrame:
+    """Spanning trees of larger groups: passes over the shelves, and rounds of Boruvka over what they find."""
     types = dict(points.dtypes)
     spark = points.sparkSession
-    # Vectors stay where they are; from round to round only labels change.
+    # Vectors stay where they are; from pass to pass only links and labels change.
     space, shelves = N.shelve(points.select("g", "id", "vec"), "l2", True, block_rows)
     if not shelves.entries:
         return spark.createDataFrame([], links)
-    state = N.rewritten(spark.read.parquet(shelves.folder).select("shelf", "g", "id", F.col("id").alias("label")))
-    shape = f"g {types['g']}, label {types['id']}, square double, a {types['id']}, b {types['id']}, other {types['id']}"
+    # A point with the last of its links, which is infinite if there are no more; or a link with its components.
+    shape = f"g {types['g']}, kind int, shelf int, label {types['id']}, other {types['id']}, square double, id {types['id']}, to {types['id']}"
+    names = [c.split()[0] for c in shape.split(", ")]
+
+    def search(notes: str | None) -> Callable[[tuple, int], pd.DataFrame]:
+        """For each point that looks, its shortest links out of its component."""
 
-    grown: list[DataFrame] = []
-    def search(radius: float, notes: str) -> DataFrame:
-        """For each component that looks, the nearest point of another one within the radius, the first by id among equals."""
-        limit = round(radius * radius, 9)
+        def rows_of(shelf: int, g) -> tuple[np.ndarray, ...]:
+            """(ids, cells, vectors, labels, whether they look) in order of their ids."""
+            ids, cells, vectors = N.take_arrays(shelves.folder, shelf, g)
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            if notes is None:
+                return ids, cells[order], vectors[order], ids, np.ones(len(ids), dtype=bool)
+            noted = N.take(notes, shelf, g).sort_values("id", kind="stable")
+            return ids, cells[order], vectors[order], noted["label"].to_numpy(), noted["kind"].to_numpy() == LOOKS
 
         def way_out(entry: tuple, first: int) -> pd.DataFrame:
             shelf, g = entry[:2]
-            found = [pd.DataFrame(columns=["g", "label", "square", "a", "b", "other"])]
-            own = N.take(shelves.folder, shelf, g).sort_values(["cell", "id"], kind="stable").iloc[first:first + N.PIECE_ROWS]
-            own = own.merge(N.take(notes, shelf, g)[["id", "label", "looks"]], on="id")
-            own = own[own["looks"]]
+            met_ids, cells, met, met_labels, looks = rows_of(shelf, g)
+            own = np.argsort(cells, kind="stable")[first:first + LOOK_ROWS]
+            own = own[looks[own]]
             if not len(own):
-                return found[0]
-            ids, labels, home, vectors = own["id"].to_numpy(), own["label"].to_numpy(), own["cell"].to_numpy(), M.matrix(own["vec"])
-            needs = N.needed_cells(space, own["vec"], np.full(len(own), radius))
-            for shelf, _, _, low, high in shelves.of(g):
-                if not needs[:, low:high + 1].any():
+                return pd.DataFrame(columns=names)
+            ids, home, ways = met_ids[own], cells[own], Ways(met_ids[own], met_labels[own], met[own])
+            ways.meet(np.arange(len(own)), met_ids, met_labels, met)
+            needs = N.needed_cells(space, pd.Series(list(ways.vectors)), np.sqrt(ways.square[:, -1] + M.ROUNDING))
+            for other, _, _, low, high in shelves.of(g):
+                if other == shelf or not needs[:, low:high + 1].any():
                     continue
-                met = N.take(shelves.folder, shelf, g).merge(N.take(notes, shelf, g)[["id", "label"]], on="id").sort_values("id", kind="stable")
-                met_ids, met_labels, met_vectors = met["id"].to_numpy(), met["label"].to_numpy(), M.matrix(met["vec"])
-                for r, c in N.pairings(home, needs, met["cell"].to_numpy()):
-                    for at, values in N._tiles(vectors[r], met_vectors[c], "l2"):
-                        rows = r[at:at + len(values)]
-                        values[labels[rows][:, None] == met_labels[c][None, :]] = np.inf
-                        to = values.argmin(axis=1)
-                        square = values[np.arange(len(values)), to]
-                        hit = square <= limit
-                        one, two, to = ids[rows[hit]], met_ids[c[to[hit]]], c[to[hit]]
-                        found.append(pd.DataFrame({
-                            "g": [g] * len(one), "label": labels[rows[hit]], "square": square[hit],
-                            "a": np.where(one < two, one, two), "b": np.where(one < two, two, one), "other": met_labels[to],
-                        }))
-            found = [f for f in found if len(f)] or found[:1]
-            return pd.concat(found).sort_values(["square", "a", "b", "other"], kind="stable").drop_duplicates("label")
-
-        return N.over_pieces(spark, shelves, shelves.pieces(), way_out, shape)
+                met_ids, cells, met, met_labels, _ = rows_of(other, g)
+                for r, c in N.pairings(home, needs, cells):
+                    c = slice(None) if len(c) == len(cells) else c
+                    ways.meet(r, met_ids[c], met_labels[c], met[c])
+            r, k = np.nonzero(np.isfinite(ways.square))
+            return pd.concat([
+                pd.DataFrame({"kind": WAY, "shelf": shelf, "label": ways.labels[r], "other": ways.other[r, k], "square": ways.square[r, k], "id": ids[r], "to": ways.to[r, k]}),
+                pd.DataFrame({"kind": POINT, "shelf": shelf, "label": ways.labels, "other": ways.labels, "square": ways.square[:, -1], "id": ids, "to": ways.to[:, -1]}),
+            ]).assign(g=g)[names]
+
+        return way_out
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.reset_index(drop=True)
+        one, two = rows["id"].to_numpy(), rows["to"].to_numpy()
+        rows["a"], rows["b"] = np.where(one < two, one, two), np.where(one < two, two, one)
+        ways, ends = rows[rows["kind"] == WAY], rows[rows["kind"] == POINT]
+        taken, label, looks, x, y = grown(
+            tuple(ways[c].to_numpy() for c in ("label", "other", "square", "a", "b")), tuple(ends[c].to_numpy() for c in ("label", "square", "a", "b"))
+        )
+        tree = ways.iloc[taken].assign(kind=LINK)
+        ends = ends.assign(label=label, other=label, kind=np.where(looks, LOOKS, POINT))
+        left = ways.assign(label=x, other=y)[x != y] if looks.any() else ways[:0]
+        return pd.concat([tree, left, ends if looks.any() else ends[:0]])[names]
 
+    made: list[DataFrame] = []
+    notes, known, pieces = None, None, shelves.pieces(LOOK_ROWS)
+    while pieces:
+        found = N.over_pieces(spark, shelves, pieces, search(notes), shape)
+        found = N.rewritten(found if known is None else known.unionByName(found))
+        many = N.rewritten(found.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > known_rows).select("g"))
+        after = found.join(F.broadcast(many), "g", "left_anti").groupBy("g").applyInPandas(follow, shape)
+        if not many.isEmpty():
+            after = after.unionByName(_followed(found.join(F.broadcast(many), "g", "left_semi")).select(*names))
+        after = N.rewritten(after)
+        made.append(after.filter(F.col("kind") == LINK).select("g", F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"), "square"))
+        looking = {(r["shelf"], r["g"]) for r in after.filter(F.col("kind") == LOOKS).select("shelf", "g").distinct().collect()}
+        if looking:
+            notes = N.noted(after.filter(F.col("kind") >= POINT).select("shelf", "g", "id", "label", "kind"))
+            known = after.filter(F.col("kind").isin(WAY, POINT))
+        pieces = [p for p in shelves.pieces(LOOK_ROWS) if shelves.entries[p[0]][:2] in looking]
+    return reduce(DataFrame.unionByName, made)
+
+
+def _followed(rows: DataFrame) -> DataFrame:
+    """`grown` over rows: (g, kind, shelf, label, other, square, id, to)."""
+    way = F.struct("square", F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"))
+    points = rows.filter(F.col("kind") == POINT)
+    ways = rows.filter(F.col("kind") == WAY).groupBy("g", "label", "other").agg(F.min(way).alias("way"))
+    ends = points.groupBy("g", "label").agg(F.min(way).alias("end"))
+    names = N.rewritten(points.select("g", "label").distinct().withColumn("now", F.col("label")))
+    tree: list[DataFrame] = []
     while True:
-        while True:
-            sizes = state.groupBy("g", "label").agg(F.count("*").alias("n"))
-            most = sizes.groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("parts"))
-            most = N.rewritten(most.filter("parts > 1").select("g", "most"))
-            if most.isEmpty():
-                return reduce(DataFrame.unionByName, grown) if grown else spark.createDataFrame([], links)
-            notes = N.noted(state.join(most, "g", "left").withColumn("looks", F.coalesce(F.col("label") != F.col("most"), F.lit(False))).drop("most"))
-            found = N.rewritten(
-                search(radius, notes).groupBy("g", "label").agg(F.min(F.struct("square", "a", "b", "other")).alias("m")).select("g", "label", "m.*")
-            )
-            if found.isEmpty():
-                break
-            grown.append(found.select("g", "a", "b", "square").distinct())
-            if len(grown) == N.ROUNDS_AT_ONCE:
-                grown = [N.rewritten(reduce(DataFrame.unionByName, grown))]
-            state = N.rewritten(state.join(_roots(found), ["g", "label"], "left").withColumn("label", F.coalesce("root", "label")).drop("root"))
-        radius *= 2
+        ways, ends = N.rewritten(ways), N.rewritten(ends)
+        best = ways.groupBy("g", "label").agg(F.min(F.struct("way", "other")).alias("m"))
+        sure = N.rewritten(best.join(ends, ["g", "label"]).filter("m.way <= end").select("g", "label", "m.other", "m.way"))
+        if sure.isEmpty():
+            break
+        tree.append(sure.select("g", "way.*").distinct())
+        roots = _roots(sure)
+        names = N.rewritten(names.join(roots.withColumnRenamed("label", "now"), ["g", "now"], "left").select("g", "label", F.coalesce("root", "now").alias("now")))
+        for end in ("label", "other"):
+            ways = ways.join(roots.withColumnRenamed("label", end), ["g", end], "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        ways = ways.filter("label != other").groupBy("g", "label", "other").agg(F.min("way").alias("way"))
+        ends = ends.join(roots, ["g", "label"], "left").groupBy("g", F.coalesce("root", "label").alias("label")).agg(F.min("end").alias("end"))
+    labelled = points.join(names, ["g", "label"])
+    sizes = labelled.groupBy("g", "now").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("g").agg(F.max_by("now", F.struct("n", "now")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    looks = F.coalesce((way < F.col("m.way")) | F.col("m").isNull(), F.lit(False)) & (F.col("square") < float("inf")) & (F.col("now") != F.col("most"))
+    left = labelled.join(best.withColumnRenamed("label", "now"), ["g", "now"], "left").join(most, "g").select(
+        "g", F.when(looks, LOOKS).otherwise(POINT).alias("kind"), "shelf", F.col("now").alias("label"), F.col("now").alias("other"), "square", "id", "to"
+    )
+    none = F.lit(None).cast("int").alias("shelf")
+    links = [t.select("g", F.lit(LINK).alias("kind"), none, F.col("a").alias("label"), F.col("b").alias("other"), "square", F.col("a").alias("id"), F.col("b").alias("to")) for t in tree]
+    open_ = ways.select("g", F.lit(WAY).alias("kind"), none, "label", "other", "way.square", F.col("way.a").alias("id"), F.col("way.b").alias("to"))
+    return reduce(DataFrame.unionByName, [*links, open_, left])
 
 
 def _roots(found: DataFrame) -> DataFrame:
@@ -283,14 +470,14 @@ def _roots(found: DataFrame) -> DataFrame:
             return up
 
 
-def spanning_forest(points: DataFrame, radius: float = FIRST_RADIUS, block_rows: int = N.BLOCK_ROWS) -> DataFrame:
+def spanning_forest(points: DataFrame, block_rows: int = N.BLOCK_ROWS, known_rows: int = KNOWN_ROWS) -> DataFrame:
     """points(g, id, vec) -> (g, a, b, square): the links of a minimum spanning tree of each group, a < b.
 
     Vectors have distances from each other, and ids differ within a group.
     """
     N.ensure_checkpoints(points.sparkSession)
     types = dict(points.dtypes)
-    return _across_cells(points, radius, block_rows, f"g {types['g']}, a {types['id']}, b {types['id']}, square double")
+    return _across_cells(points, block_rows, known_rows, f"g {types['g']}, a {types['id']}, b {types['id']}, square double")
 
 
 def _merged(points: DataFrame, forest: DataFrame, least: int, band_links: int) -> DataFrame:
@@ -402,7 +589,8 @@ def _chosen(links: DataFrame, epsilon: float) -> DataFrame:
 
 
 def density_labels(
-    points: DataFrame, least: int, epsilon: float, block_rows: int = N.BLOCK_ROWS, small: int = SMALL_GROUP, band_links: int = BAND_LINKS
+    points: DataFrame, least: int, epsilon: float, block_rows: int = N.BLOCK_ROWS, small: int = SMALL_GROUP, band_links: int = BAND_LINKS,
+    known_rows: int = KNOWN_ROWS,
 ) -> DataFrame:
     """points(g, id, vec, copies) -> (g, id, label): the least id of the point's cluster, null for noise.
 
@@ -420,7 +608,7 @@ def density_labels(
     if large.isEmpty():
         return done
     rest = usual.join(few, "g", "left_semi").select("g", "id", "vec", "copies")
-    forest = N.rewritten(spanning_forest(rest, block_rows=block_rows))
+    forest = N.rewritten(spanning_forest(rest, block_rows, known_rows))
     found = N.rewritten(_chosen(_merged(rest, forest, least, band_links), epsilon).filter("node.a = node.b"))
     named = found.groupBy("g", "chosen").agg(F.min("node.a").alias("label"))
     labels = found.join(named, ["g", "chosen"]).select("g", F.col("node.a").alias("id"), "label")

@@ -152,6 +152,23 @@ def take(folder: str, shelf: int, g=None) -> pd.DataFrame:
     return rows if g is None else rows[rows["g"] == g]
 
 
+def take_arrays(folder: str, shelf: int, g) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, cells, vectors) of a group in a shelf; in a task."""
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(quote(folder if ":" in folder else f"file://{folder}", safe=":/@"))
+    rows = pq.read_table(f"{root}/shelf={shelf}", columns=["g", "id", "cell", "vec"], filesystem=system, partitioning=None)
+    rows = rows.filter(pc.equal(rows["g"], g)).combine_chunks()
+    vec = rows["vec"].combine_chunks()
+    widths = vec.value_lengths().to_numpy(zero_copy_only=False)
+    if len(np.unique(widths)) > 1:
+        raise ValueError(f"vectors of {widths.min()} to {widths.max()} dimensions")
+    vectors = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(widths), -1)
+    return rows["id"].to_numpy(), rows["cell"].to_numpy(), vectors
+
+
 def has_shelf(folder: str, shelf: int) -> bool:
     from pyarrow import fs
 

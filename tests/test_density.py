@@ -155,3 +155,51 @@ def test_odd_groups(spark):
     assert D.density_clusters(points.limit(0)).count() == 0
     kept = {(r["g"], r["id"], r["kind"]) for r in D.representatives(points.filter("id <> 4"), clustering=D.density_clusters).collect()}
     assert kept == {(0, 1, "noise"), (1, 2, "noise"), (2, 5, "cluster"), (2, 7, "cluster"), (2, 9, "noise")}
+
+
+def plain_tree(vectors):
+    """Squared lengths of a minimum spanning tree."""
+    square = np.round(((vectors[:, None, :] - vectors[None, :, :]) ** 2).sum(axis=2), 9)
+    best, inside, out = square[0].copy(), {0}, []
+    while len(inside) < len(vectors):
+        at = min((i for i in range(len(vectors)) if i not in inside), key=lambda i: best[i])
+        inside.add(at)
+        out.append(best[at])
+        best = np.minimum(best, square[at])
+    return sorted(out)
+
+
+def odd_vectors(kind, n=230):
+    rng = np.random.default_rng(5)
+    if kind == "corners":  # all distances are equal
+        return np.eye(n)
+    if kind == "grid":  # few different distances, equal vectors
+        return rng.integers(0, 3, size=(n, 4)).astype(float)
+    if kind == "clumps":  # more points than a point has links, far from others
+        return rng.normal(size=(n // 40, 6)).repeat(40, axis=0) + rng.normal(size=(n // 40 * 40, 6)) * 1e-3
+    if kind == "long":  # beyond single precision
+        return rng.normal(size=(n, 5)) * 1e20
+    return rng.normal(size=(n, 16))
+
+
+@pytest.mark.parametrize("kind", ["corners", "grid", "clumps", "long", "cloud"])
+def test_links_are_a_minimum_spanning_tree(kind):
+    vectors = odd_vectors(kind)
+    a, b, square = Y.spanning_links(vectors)
+    assert (a < b).all() and len(np.unique(Y.N.joined(np.arange(len(vectors)), a, b))) == 1
+    assert np.allclose(sorted(square), plain_tree(vectors), rtol=1e-9, atol=2e-9)
+
+
+@pytest.mark.parametrize("limits", [{}, {"known_rows": 0}])
+def test_a_large_group_takes_few_passes_over_its_vectors(spark, monkeypatch, limits):
+    passes, over = [], Y.N.over_pieces
+    monkeypatch.setattr(Y.N, "over_pieces", lambda *a: passes.append(1) or over(*a))
+    groups = {g: np.pad(v, ((0, 0), (0, 16 - v.shape[1]))) for g, v in enumerate(map(odd_vectors, ("cloud", "clumps", "grid")))}
+    rows = [(g, f"{i:03}", [float(x) for x in v]) for g, vectors in groups.items() for i, v in enumerate(vectors)]
+    found = Y.spanning_forest(spark.createDataFrame(rows, "g int, id string, vec array<double>"), block_rows=90, **limits).collect()
+    assert 1 < len(passes) <= 5
+    for g, vectors in groups.items():
+        own = [r for r in found if r["g"] == g]
+        ends = np.array([[int(r["a"]), int(r["b"])] for r in own])
+        assert len(np.unique(Y.N.joined(np.arange(len(vectors)), ends[:, 0], ends[:, 1]))) == 1
+        assert np.allclose(sorted(r["square"] for r in own), plain_tree(vectors), atol=2e-9)
