@@ -11,7 +11,7 @@ ones lie on shelves (neighbours.py), and points look only into metric cells with
 Links then merge components from the shortest up.  A part of at least `least` points that meets another such part ends
 there, seen from above it splits off, as a cluster; its stability is the sum over its points of 1/distance at which they
 leave it, less that at which it split off.  All of this is known when two parts meet, so a component is one row of sums,
-and a large group goes through in bands of links, a task each.  Clusters that are stabler than all those inside them are
+and a group with too many links for a task goes through in bands of links, a task each.  Clusters that are stabler than all those inside them are
 picked; one that split off below `epsilon` gives way to the nearest cluster around it that did so above, or else to the
 outermost.  The whole group is no cluster.  Links of equal length are cut at once.
 """
@@ -35,7 +35,7 @@ SMALL_GROUP = 16_384  # a tree of up to this many points is grown in one task
 BAND_LINKS = 500_000  # links of a group that a task merges at once
 WAYS = 8  # links that a point finds in a pass
 LOOK_ROWS = 16_384  # rows that a task holds while it reads shelves
-KNOWN_ROWS = 3_000_000  # links and points of a group that a task follows at once
+KNOWN_ROWS = 2_000_000  # links and points of a group that a task follows at once
 PAIRS = 32_768  # pairs compared one by one at once
 TILE = (512, 2_048)  # distances are computed in tiles that stay in the cache
 LINK, WAY, POINT, LOOKS = range(4)  # a link of the tree; a known link of two components; what a point knows; one that must look
@@ -317,26 +317,51 @@ def chosen_nodes(links: list, epsilon: float, nodes: Iterable[Node]) -> list[Nod
     return out
 
 
+def _labels(ids: list, copies: list[int], links: tuple, least: int, epsilon: float) -> list:
+    """The least id of the cluster of each point of a group, or None; ids rise, and links are of their places."""
+    a, b, square = links
+    merger = Merger({i: Level((i, i), None, w) for i, w in enumerate(copies)}, least)
+    order = np.lexsort((b, a, square))
+    for x, y, d in zip(a[order].tolist(), b[order].tolist(), np.sqrt(square[order]).tolist()):
+        merger.merge(x, y, x, y, d)
+    found = chosen_nodes(merger.links, epsilon, ((i, i) for i in range(len(ids))))
+    first: dict = {}
+    for i, node in enumerate(found):
+        first.setdefault(node, ids[i])
+    return [None if c is None else first[c] for c in found]
+
+
 def _small_labels(points: DataFrame, least: int, epsilon: float, shape: str) -> DataFrame:
     """Groups of up to a block, each in one task."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
-        ids = rows["id"].tolist()
-        a, b, square = spanning_links(M.matrix(rows["vec"]))
-        merger = Merger({i: Level((i, i), None, w) for i, w in enumerate(rows["copies"].tolist())}, least)
-        order = np.lexsort((b, a, square))
-        for x, y, d in zip(a[order].tolist(), b[order].tolist(), np.sqrt(square[order]).tolist()):
-            merger.merge(x, y, x, y, d)
-        found = chosen_nodes(merger.links, epsilon, ((i, i) for i in range(len(ids))))
-        first: dict = {}
-        for i, node in enumerate(found):
-            first.setdefault(node, ids[i])
-        return pd.DataFrame({"g": rows["g"], "id": rows["id"], "label": pd.Series([None if c is None else first[c] for c in found], dtype=object, index=rows.index)})
+        found = _labels(rows["id"].tolist(), rows["copies"].tolist(), spanning_links(M.matrix(rows["vec"])), least, epsilon)
+        return pd.DataFrame({"g": rows["g"], "id": rows["id"], "label": pd.Series(found, dtype=object, index=rows.index)})
 
     return points.select("g", "id", "vec", "copies").groupBy("g").applyInPandas(run, shape)
 
 
+def _tree_labels(points: DataFrame, forest: DataFrame, parts: int, least: int, epsilon: float, shape: str) -> DataFrame:
+    """Groups whose trees are grown, each in one task."""
+
+    def run(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", kind="stable")
+        ids = rows["id"].to_numpy()
+        places = (*(np.searchsorted(ids, links[c].to_numpy()) for c in "ab"), links["square"].to_numpy())
+        found = _labels(rows["id"].tolist(), rows["copies"].tolist(), places, least, epsilon)
+        return pd.DataFrame({"g": rows["g"], "id": rows["id"], "label": pd.Series(found, dtype=object, index=rows.index)})
+
+    # As many partitions, whatever their size: a group is a task's work.
+    one, other = (x.repartition(parts, "g").groupBy("g") for x in (points.select("g", "id", "copies"), forest))
+    return one.cogroup(other).applyInPandas(run, shape)
+
+
+def _parts(groups: int) -> int:
+    """Partitions in which that many groups seldom meet."""
+    return max(1, min(4 * groups, 1_000))
+
+
 def _across_cells(points: DataFrame, block_rows: int, known_rows: int, links: str) -> DataFrame:
     """Spanning trees of larger groups: passes over the shelves, and rounds of Boruvka over what they find."""
     types = dict(points.dtypes)
@@ -388,25 +413,33 @@ def _across_cells(points: DataFrame, block_rows: int, known_rows: int, links: st
         return way_out
 
     def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.reset_index(drop=True)
-        one, two = rows["id"].to_numpy(), rows["to"].to_numpy()
-        rows["a"], rows["b"] = np.where(one < two, one, two), np.where(one < two, two, one)
-        ways, ends = rows[rows["kind"] == WAY], rows[rows["kind"] == POINT]
+        """A group in one task: only the columns that change are copied."""
+        c = {name: rows[name].to_numpy() for name in names}
+        less = c["id"] < c["to"]
+        a, b = np.where(less, c["id"], c["to"]), np.where(less, c["to"], c["id"])
+        ways, ends = np.flatnonzero(c["kind"] == WAY), np.flatnonzero(c["kind"] == POINT)
         taken, label, looks, x, y = grown(
-            tuple(ways[c].to_numpy() for c in ("label", "other", "square", "a", "b")), tuple(ends[c].to_numpy() for c in ("label", "square", "a", "b"))
+            tuple(e[ways] for e in (c["label"], c["other"], c["square"], a, b)), tuple(e[ends] for e in (c["label"], c["square"], a, b))
         )
-        tree = ways.iloc[taken].assign(kind=LINK)
-        ends = ends.assign(label=label, other=label, kind=np.where(looks, LOOKS, POINT))
-        left = ways.assign(label=x, other=y)[x != y] if looks.any() else ways[:0]
-        return pd.concat([tree, left, ends if looks.any() else ends[:0]])[names]
+        del a, b
 
+        def at(places: np.ndarray, kind, label: np.ndarray, other: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({**{name: c[name][places] for name in names}, "kind": kind, "label": label, "other": other})
+
+        tree = at(ways[taken], LINK, c["label"][ways[taken]], c["other"][ways[taken]])
+        if not looks.any():
+            return tree
+        left = x != y
+        return pd.concat([tree, at(ways[left], WAY, x[left], y[left]), at(ends, np.where(looks, LOOKS, POINT), label, label)])
+
+    parts = _parts(len({e[1] for e in shelves.entries}))
     made: list[DataFrame] = []
     notes, known, pieces = None, None, shelves.pieces(LOOK_ROWS)
     while pieces:
         found = N.over_pieces(spark, shelves, pieces, search(notes), shape)
         found = N.rewritten(found if known is None else known.unionByName(found))
         many = N.rewritten(found.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > known_rows).select("g"))
-        after = found.join(F.broadcast(many), "g", "left_anti").groupBy("g").applyInPandas(follow, shape)
+        after = found.join(F.broadcast(many), "g", "left_anti").repartition(parts, "g").groupBy("g").applyInPandas(follow, shape)
         if not many.isEmpty():
             after = after.unionByName(_followed(found.join(F.broadcast(many), "g", "left_semi")).select(*names))
         after = N.rewritten(after)
@@ -447,7 +480,7 @@ def _followed(rows: DataFrame) -> DataFrame:
     left = labelled.join(best.withColumnRenamed("label", "now"), ["g", "now"], "left").join(most, "g").select(
         "g", F.when(looks, LOOKS).otherwise(POINT).alias("kind"), "shelf", F.col("now").alias("label"), F.col("now").alias("other"), "square", "id", "to"
     )
-    none = F.lit(None).cast("int").alias("shelf")
+    none = F.lit(-1).alias("shelf")
     links = [t.select("g", F.lit(LINK).alias("kind"), none, F.col("a").alias("label"), F.col("b").alias("other"), "square", F.col("a").alias("id"), F.col("b").alias("to")) for t in tree]
     open_ = ways.select("g", F.lit(WAY).alias("kind"), none, "label", "other", "way.square", F.col("way.a").alias("id"), F.col("way.b").alias("to"))
     return reduce(DataFrame.unionByName, [*links, open_, left])
@@ -601,14 +634,21 @@ def density_labels(
     types = dict(points.dtypes)
     shape = f"g {types['g']}, id {types['id']}, label {types['id']}"
     usual = points.filter(M.finite(F.col("vec")))
-    large = N.rewritten(usual.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > small).select("g"))
+    large = N.rewritten(usual.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > small))
     strange = points.filter(~M.finite(F.col("vec"))).select("g", "id", F.lit(None).cast(types["id"]).alias("label"))
-    few = F.broadcast(large)  # at most a row for each `small` points
+    few = F.broadcast(large.select("g"))  # at most a row for each `small` points
     done = _small_labels(usual.join(few, "g", "left_anti"), least, epsilon, shape).unionByName(strange)
-    if large.isEmpty():
+    groups = large.count()
+    if not groups:
         return done
     rest = usual.join(few, "g", "left_semi").select("g", "id", "vec", "copies")
     forest = N.rewritten(spanning_forest(rest, block_rows, known_rows))
+    long = F.broadcast(large.filter(F.col("n") > band_links // 2).select("g"))
+    whole = (x.join(long, "g", "left_anti") for x in (rest, forest))
+    done = done.unionByName(_tree_labels(*whole, _parts(groups), least, epsilon, shape))
+    if large.filter(F.col("n") > band_links // 2).isEmpty():
+        return done
+    rest, forest = (x.join(long, "g", "left_semi") for x in (rest, forest))
     found = N.rewritten(_chosen(_merged(rest, forest, least, band_links), epsilon).filter("node.a = node.b"))
     named = found.groupBy("g", "chosen").agg(F.min("node.a").alias("label"))
     labels = found.join(named, ["g", "chosen"]).select("g", F.col("node.a").alias("id"), "label")

@@ -190,7 +190,17 @@ def test_links_are_a_minimum_spanning_tree(kind):
     assert np.allclose(sorted(square), plain_tree(vectors), rtol=1e-9, atol=2e-9)
 
 
-@pytest.mark.parametrize("limits", [{}, {"known_rows": 0}])
+def test_only_a_group_with_too_many_links_goes_through_in_bands(spark, monkeypatch):
+    rows = clouds(7, groups=2, most=30)
+    points = spark.createDataFrame(rows, "g int, id long, vec array<double>")
+    monkeypatch.setattr(Y, "_merged", lambda *a: pytest.fail("cut into bands"))
+    found = D.density_clusters(points, small=5, block_rows=8).collect()
+    for group in by_group(found).values():
+        want = plain_density({i: r["vec"] for i, r in group.items()}, {i: r["copies"] for i, r in group.items()}, 2, 0.1)
+        assert {i: r["label"] for i, r in group.items()} == {i: i if c is None else c for i, c in want.items()}
+
+
+@pytest.mark.parametrize("limits", [{}, {"known_rows": 400}])
 def test_a_large_group_takes_few_passes_over_its_vectors(spark, monkeypatch, limits):
     passes, over = [], Y.N.over_pieces
     monkeypatch.setattr(Y.N, "over_pieces", lambda *a: passes.append(1) or over(*a))
